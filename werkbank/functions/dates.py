@@ -47,15 +47,21 @@ def date_bounds(date_from, date_to, as_of: date | None = None) -> tuple[date | N
     return lo, hi
 
 
+def at(moment: datetime | date) -> Column:
+    """A wall-clock literal, the same in every session time zone."""
+    if not isinstance(moment, datetime):
+        moment = datetime(moment.year, moment.month, moment.day)
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def date_range(column: Column, lo: date | None, hi: date | None) -> Column:
     """Both days inclusive on a timestamp: from the first midnight to before the day after.
     The bounds are literals, so the comparison reaches the scan."""
     condition = F.lit(True)
     if lo is not None:
-        condition = condition & (column >= F.lit(datetime(lo.year, lo.month, lo.day)))
+        condition = condition & (column >= at(lo))
     if hi is not None and hi < date.max:
-        after = hi + timedelta(days=1)
-        condition = condition & (column < F.lit(datetime(after.year, after.month, after.day)))
+        condition = condition & (column < at(hi + timedelta(days=1)))
     return condition
 
 

@@ -9,7 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column, functions as F
 
 from werkbank.functions import constants as K
-from werkbank.functions.text import listed_name, matches, same_text
+from werkbank.functions.text import listed_name, matches, matches_any, same_text
 
 _ATTRIBUTES = (
     "sku", "ean", "producer_ean", "category", "item_name", "ram_capacity", "ram_ddr", "ram_speed",
@@ -123,7 +123,7 @@ def article_predicate(**attributes) -> Column:
         if name in args:
             conditions.append(matches(F.col(column), f"%{args[name].strip()}%"))
     for alternatives in _name_patterns(args):
-        conditions.append(reduce(or_, [matches(F.col("Bezeichnung"), p) for p in alternatives]))
+        conditions.append(matches_any(F.col("Bezeichnung"), alternatives))
     return reduce(and_, conditions)
 
 

@@ -1,5 +1,7 @@
 """Text columns: collation-like matching, SKU groups and HTML to text."""
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 
@@ -8,6 +10,16 @@ def matches(column: Column, pattern: str) -> Column:
     return column.ilike(pattern.replace("\\", "\\\\"))
 
 
+def matches_any(column: Column, patterns: list[str]) -> Column:
+    """Any of several such patterns. Several become one expression, so the column is read
+    once however long its own expression is."""
+    if len(patterns) == 1:
+        return matches(column, patterns[0])
+    wild = {"%": ".*", "_": "."}
+    parts = ["".join(wild.get(c, re.escape(c)) for c in pattern) for pattern in patterns]
+    return column.rlike("(?isu)^(?:" + "|".join(parts) + ")$")
+
+
 def same_text(column: Column, value: str) -> Column:
     """Equality that ignores case, as the ERP collation does."""
     return F.lower(column) == value.lower()

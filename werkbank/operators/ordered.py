@@ -1,8 +1,8 @@
-"""Running values within a key that stay parallel when one key holds much of the data.
+"""Running values and look-ups that stay parallel when one key holds much of the data.
 
-A plain window puts all rows of a key into one task. Here the keys that hold many rows are
-found first (a partial aggregate), their order range is cut into pieces, the window runs per
-piece, and what crosses a piece border comes from a small table with one row per piece.
+A plain window or join puts all rows of a key into one task. Here the keys that hold many
+rows are found first (a partial aggregate over the key column), and only those are cut into
+pieces. Ordinary keys take the ordinary path.
 """
 
 from __future__ import annotations
@@ -13,42 +13,87 @@ HOT_ROWS = 1_000_000
 PIECES = 1024
 
 
-def with_pieces(rows: DataFrame, keys: list[str], order: str, hot_rows: int = HOT_ROWS,
-                pieces: int = PIECES) -> DataFrame:
-    """Add ``_piece``: 0 for ordinary keys, the slice of the order range for hot ones.
+def _hot_keys(rows: DataFrame, keys: list[str], hot_rows: int, *extra: Column) -> DataFrame:
+    """Keys with at least ``hot_rows`` rows and a thousandth of the table: at most a thousand
+    keys, so this table is safe to broadcast whatever the size of ``rows``."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *extra)
+    share = sizes.agg(F.sum("_n") / 1000).scalar()
+    return sizes.filter(F.col("_n") >= hot_rows).filter(F.col("_n") >= share).drop("_n")
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], within: str, how: str = "inner",
+                hot_rows: int = HOT_ROWS, pieces: int = PIECES,
+                sizes_from: DataFrame | None = None) -> DataFrame:
+    """Join ``rows`` with ``keyed`` (one row per key) where some keys may hold very many rows.
 
-    A key is hot when it holds at least ``hot_rows`` rows and a thousandth of the table, so
-    there are at most a thousand hot keys and their table is safe to broadcast. ``order`` is
-    an integer column, unique within its key; the cut depends on the data alone, so that a
-    recomputed task gives the same pieces.
+    Rows of a hot key are dealt over ``pieces`` by a hash of ``within`` (a column that
+    identifies a row in its key), and the ``keyed`` row of a hot key is repeated once per
+    piece. ``how`` is inner, left, left_semi or left_anti. ``sizes_from`` names a cheaper
+    table that has at least as many rows of each key.
     """
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(order).alias("_lo"),
-                                    F.max(order).alias("_hi"))
-    share = sizes.agg(F.sum("_n") / 1000).scalar()
-    hot = sizes.filter(F.col("_n") >= hot_rows).filter(F.col("_n") >= share)
+    counted = rows if sizes_from is None else sizes_from
+    hot = F.broadcast(_hot_keys(counted, keys, hot_rows).withColumn("_hot", F.lit(True)))
+    deal = F.pmod(F.xxhash64(within), F.lit(pieces)).cast("int")
+    dealt = rows.join(hot, keys, "left").withColumn(
+        "_piece", F.when(F.col("_hot"), deal).otherwise(0)).drop("_hot")
+    each = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))
+    repeated = keyed.join(hot, keys, "left").withColumn("_piece", F.explode(each)).drop("_hot")
+    return dealt.join(repeated, [*keys, "_piece"], how).drop("_piece")
+
+
+def with_pieces(rows: DataFrame, keys: list[str], cut: str, hot_rows: int = HOT_ROWS,
+                pieces: int = PIECES) -> DataFrame:
+    """Add ``_hot`` and ``_piece``: 0 for ordinary keys, the slice of the range of the integer
+    column ``cut`` for hot ones. The cut depends on the data alone, so that a recomputed task
+    gives the same pieces."""
     step = F.expr(f"(_hi div {pieces}) - (_lo div {pieces}) + 1")
-    hot = hot.select(*keys, "_lo", step.alias("_step"))
-    piece = F.expr(f"coalesce((`{order}` - _lo) div _step, 0)")
-    return (rows.join(F.broadcast(hot), keys, "left").withColumn("_piece", piece)
+    hot = _hot_keys(rows, keys, hot_rows, F.min(cut).alias("_lo"), F.max(cut).alias("_hi"))
+    hot = F.broadcast(hot.select(*keys, "_lo", step.alias("_step")))
+    piece = F.expr(f"coalesce((`{cut}` - _lo) div _step, 0)")
+    return (rows.join(hot, keys, "left").withColumn("_piece", piece)
             .withColumn("_hot", F.col("_lo").isNotNull()).drop("_lo", "_step"))
 
 
-def running_last(rows: DataFrame, keys: list[str], order: str, mark: Column,
-                 hot_rows: int = HOT_ROWS, pieces: int = PIECES) -> DataFrame:
+def running_last(rows: DataFrame, keys: list[str], cut: str, mark: Column, order: list[str] | None = None,
+                 before: bool = False, hot_rows: int = HOT_ROWS, pieces: int = PIECES) -> DataFrame:
     """Add ``position`` (1-based within the key) and ``last_mark``, the latest non-NULL
-    ``mark`` at or before the row."""
-    cut = with_pieces(rows.withColumn("_mark", mark), keys, order, hot_rows, pieces)
-    within = Window.partitionBy(*keys, "_piece").orderBy(order)
-    local = (cut.withColumn("_pos", F.row_number().over(within))
-             .withColumn("_open", F.last("_mark", ignorenulls=True).over(
-                 within.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
-    carried = (cut.filter("_hot").groupBy(*keys, "_piece")
-               .agg(F.count("*").alias("_size"),
-                    F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col(order))).alias("_end")))
-    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    carried = carried.select(*keys, "_piece", F.sum("_size").over(before).alias("_offset"),
-                             F.last("_end", ignorenulls=True).over(before).alias("_carry"))
+    ``mark`` at the row or earlier (``before``: strictly earlier).
+
+    Rows run in the order of the integer column ``cut``, then ``order``. The window runs per
+    piece; what crosses a piece border comes from a table with one row per piece of the hot
+    keys.
+    """
+    cut_rows = with_pieces(rows.withColumn("_mark", mark), keys, cut, hot_rows, pieces)
+    sequence = [cut, *(order or [])]
+    within = Window.partitionBy(*keys, "_piece").orderBy(*sequence)
+    end = -1 if before else Window.currentRow
+    local = (cut_rows.withColumn("position", F.row_number().over(within))
+             .withColumn("last_mark", F.last("_mark", ignorenulls=True).over(
+                 within.rowsBetween(Window.unboundedPreceding, end))))
+    marked_at = F.when(F.col("_mark").isNotNull(), F.struct(*sequence))
+    carried = (cut_rows.filter("_hot").groupBy(*keys, "_piece")
+               .agg(F.count("*").alias("_size"), F.max_by("_mark", marked_at).alias("_end")))
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = carried.select(*keys, "_piece", F.sum("_size").over(earlier).alias("_offset"),
+                             F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
     return (local.join(carried, [*keys, "_piece"], "left")
-            .withColumn("position", F.col("_pos") + F.coalesce("_offset", F.lit(0)))
-            .withColumn("last_mark", F.coalesce("_open", "_carry"))
-            .drop("_pos", "_open", "_offset", "_carry", "_mark", "_piece", "_hot"))
+            .withColumn("position", F.col("position") + F.coalesce("_offset", F.lit(0)))
+            .withColumn("last_mark", F.coalesce("last_mark", "_carry"))
+            .drop("_offset", "_carry", "_mark", "_piece", "_hot"))
+
+
+def global_rank(rows: DataFrame, at: str, order: list[str], hot_rows: int = HOT_ROWS,
+                pieces: int = PIECES) -> DataFrame:
+    """Add ``rank``, the 1-based position in the order of timestamp ``at`` then ``order``.
+
+    Ranks are taken within each hour (hot hours in pieces) and shifted by the rows of the
+    hours before, so the only ordered table in one task has one row per hour.
+    """
+    staged = rows.withColumn("_hour", F.date_trunc("hour", F.col(at))).withColumn("_at", F.unix_micros(at))
+    ranked = running_last(staged, ["_hour"], "_at", F.lit(None).cast("int"), order, False, hot_rows, pieces)
+    hours = staged.groupBy("_hour").agg(F.count("*").alias("_size"))
+    earlier = Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = hours.select("_hour", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
+    return (spread_join(ranked, offsets, ["_hour"], "position", "inner", hot_rows, pieces)
+            .withColumn("rank", F.col("_offset") + F.col("position"))
+            .drop("_hour", "_at", "_offset", "position", "last_mark"))

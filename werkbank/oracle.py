@@ -322,3 +322,251 @@ ORACLE["open_order_shortages"] = _MISSING + """SELECT id, name, sum(count) AS co
   count(DISTINCT order_number) AS affected_orders FROM missing GROUP BY 1, 2"""
 ORACLE["affected_orders"] = _MISSING + """SELECT order_number, count(*) AS missing_articles
 FROM missing GROUP BY 1"""
+
+# ---- snapshots and e-mails -----------------------------------------------------------------------
+
+_run = _FORECAST_VIEWS + _forecast_body("2001-08-02 12:00:00", 4)
+ORACLE["latest_forecast"] = _run
+ORACLE["daily_forecast"] = _run
+
+_MAIL = """contacts AS (
+  SELECT lower(replace(c_name, '#', '')) || '@example.com' AS email, unnest(CASE c_custkey % 5 WHEN 0 THEN []
+      WHEN 1 THEN ['C' || CAST(c_custkey AS VARCHAR), 'C' || CAST(c_custkey AS VARCHAR), 'D' || CAST(c_custkey AS VARCHAR)]
+      ELSE ['C' || CAST(c_custkey AS VARCHAR)] END) AS contact_id FROM customer),
+owned AS (
+  SELECT CASE WHEN c_custkey % 10 = 1 THEN 'D' ELSE 'C' END || CAST(c_custkey AS VARCHAR) AS contact_id,
+    unnest(['T' || CAST(c_custkey AS VARCHAR), 'T' || CAST(c_custkey + 1 AS VARCHAR)]) AS ticket_id
+  FROM customer WHERE c_custkey % 3 <> 0)"""
+ORACLE["email_contacts"] = V.with_views(V.BELEG, _MAIL) + """
+SELECT email, count(*) AS invoices, email IN (SELECT c.email FROM contacts c JOIN owned o USING (contact_id))
+  AS customer_service
+FROM beleg WHERE Belegtyp = 'R' AND PLZ <> '10997' AND Vertrag <> -1 AND Lager = 100 AND Netto <> 0
+  AND email IS NOT NULL AND Vertreter = 8 AND Datum >= TIMESTAMP '1996-01-01' AND Datum < TIMESTAMP '2001-01-01'
+GROUP BY email"""
+ORACLE["tickets_by_email"] = "WITH " + _MAIL + """
+SELECT DISTINCT email, ticket_id FROM contacts JOIN owned USING (contact_id)"""
+
+# ---- tickets ---------------------------------------------------------------------------------------
+
+_T = "'T' || CAST(conv_id AS VARCHAR)"
+_M = "'M' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR)"
+_AT = "TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600 + turn * 60)"
+_MSG = f"""msg AS (
+  SELECT {_M} AS message_id, {_T} AS ticket_id,
+    CASE role WHEN 'user' THEN 'Customer' WHEN 'assistant' THEN 'Support' ELSE '' END AS role,
+    CASE WHEN role IN ('user', 'assistant') THEN coalesce(text, '') ELSE '' END AS body,
+    CAST(turn AS INTEGER) AS position, role IN ('user', 'assistant') AS visible, {_AT} AS cached_at, conv_id, turn
+  FROM conversations)"""
+_CACHED = "cached AS (SELECT * FROM msg WHERE (conv_id * 8 + turn) % 23 <> 0)"
+_stamp = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+_MESSAGE = f"message_id, ticket_id, role, body, position, visible, {_stamp('cached_at')} AS cached_at"
+ORACLE["ingest_tickets"] = f"""
+SELECT {_T} AS ticket_id, CAST(i AS INTEGER) AS position, 'M' || CAST(conv_id AS VARCHAR) || '-' || CAST(i AS VARCHAR) AS message_id
+FROM (SELECT conv_id, unnest(range(max(turn) + 1)) AS i FROM conversations GROUP BY conv_id)"""
+ORACLE["normalise_messages"] = f"WITH {_MSG} SELECT {_MESSAGE} FROM msg"
+ORACLE["upsert_messages"] = f"""WITH {_MSG}, {_CACHED},
+edited AS (SELECT * REPLACE (CASE WHEN visible THEN '(edited) ' || body ELSE '' END AS body,
+    cached_at + INTERVAL 60 SECOND AS cached_at) FROM msg WHERE turn >= 2)
+SELECT {_MESSAGE} FROM edited UNION ALL
+SELECT {_MESSAGE} FROM cached WHERE message_id NOT IN (SELECT message_id FROM edited)"""
+ORACLE["ticket_conversation"] = f"""WITH {_MSG}, {_CACHED},
+broken AS (SELECT DISTINCT ticket_id FROM msg WHERE message_id NOT IN (SELECT message_id FROM cached))
+SELECT ticket_id, position, role, body AS text, true AS complete FROM cached
+WHERE visible AND ticket_id NOT IN (SELECT ticket_id FROM broken)
+UNION ALL SELECT ticket_id, NULL, NULL, NULL, false FROM broken"""
+_TURNS = f"""{_MSG}, turns AS (
+  SELECT ticket_id AS conv_id, position AS turn, CASE role WHEN 'Customer' THEN 'user' ELSE 'assistant' END AS role,
+    body AS text, row_number() OVER (PARTITION BY ticket_id ORDER BY position DESC) AS back
+  FROM msg WHERE visible AND length(body) > 0)"""
+ORACLE["conversation_context"] = f"""WITH {_TURNS}
+SELECT conv_id, turn, CASE WHEN back <= 3 THEN 'recent' ELSE 'older' END AS part, role || ': ' || text AS line FROM turns"""
+ORACLE["retrieval_context"] = f"""WITH {_TURNS}
+SELECT conv_id, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'user'), '') AS context
+FROM turns WHERE back <= 3 GROUP BY conv_id"""
+ORACLE["draft_query"] = f"""WITH {_TURNS}, asked AS (
+  SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS q FROM (SELECT *,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM turns WHERE role = 'user') WHERE r <= 3 GROUP BY 1)
+SELECT t.conv_id, coalesce(q, text) AS query FROM turns t LEFT JOIN asked a ON a.conv_id = t.conv_id WHERE back = 1"""
+_DRAFTS = f"""drafts AS (
+  SELECT {_T} AS ticket_id, 'M' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn // 4 * 4 AS VARCHAR) AS based_on_message_id,
+    text, conv_id % 3 AS shape, CASE WHEN conv_id % 6 = 5 THEN 'v1' ELSE 'v2' END AS prompt_version
+  FROM conversations WHERE role = 'assistant' AND turn % 4 = 1)"""
+_STATUS = f"""WITH {_MSG}, {_CACHED}, {_DRAFTS},
+remote AS (SELECT ticket_id, arg_max(message_id, position) AS remote_last_message_id FROM msg GROUP BY 1),
+known AS (SELECT ticket_id, arg_max(message_id, position) AS cached_last_message_id FROM msg
+  WHERE conv_id % 7 <> 0 AND (conv_id % 4 <> 1 OR turn < 2) GROUP BY 1),
+status AS (SELECT r.ticket_id, remote_last_message_id, cached_last_message_id,
+  coalesce(cached_last_message_id = remote_last_message_id, false) AS is_current,
+  (SELECT count(*) FROM msg m WHERE m.ticket_id = r.ticket_id AND m.message_id NOT IN (SELECT message_id FROM cached))
+    AS messages_to_fetch,
+  NOT EXISTS (SELECT 1 FROM drafts d WHERE d.ticket_id = r.ticket_id AND prompt_version = 'v2'
+    AND d.based_on_message_id = remote_last_message_id) AS draft_missing
+FROM remote r LEFT JOIN known k ON k.ticket_id = r.ticket_id)"""
+ORACLE["ticket_sync_status"] = _STATUS + " SELECT * FROM status"
+ORACLE["sync_summary"] = _STATUS + """ SELECT count(*) AS tickets,
+  count(*) FILTER (is_current) AS was_current, CAST(sum(messages_to_fetch) AS BIGINT) AS messages_to_fetch,
+  count(*) FILTER (draft_missing) AS drafts_to_generate, count(*) FILTER (messages_to_fetch > 0) AS incomplete_tickets
+FROM status"""
+ORACLE["missing_message_ids"] = f"""WITH {_MSG}, {_CACHED}
+SELECT message_id FROM msg WHERE message_id NOT IN (SELECT message_id FROM cached)"""
+
+# ---- logs and drafts ----------------------------------------------------------------------------------
+
+_LOGS = f"""logs AS (
+  SELECT conv_id * 10 + turn AS id, {_T} AS ticket_id,
+    'M' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn // 4 * 4 AS VARCHAR) AS based_on_message_id,
+    CASE WHEN turn % 4 = 1 THEN 'first_draft' ELSE 'reprompt' END AS event_type, text AS response_text,
+    CASE WHEN turn % 8 <> 5 THEN ['T' || CAST(conv_id + 1 AS VARCHAR), 'T' || CAST(conv_id + 2 AS VARCHAR)]
+      ELSE CAST([] AS VARCHAR[]) END AS sources,
+    CASE WHEN turn % 4 = 1 THEN '' ELSE 'Revise ' || {_M} END AS instructions,
+    CAST(turn + 1 AS INTEGER) AS message_count, {_AT} AS created_at,
+    CASE WHEN turn % 4 <> 1 THEN 'Draft: ' || text END AS input_response_text, conv_id, turn
+  FROM conversations WHERE role = 'assistant' AND NOT (turn % 4 = 1 AND conv_id % 5 = 0)),
+linked AS (SELECT l.*, f.id AS first_draft_id FROM logs l LEFT JOIN logs f ON f.ticket_id = l.ticket_id
+  AND f.based_on_message_id = l.based_on_message_id AND f.event_type = 'first_draft' AND l.event_type = 'reprompt'
+  AND f.id < l.id)"""
+_log = f"WITH {_LOGS}\n"
+_created = f"{_stamp('created_at')} AS created_at"
+ORACLE["generation_log_append"] = f"""{_log}, stored AS (SELECT * FROM logs WHERE based_on_message_id LIKE '%-0'),
+events AS (SELECT id, ticket_id, based_on_message_id, event_type, created_at FROM logs
+    WHERE based_on_message_id NOT LIKE '%-0'
+  UNION ALL SELECT id + 10000000, ticket_id, based_on_message_id, event_type, created_at FROM logs WHERE message_count <> 8),
+fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticket_id, based_on_message_id ORDER BY created_at, id) AS r
+    FROM events WHERE event_type = 'first_draft') e
+  WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM stored s WHERE s.event_type = 'first_draft' AND s.ticket_id = e.ticket_id
+    AND s.based_on_message_id = e.based_on_message_id)),
+firsts AS (SELECT id, ticket_id, based_on_message_id FROM fresh UNION ALL
+  SELECT id, ticket_id, based_on_message_id FROM stored WHERE event_type = 'first_draft')
+SELECT id, ticket_id, based_on_message_id, event_type, CAST(NULL AS BIGINT) AS first_draft_id FROM fresh
+UNION ALL SELECT e.id, e.ticket_id, e.based_on_message_id, e.event_type, f.id FROM events e LEFT JOIN firsts f
+  ON f.ticket_id = e.ticket_id AND f.based_on_message_id = e.based_on_message_id AND f.id < e.id
+WHERE e.event_type = 'reprompt'"""
+ORACLE["rejected_events"] = _log + "SELECT id, ticket_id, 'other' AS event_type FROM logs WHERE message_count = 8"
+ORACLE["rebuild_logs"] = f"""{_log}, n AS (SELECT *, row_number() OVER (ORDER BY created_at, ticket_id,
+    based_on_message_id, event_type, response_text) AS nr FROM logs)
+SELECT n.nr AS id, n.ticket_id, n.based_on_message_id, n.event_type, n.response_text,
+  array_to_string(n.sources, ',') AS sources, n.instructions, n.message_count,
+  {_stamp('n.created_at')} AS created_at, CAST(NULL AS VARCHAR) AS messages_json, n.input_response_text,
+  f.nr AS first_draft_id, '' AS prompt_version
+FROM n LEFT JOIN n f ON n.event_type = 'reprompt' AND f.event_type = 'first_draft' AND f.ticket_id = n.ticket_id
+  AND f.based_on_message_id = n.based_on_message_id"""
+ORACLE["read_reprompts"] = f"""{_log}SELECT id, ticket_id, {_created}, instructions, response_text,
+  input_response_text, first_draft_id FROM linked WHERE event_type = 'reprompt'"""
+ORACLE["reprompt_search"] = f"""{_log}SELECT id, ticket_id, {_created} FROM logs WHERE event_type = 'reprompt'
+  AND created_at < TIMESTAMP '2024-01-21'
+  AND contains(lower(instructions || ' ' || coalesce(input_response_text, '') || ' ' || response_text || ' '), 'the ')"""
+ORACLE["reprompt_history"] = f"""{_log}SELECT id, ticket_id, {_created}, instructions, first_draft_id,
+  (SELECT count(*) FROM logs WHERE event_type = 'reprompt') AS row_count,
+  (SELECT greatest(1, (count(*) + 24) // 25) FROM logs WHERE event_type = 'reprompt') AS page_count
+FROM linked WHERE event_type = 'reprompt' ORDER BY linked.created_at DESC, id DESC LIMIT 25"""
+ORACLE["reprompt_totals"] = _log + """SELECT count(*) AS reprompts, count(DISTINCT ticket_id) AS tickets
+FROM logs WHERE event_type = 'reprompt'"""
+ORACLE["recent_logs"] = f"""{_log}SELECT id, ticket_id, event_type, {_created} FROM logs
+ORDER BY logs.created_at DESC, id DESC LIMIT 100"""
+ORACLE["first_draft"] = _log + """SELECT ticket_id, id, based_on_message_id, response_text,
+  array_to_string(sources, ',') AS sources FROM (SELECT *, row_number() OVER (PARTITION BY ticket_id
+  ORDER BY created_at, id) AS r FROM logs WHERE event_type = 'first_draft') WHERE r = 1"""
+ORACLE["current_drafts"] = f"""WITH {_LOGS}, {_DRAFTS}
+SELECT d.ticket_id, d.based_on_message_id, d.text AS reply,
+  CASE WHEN shape = 1 THEN 'A,B' ELSE coalesce(array_to_string(l.sources, ','), '') END AS sources
+FROM drafts d LEFT JOIN logs l ON l.ticket_id = d.ticket_id AND l.based_on_message_id = d.based_on_message_id
+  AND l.event_type = 'first_draft' WHERE prompt_version = 'v2'"""
+ORACLE["draft_text"] = f"""WITH {_DRAFTS}
+SELECT ticket_id, based_on_message_id, replace(text, chr(10), chr(10) || '&amp;') AS reply
+FROM drafts WHERE prompt_version = 'v2'"""
+ORACLE["merge_sources"] = _log + """SELECT id, array_to_string(list_filter([a, b, c, d], lambda x: x IS NOT NULL), ',') AS sources
+FROM (SELECT id, sources[1] AS a, sources[2] AS b,
+  CASE WHEN len(sources) = 0 THEN 'T' || CAST(conv_id + 2 AS VARCHAR) END AS c,
+  CASE WHEN message_count > 2 OR len(sources) = 0 AND message_count <> 2
+    THEN 'T' || CAST(conv_id + message_count AS VARCHAR) END AS d FROM logs)"""
+ORACLE["cited_tickets"] = _log + """SELECT source, min(id) AS id
+FROM (SELECT unnest(sources) AS source, id FROM logs) GROUP BY 1"""
+
+_KEY = """sha256('{"instructions": "Translate to French.", "model": "local", "options": {"temperature": 0}, "text": '
+  || CAST(to_json(TXT) AS VARCHAR) || ', "think": false}')"""
+_KNOWN = f"known AS (SELECT DISTINCT {_KEY.replace('TXT', 'text')} AS k, text FROM conversations WHERE turn = 0)"
+ORACLE["translation_backlog"] = f"""WITH {_MSG}, {_KNOWN}
+SELECT {_KEY.replace('TXT', 'body')} AS cache_key, body AS text, count(*) AS messages,
+  {_KEY.replace('TXT', 'body')} IN (SELECT k FROM known) AS cached
+FROM msg WHERE trim(body) <> '' GROUP BY body"""
+ORACLE["translated_messages"] = f"""WITH {_MSG}
+SELECT message_id, CASE WHEN trim(body) = '' THEN body
+  WHEN body IN (SELECT text FROM conversations WHERE turn = 0) THEN 'FR ' || body END AS translated FROM msg"""
+
+# ---- similar tickets, text, traffic --------------------------------------------------------------------
+
+ORACLE["precedents_topk"] = """
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+q AS (SELECT label, max(vec_id) AS query_id FROM embeddings GROUP BY label),
+s AS (SELECT query_id, c.vec_id, list_cosine_similarity(a.e, c.e) AS score
+  FROM q JOIN v a ON a.vec_id = query_id JOIN v c ON c.label = q.label),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(rank AS INTEGER) AS rank, 'T' || CAST(vec_id AS VARCHAR) AS ticket_id,
+  round(score, 6) AS score, text AS problem_text, lang AS linked_resolution
+FROM r LEFT JOIN documents ON doc_id = vec_id WHERE rank <= 5 AND vec_id <> query_id"""
+
+_TEXT_OF = r"""array_to_string(list_filter(list_transform(string_split(regexp_replace(html,
+  '<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<!doctype[^>]*>|</?[a-z][^>]*>', chr(1), 'gis'), chr(1)),
+  lambda r: regexp_replace(replace(replace(replace(replace(r, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'),
+    '^\s+|\s+$', '', 'g')), lambda r: r <> ''), chr(10))"""
+ORACLE["html_to_text"] = f"SELECT page_id, {_TEXT_OF} AS text FROM pages"
+ORACLE["text_by_host"] = f"""SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, count(*) AS pages,
+  CAST(sum(length({_TEXT_OF})) AS BIGINT) AS characters FROM pages GROUP BY 1"""
+
+_CHOSEN = "chosen AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-31')"
+
+
+def _sessions(source):
+    return f"""marked AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens
+    FROM {source})),
+sess AS (SELECT user_id, session, min(ts) AS started, max(ts) AS ended, count(*) AS events,
+    count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'purchase') AS purchases,
+    arg_min(event_type, event_id) AS event_type FROM marked GROUP BY 1, 2)"""
+
+
+def _traffic(by_event, by_session, name):
+    group = "GROUP BY 1" if name else ""
+    key = lambda e: f"{e} AS {name}, " if name else ""
+    events = f"""SELECT {key(by_event)}count(DISTINCT user_id) AS activeUsers,
+  count(*) FILTER (event_type = 'view') AS screenPageViews, count(*) FILTER (event_type = 'purchase') AS ecommercePurchases,
+  CAST(coalesce(sum(CAST(value AS DECIMAL(18,2))) FILTER (event_type = 'purchase'), 0) AS DOUBLE) AS purchaseRevenue FROM chosen {group}"""
+    visits = f"""SELECT {key(by_session)}count(*) AS sessions, CAST(count(*) FILTER (ended - started > INTERVAL 10 SECOND
+  OR purchases > 0 OR views >= 2) AS DOUBLE) / count(*) AS engagementRate FROM sess {group}"""
+    join = f"FULL JOIN v USING ({name})" if name else "CROSS JOIN v"
+    return f"WITH {_CHOSEN}, {_sessions('chosen')}, e AS ({events}), v AS ({visits}) SELECT * FROM e {join}"
+
+
+ORACLE["website_traffic_overview"] = _traffic("", "", "")
+ORACLE["website_traffic_date"] = _traffic("strftime(ts, '%Y-%m-%d')", "strftime(started, '%Y-%m-%d')", "date")
+ORACLE["website_traffic_type"] = _traffic("event_type", "event_type", "event_type")
+ORACLE["website_traffic_page"] = f"""WITH {_CHOSEN}, d AS (SELECT strftime(ts, '%Y-%m-%d') AS date,
+  CAST(coalesce(sum(CAST(value AS DECIMAL(18,2))) FILTER (event_type = 'purchase'), 0) AS DOUBLE) AS purchaseRevenue
+  FROM chosen GROUP BY 1)
+SELECT *, (SELECT count(*) FROM d) AS row_count, CASE WHEN (SELECT count(*) FROM d) > 15 THEN 15 END AS next_offset
+FROM d ORDER BY date LIMIT 10 OFFSET 5"""
+ORACLE["website_sessions"] = f"""WITH {_sessions('events')}
+SELECT user_id, CAST(session AS BIGINT) AS session, {_stamp('started')} AS started, {_stamp('ended')} AS ended,
+  events, views, purchases, event_type FROM sess"""
+ORACLE["traffic_records"] = f"""WITH {_CHOSEN}
+SELECT '{{"date":"' || strftime(ts, '%Y-%m-%d') || '","activeUsers":' || CAST(count(DISTINCT user_id) AS VARCHAR)
+  || ',"screenPageViews":' || CAST(count(*) FILTER (event_type = 'view') AS VARCHAR) || '}}' AS record
+FROM chosen GROUP BY strftime(ts, '%Y-%m-%d')"""
+_INCIDENTS = """WITH told AS (SELECT user_id AS service, event_id AS run_id, event_type = 'error' AS failing,
+  coalesce(last_value(CASE WHEN event_type <> 'signup' THEN event_type = 'error' END IGNORE NULLS) OVER
+    (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS notified_before
+  FROM events)
+SELECT service, run_id, failing, COLUMN CASE WHEN failing THEN 'problem' WHEN notified_before THEN 'recovered' END AS alert
+FROM told"""
+ORACLE["incident_states"] = _INCIDENTS.replace("COLUMN", "notified_before,")
+
+# ---- streams: the batch results ------------------------------------------------------------------------------
+
+ORACLE["stream_messages"] = ORACLE["normalise_messages"]
+ORACLE["stream_counts_day"] = "SELECT strftime(ts, '%Y-%m-%d') AS period, count(*) AS n FROM events GROUP BY 1"
+ORACLE["stream_counts_week"] = """SELECT strftime(date_trunc('week', o_orderdate), '%Y-%m-%d') AS period, count(*) AS n
+FROM orders GROUP BY 1"""
+ORACLE["stream_sessions"] = f"""WITH {_sessions('events')}
+SELECT user_id, {_stamp('started')} AS started, events FROM sess
+WHERE ended + INTERVAL 30 MINUTE <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 10 MINUTE"""
+ORACLE["stream_incidents"] = _INCIDENTS.replace("COLUMN", "")

@@ -14,19 +14,23 @@ ITEM_TYPES = ("D", "L", "R")
 LINES_PER_PART = 1000
 
 
+def _line_type():
+    return F.upper(F.trim(F.coalesce("Zeilentyp", F.lit(""))))
+
+
 def _placed_lines(belegp: DataFrame, hot_rows: int, pieces: int) -> DataFrame:
     """Lines with their position and the id of the PC that is open at the line. Any line that
     is not a component closes the PC before it; a PC line opens its own."""
-    kind = F.upper(F.trim(F.coalesce("Zeilentyp", F.lit(""))))
     text = lambda c: F.coalesce(F.trim(F.col(c)), F.lit(""))
     lines = belegp.filter(F.col("Belegtyp").isin(*ITEM_TYPES)).select(
         F.trim("Belegnummer").alias("document_number"), F.col("Belegtyp").alias("document_type"),
-        F.col("BELEGP_ID").alias("line_id"), kind.alias("line_type"),
+        F.col("BELEGP_ID").alias("line_id"), _line_type().alias("line_type"),
         text("Artikelnummer").alias("sku"), text("Bezeichnung").alias("name"),
         F.coalesce("Menge", F.lit(0)).alias("quantity"), F.coalesce("KalkpreisEuro", F.lit(0)).alias("price"))
     opener = F.when(F.col("line_type") != "K", F.struct(
         F.when(F.col("line_type") == "H", F.col("line_id")).alias("pc"), F.col("line_id").alias("at")))
-    placed = running_last(lines, ["document_number", "document_type"], "line_id", opener, hot_rows, pieces)
+    placed = running_last(lines, ["document_number", "document_type"], "line_id", opener,
+                          hot_rows=hot_rows, pieces=pieces)
     return placed.withColumn("pc_line_id", F.col("last_mark.pc")).drop("last_mark")
 
 
@@ -75,10 +79,16 @@ def order_360(erp: dict[str, DataFrame], numbers: list[str] | None = None) -> Da
         wanted = [n.strip().upper() for n in numbers]
         beleg = beleg.filter(F.upper(F.trim("Belegnummer")).isin(*wanted))
         belegp = belegp.filter(F.upper(F.trim("Belegnummer")).isin(*wanted))
+    key = ["document_number", "document_type"]
     header = order_header(beleg, erp["mitarbw"])
     nested = nest_items(order_items(belegp))
-    return header.join(nested, ["document_number", "document_type"], "left").withColumn(
-        "part", F.coalesce("part", F.lit(0)))
+    # A document has items when some line is not a component; an inner join and an anti join
+    # in place of one outer join let the adaptive planner split a document of many parts.
+    with_items = (belegp.filter(F.col("Belegtyp").isin(*ITEM_TYPES) & (_line_type() != "K"))
+                  .select(F.trim("Belegnummer").alias(key[0]), F.col("Belegtyp").alias(key[1])).distinct())
+    return header.join(nested, key).unionByName(
+        header.join(with_items, key, "left_anti").withColumn("part", F.lit(0).cast("bigint")),
+        allowMissingColumns=True)
 
 
 def open_orders(beleg: DataFrame) -> DataFrame:

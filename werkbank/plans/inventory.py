@@ -11,7 +11,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from werkbank.functions import constants as K
-from werkbank.functions.dates import bucket, date_bounds, date_range
+from werkbank.functions.dates import at, bucket, date_bounds, date_range
 from werkbank.functions.predicates import article_predicate
 from werkbank.operators.keyed import missing_ids
 
@@ -46,7 +46,7 @@ def search_inventory(erp: dict[str, DataFrame], as_of: datetime, max_age_days: i
         "Artikelnummer", "Bezeichnung", "EANNummer", "HstArtikelnummer")
     serial = erp["serie"].join(wanted.select("Artikelnummer"), "Artikelnummer", "left_semi")
     recent = erp["lagerp"].filter((F.col("Bestand") > 0)
-                                  & (F.col("AngelegtAm") >= F.lit(as_of - timedelta(days=max_age_days))))
+                                  & (F.col("AngelegtAm") >= at(as_of - timedelta(days=max_age_days))))
     stock = (_lots(recent)
              .join(serial.filter(F.col("SCTyp") != "O"), F.col("IdSerie") == F.col("Id"))
              .groupBy("Artikelnummer").agg(
@@ -95,7 +95,7 @@ def forecast_components(erp: dict[str, DataFrame], as_of: datetime, weeks: int =
     """Components to buy for the next weeks: sold at least twice in 84 days, with a forecast
     above stock and open purchases. One pass over the lines gives the popularity and the
     three bands; the newest band has no upper bound."""
-    edge = [F.lit(as_of - timedelta(days=d)) for d in (28, 56, 84)]
+    edge = [at(as_of - timedelta(days=d)) for d in (28, 56, 84)]
     date = F.col("Datum")
     band = lambda condition: F.sum(F.when(condition, F.col("Menge")).otherwise(0))
     used = (erp["belegp"].filter((F.col("Belegtyp") == "R") & (date >= edge[2]))
@@ -120,7 +120,7 @@ def save_forecast(forecast: DataFrame, path: str, as_of: datetime, weeks: int) -
     """Append a run to the snapshot table, partitioned by day and horizon."""
     stamp = as_of.strftime("%Y-%m-%dT%H:%M:%S.%f")
     (forecast.withColumn("run_id", F.lit(f"{stamp}/{weeks}"))
-     .withColumn("run_date", F.lit(as_of.date())).withColumn("created_at", F.lit(as_of))
+     .withColumn("run_date", F.lit(as_of.date())).withColumn("created_at", at(as_of))
      .withColumn("weeks", F.lit(weeks))
      .write.mode("append").partitionBy("run_date", "weeks").parquet(path))
 

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from werkbank.operators.shaping import to_chart
-from werkbank.plans import documents, inventory, purchasing, sales
-from werkbank.sources import demo
+from werkbank.functions.dates import at
+from werkbank.functions.text import draft_text as draft_as_text
+from werkbank.operators.keyed import dedupe_keep_first, latest_by, missing_ids, upsert_latest
+from werkbank.operators.shaping import to_chart, to_records
+from werkbank.plans import (documents, inventory, monitoring, purchasing, sales, similar, support, text,
+                            traffic)
+from werkbank.sources import demo, schemas, support as source
+from werkbank.streaming import jobs
+from werkbank.streaming.sinks import read_latest
 
 AS_OF = datetime(2001, 8, 2)
 
@@ -299,3 +306,334 @@ def open_order_shortages(spark, sf_dir):
 @query
 def affected_orders(spark, sf_dir):
     return documents.affected_orders(documents.missing_components(_erp(spark, sf_dir, False)))
+
+
+# ---- forecast snapshots -------------------------------------------------------------------------
+
+def _run(spark, sf_dir, as_of, weeks):
+    return (inventory.forecast_components(_erp(spark, sf_dir, False), as_of, weeks)
+            .withColumn("run_id", F.lit(f"{as_of.isoformat()}/{weeks}")).withColumn("run_date", F.lit(as_of.date()))
+            .withColumn("created_at", at(as_of)).withColumn("weeks", F.lit(weeks)))
+
+
+@query
+def latest_forecast(spark, sf_dir):
+    morning, noon = AS_OF.replace(hour=8), AS_OF.replace(hour=12)
+    runs = (_run(spark, sf_dir, morning, 4).unionByName(_run(spark, sf_dir, noon, 4))
+            .unionByName(_run(spark, sf_dir, noon, 1)))
+    return inventory.latest_forecast(runs, AS_OF.date(), 4)
+
+
+@query
+def daily_forecast(spark, sf_dir):
+    path = f"{_scratch(spark)}/forecast"
+    erp = _erp(spark, sf_dir, False)
+    jobs.daily_forecast(spark, erp, path, AS_OF.replace(hour=8), 4)
+    table = jobs.daily_forecast(spark, erp, path, AS_OF.replace(hour=12), 4)
+    return inventory.latest_forecast(table, AS_OF.date(), 4)
+
+
+def _scratch(spark):
+    return f"{jobs.shared_folder(spark)}/werkbank/{uuid.uuid4().hex}"
+
+
+# ---- customer e-mails -----------------------------------------------------------------------------
+
+@query
+def email_contacts(spark, sf_dir):
+    return sales.email_contacts(_erp(spark, sf_dir), demo.contacts(spark, sf_dir),
+                                demo.contact_tickets(spark, sf_dir), "1996-01-01", "2000-12-31")
+
+
+@query
+def tickets_by_email(spark, sf_dir):
+    return sales.tickets_by_email(demo.contacts(spark, sf_dir), demo.contact_tickets(spark, sf_dir))
+
+
+# ---- tickets and conversations ----------------------------------------------------------------------
+
+@query
+def ingest_tickets(spark, sf_dir):
+    pages = source.parse_ticket_pages(demo.ticket_pages(spark, sf_dir))
+    return support.explode_positions(latest_by(pages, ["ticket_id"], ["revision"]))
+
+
+@query
+def normalise_messages(spark, sf_dir):
+    return source.normalise_messages(demo.raw_messages(spark, sf_dir))
+
+
+@query
+def upsert_messages(spark, sf_dir):
+    base = demo.cached_messages(spark, sf_dir)
+    later = (demo.raw_messages(spark, sf_dir).filter(F.col("position") >= 2)
+             .withColumn("body", F.concat(F.lit("(edited) "), "body"))
+             .withColumn("cached_at", F.timestamp_seconds(F.unix_seconds("cached_at") + 60)))
+    return upsert_latest(base, source.normalise_messages(later), ["message_id"], ["cached_at"])
+
+
+@query
+def ticket_conversation(spark, sf_dir):
+    return support.ticket_conversation(demo.message_positions(spark, sf_dir), demo.cached_messages(spark, sf_dir))
+
+
+def _turns(spark, sf_dir):
+    return support.visible_turns(source.normalise_messages(demo.raw_messages(spark, sf_dir)))
+
+
+@query
+def conversation_context(spark, sf_dir):
+    return support.conversation_context(_turns(spark, sf_dir), 3)
+
+
+@query
+def retrieval_context(spark, sf_dir):
+    return support.retrieval_context(_turns(spark, sf_dir))
+
+
+@query
+def draft_query(spark, sf_dir):
+    return support.draft_query(_turns(spark, sf_dir))
+
+
+def _status(spark, sf_dir):
+    return support.ticket_sync_status(
+        demo.message_positions(spark, sf_dir), demo.cached_tickets(spark, sf_dir),
+        demo.cached_messages(spark, sf_dir), demo.stored_drafts(spark, sf_dir), demo.PROMPT_VERSION)
+
+
+@query
+def ticket_sync_status(spark, sf_dir):
+    return _status(spark, sf_dir)
+
+
+@query
+def sync_summary(spark, sf_dir):
+    return support.sync_summary(_status(spark, sf_dir))
+
+
+@query
+def missing_message_ids(spark, sf_dir):
+    return missing_ids(demo.message_positions(spark, sf_dir).select("message_id"),
+                       demo.cached_messages(spark, sf_dir), "message_id")
+
+
+# ---- drafts, logs, translations ------------------------------------------------------------------------
+
+def _linked_logs(spark, sf_dir):
+    events = demo.generation_logs(spark, sf_dir)
+    return support.append_generation_log(events.limit(0), events)
+
+
+@query
+def generation_log_append(spark, sf_dir):
+    """Stored logs of the first halves, then new events: all of them delivered once more
+    under new ids."""
+    events = demo.generation_logs(spark, sf_dir)
+    stored = events.filter(F.col("based_on_message_id").endswith("-0"))
+    again = events.withColumn("id", F.col("id") + 10_000_000).withColumn(
+        "event_type", F.when(F.col("message_count") == 8, "other").otherwise(F.col("event_type")))
+    return support.append_generation_log(stored, events.filter(
+        ~F.col("based_on_message_id").endswith("-0")).unionByName(again)).select(
+        "id", "ticket_id", "based_on_message_id", "event_type", "first_draft_id")
+
+
+@query
+def rejected_events(spark, sf_dir):
+    events = demo.generation_logs(spark, sf_dir).withColumn(
+        "event_type", F.when(F.col("message_count") == 8, "other").otherwise(F.col("event_type")))
+    return support.rejected_events(events).select("id", "ticket_id", "event_type")
+
+
+@query
+def rebuild_logs(spark, sf_dir):
+    legacy = demo.generation_logs(spark, sf_dir).drop("id", "first_draft_id", "prompt_version", "messages_json")
+    return support.rebuild_logs(legacy, schemas.GENERATION_LOGS).withColumn("sources", F.concat_ws(",", "sources"))
+
+
+@query
+def read_reprompts(spark, sf_dir):
+    return support.read_reprompts(_linked_logs(spark, sf_dir)).select(
+        "id", "ticket_id", "created_at", "instructions", "response_text", "input_response_text", "first_draft_id")
+
+
+@query
+def reprompt_search(spark, sf_dir):
+    return support.search_reprompts(_linked_logs(spark, sf_dir), search="THE ", date_from=date(2024, 1, 1),
+                                    date_to=date(2024, 1, 20)).select("id", "ticket_id", "created_at")
+
+
+@query
+def reprompt_history(spark, sf_dir):
+    return support.reprompt_history(_linked_logs(spark, sf_dir), page=1, page_size=25)
+
+
+@query
+def reprompt_totals(spark, sf_dir):
+    return support.reprompt_totals(demo.generation_logs(spark, sf_dir))
+
+
+@query
+def recent_logs(spark, sf_dir):
+    return support.recent_logs(demo.generation_logs(spark, sf_dir)).select("id", "ticket_id", "event_type", "created_at")
+
+
+@query
+def first_draft(spark, sf_dir):
+    return support.first_draft(demo.generation_logs(spark, sf_dir)).select(
+        "ticket_id", "id", "based_on_message_id", "response_text", F.concat_ws(",", "sources").alias("sources"))
+
+
+@query
+def current_drafts(spark, sf_dir):
+    return support.current_drafts(demo.stored_drafts(spark, sf_dir), demo.generation_logs(spark, sf_dir),
+                                  demo.PROMPT_VERSION).withColumn("sources", F.concat_ws(",", "sources"))
+
+
+@query
+def draft_text(spark, sf_dir):
+    marked = demo.stored_drafts(spark, sf_dir).withColumn("response_json", F.regexp_replace(
+        "response_json", r"\\n", "&lt;br /&gt;&amp;amp;"))
+    shown = support.current_drafts(marked, demo.generation_logs(spark, sf_dir), demo.PROMPT_VERSION)
+    return shown.select("ticket_id", "based_on_message_id", draft_as_text(F.col("reply")).alias("reply"))
+
+
+@query
+def merge_sources(spark, sf_dir):
+    logs = demo.generation_logs(spark, sf_dir)
+    searched = F.array(F.concat(F.lit("T"), F.floor(F.col("id") / 10) + 2), F.lit(""), F.col("ticket_id"),
+                       F.concat(F.lit("T"), F.floor(F.col("id") / 10) + F.col("message_count")))
+    merged = support.merge_sources(logs.withColumn("searched", searched), "sources", "searched", "ticket_id")
+    return merged.select("id", F.concat_ws(",", "sources").alias("sources"))
+
+
+@query
+def cited_tickets(spark, sf_dir):
+    """Every cited ticket with the first log that cites it."""
+    cited = demo.generation_logs(spark, sf_dir).select(F.explode("sources").alias("source"), "id")
+    return dedupe_keep_first(cited, "source", "id")
+
+
+@query
+def translation_backlog(spark, sf_dir):
+    return support.translation_backlog(
+        source.normalise_messages(demo.raw_messages(spark, sf_dir)),
+        demo.translation_cache(spark, sf_dir), demo.TRANSLATION_SETTINGS)
+
+
+@query
+def translated_messages(spark, sf_dir):
+    return support.translated_messages(
+        source.normalise_messages(demo.raw_messages(spark, sf_dir)), demo.translation_cache(spark, sf_dir),
+        demo.TRANSLATION_SETTINGS).select("message_id", "translated")
+
+
+# ---- similar tickets, text, traffic, monitoring -------------------------------------------------------------
+
+def _newest_per_status(chunks):
+    """One asking ticket per status: the newest, with its own status as the filter."""
+    newest = latest_by(chunks.select("status", "chunk_id", "ticket_id", "vector"), ["status"], ["chunk_id"])
+    return newest.select(F.col("chunk_id").alias("query_id"), "ticket_id",
+                         F.lit(None).cast("string").alias("product_sku"), "status", "vector")
+
+
+@query
+def precedents_topk(spark, sf_dir):
+    chunks = demo.precedents(spark, sf_dir)
+    found = similar.precedents(_newest_per_status(chunks), chunks.drop("problem_text", "linked_resolution"))
+    return similar.precedent_payload(found, chunks).select(
+        "query_id", "rank", "ticket_id", F.round("score", 6).alias("score"), "problem_text", "linked_resolution")
+
+
+@query
+def html_to_text(spark, sf_dir):
+    return text.html_to_text(demo.table(spark, sf_dir, "pages")).select("page_id", "text")
+
+
+@query
+def text_by_host(spark, sf_dir):
+    return text.text_by_host(demo.table(spark, sf_dir, "pages"))
+
+
+TRAFFIC_DAY = date(2024, 1, 31)
+WEB_METRICS = list(traffic.METRICS)
+
+
+def _traffic(breakdown, metrics=None):
+    return lambda spark, sf_dir: plain(traffic.traffic_report(
+        demo.events(spark, sf_dir), metrics or WEB_METRICS, breakdown, "28daysAgo", "yesterday", TRAFFIC_DAY))
+
+
+QUERIES["website_traffic_overview"] = _traffic("overview")
+QUERIES["website_traffic_date"] = _traffic("date")
+QUERIES["website_traffic_type"] = _traffic("event_type")
+
+
+@query
+def website_traffic_page(spark, sf_dir):
+    return traffic.website_traffic(demo.events(spark, sf_dir), "purchaseRevenue", "date",
+                                   as_of=TRAFFIC_DAY, limit=10, offset=5)
+
+
+@query
+def website_sessions(spark, sf_dir):
+    return traffic.sessions(demo.events(spark, sf_dir))
+
+
+@query
+def traffic_records(spark, sf_dir):
+    return to_records(traffic.traffic_report(
+        demo.events(spark, sf_dir), ["activeUsers", "screenPageViews"], "date", "28daysAgo", "yesterday",
+        TRAFFIC_DAY))
+
+
+@query
+def incident_states(spark, sf_dir):
+    return monitoring.incident_states(demo.health_checks(spark, sf_dir))
+
+
+# ---- streams ---------------------------------------------------------------------------------------------------
+
+def _stream(spark, sf_dir, name, event_time=None):
+    schema = demo.table(spark, sf_dir, name).schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return rows if event_time is None else rows.withColumn(event_time, F.col(event_time).cast("timestamp"))
+
+
+def _finished(stream_job, spark, *args, **kwargs):
+    folder = _scratch(spark)
+    stream_job(*args, f"{folder}/table", f"{folder}/checkpoint", **kwargs).awaitTermination()
+    return f"{folder}/table"
+
+
+@query
+def stream_messages(spark, sf_dir):
+    raw = _stream(spark, sf_dir, "conversations").select(*demo.raw_message_columns())
+    path = _finished(jobs.stream_messages, spark, raw)
+    return read_latest(spark, path, ["message_id"], ["cached_at"])
+
+
+@query
+def stream_counts_day(spark, sf_dir):
+    path = _finished(jobs.stream_counts, spark, _stream(spark, sf_dir, "events", "ts"))
+    return read_latest(spark, path, ["period"])
+
+
+@query
+def stream_counts_week(spark, sf_dir):
+    path = _finished(jobs.stream_counts, spark, _stream(spark, sf_dir, "orders", "o_orderdate"), at="o_orderdate", grain="week")
+    return read_latest(spark, path, ["period"])
+
+
+@query
+def stream_sessions(spark, sf_dir):
+    path = _finished(jobs.stream_sessions, spark, _stream(spark, sf_dir, "events", "ts"))
+    return spark.read.parquet(path).select("user_id", "started", "events")
+
+
+@query
+def stream_incidents(spark, sf_dir):
+    runs = _stream(spark, sf_dir, "events").select(
+        F.col("user_id").alias("service"), F.col("event_id").alias("run_id"),
+        (F.col("event_type") == "error").alias("failing"), (F.col("event_type") != "signup").alias("accepted"))
+    return spark.read.parquet(_finished(jobs.stream_incidents, spark, runs)).drop("batch_id")

@@ -145,7 +145,7 @@ def _purchase_number() -> Column:
 def _purchase_headers(spark: SparkSession, directory: str) -> DataFrame:
     documents = (table(spark, directory, "lineitem")
                  .select("l_suppkey", _purchase_number().alias("Belegnummer"),
-                         F.trunc("l_shipdate", "MM").cast("timestamp").alias("Datum")).distinct())
+                         F.trunc("l_shipdate", "MM").cast("timestamp_ntz").alias("Datum")).distinct())
     mix = F.col("l_suppkey") + F.month("Datum")
     return (documents.join(table(spark, directory, "supplier"),
                            F.col("l_suppkey") == F.col("s_suppkey"), "left")
@@ -219,3 +219,151 @@ def demo_erp(spark: SparkSession, directory: str, customers: bool = True) -> dic
            "belegp": document_lines(spark, directory), "serie": serial, "lagerp": stock,
            "mitarbw": channels}
     return {name: conform(df, ERP[name]) for name, df in raw.items()}
+
+
+# ---- support ---------------------------------------------------------------------------------
+
+PROMPT_VERSION = "v2"
+TRANSLATION_SETTINGS = {"instructions": "Translate to French.", "model": "local", "think": False,
+                        "options": {"temperature": 0}}
+_START = 1704067200  # 2024-01-01
+
+
+def _message_id(conv: Column, turn: Column) -> Column:
+    return _text("M", conv, "-", turn)
+
+
+def ticket_pages(spark: SparkSession, directory: str) -> DataFrame:
+    """One response page per turn: the ticket with its messages so far, in both page shapes."""
+    turn, conv = F.col("turn"), F.col("conv_id")
+    ids = F.transform(F.sequence(F.lit(0), turn.cast("int")), lambda i: _message_id(conv, i))
+    ticket = F.to_json(F.struct(_text("T", conv).alias("id"), ids.alias("messages_ids")))
+    body = (F.when(turn % 3 == 0, F.concat(F.lit('{"data":['), ticket, F.lit(', 7, "x"]}')))
+            .when(turn % 3 == 1, F.concat(F.lit('{"data":{"data":['), ticket, F.lit("]}}")))
+            .otherwise(F.concat(F.lit('{"data":'), ticket, F.lit("}"))))
+    return table(spark, directory, "conversations").select(turn.alias("revision"), body.alias("value"))
+
+
+def raw_messages(spark: SparkSession, directory: str) -> DataFrame:
+    return table(spark, directory, "conversations").select(*raw_message_columns())
+
+
+def raw_message_columns() -> list[Column]:
+    conv, turn, role = F.col("conv_id"), F.col("turn"), F.col("role")
+    return [
+        _message_id(conv, turn).alias("message_id"), _text("T", conv).alias("ticket_id"),
+        F.when(role == "user", "Incoming").when(role == "assistant", "Outgoing").otherwise("Internal")
+        .alias("direction"),
+        F.col("text").alias("body"), turn.cast("int").alias("position"),
+        F.timestamp_seconds(F.lit(_START) + conv * 3600 + turn * 60).alias("cached_at")]
+
+
+def message_positions(spark: SparkSession, directory: str) -> DataFrame:
+    return table(spark, directory, "conversations").select(
+        _text("T", F.col("conv_id")).alias("ticket_id"), F.col("turn").cast("int").alias("position"),
+        _message_id(F.col("conv_id"), F.col("turn")).alias("message_id"))
+
+
+def cached_messages(spark: SparkSession, directory: str) -> DataFrame:
+    """Messages in the cache: a few were never fetched."""
+    source = table(spark, directory, "conversations").filter((F.col("conv_id") * 8 + F.col("turn")) % 23 != 0)
+    from werkbank.sources.support import normalise_messages
+    return normalise_messages(source.select(*raw_message_columns()))
+
+
+def cached_tickets(spark: SparkSession, directory: str) -> DataFrame:
+    """Cached last message per ticket; some tickets are behind, some unknown."""
+    behind = (F.col("conv_id") % 4 != 1) | (F.col("turn") < 2)
+    return (table(spark, directory, "conversations").filter((F.col("conv_id") % 7 != 0) & behind)
+            .groupBy(_text("T", F.col("conv_id")).alias("ticket_id"))
+            .agg(F.max_by(_message_id(F.col("conv_id"), F.col("turn")), "turn").alias("last_message_id")))
+
+
+def generation_logs(spark: SparkSession, directory: str) -> DataFrame:
+    """Drafts (assistant turns 1 and 5) and reprompts (turns 3 and 7) per half of a
+    conversation; every fifth conversation has lost its first drafts."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    first = turn % 4 == 1
+    base = F.floor(turn / 4) * 4
+    made = conv * 10 + turn
+    return (table(spark, directory, "conversations").filter((F.col("role") == "assistant"))
+            .filter(~(first & (conv % 5 == 0)))
+            .select(made.alias("id"), _text("T", conv).alias("ticket_id"),
+                    _message_id(conv, base).alias("based_on_message_id"),
+                    F.when(first, "first_draft").otherwise("reprompt").alias("event_type"),
+                    F.col("text").alias("response_text"),
+                    F.when(turn % 8 != 5, F.array(_text("T", conv + 1), _text("T", conv + 2)))
+                    .otherwise(F.array().cast("array<string>")).alias("sources"),
+                    F.when(first, "").otherwise(_text("Revise ", _message_id(conv, turn))).alias("instructions"),
+                    (turn + 1).cast("int").alias("message_count"),
+                    F.timestamp_seconds(F.lit(_START) + conv * 3600 + turn * 60).alias("created_at"),
+                    F.lit(None).cast("string").alias("messages_json"),
+                    F.when(~first, _text("Draft: ", F.col("text"))).alias("input_response_text"),
+                    F.lit(None).cast("bigint").alias("first_draft_id"),
+                    F.lit(PROMPT_VERSION).alias("prompt_version")))
+
+
+def stored_drafts(spark: SparkSession, directory: str) -> DataFrame:
+    """Drafts as stored: objects with or without sources, and bare texts; two versions."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    text = F.to_json(F.struct(F.col("text").alias("t")))
+    quoted = F.substring(text, F.lit(6), F.length(text) - 6)
+    body = (F.when(conv % 3 == 0, F.concat(F.lit('{"reply":'), quoted, F.lit("}")))
+            .when(conv % 3 == 1, F.concat(F.lit('{"reply":'), quoted, F.lit(',"sources":["A","B"]}')))
+            .otherwise(quoted))
+    return (table(spark, directory, "conversations").filter((F.col("role") == "assistant") & (turn % 4 == 1))
+            .select(_text("T", conv).alias("ticket_id"),
+                    _message_id(conv, F.floor(turn / 4) * 4).alias("based_on_message_id"),
+                    body.alias("response_json"),
+                    F.timestamp_seconds(F.lit(_START) + conv * 3600 + turn * 60).alias("created_at"),
+                    F.when(conv % 6 == 5, "v1").otherwise(PROMPT_VERSION).alias("prompt_version")))
+
+
+def translation_cache(spark: SparkSession, directory: str) -> DataFrame:
+    """Cached translations of the texts of opening turns."""
+    from werkbank.plans.support import translation_key
+    return (table(spark, directory, "conversations").filter(F.col("turn") == 0)
+            .select(translation_key(F.col("text"), TRANSLATION_SETTINGS).alias("cache_key"),
+                    _text("FR ", F.col("text")).alias("translated_text")).distinct())
+
+
+def contacts(spark: SparkSession, directory: str) -> DataFrame:
+    """Contacts of a mail address: none, one, or the same one twice and another."""
+    c = F.col("c_custkey")
+    ids = (F.when(c % 5 == 0, F.array().cast("array<string>"))
+           .when(c % 5 == 1, F.array(_text("C", c), _text("C", c), _text("D", c)))
+           .otherwise(F.array(_text("C", c))))
+    return table(spark, directory, "customer").select(
+        _text(F.lower(F.regexp_replace("c_name", "#", "")), "@example.com").alias("email"),
+        F.explode(ids).alias("contact_id"))
+
+
+def contact_tickets(spark: SparkSession, directory: str) -> DataFrame:
+    """Tickets of contacts; a third of the contacts has none."""
+    c = F.col("c_custkey")
+    return (table(spark, directory, "customer").filter(c % 3 != 0)
+            .select(_text(F.when(c % 10 == 1, "D").otherwise("C"), c).alias("contact_id"),
+                    F.explode(F.array(_text("T", c), _text("T", c + 1))).alias("ticket_id")))
+
+
+def precedents(spark: SparkSession, directory: str) -> DataFrame:
+    """Precedent tickets with vectors: the documents that have one."""
+    vectors = table(spark, directory, "embeddings")
+    texts = table(spark, directory, "documents")
+    return vectors.join(texts, F.col("vec_id") == F.col("doc_id"), "left").select(
+        F.col("vec_id").alias("chunk_id"), _text("T", F.col("vec_id")).alias("ticket_id"),
+        F.col("source").alias("product_sku"), F.col("label").cast("string").alias("status"),
+        F.col("text").alias("problem_text"), F.col("lang").alias("linked_resolution"),
+        F.col("embedding").alias("vector"))
+
+
+def health_checks(spark: SparkSession, directory: str) -> DataFrame:
+    """Checks of a service (the user id) from its events: an error is a failed check, and the
+    alert mail of a sign-up event is not accepted."""
+    return table(spark, directory, "events").select(
+        F.col("user_id").alias("service"), F.col("event_id").alias("run_id"),
+        (F.col("event_type") != "error").alias("healthy"), (F.col("event_type") != "signup").alias("mail_accepted"))
+
+
+def events(spark: SparkSession, directory: str) -> DataFrame:
+    return table(spark, directory, "events").withColumn("ts", F.col("ts").cast("timestamp"))

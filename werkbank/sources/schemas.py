@@ -6,6 +6,7 @@ MONEY = T.DecimalType(18, 2)
 QUANTITY = T.DecimalType(18, 4)
 _S, _I, _L, _B, _TS = (T.StringType(), T.IntegerType(), T.LongType(), T.BooleanType(),
                        T.TimestampType())
+_WALL = T.TimestampNTZType()  # ERP times are wall-clock times
 
 
 def _schema(**columns: T.DataType) -> T.StructType:
@@ -16,7 +17,7 @@ ART = _schema(Artikelnummer=_S, Bezeichnung=_S, ArtikelGruppe=_S, EANNummer=_S,
               HstArtikelnummer=_S)
 
 BELEG = _schema(
-    Belegnummer=_S, Belegtyp=_S, Status=_I, AngelegtAm=_TS, Datum=_TS, IhrAuftrag=_S,
+    Belegnummer=_S, Belegtyp=_S, Status=_I, AngelegtAm=_WALL, Datum=_WALL, IhrAuftrag=_S,
     Name=_S, Vorname=_S, _FIRMENNAME=_S, _EMAIL1=_S, _MOBILNUMMER=_S, _TRACKING=_S,
     FreierText1=_S, Sprache=_S, Land=_S, Strasse=_S, PLZ=_S, Ort=_S, EuroBrutto=MONEY,
     UebernahmeOffen=MONEY, ErloesEuro=MONEY, Steuer=MONEY, Netto=MONEY, Vertreter=_I,
@@ -24,11 +25,11 @@ BELEG = _schema(
 
 BELEGP = _schema(
     BELEGP_ID=_L, Belegnummer=_S, Belegtyp=_S, Artikelnummer=_S, Bezeichnung=_S,
-    Menge=QUANTITY, EditMenge=QUANTITY, Datum=_TS, KalkpreisEuro=MONEY, Einzelpreis=MONEY,
+    Menge=QUANTITY, EditMenge=QUANTITY, Datum=_WALL, KalkpreisEuro=MONEY, Einzelpreis=MONEY,
     Gesamtpreis=MONEY, Zeilentyp=_S)
 
 SERIE = _schema(Id=_L, Artikelnummer=_S, SCTyp=_S)
-LAGERP = _schema(IdSerie=_L, Bestand=QUANTITY, Wert=MONEY, AngelegtAm=_TS)
+LAGERP = _schema(IdSerie=_L, Bestand=QUANTITY, Wert=MONEY, AngelegtAm=_WALL)
 MITARBW = _schema(Nr=_I, Name=_S)
 
 ERP = {"art": ART, "beleg": BELEG, "belegp": BELEGP, "serie": SERIE, "lagerp": LAGERP,
@@ -46,7 +47,7 @@ GENERATION_LOGS = _schema(
     messages_json=_S, input_response_text=_S, first_draft_id=_L, prompt_version=_S)
 PRECEDENTS = _schema(chunk_id=_L, ticket_id=_S, product_sku=_S, status=_S, problem_text=_S,
                      linked_resolution=_S, vector=T.ArrayType(T.FloatType()))
-FORECAST = _schema(run_id=_S, run_date=T.DateType(), created_at=_TS, weeks=_I, sku=_S, name=_S,
+FORECAST = _schema(run_id=_S, run_date=T.DateType(), created_at=_WALL, weeks=_I, sku=_S, name=_S,
                    weekly_forecast=T.DoubleType(), stock_coverage=T.DoubleType())
 
 

@@ -11,14 +11,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HOT_ROWS = 1_000_000
 PIECES = 1024
+HOT_KEYS = 1000
 
 
 def _hot_keys(rows: DataFrame, keys: list[str], hot_rows: int, *extra: Column) -> DataFrame:
-    """Keys with at least ``hot_rows`` rows and a thousandth of the table: at most a thousand
-    keys, so this table is safe to broadcast whatever the size of ``rows``."""
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *extra)
-    share = sizes.agg(F.sum("_n") / 1000).scalar()
-    return sizes.filter(F.col("_n") >= hot_rows).filter(F.col("_n") >= share).drop("_n")
+    """The largest keys of at least ``hot_rows`` rows, at most a thousand of them, so this
+    table is safe to broadcast whatever the size of ``rows``. Any key that is left whole has
+    fewer than ``hot_rows`` rows or less than a thousandth of all."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *extra).filter(F.col("_n") >= hot_rows)
+    return sizes.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS).drop("_n")
 
 
 def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], within: str, how: str = "inner",

@@ -83,7 +83,8 @@ PURCHASE = """purchase AS (
           'B' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') || '-' || strftime(l_shipdate, '%Y%m') AS Belegnummer
         FROM lineitem) LEFT JOIN supplier ON l_suppkey = s_suppkey)"""
 
-_LINE = """CAST(l_linenumber AS BIGINT) * 1000000000000000000 + l_partkey * 10000000 + l_suppkey AS BELEGP_ID,
+_LINE = """CAST(l_linenumber AS BIGINT) * 1000000000000000000 + l_partkey * 1000000000 + l_suppkey % 10000000 * 100
+      + CAST(l_quantity AS BIGINT) AS BELEGP_ID,
     (['CP','GC','ME','HD','MB','TW'])[l_partkey % 6 + 1] || lpad(CAST(l_partkey AS VARCHAR), 12, '0') AS Artikelnummer,
     CASE WHEN l_partkey % 14 <> 0 THEN 'Item ' || CAST(l_partkey AS VARCHAR) END AS Bezeichnung,
     CASE WHEN l_linenumber = 6 AND l_returnflag = 'R' THEN CAST(-l_quantity AS DECIMAL(18,4))

@@ -96,31 +96,30 @@ def open_orders(beleg: DataFrame) -> DataFrame:
     return beleg.filter(genuine_orders("open")).select("Belegnummer").distinct()
 
 
-def compare_groups(current: DataFrame, original: DataFrame) -> DataFrame:
-    """Shortages per order and SKU group from lines ``(order_number, id, quantity, name,
-    line_id)``: groups of the original with more units than now. The shown article is the
-    first of the group in the current lines, else the first in the original."""
-    def summed(lines: DataFrame, side: str) -> DataFrame:
-        return (lines.filter("id IS NOT NULL").groupBy("order_number", sku_group(F.col("id")).alias("_group"))
-                .agg(F.sum("quantity").alias(f"_{side}"),
-                     F.min_by(F.struct("id", F.coalesce("name", F.lit("")).alias("name")), "line_id")
-                     .alias(f"_{side}_item")))
-    return _shortages(summed(current, "now"), summed(original, "was"))
-
-
-def _shortages(now: DataFrame, was: DataFrame) -> DataFrame:
-    short = F.col("_was") - F.coalesce("_now", F.lit(0))
-    item = F.coalesce("_now_item", "_was_item")
-    return (was.join(now, ["order_number", "_group"], "left").filter(short > 0)
-            .select("order_number", item["id"].alias("id"), item["name"].alias("name"), short.alias("count")))
+def compare_groups(lines: DataFrame) -> DataFrame:
+    """Shortages per order and SKU group from lines ``(order_number, side, id, quantity, name,
+    line_id)`` of the sides ``now`` and ``was``: groups with more units in the original than
+    now. The shown article is the first of the group in the current lines, else the first in
+    the original."""
+    now, was = F.col("side") == "now", F.col("side") == "was"
+    item = F.struct("id", F.coalesce("name", F.lit("")).alias("name"))
+    units = lambda side: F.sum(F.when(side, F.col("quantity")))
+    first = lambda side: F.min_by(item, F.when(side, F.col("line_id")))
+    grouped = (lines.filter("id IS NOT NULL").groupBy("order_number", sku_group(F.col("id")).alias("_group"))
+               .agg((units(was) - F.coalesce(units(now), F.lit(0))).alias("count"),
+                    F.coalesce(first(now), first(was)).alias("_item")))
+    return grouped.filter(F.col("count") > 0).select(
+        "order_number", F.col("_item.id").alias("id"), F.col("_item.name").alias("name"), "count")
 
 
 def missing_components(erp: dict[str, DataFrame], numbers: DataFrame | None = None) -> DataFrame:
     """What each open order (or each of ``numbers``, column ``Belegnummer``) lacks against the
     original document two predecessors back.
 
-    Lines are summed per document and SKU group first, so the chain joins see a few rows per
-    document whatever its size.
+    The lines are read once: they meet the few documents of the chains, each as the current or
+    the original side of its order, and are summed per order and SKU group. A document with
+    very many lines is split by the adaptive planner (plain shuffles on both join sides, and a
+    sum by other keys after it).
     """
     heads = latest_by(erp["beleg"].select("Belegnummer", "Belegtyp", "LieferBelegNr", "AngelegtAm"),
                       ["Belegnummer"], ["AngelegtAm", "Belegtyp"]).drop("AngelegtAm")
@@ -133,18 +132,15 @@ def missing_components(erp: dict[str, DataFrame], numbers: DataFrame | None = No
              .select("order_number", "_type", F.col("LieferBelegNr").alias("_number")))
     chain = chain.join(heads.select(F.col("Belegnummer").alias("_number"),
                                     F.col("Belegtyp").alias("_was_type")), "_number")
-    groups = (erp["belegp"].filter("Artikelnummer IS NOT NULL")
-              .groupBy("Belegnummer", "Belegtyp", sku_group(F.col("Artikelnummer")).alias("_group"))
-              .agg(F.sum("Menge").alias("_units"),
-                   F.min_by(F.struct(F.col("Artikelnummer").alias("id"),
-                                     F.coalesce("Bezeichnung", F.lit("")).alias("name")), "BELEGP_ID")
-                   .alias("_item")))
-    was = (chain.join(groups, (F.col("_number") == F.col("Belegnummer")) & (F.col("_was_type") == F.col("Belegtyp")))
-           .select("order_number", "_group", F.col("_units").alias("_was"), F.col("_item").alias("_was_item")))
-    now = (chain.select("order_number", "_type")
-           .join(groups, (F.col("order_number") == F.col("Belegnummer")) & (F.col("_type") == F.col("Belegtyp")))
-           .select("order_number", "_group", F.col("_units").alias("_now"), F.col("_item").alias("_now_item")))
-    return _shortages(now, was)
+    sides = chain.select("order_number", F.explode(F.array(
+        F.struct(F.lit("now").alias("side"), F.col("order_number").alias("Belegnummer"),
+                 F.col("_type").alias("Belegtyp")),
+        F.struct(F.lit("was").alias("side"), F.col("_number").alias("Belegnummer"),
+                 F.col("_was_type").alias("Belegtyp")))).alias("_s")).select("order_number", "_s.*")
+    lines = erp["belegp"].select(
+        "Belegnummer", "Belegtyp", F.col("Artikelnummer").alias("id"), F.col("Bezeichnung").alias("name"),
+        F.col("Menge").alias("quantity"), F.col("BELEGP_ID").alias("line_id"))
+    return compare_groups(lines.join(sides, ["Belegnummer", "Belegtyp"]))
 
 
 def shortage_totals(missing: DataFrame) -> DataFrame:

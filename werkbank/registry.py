@@ -595,8 +595,7 @@ def incident_states(spark, sf_dir):
 # ---- streams ---------------------------------------------------------------------------------------------------
 
 def _stream(spark, sf_dir, name, event_time=None):
-    schema = demo.table(spark, sf_dir, name).schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    rows = spark.readStream.schema(demo.PROVIDED[name]).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     return rows if event_time is None else rows.withColumn(event_time, F.col(event_time).cast("timestamp"))
 
 

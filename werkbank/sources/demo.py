@@ -13,8 +13,27 @@ GROUPS = ("CP", "GC", "ME", "HD", "MB", "TW")
 CHANNELS = {"AUTOMOBILE": 1, "BUILDING": 8, "FURNITURE": 2, "HOUSEHOLD": 3, "MACHINERY": 23}
 
 
+# The provided tables that the views read, so that no job runs only to learn a schema.
+PROVIDED = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    return spark.read.schema(PROVIDED[name]).parquet(f"{directory}/{name}.parquet")
 
 
 def _pick(index: Column, *values) -> Column:
@@ -34,37 +53,35 @@ def _number(prefix: str, key: Column) -> Column:
 
 
 def articles(spark: SparkSession, directory: str) -> DataFrame:
-    part = table(spark, directory, "part")
-    key, size = F.col("p_partkey"), F.col("p_size")
-    k = F.floor(key / 6)
-    tier = _pick(size % 4, "3", "5", "7", "9")
-    intel = _text("Intel Core i", tier, "-", (10 + size % 5), tier, "00",
-                  _pick(k % 3, "", "K", "KF"), F.when(k % 4 == 3, " Tray").otherwise(""))
-    amd = _text("AMD Ryzen ", tier, " ", (5 + size % 5), tier, "00", _pick(size % 3, "X", "", "X3D"))
-    ultra_tier = _pick(size % 3, "5", "7", "9")
-    ultra = _text("Intel Core Ultra ", ultra_tier, " 2", ultra_tier, "5", _pick(k % 2, "", "K"))
-    cpu = F.when(k % 5 < 3, intel).when(k % 5 == 3, amd).otherwise(ultra)
-    gpu = (F.when(k % 5 < 2, _text("Geforce RTX ", _pick(size % 4, "3060", "4060", "4070", "5080"),
-                                   " ", _pick(k % 4, "4", "8", "12", "16"), "GB"))
-           .when(k % 5 == 2, _text("Radeon RX ", _pick(size % 3, "6600", "7700", "7900"), " ",
-                                   _pick(k % 2, "8", "16"), "GB"))
-           .when(k % 5 == 3, F.lit("Quadro P1000 2048MB"))
-           .otherwise(F.lit("Nvidia T400 1024MB")))
-    ram = _text(_pick(size % 4, "8", "16", "32", "64"), "GB DDR", _pick(k % 2, "4", "5"), " ",
-                _pick(k % 3, "3200", "5600", "6000"))
-    disk = _text(_pick(size % 3, "500", "1000", "2000"), "Gb ", _pick(k % 2, "SSD", "HDD"), " ",
-                 F.col("p_brand"))
-    board = _text(F.col("p_name"), " ", F.col("p_brand"))
-    case = _text(_pick(k % 6, "CoolerMaster Elite 302", "coolermaster elite 490",
-                       "NZXT H510 Black", "Kolink Punisher RGB", "Corsair Obsidian 500D Window",
-                       "Nameless Tower"), _pick(size % 3, " TG", "", ""))
-    name = (F.when(key % 6 == 0, cpu).when(key % 6 == 1, gpu).when(key % 6 == 2, ram)
-            .when(key % 6 == 3, disk).when(key % 6 == 4, board).otherwise(case))
-    return part.select(
-        sku_of(key).alias("Artikelnummer"), name.alias("Bezeichnung"),
-        _pick(key % 6, *GROUPS).alias("ArtikelGruppe"),
-        F.when(key % 17 != 0, F.lpad(key.cast("string"), 13, "0")).alias("EANNummer"),
-        _text(F.col("p_brand"), "-", size).alias("HstArtikelnummer"))
+    tier = "elt(p_size % 4 + 1, '3', '5', '7', '9')"
+    ultra = "elt(p_size % 3 + 1, '5', '7', '9')"
+    cpu = f"""CASE
+        WHEN k % 5 < 3 THEN concat('Intel Core i', {tier}, '-', 10 + p_size % 5, {tier}, '00',
+            elt(k % 3 + 1, '', 'K', 'KF'), if(k % 4 = 3, ' Tray', ''))
+        WHEN k % 5 = 3 THEN concat('AMD Ryzen ', {tier}, ' ', 5 + p_size % 5, {tier}, '00',
+            elt(p_size % 3 + 1, 'X', '', 'X3D'))
+        ELSE concat('Intel Core Ultra ', {ultra}, ' 2', {ultra}, '5', elt(k % 2 + 1, '', 'K')) END"""
+    gpu = """CASE
+        WHEN k % 5 < 2 THEN concat('Geforce RTX ', elt(p_size % 4 + 1, '3060', '4060', '4070', '5080'), ' ',
+            elt(k % 4 + 1, '4', '8', '12', '16'), 'GB')
+        WHEN k % 5 = 2 THEN concat('Radeon RX ', elt(p_size % 3 + 1, '6600', '7700', '7900'), ' ',
+            elt(k % 2 + 1, '8', '16'), 'GB')
+        WHEN k % 5 = 3 THEN 'Quadro P1000 2048MB' ELSE 'Nvidia T400 1024MB' END"""
+    name = f"""CASE p_partkey % 6 WHEN 0 THEN {cpu} WHEN 1 THEN {gpu}
+        WHEN 2 THEN concat(elt(p_size % 4 + 1, '8', '16', '32', '64'), 'GB DDR', elt(k % 2 + 1, '4', '5'), ' ',
+            elt(k % 3 + 1, '3200', '5600', '6000'))
+        WHEN 3 THEN concat(elt(p_size % 3 + 1, '500', '1000', '2000'), 'Gb ', elt(k % 2 + 1, 'SSD', 'HDD'), ' ',
+            p_brand)
+        WHEN 4 THEN concat(p_name, ' ', p_brand)
+        ELSE concat(elt(k % 6 + 1, 'CoolerMaster Elite 302', 'coolermaster elite 490', 'NZXT H510 Black',
+            'Kolink Punisher RGB', 'Corsair Obsidian 500D Window', 'Nameless Tower'),
+            elt(p_size % 3 + 1, ' TG', '', '')) END"""
+    return (table(spark, directory, "part")
+            .selectExpr("p_partkey", "p_size", "p_name", "p_brand", "cast(p_partkey div 6 AS int) AS k")
+            .select(sku_of(F.col("p_partkey")).alias("Artikelnummer"), F.expr(name).alias("Bezeichnung"),
+                    _pick(F.col("p_partkey") % 6, *GROUPS).alias("ArtikelGruppe"),
+                    F.expr("if(p_partkey % 17 <> 0, lpad(p_partkey, 13, '0'), NULL)").alias("EANNummer"),
+                    F.expr("concat(p_brand, '-', p_size)").alias("HstArtikelnummer")))
 
 
 def _document_type() -> Column:
@@ -72,53 +89,44 @@ def _document_type() -> Column:
     return F.when(status == "F", "R").when(status == "O", "L").otherwise("D")
 
 
+_CHANNEL = "CASE c_mktsegment " + " ".join(f"WHEN '{s}' THEN {n}" for s, n in CHANNELS.items()) + " END"
+
+
 def _sales_headers(spark: SparkSession, directory: str, customers: bool) -> DataFrame:
-    orders = table(spark, directory, "orders")
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    kind = _document_type()
-    gross = F.col("o_totalprice").cast(MONEY)
-    cost = F.when(key % 19 != 0, (gross * F.lit("0.8").cast("decimal(2,1)")).cast(MONEY))
-    tax = (gross * F.lit("0.19").cast("decimal(3,2)")).cast(MONEY)
-    core = orders.select(
-        _text(kind, F.lit("A"), F.lpad(key.cast("string"), 12, "0")).alias("Belegnummer"),
-        kind.alias("Belegtyp"),
-        F.when((kind != "R") & (F.col("o_orderpriority") == "5-LOW"), 2).otherwise(0).alias("Status"),
-        F.col("o_orderdate").alias("AngelegtAm"),
-        F.col("o_orderdate").alias("Datum"),
-        F.when(key % 11 != 0, _text("EXT-", key)).alias("IhrAuftrag"),
-        F.when(kind == "R", _text("TR", key)).alias("_TRACKING"),
-        gross.alias("EuroBrutto"), cost.alias("UebernahmeOffen"), (gross - cost).alias("ErloesEuro"),
-        tax.alias("Steuer"),
-        F.when(key % 23 == 0, F.lit(0)).otherwise(gross - tax).alias("Netto"),
-        F.when(cust % 41 == 0, -1).otherwise(0).alias("Vertrag"),
-        F.when(cust % 7 == 3, 200).otherwise(100).alias("Lager"),
-        F.when(cust == 0, "K000000").otherwise(_text("K", cust)).alias("Adressnummer"),
-        F.when((kind == "L") & (key % 9 != 0), _number("ZA", key))
-        .when(kind == "L", "").alias("LieferBelegNr"),
-        F.when(key % 43 == 0, "T").otherwise("").alias("Vorlage"),
-        cust.alias("_custkey"))
+    orders = table(spark, directory, "orders").selectExpr(
+        "*", "CASE o_orderstatus WHEN 'F' THEN 'R' WHEN 'O' THEN 'L' ELSE 'D' END AS kind",
+        "cast(o_totalprice AS decimal(18,2)) AS gross", "lpad(o_orderkey, 12, '0') AS padded")
+    cost = "if(o_orderkey % 19 <> 0, cast(gross * 0.8BD AS decimal(18,2)), NULL)"
+    tax = "cast(gross * 0.19BD AS decimal(18,2))"
+    core = orders.selectExpr(
+        "concat(kind, 'A', padded) AS Belegnummer", "kind AS Belegtyp",
+        "if(kind <> 'R' AND o_orderpriority = '5-LOW', 2, 0) AS Status",
+        "o_orderdate AS AngelegtAm", "o_orderdate AS Datum",
+        "if(o_orderkey % 11 <> 0, concat('EXT-', o_orderkey), NULL) AS IhrAuftrag",
+        "if(kind = 'R', concat('TR', o_orderkey), NULL) AS _TRACKING",
+        "gross AS EuroBrutto", f"{cost} AS UebernahmeOffen", f"gross - {cost} AS ErloesEuro", f"{tax} AS Steuer",
+        f"if(o_orderkey % 23 = 0, 0, gross - {tax}) AS Netto",
+        "if(o_custkey % 41 = 0, -1, 0) AS Vertrag", "if(o_custkey % 7 = 3, 200, 100) AS Lager",
+        "if(o_custkey = 0, 'K000000', concat('K', o_custkey)) AS Adressnummer",
+        "CASE WHEN kind = 'L' AND o_orderkey % 9 <> 0 THEN concat('ZA', padded) WHEN kind = 'L' THEN '' END "
+        "AS LieferBelegNr",
+        "if(o_orderkey % 43 = 0, 'T', '') AS Vorlage", "o_custkey AS _custkey")
     if not customers:
         return core
-    customer = table(spark, directory, "customer").join(
-        table(spark, directory, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    c = F.col("c_custkey")
-    channel = F.lit(None).cast("int")
-    for segment, number in CHANNELS.items():
-        channel = F.when(F.col("c_mktsegment") == segment, number).otherwise(channel)
-    people = customer.select(
-        c.alias("_c"), F.col("c_name").alias("Name"),
-        _pick(c % 4, None, "  ", "Ada", "Ben").alias("Vorname"),
-        F.when(c % 10 == 0, _text("Company ", c)).alias("_FIRMENNAME"),
-        F.when(c % 13 != 0, _text(F.lower(F.regexp_replace("c_name", "#", "")), "@example.com"))
-        .alias("_EMAIL1"),
-        _text("+49", c).alias("_MOBILNUMMER"),
-        F.when(c % 10 == 0, _text("DE", c)).alias("FreierText1"),
-        _pick(F.col("n_nationkey") % 3, "DE", "FR", "EN").alias("Sprache"),
-        F.col("n_name").alias("Land"), _text("Street ", c % 100).alias("Strasse"),
-        F.when(c % 31 == 0, "10997").otherwise((10000 + c % 90000).cast("string")).alias("PLZ"),
-        _text("City ", c % 50).alias("Ort"),
-        F.when(c % 37 == 0, F.lit(None)).when(c % 29 == 0, 99).otherwise(channel).alias("Vertreter"))
-    return core.join(people, F.col("_custkey") == F.col("_c"), "left")
+    people = table(spark, directory, "customer").join(
+        table(spark, directory, "nation"), F.expr("c_nationkey = n_nationkey"), "left").selectExpr(
+        "c_custkey AS _c", "c_name AS Name",
+        "elt(cast(c_custkey % 4 + 1 AS int), cast(NULL AS string), '  ', 'Ada', 'Ben') AS Vorname",
+        "if(c_custkey % 10 = 0, concat('Company ', c_custkey), NULL) AS _FIRMENNAME",
+        "if(c_custkey % 13 <> 0, concat(lower(replace(c_name, '#', '')), '@example.com'), NULL) AS _EMAIL1",
+        "concat('+49', c_custkey) AS _MOBILNUMMER",
+        "if(c_custkey % 10 = 0, concat('DE', c_custkey), NULL) AS FreierText1",
+        "elt(n_nationkey % 3 + 1, 'DE', 'FR', 'EN') AS Sprache", "n_name AS Land",
+        "concat('Street ', c_custkey % 100) AS Strasse",
+        "if(c_custkey % 31 = 0, '10997', cast(10000 + c_custkey % 90000 AS string)) AS PLZ",
+        "concat('City ', c_custkey % 50) AS Ort",
+        f"CASE WHEN c_custkey % 37 = 0 THEN NULL WHEN c_custkey % 29 = 0 THEN 99 ELSE {_CHANNEL} END AS Vertreter")
+    return core.join(people, F.expr("_custkey = _c"), "left")
 
 
 def _chain_headers(spark: SparkSession, directory: str) -> DataFrame:
@@ -163,8 +171,8 @@ def _lines(df: DataFrame, number: Column, kind: Column, line_type: Column) -> Da
               .when(line == 4, (quantity / 2).cast(QUANTITY)).otherwise(quantity))
     total = F.col("l_extendedprice").cast(MONEY)
     return df.select(
-        (line.cast("bigint") * F.lit(10 ** 18) + F.col("l_partkey") * F.lit(10 ** 7)
-         + F.col("l_suppkey")).alias("BELEGP_ID"),
+        F.expr("l_linenumber * 1000000000000000000 + l_partkey * 1000000000 + l_suppkey % 10000000 * 100 "
+               "+ cast(l_quantity AS int)").alias("BELEGP_ID"),
         number.alias("Belegnummer"), kind.alias("Belegtyp"),
         sku_of(F.col("l_partkey")).alias("Artikelnummer"),
         F.when(F.col("l_partkey") % 14 != 0, _text("Item ", F.col("l_partkey"))).alias("Bezeichnung"),
@@ -195,30 +203,49 @@ def _lot() -> Column:
     return F.col("l_partkey") * 4 + F.col("l_suppkey") % 4
 
 
-def demo_erp(spark: SparkSession, directory: str, customers: bool = True) -> dict[str, DataFrame]:
-    """The six ERP relations. Without ``customers`` the header columns that come from the
-    customer table are NULL and that table is not read."""
-    returned = table(spark, directory, "lineitem").filter(F.col("l_returnflag") == "R")
-    serial = returned.select(_lot().alias("Id"), "l_partkey").distinct().select(
+class _Tables(dict):
+    """Tables that are built when they are first asked for."""
+
+    def __init__(self, builders):
+        super().__init__()
+        self._builders = builders
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = conform(self._builders[name](), ERP[name])
+        return self[name]
+
+
+def _serials(spark: SparkSession, directory: str) -> DataFrame:
+    returned = table(spark, directory, "lineitem").filter("l_returnflag = 'R'")
+    return returned.select(_lot().alias("Id"), "l_partkey").distinct().select(
         "Id", sku_of(F.col("l_partkey")).alias("Artikelnummer"),
-        F.when(F.col("Id") % 9 == 0, "O").otherwise("S").alias("SCTyp"))
-    stock = returned.select(
-        _lot().alias("IdSerie"),
-        F.when(F.col("l_linenumber") == 2, F.col("l_quantity")).otherwise(0).alias("Bestand"),
-        F.when(F.col("l_linenumber") == 5, F.lit(0)).otherwise(F.col("l_extendedprice")).alias("Wert"),
-        F.col("l_shipdate").alias("AngelegtAm"))
-    channel = F.lit(None).cast("int")
-    for segment, nr in CHANNELS.items():
-        channel = F.when(F.col("c_mktsegment") == segment, nr).otherwise(channel)
-    channels = table(spark, directory, "customer").select("c_mktsegment").distinct().select(
-        channel.alias("Nr"), F.initcap("c_mktsegment").alias("Name"))
-    headers = _sales_headers(spark, directory, customers).unionByName(
+        F.expr("if(Id % 9 = 0, 'O', 'S')").alias("SCTyp"))
+
+
+def _stock(spark: SparkSession, directory: str) -> DataFrame:
+    return table(spark, directory, "lineitem").filter("l_returnflag = 'R'").select(
+        _lot().alias("IdSerie"), F.expr("if(l_linenumber = 2, l_quantity, 0)").alias("Bestand"),
+        F.expr("if(l_linenumber = 5, 0, l_extendedprice)").alias("Wert"), F.col("l_shipdate").alias("AngelegtAm"))
+
+
+def _channels(spark: SparkSession, directory: str) -> DataFrame:
+    return table(spark, directory, "customer").select("c_mktsegment").distinct().selectExpr(
+        f"{_CHANNEL} AS Nr", "initcap(c_mktsegment) AS Name")
+
+
+def _headers(spark: SparkSession, directory: str, customers: bool) -> DataFrame:
+    return _sales_headers(spark, directory, customers).unionByName(
         _chain_headers(spark, directory), allowMissingColumns=True).unionByName(
         _purchase_headers(spark, directory), allowMissingColumns=True)
-    raw = {"art": articles(spark, directory), "beleg": headers,
-           "belegp": document_lines(spark, directory), "serie": serial, "lagerp": stock,
-           "mitarbw": channels}
-    return {name: conform(df, ERP[name]) for name, df in raw.items()}
+
+
+def demo_erp(spark: SparkSession, directory: str, customers: bool = True) -> dict[str, DataFrame]:
+    """The six ERP relations. Without ``customers`` the header columns that come from the
+    customer table are NULL and that table is not read."""
+    return _Tables({
+        "art": lambda: articles(spark, directory), "beleg": lambda: _headers(spark, directory, customers),
+        "belegp": lambda: document_lines(spark, directory), "serie": lambda: _serials(spark, directory),
+        "lagerp": lambda: _stock(spark, directory), "mitarbw": lambda: _channels(spark, directory)})
 
 
 # ---- support ---------------------------------------------------------------------------------

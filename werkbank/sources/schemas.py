@@ -1,6 +1,6 @@
 """Column contracts of the ERP relations and the support tables."""
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 MONEY = T.DecimalType(18, 2)
 QUANTITY = T.DecimalType(18, 4)
@@ -54,7 +54,6 @@ FORECAST = _schema(run_id=_S, run_date=T.DateType(), created_at=_WALL, weeks=_I,
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Select and cast the columns of ``schema``; a missing column becomes NULL."""
     present = set(df.columns)
-    return df.select([
-        (F.col(f"`{field.name}`") if field.name in present else F.lit(None))
-        .cast(field.dataType).alias(field.name)
-        for field in schema.fields])
+    return df.selectExpr(*[
+        f"CAST({f'`{field.name}`' if field.name in present else 'NULL'} AS {field.dataType.simpleString()}) "
+        f"AS `{field.name}`" for field in schema.fields])

@@ -43,12 +43,13 @@ def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], within: str,
 
 
 def with_pieces(rows: DataFrame, keys: list[str], cut: str, hot_rows: int = HOT_ROWS,
-                pieces: int = PIECES) -> DataFrame:
+                pieces: int = PIECES, sizes_from: DataFrame | None = None) -> DataFrame:
     """Add ``_hot`` and ``_piece``: 0 for ordinary keys, the slice of the range of the integer
     column ``cut`` for hot ones. The cut depends on the data alone, so that a recomputed task
     gives the same pieces."""
     step = F.expr(f"(_hi div {pieces}) - (_lo div {pieces}) + 1")
-    hot = _hot_keys(rows, keys, hot_rows, F.min(cut).alias("_lo"), F.max(cut).alias("_hi"))
+    counted = rows if sizes_from is None else sizes_from
+    hot = _hot_keys(counted, keys, hot_rows, F.min(cut).alias("_lo"), F.max(cut).alias("_hi"))
     hot = F.broadcast(hot.select(*keys, "_lo", step.alias("_step")))
     piece = F.expr(f"coalesce((`{cut}` - _lo) div _step, 0)")
     return (rows.join(hot, keys, "left").withColumn("_piece", piece)
@@ -56,15 +57,17 @@ def with_pieces(rows: DataFrame, keys: list[str], cut: str, hot_rows: int = HOT_
 
 
 def running_last(rows: DataFrame, keys: list[str], cut: str, mark: Column, order: list[str] | None = None,
-                 before: bool = False, hot_rows: int = HOT_ROWS, pieces: int = PIECES) -> DataFrame:
+                 before: bool = False, hot_rows: int = HOT_ROWS, pieces: int = PIECES,
+                 sizes_from: DataFrame | None = None) -> DataFrame:
     """Add ``position`` (1-based within the key) and ``last_mark``, the latest non-NULL
     ``mark`` at the row or earlier (``before``: strictly earlier).
 
     Rows run in the order of the integer column ``cut``, then ``order``. The window runs per
     piece; what crosses a piece border comes from a table with one row per piece of the hot
-    keys.
+    keys. ``sizes_from`` names a cheaper table with the same range of ``cut`` and at least as
+    many rows of each key.
     """
-    cut_rows = with_pieces(rows.withColumn("_mark", mark), keys, cut, hot_rows, pieces)
+    cut_rows = with_pieces(rows.withColumn("_mark", mark), keys, cut, hot_rows, pieces, sizes_from)
     sequence = [cut, *(order or [])]
     within = Window.partitionBy(*keys, "_piece").orderBy(*sequence)
     end = -1 if before else Window.currentRow

@@ -252,12 +252,16 @@ ORACLE["incoming_deliveries"] = f"""SELECT *, (SELECT count(*) > 500 FROM ({_CPU
 ORDER BY delivery_date DESC, delivery_number, component_sku, quantity, price_overall LIMIT 500"""
 
 _basket_views = V.with_views(V.BELEG, V.SALES_LINES)
-_matching = f"""SELECT l.Belegnummer AS order_number FROM sales_lines l JOIN beleg b
+def _matching(skus):
+    listed = ", ".join(f"'{s}'" for s in skus)
+    return f"""SELECT l.Belegnummer AS order_number FROM sales_lines l JOIN beleg b
   ON b.Belegnummer = l.Belegnummer AND b.Belegtyp = l.Belegtyp
-WHERE {V.SALES} AND b.Belegtyp = 'R' AND lower(Artikelnummer) IN ('me000000000002')
-GROUP BY 1 HAVING count(DISTINCT lower(Artikelnummer)) = 1"""
-ORACLE["co_purchase"] = _basket_views + _matching
-ORACLE["co_purchase_summary"] = f"""{_basket_views}, found AS ({_matching})
+WHERE {V.SALES} AND b.Belegtyp = 'R' AND lower(Artikelnummer) IN ({listed})
+GROUP BY 1 HAVING count(DISTINCT lower(Artikelnummer)) = {len(skus)}"""
+
+
+ORACLE["co_purchase"] = _basket_views + _matching(["cp000000000132", "hd000000001791"])
+ORACLE["co_purchase_summary"] = f"""{_basket_views}, found AS ({_matching(["me000000000002"])})
 SELECT (SELECT count(*) FROM found) AS matching_order_count,
   (SELECT count(*) FROM found) > count(*) AS order_numbers_truncated,
   coalesce(string_agg(order_number, ',' ORDER BY order_number), '') AS sample_order_numbers

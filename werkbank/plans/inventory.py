@@ -17,14 +17,13 @@ from werkbank.operators.keyed import missing_ids
 
 
 def open_purchases(erp: dict[str, DataFrame]) -> DataFrame:
-    """Units on purchase documents that are still open, per article. Lines are summed per
-    document and article first; number and type together identify a document."""
-    documents = (erp["beleg"].filter((F.col("Belegtyp") == "B") & (F.col("UebernahmeOffen") < 0))
-                 .select("Belegnummer").distinct())
-    lines = (erp["belegp"].filter(F.col("Belegtyp") == "B").groupBy("Belegnummer", "Artikelnummer")
-             .agg(F.sum("Menge").alias("_ordered")))
-    return (lines.join(documents, "Belegnummer", "left_semi").groupBy("Artikelnummer")
-            .agg(F.coalesce(F.sum("_ordered"), F.lit(0)).alias("ordered_amount")))
+    """Units on purchase documents that are still open, per article; number and type together
+    identify a document. Both join sides are plain shuffles, so the adaptive planner can split
+    a document of very many lines."""
+    documents = erp["beleg"].filter((F.col("Belegtyp") == "B") & (F.col("UebernahmeOffen") < 0))
+    lines = erp["belegp"].filter(F.col("Belegtyp") == "B").select("Belegnummer", "Artikelnummer", "Menge")
+    return (lines.join(documents.select("Belegnummer"), "Belegnummer", "left_semi").groupBy("Artikelnummer")
+            .agg(F.coalesce(F.sum("Menge"), F.lit(0)).alias("ordered_amount")))
 
 
 def _lots(lagerp: DataFrame) -> DataFrame:

@@ -16,7 +16,8 @@ def incident_states(checks: DataFrame, hot_rows: int = HOT_ROWS, pieces: int = P
     runs = checks.groupBy("service", "run_id").agg(
         (~F.bool_and("healthy")).alias("failing"), F.bool_and("mail_accepted").alias("_accepted"))
     outcome = F.when(F.col("_accepted"), F.col("failing"))
-    told = running_last(runs, ["service"], "run_id", outcome, before=True, hot_rows=hot_rows, pieces=pieces)
+    told = running_last(runs, ["service"], "run_id", outcome, before=True, hot_rows=hot_rows, pieces=pieces,
+                        sizes_from=checks)
     notified = F.coalesce("last_mark", F.lit(False))
     return told.select("service", "run_id", "failing", notified.alias("notified_before"),
                        F.when(F.col("failing"), "problem").when(notified, "recovered").alias("alert"))

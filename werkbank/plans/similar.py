@@ -6,8 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from werkbank.operators.ordered import spread_join
-
 TOP_K = 5
 BROADCAST_QUERIES = 2048
 CHUNKS_PER_CELL = 50_000
@@ -99,7 +97,6 @@ def _grid(asked: DataFrame, stored: DataFrame, k: int, per_cell: int, per_block:
 
 
 def precedent_payload(found: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Problem and resolution text of the found precedents. Texts are joined last, for the
-    hits alone; a chunk that very many queries found is dealt over pieces."""
-    texts = chunks.select("chunk_id", "problem_text", "linked_resolution")
-    return spread_join(found, texts, ["chunk_id"], "query_id")
+    """Problem and resolution text of the found precedents, joined last and for the hits
+    alone."""
+    return found.join(chunks.select("chunk_id", "problem_text", "linked_resolution"), "chunk_id")

@@ -243,7 +243,7 @@ def incoming_deliveries(spark, sf_dir):
 
 @query
 def co_purchase(spark, sf_dir):
-    return purchasing.co_purchase(_erp(spark, sf_dir), [" ME000000000002 ", "me000000000002"])
+    return purchasing.co_purchase(_erp(spark, sf_dir), [" CP000000000132 ", "hd000000001791", "CP000000000132"])
 
 
 @query

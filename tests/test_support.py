@@ -1,0 +1,161 @@
+import json
+from datetime import date
+from hashlib import sha256
+
+import pytest
+from helpers import table, values
+from pyspark.sql import functions as F
+
+from werkbank.functions.text import draft_text, html_text
+from werkbank.operators.keyed import dedupe_keep_first, missing_ids, upsert_latest
+from werkbank.plans import support as S
+from werkbank.sources.schemas import GENERATION_LOGS, MESSAGES
+from werkbank.sources.support import ingest_tickets, normalise_messages
+
+
+def test_ticket_pages(spark, tmp_path):
+    one, two = {"id": 7, "messages_ids": [1, "2"]}, {"id": "8"}
+    for name, body in (("a", {"data": [one, 3, "x", None, [one]]}), ("b", {"data": {"data": [two]}}), ("c", {"data": two}),
+                       ("d", {"data": {"data": one}}), ("e", {"other": 1}), ("f", {"data": []})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(body, indent=1))
+    tickets = ingest_tickets(spark, str(tmp_path))
+    assert values(tickets, "ticket_id", "message_ids", sort=True) == [("7", ["1", "2"]), ("8", []), ("8", [])]
+    places = S.explode_positions(tickets.distinct())
+    assert values(places, "ticket_id", "position", "message_id", sort=True) == [
+        ("7", 0, "1"), ("7", 1, "2"), ("8", None, None)]
+
+
+def test_messages_and_conversation(spark):
+    raw = spark.createDataFrame([("1", "T", "Incoming", "Hello"), ("2", "T", "Internal", "note"), ("3", "T", "Outgoing", None),
+                                 ("4", "U", "Incoming", "x"), ("9", "V", None, "y")],
+                                "message_id string, ticket_id string, direction string, body string")
+    messages = normalise_messages(raw)
+    assert values(messages, "message_id", "role", "body", "visible", sort=True) == [
+        ("1", "Customer", "Hello", True), ("2", "", "", False), ("3", "Support", "", True), ("4", "Customer", "x", True),
+        ("9", "", "", False)]
+    places = spark.createDataFrame([("T", 0, "3"), ("T", 1, "2"), ("T", 2, "1"), ("U", 0, "4"), ("U", 1, "5"), ("W", 0, "1")],
+                                   "ticket_id string, position int, message_id string")
+    for hot in (1, 10 ** 6):
+        got = S.ticket_conversation(places, messages, hot, 4)
+        assert values(got, "ticket_id", "position", "text", "complete", sort=True) == [
+            ("T", 0, "", True), ("T", 2, "Hello", True), ("U", None, None, False), ("W", None, None, False)]
+    assert values(missing_ids(places.select("message_id"), messages, "message_id"), "message_id") == ["5"]
+
+
+def test_upsert(spark):
+    base = table(spark, MESSAGES, [dict(message_id="1", body="a", position=0, cached_at="2026-01-01 00:00:00"),
+                                   dict(message_id="2", body="b", position=1, cached_at="2026-01-03 00:00:00")])
+    new = table(spark, MESSAGES, [dict(message_id="1", body="c", position=0, cached_at="2026-01-01 00:00:00"),
+                                  dict(message_id="2", body="old", position=1, cached_at="2026-01-02 00:00:00"),
+                                  dict(message_id="3", body="d", position=2, cached_at="2026-01-02 00:00:00"),
+                                  dict(message_id="3", body="e", position=2, cached_at="2026-01-04 00:00:00")])
+    got = upsert_latest(base, new, ["message_id"], ["cached_at"])
+    assert values(got, "message_id", "body", sort=True) == [("1", "c"), ("2", "b"), ("3", "e")]
+    assert got.columns == base.columns
+
+
+def test_contexts(spark):
+    turns = spark.createDataFrame([("c", i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(10)]
+                                  + [("d", 0, "assistant", "only"), ("e", 0, "user", "x"), ("e", 1, "user", "")],
+                                  "conv_id string, turn int, role string, text string")
+    for hot in (1, 10 ** 6):
+        parts = S.conversation_context(turns, 8, hot, 3).filter("conv_id = 'c'")
+        assert values(parts.filter("part = 'older'"), "line", sort=True) == ["assistant: t1", "user: t0"]
+        assert parts.filter("part = 'recent'").count() == 8
+    assert dict(values(S.retrieval_context(turns), "conv_id", "context")) == {"c": "t8", "d": "", "e": "x "}
+    assert dict(values(S.draft_query(turns), "conv_id", "query")) == {"c": "t4\n\nt6\n\nt8", "d": "only", "e": "x"}
+
+
+def test_sync_status(spark):
+    places = spark.createDataFrame([("T", 0, "1"), ("T", 1, "2"), ("U", 0, "3"), ("E", None, None)],
+                                   "ticket_id string, position int, message_id string")
+    cached = spark.createDataFrame([("T", "1"), ("U", "3")], "ticket_id string, message_id string")
+    tickets = spark.createDataFrame([("T", "1"), ("U", "3"), ("E", None)], "ticket_id string, last_message_id string")
+    drafts = spark.createDataFrame([("U", "3", "v2"), ("T", "2", "v1")],
+                                   "ticket_id string, based_on_message_id string, prompt_version string")
+    status = S.ticket_sync_status(places, tickets, cached, drafts, "v2")
+    assert values(status, "ticket_id", "is_current", "messages_to_fetch", "draft_missing", sort=True) == [
+        ("E", False, 0, False), ("T", False, 1, True), ("U", True, 0, False)]
+    assert values(S.sync_summary(status), "tickets", "was_current", "messages_to_fetch", "drafts_to_generate",
+                  "incomplete_tickets") == [(3, 1, 1, 1, 1)]
+    assert values(S.sync_summary(status.limit(0)), "tickets", "messages_to_fetch") == [(0, 0)]
+
+
+def event(i, kind, text, revision="m1", ticket="1", at="2026-01-01", **more):
+    return {**dict(id=i, ticket_id=ticket, based_on_message_id=revision, event_type=kind, response_text=text,
+                   created_at=f"{at} 00:00:{i:02d}", prompt_version="v2"), **more}
+
+
+def logs(spark, *events):
+    plain = table(spark, GENERATION_LOGS, [{k: v for k, v in e.items() if k != "sources"} for e in events])
+    listed = spark.createDataFrame([(e["id"], e.get("sources", [])) for e in events], "id long, s array<string>")
+    return plain.join(listed, "id").withColumn("sources", F.col("s")).drop("s").select(GENERATION_LOGS.names)
+
+
+def test_generation_log(spark):
+    none = logs(spark, event(0, "first_draft", "x")).limit(0)
+    batch = logs(spark, event(1, "first_draft", "Original"), event(2, "reprompt", "Short"), event(3, "reprompt", "Formal"),
+                 event(4, "first_draft", "Second"), event(5, "reprompt", "Lost", "m9"), event(6, "odd", "?"))
+    stored = S.append_generation_log(none, batch)
+    assert values(stored, "id", "response_text", "first_draft_id", sort=True) == [
+        (1, "Original", None), (2, "Short", 1), (3, "Formal", 1), (5, "Lost", None)]
+    assert values(S.rejected_events(batch), "id") == [6]
+    more = S.append_generation_log(stored, logs(spark, event(7, "first_draft", "Late"), event(8, "reprompt", "Again"),
+                                                event(9, "first_draft", "New", "m9"), event(10, "reprompt", "Now", "m9")))
+    assert values(more, "id", "first_draft_id", sort=True) == [(10, 9), (8, 1), (9, None)]
+    assert values(S.recent_logs(stored, "1"), "id") == [1, 2, 3, 5] and values(S.recent_logs(stored), "id") == [5, 3, 2, 1]
+    assert values(S.first_draft(stored), "ticket_id", "response_text") == [("1", "Original")]
+    assert values(S.reprompt_totals(stored), "reprompts", "tickets") == [(3, 1)]
+
+
+def test_rebuild_and_search(spark):
+    old = logs(spark, event(30, "reprompt", "R", instructions="Make it SHORT"), event(20, "first_draft", "F"),
+               event(40, "reprompt", "Q", "m2", at="2026-01-05", input_response_text="100% ok"))
+    legacy = old.drop("id", "first_draft_id", "prompt_version", "messages_json")
+    rebuilt = S.rebuild_logs(legacy, GENERATION_LOGS)
+    assert rebuilt.columns == GENERATION_LOGS.names
+    assert values(rebuilt, "id", "response_text", "first_draft_id", "prompt_version", sort=True) == [
+        (1, "F", None, ""), (2, "R", 1, ""), (3, "Q", None, "")]
+    assert values(S.search_reprompts(old, search="short"), "id") == [30]
+    assert values(S.search_reprompts(old, search="0%"), "id") == [40] and S.search_reprompts(old, search="1%").count() == 0
+    assert values(S.search_reprompts(old, date_from=date(2026, 1, 5), date_to=date(2026, 1, 5)), "id") == [40]
+    assert values(S.search_reprompts(old, ticket_id="2"), "id") == []
+    assert values(S.reprompt_history(old, 1, 1), "id", "row_count", "page_count") == [(40, 2, 2)]
+    assert values(S.read_reprompts(old), "id") == [40, 30]
+
+
+def test_drafts(spark):
+    drafts = spark.createDataFrame([
+        ("1", "m1", '{"reply": "R\\n1", "sources": []}', "v2"), ("2", "m1", '{"reply":"R2"}', "v2"),
+        ("3", "m1", '"bare \\"text\\""', "v2"), ("4", "m1", '{"reply":"old"}', "v1"),
+        ("5", "m1", '{"sources":["Z"]}', "v2"), ("6", "m1", '{"reply":null,"sources":null}', "v2")],
+        "ticket_id string, based_on_message_id string, response_json string, prompt_version string")
+    log = logs(spark, *[event(i, "first_draft", "x", ticket=str(i), sources=["A", "B"]) for i in (1, 2, 6)],
+               event(7, "reprompt", "x", ticket="3", sources=["C"]))
+    assert values(S.current_drafts(drafts, log, "v2"), "ticket_id", "reply", "sources", sort=True) == [
+        ("1", "R\n1", []), ("2", "R2", ["A", "B"]), ("3", 'bare "text"', []), ("5", "", ["Z"]), ("6", "", [])]
+    merged = spark.createDataFrame([("9", ["5", "9", "5"], ["", "4", "5", None])], "id string, r array<string>, s array<string>")
+    assert values(S.merge_sources(merged, "r", "s", "id"), "sources") == [["5", "4"]]
+    seen = spark.createDataFrame([("b", 3), ("a", 2), ("b", 1)], "v string, p int")
+    assert values(dedupe_keep_first(seen, "v", "p").orderBy("p"), "v") == ["b", "a"]
+
+
+def test_translations(spark):
+    settings = {"instructions": "Tü", "model": "m", "think": False, "options": {"temperature": 0}}
+    texts = ["Grüße \"you\"\\n\n\t", "tab\x0b \x1f end", "\U0001F600 / </b>", "", " \n\t", "twice", "twice"]
+    key = lambda t: sha256(json.dumps({**settings, "text": t}, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
+    messages = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "message_id string, body string")
+    cache = spark.createDataFrame([(key("twice"), "deux")], "cache_key string, translated_text string")
+    backlog = S.translation_backlog(messages, cache, settings)
+    assert values(backlog, "cache_key", "text", "messages", "cached", sort=True) == sorted(
+        [(key(t), t, texts.count(t), t == "twice") for t in {*texts} - {"", " \n\t"}], key=repr)
+    done = dict(values(S.translated_messages(messages, cache, settings), "message_id", "translated"))
+    assert (done["3"], done["4"], done["5"], done["0"]) == ("", " \n\t", "deux", None)
+
+
+def test_html(spark):
+    page = ("<!DOCTYPE html><html><style>a>b{}</style><SCRIPT type='x'>if (a<b) '</p>'</SCRIPT ><p> One <b>two</b><br/>"
+            "<!-- no <i>text</i> -->three &amp;lt; &lt;4&gt;&nbsp;</p>\n  \n<p>last\nline</p>")
+    row = spark.createDataFrame([(page, "a&amp;amp;b<br />&quot;c&quot;")], "h string, d string")
+    assert values(row.select(html_text(F.col("h")).alias("t")), "t") == ["One\ntwo\nthree &lt; <4>\nlast\nline"]
+    assert values(row.select(draft_text(F.col("d")).alias("t")), "t") == ['a&amp;b\n"c"']

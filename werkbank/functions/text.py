@@ -49,7 +49,7 @@ def sku_group(column: Column) -> Column:
 # HTML entity -> character; ``&amp;`` comes last so that nothing is decoded twice.
 ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
+    ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
     ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&euro;", "€"),
     ("&laquo;", "«"), ("&raquo;", "»"), ("&amp;", "&"),
 )
@@ -68,7 +68,7 @@ def html_text(column: Column) -> Column:
     """The text runs of an HTML document, one per line, trimmed, blanks dropped, decoded."""
     runs = F.split(F.regexp_replace(column, _NOT_TEXT, _BREAK), _BREAK)
     clean = F.transform(runs, lambda r: F.regexp_replace(
-        unescape(r), r"^[\s ]+|[\s ]+$", ""))
+        unescape(r), r"^[\s\u00a0]+|[\s\u00a0]+$", ""))
     return F.array_join(F.filter(clean, lambda r: r != ""), "\n")
 
 

@@ -47,17 +47,21 @@ def test_counts_by_monday_week(spark, tmp_path):
     assert got == [("2024-01-01", 3), ("2024-01-08", 3), ("2024-01-15", 1)]
 
 
-def test_sessions_close_after_the_gap(spark, tmp_path):
-    rows = [(1, START), (1, START + timedelta(minutes=20)), (2, START + timedelta(minutes=5)),
-            (1, START + timedelta(minutes=90)), (3, START + timedelta(hours=5))]
-    source = feed(spark, str(tmp_path), rows, "user_id long, ts timestamp", 2)
+def test_sessions_with_late_events(spark, tmp_path):
+    minutes = [(1, 0), (1, 55), (2, 5), (1, 90), (3, 300), (1, 30), (1, 125), (1, 31), (2, 36)]
+    rows = [(i, START + timedelta(minutes=m), u, "view", 1.0) for i, (u, m) in enumerate(minutes)]
+    source = feed(spark, str(tmp_path), rows, "event_id long, ts timestamp, user_id long, event_type string, value double", 2)
     path = run(jobs.stream_sessions, str(tmp_path), source)
-    assert values(spark.read.parquet(path), "user_id", "events", sort=True) == [(1, 1), (1, 2), (2, 1)]
+    assert values(jobs.read_sessions(spark, path), "user_id", "events", sort=True) == [
+        (1, 1), (1, 1), (1, 4), (2, 1), (2, 1), (3, 1)]
 
 
 def test_incidents_keep_state_between_triggers(spark, tmp_path):
     runs = [(True, False), (True, True), (False, False), (False, True), (False, True), (True, True), (False, True)]
-    schema = "service long, run_id long, failing boolean, accepted boolean"
-    source = feed(spark, str(tmp_path), [(7, i, f, a) for i, (f, a) in enumerate(runs)], schema, 2)
-    got = spark.read.parquet(run(jobs.stream_incidents, str(tmp_path), source)).orderBy("run_id")
-    assert values(got, "alert") == expected_alerts(runs)
+    schema = "service long, run_id long, healthy boolean, mail_accepted boolean"
+    rows = [(7, i, not f, a) for i, (f, a) in enumerate(runs)]
+    rows[2], rows[3] = rows[3], rows[2]  # out of order within a trigger
+    source = feed(spark, str(tmp_path), rows + [(8, 0, True, True)], schema, 2)
+    got = spark.read.parquet(run(jobs.stream_incidents, str(tmp_path), source) + "/alerts").orderBy("run_id")
+    assert values(got.filter("service = 7"), "alert") == expected_alerts(runs)
+    assert values(got.filter("service = 8"), "alert") == [None]

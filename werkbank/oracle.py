@@ -556,13 +556,15 @@ ORACLE["traffic_records"] = f"""WITH {_CHOSEN}
 SELECT '{{"date":"' || strftime(ts, '%Y-%m-%d') || '","activeUsers":' || CAST(count(DISTINCT user_id) AS VARCHAR)
   || ',"screenPageViews":' || CAST(count(*) FILTER (event_type = 'view') AS VARCHAR) || '}}' AS record
 FROM chosen GROUP BY strftime(ts, '%Y-%m-%d')"""
-_INCIDENTS = """WITH told AS (SELECT user_id AS service, event_id AS run_id, event_type = 'error' AS failing,
+ORACLE["incident_states"] = """WITH told AS (SELECT user_id AS service, event_id AS run_id, event_type,
+  event_type = 'error' AS failing,
   coalesce(last_value(CASE WHEN event_type <> 'signup' THEN event_type = 'error' END IGNORE NULLS) OVER
     (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS notified_before
   FROM events)
-SELECT service, run_id, failing, COLUMN CASE WHEN failing THEN 'problem' WHEN notified_before THEN 'recovered' END AS alert
+SELECT service, run_id, failing, notified_before,
+  CASE WHEN failing THEN 'problem' WHEN notified_before THEN 'recovered' END AS alert,
+  CASE WHEN event_type = 'signup' THEN notified_before ELSE failing END AS notified
 FROM told"""
-ORACLE["incident_states"] = _INCIDENTS.replace("COLUMN", "notified_before,")
 
 # ---- streams: the batch results ------------------------------------------------------------------------------
 
@@ -570,7 +572,5 @@ ORACLE["stream_messages"] = ORACLE["normalise_messages"]
 ORACLE["stream_counts_day"] = "SELECT strftime(ts, '%Y-%m-%d') AS period, count(*) AS n FROM events GROUP BY 1"
 ORACLE["stream_counts_week"] = """SELECT strftime(date_trunc('week', o_orderdate), '%Y-%m-%d') AS period, count(*) AS n
 FROM orders GROUP BY 1"""
-ORACLE["stream_sessions"] = f"""WITH {_sessions('events')}
-SELECT user_id, {_stamp('started')} AS started, events FROM sess
-WHERE ended + INTERVAL 30 MINUTE <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 10 MINUTE"""
-ORACLE["stream_incidents"] = _INCIDENTS.replace("COLUMN", "")
+ORACLE["stream_sessions"] = ORACLE["website_sessions"]
+ORACLE["stream_incidents"] = ORACLE["incident_states"]

@@ -15,27 +15,37 @@ GAP_SECONDS = 30 * 60
 ENGAGED_SECONDS = 10
 
 
-def sessions(events: DataFrame) -> DataFrame:
-    """Sessions per user: events at most 30 minutes apart.
-
-    Events of a user within one aligned half hour always belong together, so they are reduced
-    to one row per user and half hour on the map side. Only those rows are ordered per user,
-    and a user has at most 48 of them per day however many events there are.
-    """
-    slot = F.floor(F.unix_micros("ts") / (GAP_SECONDS * 1_000_000))
+def _slot_aggregates() -> list:
     once = lambda kind: F.sum((F.col("event_type") == kind).cast("bigint"))
-    slots = events.groupBy("user_id", slot.alias("_slot")).agg(
-        F.min("ts").alias("_from"), F.max("ts").alias("_to"), F.count("*").alias("_events"),
-        once("view").alias("_views"), once("purchase").alias("_purchases"),
-        F.min_by("event_type", F.struct("ts", "event_id")).alias("_type"))
-    order = Window.partitionBy("user_id").orderBy("_slot")
-    gap = F.unix_micros("_from") - F.unix_micros(F.lag("_to").over(order))
+    return [F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.count("*").alias("events"),
+            once("view").alias("views"), once("purchase").alias("purchases"),
+            F.min_by("event_type", F.struct("ts", "event_id")).alias("event_type")]
+
+
+def half_hours(events: DataFrame) -> DataFrame:
+    """Events of each user per aligned half hour, batch or stream. A user has at most 48 such
+    rows per day however many events there are, and they are summed on the map side."""
+    slot = F.window("ts", f"{GAP_SECONDS} seconds")
+    return events.groupBy("user_id", slot.alias("_w")).agg(*_slot_aggregates()).withColumn(
+        "slot", F.unix_seconds("_w.start")).drop("_w")
+
+
+def join_half_hours(slots: DataFrame) -> DataFrame:
+    """Sessions from half hours. Events within one half hour always belong together, so only
+    the gaps between half hours matter."""
+    order = Window.partitionBy("user_id").orderBy("slot")
+    gap = F.unix_micros("first_at") - F.unix_micros(F.lag("last_at").over(order))
     opens = F.coalesce((gap > GAP_SECONDS * 1_000_000).cast("int"), F.lit(1))
     numbered = slots.withColumn("_opens", opens).withColumn("session", F.sum("_opens").over(order))
     return numbered.groupBy("user_id", "session").agg(
-        F.min("_from").alias("started"), F.max("_to").alias("ended"), F.sum("_events").alias("events"),
-        F.sum("_views").alias("views"), F.sum("_purchases").alias("purchases"),
-        F.min_by("_type", "_slot").alias("event_type"))
+        F.min("first_at").alias("started"), F.max("last_at").alias("ended"), F.sum("events").alias("events"),
+        F.sum("views").alias("views"), F.sum("purchases").alias("purchases"),
+        F.min_by("event_type", "slot").alias("event_type"))
+
+
+def sessions(events: DataFrame) -> DataFrame:
+    """Sessions per user: events at most 30 minutes apart."""
+    return join_half_hours(half_hours(events))
 
 
 def engaged():

@@ -384,10 +384,10 @@ def precedents(spark: SparkSession, directory: str) -> DataFrame:
         F.col("embedding").alias("vector"))
 
 
-def health_checks(spark: SparkSession, directory: str) -> DataFrame:
+def health_checks(events: DataFrame) -> DataFrame:
     """Checks of a service (the user id) from its events: an error is a failed check, and the
     alert mail of a sign-up event is not accepted."""
-    return table(spark, directory, "events").select(
+    return events.select(
         F.col("user_id").alias("service"), F.col("event_id").alias("run_id"),
         (F.col("event_type") != "error").alias("healthy"), (F.col("event_type") != "signup").alias("mail_accepted"))
 

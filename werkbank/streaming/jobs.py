@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import datetime
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from werkbank.plans.inventory import forecast_components, save_forecast
+from werkbank.plans.monitoring import incident_snapshot, incident_states
+from werkbank.plans.traffic import half_hours, join_half_hours
 from werkbank.sources.support import normalise_messages
-from werkbank.streaming.sinks import write_updates
+from werkbank.streaming.sinks import read_latest, write_updates
 
 _WINDOWS = {"day": ("1 day", None), "week": ("7 days", "4 days")}  # the epoch was a Thursday
 
@@ -35,48 +34,38 @@ def stream_counts(source: DataFrame, path: str, checkpoint: str, at: str = "ts",
     return write_updates(counted, path, checkpoint, "update")
 
 
-def stream_sessions(source: DataFrame, path: str, checkpoint: str, gap: str = "30 minutes",
-                    delay: str = "10 minutes") -> StreamingQuery:
-    """Sessions per user, written once they can no longer grow. Sessions are merged in each
-    task before the shuffle, so a very active user sends sessions, not events."""
-    spark = source.sparkSession
-    setting = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "true")
-    try:
-        closed = (source.withWatermark("ts", delay)
-                  .groupBy("user_id", F.session_window("ts", gap).alias("w"))
-                  .agg(F.count("*").alias("events"))
-                  .select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("closes"), "events"))
-        return write_updates(closed, path, checkpoint)
-    finally:
-        spark.conf.set(setting, before)
-
-
-_ALERTS = T.StructType([T.StructField("service", T.LongType()), T.StructField("run_id", T.LongType()),
-                        T.StructField("failing", T.BooleanType()), T.StructField("alert", T.StringType())])
-_NOTIFIED = T.StructType([T.StructField("notified", T.BooleanType())])
-
-
-def _alerts(key: tuple, runs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Alerts of one service; runs arrive in order, as every run is its own trigger's input."""
-    notified = state.get[0] if state.exists else False
-    for part in runs:
-        alerts = []
-        for run in part.sort_values("run_id").itertuples():
-            alert = "problem" if run.failing else "recovered" if notified else None
-            if alert and run.accepted:
-                notified = bool(run.failing)
-            alerts.append((key[0], run.run_id, run.failing, alert))
-        yield pd.DataFrame(alerts, columns=_ALERTS.names)
-    state.update((notified,))
-
-
-def stream_incidents(runs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Alerts of a stream of runs ``(service, run_id, failing, accepted)``."""
-    alerts = runs.groupBy("service").applyInPandasWithState(
-        _alerts, _ALERTS, _NOTIFIED, "append", GroupStateTimeout.NoTimeout)
-    return write_updates(alerts, path, checkpoint)
+def stream_sessions(source: DataFrame, path: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
+    """Half hours of activity per user, from which ``read_sessions`` joins the sessions. The
+    state is one row per user and half hour, summed per task before the shuffle, so a very
+    active user is as small as any; rows are accepted up to ``delay`` late."""
+    return write_updates(half_hours(source.withWatermark("ts", delay)), path, checkpoint, "update")
+
+
+def read_sessions(spark: SparkSession, path: str) -> DataFrame:
+    return join_half_hours(read_latest(spark, path, ["user_id", "slot"]))
+
+
+_KNOWN = "service bigint, run_id bigint, notified boolean"
+
+
+def stream_incidents(checks: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Alerts of a stream of checks ``(service, run_id, healthy, mail_accepted)`` under
+    ``path/alerts``.
+
+    Each batch continues from the snapshot that the batch before it left under
+    ``path/state``. Both are written per batch, so a repeated batch gives the same rows. Runs
+    are ordered by Spark, not by their arrival.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        prior = (spark.read.schema(_KNOWN).parquet(f"{path}/state/batch_id={batch_id - 1}") if batch_id
+                 else spark.createDataFrame([], _KNOWN))
+        incident_states(batch, prior).write.mode("overwrite").parquet(f"{path}/alerts/batch_id={batch_id}")
+        written = spark.read.parquet(f"{path}/alerts/batch_id={batch_id}")
+        incident_snapshot(written, prior).write.mode("overwrite").parquet(f"{path}/state/batch_id={batch_id}")
+
+    return (checks.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+            .foreachBatch(write).start())
 
 
 def daily_forecast(spark: SparkSession, erp: dict[str, DataFrame], path: str, as_of: datetime,

@@ -151,6 +151,9 @@ ORACLE["component_sales_month"] = _component_sales(
 ORACLE["component_sales_year"] = _component_sales("year", "ArtikelGruppe = 'HD' AND a.Bezeichnung LIKE '%SSD%'")
 ORACLE["component_sales_total"] = _component_sales("total", "ArtikelGruppe = 'TW'")
 
+ORACLE["component_sales_chart"] = f"""SELECT period AS x, sold_amount AS y, sku || ' - ' || name AS series
+FROM ({_component_sales("year", "ArtikelGruppe = 'MB'")})"""
+
 _FORECAST_VIEWS = V.with_views(V.ART, V.SALES_LINES, V.SERIE, V.LAGERP, V.PURCHASE, V.PURCHASE_LINES)
 
 

@@ -59,7 +59,8 @@ def nest_items(items: DataFrame) -> DataFrame:
     placed = items.withColumn("part", F.floor((F.col("position") - 1) / LINES_PER_PART))
     component = F.when(F.col("line_type") == "K", F.struct("position", "sku", "name", "quantity", "price"))
     own = F.when(F.col("line_type") != "K", F.struct("sku", "name", "quantity", "price"))
-    blocks = (placed.withColumn("_block", F.coalesce("parent_line_id", "line_id"))
+    # One shuffle by part serves both groupings.
+    blocks = (placed.withColumn("_block", F.coalesce("parent_line_id", "line_id")).repartition(*doc)
               .groupBy(*doc, "_block").agg(
                   F.min("position").alias("_at"), F.max(own).alias("_own"),
                   F.sort_array(F.collect_list(component)).alias("_parts")))

@@ -58,7 +58,8 @@ def search_inventory(erp: dict[str, DataFrame], as_of: datetime, max_age_days: i
     return (wanted.join(stock, "Artikelnummer").join(ordered, "Artikelnummer", "left")
             .select(F.col("Artikelnummer").alias("sku"), F.col("Bezeichnung").alias("name"),
                     F.col("EANNummer").alias("ean"), F.col("HstArtikelnummer").alias("producer_ean"),
-                    "item_count", "minimum_price", "maximum_price", "average_price", "ordered_amount"))
+                    "item_count", "minimum_price", "maximum_price", "average_price",
+                    F.when(F.col("Bezeichnung").isNotNull(), F.col("ordered_amount")).alias("ordered_amount")))
 
 
 def component_sales(erp: dict[str, DataFrame], date_from, date_to, group_by: str = "month",
@@ -76,6 +77,14 @@ def component_sales(erp: dict[str, DataFrame], date_from, date_to, group_by: str
         F.col("Artikelnummer").alias("sku"), F.col("Bezeichnung").alias("name"), "period", "sold_amount")
 
 
+def component_chart(sales: DataFrame) -> DataFrame:
+    """Points ``(x, y, series)`` of component sales, all of them: the period (or the article
+    where there is none) against units, one series per article."""
+    article = F.concat(F.col("sku"), F.lit(" - "), F.col("name"))
+    return sales.select(F.coalesce(F.col("period").cast("string"), article).alias("x"),
+                        F.col("sold_amount").cast("double").alias("y"), article.alias("series"))
+
+
 def forecast_demand(usage: DataFrame, weeks: int) -> DataFrame:
     """Forecast and quantity to buy from three 28-day bands ``u1, u2, u3`` (newest first),
     ``stock`` and ``incoming``. Articles that need nothing are dropped."""

@@ -11,6 +11,6 @@ def html_to_text(pages: DataFrame, column: str = "html") -> DataFrame:
 
 def text_by_host(pages: DataFrame) -> DataFrame:
     """Pages and characters of text per host. Hosts are summed on the map side."""
-    host = F.parse_url(F.col("url"), F.lit("HOST"))
+    host = F.try_parse_url(F.col("url"), F.lit("HOST"))
     return pages.select(host.alias("host"), F.length(html_text(F.col("html"))).alias("_size")).groupBy("host").agg(
         F.count("*").alias("pages"), F.sum("_size").alias("characters"))

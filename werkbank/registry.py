@@ -187,6 +187,12 @@ QUERIES["component_sales_year"] = _component_sales("year", dict(hdd_type="SSD"))
 QUERIES["component_sales_total"] = _component_sales("total", dict(category="TW"))
 
 
+@query
+def component_sales_chart(spark, sf_dir):
+    sold = inventory.component_sales(_erp(spark, sf_dir, False), "1996-01-01", "2000-12-31", "year", category="MB")
+    return inventory.component_chart(sold)
+
+
 @query
 def forecast_components(spark, sf_dir):
     return inventory.forecast_components(_erp(spark, sf_dir, False), AS_OF, 2)

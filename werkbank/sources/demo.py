@@ -147,7 +147,7 @@ def _chain_headers(spark: SparkSession, directory: str) -> DataFrame:
 
 def _purchase_number() -> Column:
     return _text("B", F.lpad(F.col("l_suppkey").cast("string"), 9, "0"), "-",
-                 F.date_format("l_shipdate", "yyyyMM"))
+                 F.year("l_shipdate") * 100 + F.month("l_shipdate"))
 
 
 def _purchase_headers(spark: SparkSession, directory: str) -> DataFrame:

@@ -52,8 +52,13 @@ FORECAST = _schema(run_id=_S, run_date=T.DateType(), created_at=_WALL, weeks=_I,
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select and cast the columns of ``schema``; a missing column becomes NULL."""
+    """Select and cast the columns of ``schema``; a missing column becomes NULL, and so does a
+    text that is no time where a time is wanted."""
     present = set(df.columns)
-    return df.selectExpr(*[
-        f"CAST({f'`{field.name}`' if field.name in present else 'NULL'} AS {field.dataType.simpleString()}) "
-        f"AS `{field.name}`" for field in schema.fields])
+
+    def cast(field: T.StructField) -> str:
+        kind = "TRY_CAST" if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)) else "CAST"
+        value = f"`{field.name}`" if field.name in present else "NULL"
+        return f"{kind}({value} AS {field.dataType.simpleString()}) AS `{field.name}`"
+
+    return df.selectExpr(*[cast(field) for field in schema.fields])

@@ -32,3 +32,17 @@ def test_no_cross_join(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["year", "month", "revenue", "order_count"]
+
+
+@pytest.mark.parametrize("name", ["conversation_context", "retrieval_context", "draft_query"])
+def test_last_turns_are_cut_before_the_shuffle(spark, name):
+    plan = QUERIES[name](spark, DIRECTORY)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_only_bounded_tables_are_hinted(spark):
+    import pathlib
+
+    uses = [line for path in pathlib.Path(entry.__file__).parent.joinpath("werkbank").rglob("*.py")
+            for line in path.read_text().splitlines() if "F.broadcast(" in line]
+    assert uses and all("hot" in line for line in uses)

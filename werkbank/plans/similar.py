@@ -7,37 +7,41 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 TOP_K = 5
-BROADCAST_QUERIES = 2048
-CHUNKS_PER_CELL = 50_000
-QUERIES_PER_BLOCK = 2048
+BROADCAST_QUERIES = 1024
+CHUNKS_PER_CELL = 20_000
+QUERIES_PER_BLOCK = 1024
 
 _HITS = T.StructType([T.StructField("query_id", T.StringType()), T.StructField("chunk_id", T.LongType()),
                       T.StructField("ticket_id", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
 def _unit(vectors) -> np.ndarray:
-    matrix = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
+    matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
     norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
 def _top(queries: pd.DataFrame, unit: np.ndarray, chunks: pd.DataFrame, k: int) -> pd.DataFrame:
     """At most ``k`` chunks per query among the chunks whose payload fits, by score and id."""
-    out = []
-    if len(queries) and len(chunks):
-        scores = unit @ _unit(chunks["vector"]).T
-        for column in ("product_sku", "status"):
-            asked = queries[column].to_numpy(dtype=object)[:, None]
-            fits = chunks[column].to_numpy(dtype=object)[None, :] == asked
-            scores[~(fits | np.equal(asked, None))] = -np.inf
-        ids = chunks["chunk_id"].to_numpy()
-        for row, query_id in enumerate(queries["query_id"]):
-            best = np.lexsort((ids, -scores[row]))[:k]
-            best = best[np.isfinite(scores[row][best])]
-            out.append(pd.DataFrame({"query_id": query_id, "chunk_id": ids[best],
-                                     "ticket_id": chunks["ticket_id"].to_numpy()[best],
-                                     "score": scores[row][best]}))
-    return pd.concat(out) if out else pd.DataFrame(columns=_HITS.names)
+    if not len(queries) or not len(chunks):
+        return pd.DataFrame(columns=_HITS.names)
+    scores = unit @ _unit(chunks["vector"]).T
+    for column in ("product_sku", "status"):
+        codes, _ = pd.factorize(pd.concat([queries[column], chunks[column]], ignore_index=True))
+        asked, have = codes[:len(queries), None], codes[None, len(queries):]
+        scores[(asked != have) & (asked != -1)] = -np.inf
+    ids = chunks["chunk_id"].to_numpy()
+    if len(ids) > k:
+        border = np.partition(scores, -k, axis=1)[:, -k:].min(axis=1, keepdims=True)
+    else:
+        border = np.full((len(queries), 1), -np.inf)
+    row, column = np.nonzero((scores >= border) & np.isfinite(scores))
+    order = np.lexsort((ids[column], -scores[row, column], row))
+    row, column = row[order], column[order]
+    within = np.arange(len(row)) - np.searchsorted(row, row)
+    row, column = row[within < k], column[within < k]
+    return pd.DataFrame({"query_id": queries["query_id"].to_numpy()[row], "chunk_id": ids[column],
+                         "ticket_id": chunks["ticket_id"].to_numpy()[column], "score": scores[row, column]})
 
 
 def precedents(queries: DataFrame, chunks: DataFrame, k: int = TOP_K,
@@ -53,9 +57,9 @@ def precedents(queries: DataFrame, chunks: DataFrame, k: int = TOP_K,
     and queries in blocks of bounded size, each pair of a cell and a block scored by one
     group, so that no task holds more than one of each. Both are exact.
     """
-    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "product_sku", "status", "vector")
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "product_sku", "status", "vector").filter("vector IS NOT NULL")
     stored = chunks.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "ticket_id", "product_sku",
-                           "status", "vector")
+                           "status", "vector").filter("vector IS NOT NULL")
     head = asked.limit(broadcast_queries + 1).toPandas()
     if len(head) <= broadcast_queries:
         found = _scan(head, stored, k)
@@ -69,7 +73,7 @@ def precedents(queries: DataFrame, chunks: DataFrame, k: int = TOP_K,
 
 def _scan(head: pd.DataFrame, stored: DataFrame, k: int) -> DataFrame:
     unit = _unit(head["vector"]) if len(head) else np.zeros((0, 0))
-    small = head.drop(columns="vector").astype(object).where(head.drop(columns="vector").notna(), None)
+    small = head.drop(columns="vector")
 
     def score(batches):
         for batch in batches:
@@ -88,7 +92,6 @@ def _grid(asked: DataFrame, stored: DataFrame, k: int, per_cell: int, per_block:
         "block", every(blocks))
 
     def score(queries: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
-        queries = queries.astype(object).where(queries.notna(), None)
         unit = _unit(queries["vector"]) if len(queries) else np.zeros((0, 0))
         return _top(queries, unit, chunk, k)
 

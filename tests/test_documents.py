@@ -81,7 +81,7 @@ def chain(spark):
         Belegnummer=number, Belegtyp=kind, LieferBelegNr=before, Status=0, Vorlage="", Adressnummer="K1",
         AngelegtAm="2026-01-01 00:00:00", **more)
     return erp(spark, beleg=[
-        head("L1", "L", "M1"), head("M1", "D", "O1"), head("O1", "A", None),
+        head("L1", "L", "M1"), head("M1", "D", "O1"), head("O1", "A", None), head("O1", "B", "X", Name="late"),
         head("L2", "L", "M2"), head("M2", "D", None), head("L3", "L", ""), {**head("L4", "L", "M1"), "Status": 2},
         {**head("L5", "L", "M1"), "Adressnummer": "K10000"}, {**head("L6", "L", "M1"), "Vorlage": "T"}],
         belegp=[line(1, "O1", "A", "ME001", "A", 4), line(2, "O1", "A", "CP001", "A", 1),

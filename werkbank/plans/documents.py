@@ -102,46 +102,56 @@ def compare_groups(lines: DataFrame) -> DataFrame:
     line_id)`` of the sides ``now`` and ``was``: groups with more units in the original than
     now. The shown article is the first of the group in the current lines, else the first in
     the original."""
+    return _compare(lines.filter("id IS NOT NULL").withColumn("_group", sku_group(F.col("id"))))
+
+
+def _compare(lines: DataFrame) -> DataFrame:
     now, was = F.col("side") == "now", F.col("side") == "was"
     item = F.struct("id", F.coalesce("name", F.lit("")).alias("name"))
     units = lambda side: F.sum(F.when(side, F.col("quantity")))
     first = lambda side: F.min_by(item, F.when(side, F.col("line_id")))
-    grouped = (lines.filter("id IS NOT NULL").groupBy("order_number", sku_group(F.col("id")).alias("_group"))
-               .agg((units(was) - F.coalesce(units(now), F.lit(0))).alias("count"),
-                    F.coalesce(first(now), first(was)).alias("_item")))
+    grouped = lines.groupBy("order_number", "_group").agg(
+        (units(was) - F.coalesce(units(now), F.lit(0))).alias("count"),
+        F.coalesce(first(now), first(was)).alias("_item"))
     return grouped.filter(F.col("count") > 0).select(
         "order_number", F.col("_item.id").alias("id"), F.col("_item.name").alias("name"), "count")
 
 
+def _document_groups(belegp: DataFrame, heads: DataFrame) -> DataFrame:
+    """Units and first article per document and SKU group, of lines of the newest header's
+    type. However many lines a document has, it is a few rows from here on."""
+    item = F.struct(F.col("Artikelnummer").alias("id"), F.col("Bezeichnung").alias("name"),
+                    F.col("BELEGP_ID").alias("line_id"))
+    groups = (belegp.filter("Artikelnummer IS NOT NULL")
+              .groupBy("Belegnummer", "Belegtyp", sku_group(F.col("Artikelnummer")).alias("_group"))
+              .agg(F.sum("Menge").alias("quantity"), F.min_by(item, "BELEGP_ID").alias("_first")))
+    return groups.join(heads.select("Belegnummer", "Belegtyp"), ["Belegnummer", "Belegtyp"]).select(
+        F.rtrim("Belegnummer").alias("_number"), "_group", "quantity", "_first.*")
+
+
 def missing_components(erp: dict[str, DataFrame], numbers: DataFrame | None = None) -> DataFrame:
     """What each open order (or each of ``numbers``, column ``Belegnummer``) lacks against the
     original document two predecessors back.
 
-    The lines are read once: they meet the few documents of the chains, each as the current or
-    the original side of its order, and are summed per order and SKU group. A document with
-    very many lines is split by the adaptive planner (plain shuffles on both join sides, and a
-    sum by other keys after it).
+    Lines are summed per document and SKU group before the chain is followed, so neither a
+    very long document nor one that very many orders come from multiplies lines. The joins
+    along the chain compare numbers without trailing blanks; as these keys are new columns,
+    both sides are plain shuffles and the adaptive planner can split a common predecessor.
     """
-    heads = latest_by(erp["beleg"].select("Belegnummer", "Belegtyp", "LieferBelegNr", "AngelegtAm"),
-                      ["Belegnummer"], ["AngelegtAm", "Belegtyp"]).drop("AngelegtAm")
+    # Supplier purchases may re-use the number of a customer document but belong to no chain.
+    customer = F.col("Belegtyp") != "B"
+    heads = latest_by(erp["beleg"].filter(customer).select("Belegnummer", "Belegtyp", "LieferBelegNr", "AngelegtAm"),
+                      ["Belegnummer"], ["AngelegtAm", "Belegtyp"])
     wanted = open_orders(erp["beleg"]) if numbers is None else numbers.select("Belegnummer").distinct()
-    follow = heads.filter("LieferBelegNr <> ''").select("Belegnummer", "LieferBelegNr")
-    start = (heads.filter("LieferBelegNr <> ''").join(wanted, "Belegnummer", "left_semi")
-             .select(F.col("Belegnummer").alias("order_number"), F.col("Belegtyp").alias("_type"),
-                     F.col("LieferBelegNr").alias("_middle")))
-    chain = (start.join(follow.withColumnRenamed("Belegnummer", "_middle"), "_middle")
-             .select("order_number", "_type", F.col("LieferBelegNr").alias("_number")))
-    chain = chain.join(heads.select(F.col("Belegnummer").alias("_number"),
-                                    F.col("Belegtyp").alias("_was_type")), "_number")
-    sides = chain.select("order_number", F.explode(F.array(
-        F.struct(F.lit("now").alias("side"), F.col("order_number").alias("Belegnummer"),
-                 F.col("_type").alias("Belegtyp")),
-        F.struct(F.lit("was").alias("side"), F.col("_number").alias("Belegnummer"),
-                 F.col("_was_type").alias("Belegtyp")))).alias("_s")).select("order_number", "_s.*")
-    lines = erp["belegp"].select(
-        "Belegnummer", "Belegtyp", F.col("Artikelnummer").alias("id"), F.col("Bezeichnung").alias("name"),
-        F.col("Menge").alias("quantity"), F.col("BELEGP_ID").alias("line_id"))
-    return compare_groups(lines.join(sides, ["Belegnummer", "Belegtyp"]))
+    linked = heads.filter("LieferBelegNr <> ''").select("Belegnummer", F.rtrim("LieferBelegNr").alias("_before"))
+    start = linked.join(wanted, "Belegnummer", "left_semi").select(
+        F.col("Belegnummer").alias("order_number"), F.col("_before").alias("_middle"))
+    middle = linked.select(F.rtrim("Belegnummer").alias("_middle"), "_before")
+    sides = start.join(middle, "_middle").select("order_number", F.explode(F.array(
+        F.struct(F.lit("now").alias("side"), F.rtrim("order_number").alias("_number")),
+        F.struct(F.lit("was").alias("side"), F.col("_before").alias("_number")))).alias("_s")).select(
+        "order_number", "_s.*")
+    return _compare(sides.join(_document_groups(erp["belegp"].filter(customer), heads), "_number"))
 
 
 def shortage_totals(missing: DataFrame) -> DataFrame:

@@ -161,7 +161,7 @@ def rebuild_logs(legacy: DataFrame, schema: T.StructType) -> DataFrame:
     numbered = numbered.withColumnRenamed("rank", "id")
     first = latest_by(numbered.filter("event_type = 'first_draft'").select(*revision, "id"), revision, ["id"],
                       first=True).withColumnRenamed("id", "_first")
-    linked = numbered.join(first, revision, "left").withColumn(
+    linked = spread_join(numbered, first, revision, "id", "left", sizes_from=legacy).withColumn(
         "first_draft_id", F.when(F.col("event_type") == "reprompt", F.col("_first"))).drop("_first")
     return evolve(linked, schema, {"prompt_version": ""})
 

@@ -201,19 +201,19 @@ ORACLE["article_attributes"] = V.with_views(V.ART) + f"""
 SELECT Artikelnummer AS sku, ArtikelGruppe AS category,
   CASE WHEN ArtikelGruppe = 'CP' AND Bezeichnung LIKE 'Intel Core %' THEN 'Intel'
     WHEN ArtikelGruppe = 'CP' AND Bezeichnung LIKE 'AMD Ryzen %' THEN 'AMD' END AS cpu_manufacturer,
-  CAST(coalesce({_taken('CP', _CPU)}, {_taken('CP', _AMD)}) AS INTEGER) AS cpu_generation,
+  coalesce({_taken('CP', _CPU)}, {_taken('CP', _AMD)}) AS cpu_generation,
   coalesce({_taken('CP', _CPU, 2)}, {_taken('CP', _AMD, 2)}) AS cpu_model,
-  CAST({_taken('ME', '^([0-9]+)GB')} AS INTEGER) AS ram_capacity,
-  CAST({_taken('ME', 'DDR([0-9])')} AS INTEGER) AS ram_ddr,
-  CAST({_taken('ME', 'DDR[0-9] ([0-9]+)')} AS INTEGER) AS ram_speed,
+  {_taken('ME', '^([0-9]+)GB')} AS ram_capacity,
+  {_taken('ME', 'DDR([0-9])')} AS ram_ddr,
+  {_taken('ME', 'DDR[0-9] ([0-9]+)')} AS ram_speed,
   {_taken('HD', '(HDD|SSD)')} AS hdd_type,
-  CAST({_taken('HD', '^([0-9]+)Gb (?:HDD|SSD)')} AS INTEGER) AS hdd_capacity,
+  {_taken('HD', '^([0-9]+)Gb (?:HDD|SSD)')} AS hdd_capacity,
   CASE WHEN ArtikelGruppe = 'GC' AND Bezeichnung LIKE 'Radeon %' THEN 'AMD'
     WHEN ArtikelGruppe = 'GC' THEN 'NVIDIA' END AS gpu_manufacturer,
   {_taken('GC', '^(Geforce|Radeon|Quadro|Nvidia) ')} AS gpu_series,
-  CAST(CASE WHEN ArtikelGruppe <> 'GC' THEN NULL WHEN Bezeichnung LIKE '%1024MB%' THEN '1'
+  (CASE WHEN ArtikelGruppe <> 'GC' THEN NULL WHEN Bezeichnung LIKE '%1024MB%' THEN '1'
     WHEN Bezeichnung LIKE '%2048MB%' THEN '2'
-    ELSE nullif(regexp_extract(Bezeichnung, '([0-9]+)GB', 1), '') END AS INTEGER) AS gpu_vram
+    ELSE nullif(regexp_extract(Bezeichnung, '([0-9]+)GB', 1), '') END) AS gpu_vram
 FROM art"""
 
 _quoted = lambda text: "'" + text.replace("'", "''") + "'"
@@ -293,7 +293,7 @@ _item_views = V.with_views(V.SALES_LINES, _PLACED)
 _ITEM = """Belegnummer AS document_number, Belegtyp AS document_type, BELEGP_ID AS line_id,
   Zeilentyp AS line_type, Artikelnummer AS sku, coalesce(Bezeichnung, '') AS name,
   CAST(Menge AS DOUBLE) AS quantity, CAST(KalkpreisEuro AS DOUBLE) AS price, position"""
-ORACLE["order_items"] = f"""{_item_views}SELECT {_ITEM}, parent_id AS parent_line_id
+ORACLE["order_items"] = f"""{_item_views}SELECT {_ITEM}, CAST(parent_id AS VARCHAR) AS parent_line_id
 FROM items WHERE Zeilentyp <> 'K' OR parent_id IS NOT NULL"""
 ORACLE["order_item_rejects"] = f"""{_item_views}SELECT {_ITEM} FROM items
 WHERE Zeilentyp = 'K' AND parent_id IS NULL"""
@@ -305,7 +305,7 @@ parts AS (SELECT parent_id, Belegnummer, string_agg({_TEXT}, ',' ORDER BY BELEGP
 docs AS (SELECT i.Belegnummer, string_agg({_TEXT} || '[' || coalesce(txt, '') || ']', ';' ORDER BY BELEGP_ID) AS items
   FROM items i LEFT JOIN parts p ON p.parent_id = i.BELEGP_ID AND p.Belegnummer = i.Belegnummer
   WHERE Zeilentyp <> 'K' GROUP BY 1)
-SELECT h.*, 0 AS part, items FROM ({_HEADER}) h LEFT JOIN docs ON docs.Belegnummer = h.document_number"""
+SELECT h.*, CAST(0 AS BIGINT) AS part, items FROM ({_HEADER}) h LEFT JOIN docs ON docs.Belegnummer = h.document_number"""
 
 _MISSING = f"""{V.with_views(V.BELEG, V.CHAIN, V.SALES_LINES, V.ORIGINAL_LINES)},
 links AS (
@@ -378,7 +378,7 @@ SELECT {_MESSAGE} FROM edited UNION ALL
 SELECT {_MESSAGE} FROM cached WHERE message_id NOT IN (SELECT message_id FROM edited)"""
 ORACLE["ticket_conversation"] = f"""WITH {_MSG}, {_CACHED},
 broken AS (SELECT DISTINCT ticket_id FROM msg WHERE message_id NOT IN (SELECT message_id FROM cached))
-SELECT ticket_id, position, role, body AS text, true AS complete FROM cached
+SELECT ticket_id, CAST(position AS VARCHAR) AS position, role, body AS text, true AS complete FROM cached
 WHERE visible AND ticket_id NOT IN (SELECT ticket_id FROM broken)
 UNION ALL SELECT ticket_id, NULL, NULL, NULL, false FROM broken"""
 _TURNS = f"""{_MSG}, turns AS (
@@ -444,8 +444,8 @@ fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticket_id, ba
     AND s.based_on_message_id = e.based_on_message_id)),
 firsts AS (SELECT id, ticket_id, based_on_message_id FROM fresh UNION ALL
   SELECT id, ticket_id, based_on_message_id FROM stored WHERE event_type = 'first_draft')
-SELECT id, ticket_id, based_on_message_id, event_type, CAST(NULL AS BIGINT) AS first_draft_id FROM fresh
-UNION ALL SELECT e.id, e.ticket_id, e.based_on_message_id, e.event_type, f.id FROM events e LEFT JOIN firsts f
+SELECT id, ticket_id, based_on_message_id, event_type, CAST(NULL AS VARCHAR) AS first_draft_id FROM fresh
+UNION ALL SELECT e.id, e.ticket_id, e.based_on_message_id, e.event_type, CAST(f.id AS VARCHAR) FROM events e LEFT JOIN firsts f
   ON f.ticket_id = e.ticket_id AND f.based_on_message_id = e.based_on_message_id AND f.id < e.id
 WHERE e.event_type = 'reprompt'"""
 ORACLE["rejected_events"] = _log + "SELECT id, ticket_id, 'other' AS event_type FROM logs WHERE message_count = 8"
@@ -454,15 +454,15 @@ ORACLE["rebuild_logs"] = f"""{_log}, n AS (SELECT *, row_number() OVER (ORDER BY
 SELECT n.nr AS id, n.ticket_id, n.based_on_message_id, n.event_type, n.response_text,
   array_to_string(n.sources, ',') AS sources, n.instructions, n.message_count,
   {_stamp('n.created_at')} AS created_at, CAST(NULL AS VARCHAR) AS messages_json, n.input_response_text,
-  f.nr AS first_draft_id, '' AS prompt_version
+  CAST(f.nr AS VARCHAR) AS first_draft_id, '' AS prompt_version
 FROM n LEFT JOIN n f ON n.event_type = 'reprompt' AND f.event_type = 'first_draft' AND f.ticket_id = n.ticket_id
   AND f.based_on_message_id = n.based_on_message_id"""
 ORACLE["read_reprompts"] = f"""{_log}SELECT id, ticket_id, {_created}, instructions, response_text,
-  input_response_text, first_draft_id FROM linked WHERE event_type = 'reprompt'"""
+  input_response_text, CAST(first_draft_id AS VARCHAR) AS first_draft_id FROM linked WHERE event_type = 'reprompt'"""
 ORACLE["reprompt_search"] = f"""{_log}SELECT id, ticket_id, {_created} FROM logs WHERE event_type = 'reprompt'
   AND created_at < TIMESTAMP '2024-01-21'
   AND contains(lower(instructions || ' ' || coalesce(input_response_text, '') || ' ' || response_text || ' '), 'the ')"""
-ORACLE["reprompt_history"] = f"""{_log}SELECT id, ticket_id, {_created}, instructions, first_draft_id,
+ORACLE["reprompt_history"] = f"""{_log}SELECT id, ticket_id, {_created}, instructions, CAST(first_draft_id AS VARCHAR) AS first_draft_id,
   (SELECT count(*) FROM logs WHERE event_type = 'reprompt') AS row_count,
   (SELECT greatest(1, (count(*) + 24) // 25) FROM logs WHERE event_type = 'reprompt') AS page_count
 FROM linked WHERE event_type = 'reprompt' ORDER BY linked.created_at DESC, id DESC LIMIT 25"""

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+# The scoring functions travel with the tasks, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TOP_K = 5
 BROADCAST_QUERIES = 1024
 CHUNKS_PER_CELL = 20_000

@@ -44,6 +44,12 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def as_text(df: DataFrame, *columns: str) -> DataFrame:
+    """Whole numbers that may be missing, as text: a frame with NULLs would read them as
+    floating point."""
+    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
 def _erp(spark: SparkSession, sf_dir: str, customers: bool = True) -> dict[str, DataFrame]:
     return demo.demo_erp(spark, sf_dir, customers)
 
@@ -219,7 +225,8 @@ def unknown_skus(spark, sf_dir):
 
 @query
 def article_attributes(spark, sf_dir):
-    return inventory.article_attributes(demo.articles(spark, sf_dir))
+    return as_text(inventory.article_attributes(demo.articles(spark, sf_dir)), "cpu_generation", "ram_capacity",
+                   "ram_ddr", "ram_speed", "hdd_capacity", "gpu_vram")
 
 
 @query
@@ -279,7 +286,7 @@ def co_purchase_pairs(spark, sf_dir):
 
 @query
 def order_items(spark, sf_dir):
-    return documents.order_items(_erp(spark, sf_dir, False)["belegp"])
+    return as_text(documents.order_items(_erp(spark, sf_dir, False)["belegp"]), "parent_line_id")
 
 
 @query
@@ -380,7 +387,8 @@ def upsert_messages(spark, sf_dir):
 
 @query
 def ticket_conversation(spark, sf_dir):
-    return support.ticket_conversation(demo.message_positions(spark, sf_dir), demo.cached_messages(spark, sf_dir))
+    return as_text(support.ticket_conversation(
+        demo.message_positions(spark, sf_dir), demo.cached_messages(spark, sf_dir)), "position")
 
 
 def _turns(spark, sf_dir):
@@ -439,9 +447,9 @@ def generation_log_append(spark, sf_dir):
     stored = events.filter(F.col("based_on_message_id").endswith("-0"))
     again = events.withColumn("id", F.col("id") + 10_000_000).withColumn(
         "event_type", F.when(F.col("message_count") == 8, "other").otherwise(F.col("event_type")))
-    return support.append_generation_log(stored, events.filter(
+    return as_text(support.append_generation_log(stored, events.filter(
         ~F.col("based_on_message_id").endswith("-0")).unionByName(again)).select(
-        "id", "ticket_id", "based_on_message_id", "event_type", "first_draft_id")
+        "id", "ticket_id", "based_on_message_id", "event_type", "first_draft_id"), "first_draft_id")
 
 
 @query
@@ -454,13 +462,15 @@ def rejected_events(spark, sf_dir):
 @query
 def rebuild_logs(spark, sf_dir):
     legacy = demo.generation_logs(spark, sf_dir).drop("id", "first_draft_id", "prompt_version", "messages_json")
-    return support.rebuild_logs(legacy, schemas.GENERATION_LOGS).withColumn("sources", F.concat_ws(",", "sources"))
+    return as_text(support.rebuild_logs(legacy, schemas.GENERATION_LOGS), "first_draft_id").withColumn(
+        "sources", F.concat_ws(",", "sources"))
 
 
 @query
 def read_reprompts(spark, sf_dir):
-    return support.read_reprompts(_linked_logs(spark, sf_dir)).select(
-        "id", "ticket_id", "created_at", "instructions", "response_text", "input_response_text", "first_draft_id")
+    return as_text(support.read_reprompts(_linked_logs(spark, sf_dir)).select(
+        "id", "ticket_id", "created_at", "instructions", "response_text", "input_response_text", "first_draft_id"),
+        "first_draft_id")
 
 
 @query
@@ -471,7 +481,7 @@ def reprompt_search(spark, sf_dir):
 
 @query
 def reprompt_history(spark, sf_dir):
-    return support.reprompt_history(_linked_logs(spark, sf_dir), page=1, page_size=25)
+    return as_text(support.reprompt_history(_linked_logs(spark, sf_dir), page=1, page_size=25), "first_draft_id")
 
 
 @query

@@ -154,7 +154,8 @@ def test_forecast_and_snapshots(spark, tmp_path):
     I.save_forecast(got, path, AS_OF, 1)
     later = got.withColumn("stock_coverage", F.lit(9.0)).unionByName(
         got.withColumn("sku", F.lit("B")).withColumn("stock_coverage", F.lit(10.0)))
-    I.save_forecast(later, path, AS_OF.replace(hour=15), 1)
+    I.save_forecast(got, path, AS_OF.replace(hour=15), 1)
+    I.save_forecast(later, path, AS_OF.replace(hour=15), 1)  # repeated run
     I.save_forecast(got, path, AS_OF.replace(hour=18), 2)
     stored = spark.read.parquet(path)
     assert values(I.latest_forecast(stored, AS_OF.date(), 1), "sku", "stock_coverage") == [("B", 10.0), ("A", 9.0)]

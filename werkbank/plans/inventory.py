@@ -125,12 +125,14 @@ def forecast_components(erp: dict[str, DataFrame], as_of: datetime, weeks: int =
 
 
 def save_forecast(forecast: DataFrame, path: str, as_of: datetime, weeks: int) -> None:
-    """Append a run to the snapshot table, partitioned by day and horizon."""
+    """Add a run to the snapshot table, partitioned by day, horizon and run. Writing the same
+    run again replaces it, so a job that failed half-way can simply be repeated."""
     stamp = as_of.strftime("%Y-%m-%dT%H:%M:%S.%f")
     (forecast.withColumn("run_id", F.lit(f"{stamp}/{weeks}"))
      .withColumn("run_date", F.lit(as_of.date())).withColumn("created_at", at(as_of))
      .withColumn("weeks", F.lit(weeks))
-     .write.mode("append").partitionBy("run_date", "weeks").parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_date", "weeks", "run_id").parquet(path))
 
 
 def latest_forecast(snapshots: DataFrame, run_date, weeks: int) -> DataFrame:

@@ -1,7 +1,6 @@
 """What must hold on the provided tables whatever their content."""
 
 import pytest
-from helpers import values
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry

@@ -3,7 +3,6 @@ from decimal import Decimal
 
 import pytest
 from helpers import erp, values
-from pyspark.sql import functions as F
 
 from werkbank.functions.dates import as_date
 from werkbank.functions.predicates import lifecycle
@@ -116,6 +115,7 @@ def test_chart_pages_records(spark):
     assert values(page(many, ["id"], 25, 5), "next_offset")[0] is None
     assert values(numbered_page(many, ["id"], 2, 25), "id", "page_count")[0] == (25, 2)
     assert values(limit_flag(many, ["id"], 29), "truncated")[0] is True
+    assert limit_flag(many, ["id"], 29).count() == 29
     assert values(limit_flag(many, ["id"], 30), "truncated")[0] is False
     odd = spark.createDataFrame([(float("nan"), date(2026, 1, 2), datetime(2026, 1, 2, 3, 4, 5), None)],
                                 "x double, d date, t timestamp_ntz, n string")

@@ -1,6 +1,4 @@
-import pytest
 from helpers import erp, table, values
-from pyspark.sql import functions as F
 
 from werkbank.plans.inventory import component_chart
 from werkbank.plans.support import evolve

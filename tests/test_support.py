@@ -2,7 +2,6 @@ import json
 from datetime import date
 from hashlib import sha256
 
-import pytest
 from helpers import table, values
 from pyspark.sql import functions as F
 
@@ -155,7 +154,7 @@ def test_translations(spark):
 
 def test_html(spark):
     page = ("<!DOCTYPE html><html><style>a>b{}</style><SCRIPT type='x'>if (a<b) '</p>'</SCRIPT ><p> One <b>two</b><br/>"
-            "<!-- no <i>text</i> -->three &amp;lt; &lt;4&gt;&nbsp;</p>\n  \n<p>last\nline</p>")
+            "<!-- no <i>text</i> -->three &amp;lt; &lt;4&gt;&nbsp;</p><i title=\"a > b\" x='>'>&#39;&#x20AC;&#128512;&#0;&#xD800;&#9999999;&amp;#39; &amp, &ampx &am; &AMP</i>\n  \n<p>last\nline</p>")
     row = spark.createDataFrame([(page, "a&amp;amp;b<br />&quot;c&quot;")], "h string, d string")
-    assert values(row.select(html_text(F.col("h")).alias("t")), "t") == ["One\ntwo\nthree &lt; <4>\nlast\nline"]
+    assert values(row.select(html_text(F.col("h")).alias("t")), "t") == ["One\ntwo\nthree &lt; <4>\n'€\U0001F600\ufffd\ufffd\ufffd&#39; &, &ampx &am; &AMP\nlast\nline"]
     assert values(row.select(draft_text(F.col("d")).alias("t")), "t") == ['a&amp;b\n"c"']

@@ -46,22 +46,38 @@ def sku_group(column: Column) -> Column:
     return F.when(prefix == "", column).otherwise(prefix)
 
 
-# HTML entity -> character; ``&amp;`` comes last so that nothing is decoded twice.
+# HTML entity name -> character; ``amp`` comes last so that nothing is decoded twice.
 ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
-    ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&euro;", "€"),
-    ("&laquo;", "«"), ("&raquo;", "»"), ("&amp;", "&"),
+    ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", "\u00a0"), ("copy", "©"),
+    ("reg", "®"), ("middot", "·"), ("ndash", "–"), ("mdash", "—"), ("hellip", "…"), ("euro", "€"),
+    ("laquo", "«"), ("raquo", "»"), ("amp", "&"),
 )
 _BREAK = "\u0001"
-_NOT_TEXT = (r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
-             r"|<!doctype[^>]*>|</?[a-z][^>]*>")
+# Quoted attribute values may hold ">"; the last alternative takes tags with an open quote.
+_NOT_TEXT = (r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<!doctype[^>]*>"
+             r"""|</?[a-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|</?[a-z][^>]*>""")
+
+
+def _numeric(column: Column, pattern: str, base: int) -> Column:
+    """Replace numeric references; each distinct one is decoded once per text."""
+    def decoded(text: Column, reference: Column) -> Column:
+        digits = F.regexp_extract(reference, pattern, 1)
+        code = F.conv(digits, base, 10).cast("int")
+        character = F.decode(F.unhex(F.lpad(F.conv(digits, base, 16), 8, "0")), "UTF-32")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return F.replace(text, reference, F.when(valid, character).otherwise("\ufffd"))
+
+    found = F.array_distinct(F.regexp_extract_all(column, F.lit(pattern), F.lit(0)))
+    return F.aggregate(found, column, decoded)
 
 
 def unescape(column: Column) -> Column:
-    for entity, character in ENTITIES:
-        column = F.replace(column, F.lit(entity), F.lit(character))
-    return column
+    """Decode HTML entities; the semicolon may be missing before anything but a letter or
+    digit, unknown names stay as they are."""
+    text = _numeric(_numeric(column, "&#([0-9]{1,7});", 10), "&#[xX]([0-9a-fA-F]{1,6});", 16)
+    for name, character in ENTITIES:
+        text = F.regexp_replace(text, f"&{name}(?:;|(?![A-Za-z0-9]))", character)
+    return F.when(column.contains("&"), text).otherwise(column)
 
 
 def html_text(column: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 
 def sort_head(df: DataFrame, sort_by: str | None, ties: list[str], descending: bool = False,
@@ -42,11 +42,13 @@ def numbered_page(df: DataFrame, order: list, number: int, size: int) -> DataFra
 
 
 def limit_flag(df: DataFrame, order: list, limit: int) -> DataFrame:
-    """The first ``limit`` rows and whether more follow; one row beyond the limit is sorted,
-    the rest is never counted."""
-    probe = df.orderBy(*order).limit(limit + 1)
-    more = probe.agg(F.count("*") > limit).scalar()
-    return df.orderBy(*order).limit(limit).withColumn("truncated", more)
+    """The first ``limit`` rows and whether more follow. One row beyond the limit is fetched
+    and the rest is never counted; the windows run over these few rows only."""
+    probe = df.orderBy(*order).limit(limit + 1).withColumn("_one", F.lit(1))
+    place = Window.partitionBy("_one").orderBy(*order)
+    return (probe.withColumn("_place", F.row_number().over(place))
+            .withColumn("truncated", F.count("*").over(Window.partitionBy("_one")) > limit)
+            .filter(F.col("_place") <= limit).drop("_one", "_place"))
 
 
 def to_chart(df: DataFrame, groups: list[str], metrics: list[str], limit: int | None = 100) -> DataFrame:

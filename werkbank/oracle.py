@@ -514,7 +514,8 @@ FROM r LEFT JOIN documents ON doc_id = vec_id WHERE rank <= 5 AND vec_id <> quer
 
 _TEXT_OF = r"""array_to_string(list_filter(list_transform(string_split(regexp_replace(html,
   '<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<!doctype[^>]*>|</?[a-z][^>]*>', chr(1), 'gis'), chr(1)),
-  lambda r: regexp_replace(replace(replace(replace(replace(r, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'),
+  lambda r: regexp_replace(regexp_replace(replace(replace(replace(r, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'),
+    '&amp(;|\b)', '&', 'g'),
     '^\s+|\s+$', '', 'g')), lambda r: r <> ''), chr(10))"""
 ORACLE["html_to_text"] = f"SELECT page_id, {_TEXT_OF} AS text FROM pages"
 ORACLE["text_by_host"] = f"""SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, count(*) AS pages,

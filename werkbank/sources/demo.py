@@ -7,7 +7,7 @@ depend on the part key alone, so document lines need no join with ``part``.
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from werkbank.sources.schemas import ERP, MONEY, QUANTITY, conform
+from werkbank.sources.schemas import ERP, conform
 
 GROUPS = ("CP", "GC", "ME", "HD", "MB", "TW")
 CHANNELS = {"AUTOMOBILE": 1, "BUILDING": 8, "FURNITURE": 2, "HOUSEHOLD": 3, "MACHINERY": 23}
@@ -48,10 +48,6 @@ def sku_of(key: Column) -> Column:
     return _text(_pick(key % 6, *GROUPS), F.lpad(key.cast("string"), 12, "0"))
 
 
-def _number(prefix: str, key: Column) -> Column:
-    return _text(prefix, F.lpad(key.cast("string"), 12, "0"))
-
-
 def articles(spark: SparkSession, directory: str) -> DataFrame:
     tier = "elt(p_size % 4 + 1, '3', '5', '7', '9')"
     ultra = "elt(p_size % 3 + 1, '5', '7', '9')"
@@ -84,11 +80,6 @@ def articles(spark: SparkSession, directory: str) -> DataFrame:
                     F.expr("concat(p_brand, '-', p_size)").alias("HstArtikelnummer")))
 
 
-def _document_type() -> Column:
-    status = F.col("o_orderstatus")
-    return F.when(status == "F", "R").when(status == "O", "L").otherwise("D")
-
-
 _CHANNEL = "CASE c_mktsegment " + " ".join(f"WHEN '{s}' THEN {n}" for s, n in CHANNELS.items()) + " END"
 
 
@@ -131,76 +122,66 @@ def _sales_headers(spark: SparkSession, directory: str, customers: bool) -> Data
 
 def _chain_headers(spark: SparkSession, directory: str) -> DataFrame:
     """Intermediate (Z) and original (U) documents behind each delivery note."""
-    notes = table(spark, directory, "orders").filter(F.col("o_orderstatus") == "O")
-    key = F.col("o_orderkey")
-    common = [F.lit(2).alias("Status"), F.col("o_orderdate").alias("AngelegtAm"),
-              F.col("o_orderdate").alias("Datum"), F.lit("").alias("Vorlage"),
-              _text("K", F.col("o_custkey")).alias("Adressnummer")]
-    middle = notes.select(
-        _number("ZA", key).alias("Belegnummer"), F.lit("Z").alias("Belegtyp"),
-        F.when(key % 5 != 0, _number("UA", key)).alias("LieferBelegNr"), *common)
-    original = notes.select(
-        _number("UA", key).alias("Belegnummer"), F.lit("U").alias("Belegtyp"),
-        F.lit(None).cast("string").alias("LieferBelegNr"), *common)
-    return middle.unionByName(original)
+    notes = table(spark, directory, "orders").filter("o_orderstatus = 'O'").selectExpr(
+        "o_orderkey", "lpad(o_orderkey, 12, '0') AS padded", "2 AS Status", "o_orderdate AS AngelegtAm",
+        "o_orderdate AS Datum", "'' AS Vorlage", "concat('K', o_custkey) AS Adressnummer")
+    common = ["Status", "AngelegtAm", "Datum", "Vorlage", "Adressnummer"]
+    middle = notes.selectExpr("concat('ZA', padded) AS Belegnummer", "'Z' AS Belegtyp",
+                              "if(o_orderkey % 5 <> 0, concat('UA', padded), NULL) AS LieferBelegNr", *common)
+    original = notes.selectExpr("concat('UA', padded) AS Belegnummer", "'U' AS Belegtyp",
+                                "cast(NULL AS string) AS LieferBelegNr", *common)
+    return middle.union(original)
 
 
-def _purchase_number() -> Column:
-    return _text("B", F.lpad(F.col("l_suppkey").cast("string"), 9, "0"), "-",
-                 F.year("l_shipdate") * 100 + F.month("l_shipdate"))
+_PURCHASE = "concat('B', lpad(l_suppkey, 9, '0'), '-', year(l_shipdate) * 100 + month(l_shipdate))"
 
 
 def _purchase_headers(spark: SparkSession, directory: str) -> DataFrame:
-    documents = (table(spark, directory, "lineitem")
-                 .select("l_suppkey", _purchase_number().alias("Belegnummer"),
-                         F.trunc("l_shipdate", "MM").cast("timestamp_ntz").alias("Datum")).distinct())
-    mix = F.col("l_suppkey") + F.month("Datum")
-    return (documents.join(table(spark, directory, "supplier"),
-                           F.col("l_suppkey") == F.col("s_suppkey"), "left")
-            .select("Belegnummer", F.lit("B").alias("Belegtyp"), F.lit(0).alias("Status"),
-                    F.col("Datum").alias("AngelegtAm"), "Datum", F.col("s_name").alias("Name"),
-                    F.when(mix % 11 == 0, F.lit(None))
-                    .when((mix % 3 == 0) & (F.year("Datum") >= 2001), -5).when(mix % 3 == 1, 0)
-                    .otherwise(7).alias("UebernahmeOffen")))
-
-
-def _lines(df: DataFrame, number: Column, kind: Column, line_type: Column) -> DataFrame:
-    quantity = F.col("l_quantity").cast(QUANTITY)
-    line = F.col("l_linenumber")
-    signed = (F.when((line == 6) & (F.col("l_returnflag") == "R"), -quantity)
-              .when(line == 4, (quantity / 2).cast(QUANTITY)).otherwise(quantity))
-    total = F.col("l_extendedprice").cast(MONEY)
-    return df.select(
-        F.expr("l_linenumber * 1000000000000000000 + l_partkey * 1000000000 + l_suppkey % 10000000 * 100 "
-               "+ cast(l_quantity AS int)").alias("BELEGP_ID"),
-        number.alias("Belegnummer"), kind.alias("Belegtyp"),
-        sku_of(F.col("l_partkey")).alias("Artikelnummer"),
-        F.when(F.col("l_partkey") % 14 != 0, _text("Item ", F.col("l_partkey"))).alias("Bezeichnung"),
-        signed.alias("Menge"), quantity.alias("EditMenge"), F.col("l_shipdate").alias("Datum"),
-        total.alias("KalkpreisEuro"),
-        F.when(line != 3, total).alias("Einzelpreis"), total.alias("Gesamtpreis"),
-        line_type.alias("Zeilentyp"))
+    documents = table(spark, directory, "lineitem").selectExpr(
+        "l_suppkey", f"{_PURCHASE} AS Belegnummer",
+        "cast(trunc(l_shipdate, 'MM') AS timestamp_ntz) AS Datum").distinct()
+    suppliers = table(spark, directory, "supplier").selectExpr("s_suppkey AS l_suppkey", "s_name AS Name")
+    return documents.join(suppliers, "l_suppkey", "left").selectExpr(
+        "Belegnummer", "'B' AS Belegtyp", "0 AS Status", "Datum AS AngelegtAm", "Datum", "Name",
+        """CASE WHEN (l_suppkey + month(Datum)) % 11 = 0 THEN NULL
+             WHEN (l_suppkey + month(Datum)) % 3 = 0 AND year(Datum) >= 2001 THEN -5
+             WHEN (l_suppkey + month(Datum)) % 3 = 1 THEN 0 ELSE 7 END AS UebernahmeOffen""")
+
+
+def _sku(key: str) -> str:
+    groups = ", ".join(f"'{g}'" for g in GROUPS)
+    return f"concat(elt(cast({key} % 6 + 1 AS int), {groups}), lpad({key}, 12, '0'))"
+
+
+def _lines(df: DataFrame, number: str, kind: str, line_type: str) -> DataFrame:
+    return df.selectExpr(
+        "l_linenumber * 1000000000000000000 + l_partkey * 1000000000 + l_suppkey % 10000000 * 100 "
+        "+ cast(l_quantity AS int) AS BELEGP_ID",
+        f"{number} AS Belegnummer", f"{kind} AS Belegtyp", f"{_sku('l_partkey')} AS Artikelnummer",
+        "if(l_partkey % 14 <> 0, concat('Item ', l_partkey), NULL) AS Bezeichnung",
+        """cast(CASE WHEN l_linenumber = 6 AND l_returnflag = 'R' THEN -l_quantity
+             WHEN l_linenumber = 4 THEN l_quantity / 2 ELSE l_quantity END AS decimal(18,4)) AS Menge""",
+        "cast(l_quantity AS decimal(18,4)) AS EditMenge", "l_shipdate AS Datum",
+        "cast(l_extendedprice AS decimal(18,2)) AS KalkpreisEuro",
+        "if(l_linenumber <> 3, cast(l_extendedprice AS decimal(18,2)), NULL) AS Einzelpreis",
+        "cast(l_extendedprice AS decimal(18,2)) AS Gesamtpreis", f"{line_type} AS Zeilentyp")
 
 
 def document_lines(spark: SparkSession, directory: str) -> DataFrame:
     line = table(spark, directory, "lineitem")
-    orders = table(spark, directory, "orders").select("o_orderkey", "o_orderstatus")
-    number = F.col("l_linenumber")
-    sold = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "inner")
-    role = F.when(number == 1, "H").when(number == 7, "A").otherwise("K")
-    kind = _document_type()
-    sales = _lines(sold.filter((F.col("o_orderstatus") != "O") | (number != 5)),
-                   _text(kind, F.lit("A"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0")),
-                   kind, role)
-    original = _lines(sold.filter(F.col("o_orderstatus") == "O"),
-                      _number("UA", F.col("l_orderkey")), F.lit("U"), role)
-    purchases = _lines(line, _purchase_number(), F.lit("B"),
-                       F.when(number == 7, "T").otherwise("A"))
-    return sales.unionByName(original).unionByName(purchases)
+    orders = table(spark, directory, "orders").selectExpr(
+        "o_orderkey AS l_orderkey", "CASE o_orderstatus WHEN 'F' THEN 'R' WHEN 'O' THEN 'L' ELSE 'D' END AS kind")
+    sold = line.join(orders, "l_orderkey")
+    role = "CASE l_linenumber WHEN 1 THEN 'H' WHEN 7 THEN 'A' ELSE 'K' END"
+    padded = "lpad(l_orderkey, 12, '0')"
+    sales = _lines(sold.filter("NOT (kind = 'L' AND l_linenumber = 5)"), f"concat(kind, 'A', {padded})", "kind", role)
+    original = _lines(sold.filter("kind = 'L'"), f"concat('UA', {padded})", "'U'", role)
+    purchases = _lines(line, _PURCHASE, "'B'", "if(l_linenumber = 7, 'T', 'A')")
+    return sales.union(original).union(purchases)
 
 
 def _lot() -> Column:
-    return F.col("l_partkey") * 4 + F.col("l_suppkey") % 4
+    return F.expr("l_partkey * 4 + l_suppkey % 4")
 
 
 class _Tables(dict):

@@ -572,6 +572,7 @@ FROM told"""
 
 # ---- streams: the batch results ------------------------------------------------------------------------------
 
+ORACLE["stream_tickets"] = ORACLE["ingest_tickets"]
 ORACLE["stream_messages"] = ORACLE["normalise_messages"]
 ORACLE["stream_counts_day"] = "SELECT strftime(ts, '%Y-%m-%d') AS period, count(*) AS n FROM events GROUP BY 1"
 ORACLE["stream_counts_week"] = """SELECT strftime(date_trunc('week', o_orderdate), '%Y-%m-%d') AS period, count(*) AS n

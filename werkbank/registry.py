@@ -367,7 +367,7 @@ def tickets_by_email(spark, sf_dir):
 
 @query
 def ingest_tickets(spark, sf_dir):
-    pages = source.parse_ticket_pages(demo.ticket_pages(spark, sf_dir))
+    pages = source.parse_ticket_pages(demo.ticket_pages(demo.table(spark, sf_dir, "conversations")))
     return support.explode_positions(latest_by(pages, ["ticket_id"], ["revision"]))
 
 
@@ -632,6 +632,13 @@ def stream_messages(spark, sf_dir):
     return read_latest(spark, path, ["message_id"], ["cached_at"])
 
 
+@query
+def stream_tickets(spark, sf_dir):
+    pages = demo.ticket_pages(_stream(spark, sf_dir, "conversations"))
+    path = _finished(jobs.stream_tickets, spark, pages, revision="revision")
+    return support.explode_positions(read_latest(spark, path, ["ticket_id"], ["revision"]))
+
+
 @query
 def stream_counts_day(spark, sf_dir):
     path = _finished(jobs.stream_counts, spark, _stream(spark, sf_dir, "events", "ts"), delay=BACKFILL)

@@ -241,7 +241,7 @@ def _message_id(conv: Column, turn: Column) -> Column:
     return _text("M", conv, "-", turn)
 
 
-def ticket_pages(spark: SparkSession, directory: str) -> DataFrame:
+def ticket_pages(conversations: DataFrame) -> DataFrame:
     """One response page per turn: the ticket with its messages so far, in both page shapes."""
     turn, conv = F.col("turn"), F.col("conv_id")
     ids = F.transform(F.sequence(F.lit(0), turn.cast("int")), lambda i: _message_id(conv, i))
@@ -249,7 +249,7 @@ def ticket_pages(spark: SparkSession, directory: str) -> DataFrame:
     body = (F.when(turn % 3 == 0, F.concat(F.lit('{"data":['), ticket, F.lit(', 7, "x"]}')))
             .when(turn % 3 == 1, F.concat(F.lit('{"data":{"data":['), ticket, F.lit("]}}")))
             .otherwise(F.concat(F.lit('{"data":'), ticket, F.lit("}"))))
-    return table(spark, directory, "conversations").select(turn.alias("revision"), body.alias("value"))
+    return conversations.select(turn.alias("revision"), body.alias("value"))
 
 
 def raw_messages(spark: SparkSession, directory: str) -> DataFrame:

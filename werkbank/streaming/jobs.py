@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from werkbank.plans.inventory import forecast_components, save_forecast
 from werkbank.plans.monitoring import incident_snapshot, incident_states
 from werkbank.plans.traffic import half_hours, join_half_hours
-from werkbank.sources.support import normalise_messages
+from werkbank.sources.support import normalise_messages, parse_ticket_pages
 from werkbank.streaming.sinks import read_latest, write_updates
 
 _WINDOWS = {"day": ("1 day", None), "week": ("7 days", "4 days")}  # the epoch was a Thursday
@@ -45,6 +45,12 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     return join_half_hours(read_latest(spark, path, ["user_id", "slot"]))
 
 
+def stream_tickets(pages: DataFrame, path: str, checkpoint: str, revision: str) -> StreamingQuery:
+    """Upsert the tickets of landed response pages; the page with the highest ``revision``
+    has the ticket's message ids."""
+    return write_updates(parse_ticket_pages(pages), path, checkpoint, keys=["ticket_id"], order=[revision])
+
+
 _KNOWN = "service bigint, run_id bigint, notified boolean"
 
 

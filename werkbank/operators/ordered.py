@@ -93,7 +93,8 @@ def global_rank(rows: DataFrame, at: str, order: list[str], hot_rows: int = HOT_
     Ranks are taken within each hour (hot hours in pieces) and shifted by the rows of the
     hours before, so the only ordered table in one task has one row per hour.
     """
-    staged = rows.withColumn("_hour", F.date_trunc("hour", F.col(at))).withColumn("_at", F.unix_micros(at))
+    moment = F.col(at).cast("timestamp")
+    staged = rows.withColumn("_hour", F.date_trunc("hour", moment)).withColumn("_at", F.unix_micros(moment))
     ranked = running_last(staged, ["_hour"], "_at", F.lit(None).cast("int"), order, False, hot_rows, pieces)
     hours = staged.groupBy("_hour").agg(F.count("*").alias("_size"))
     earlier = Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)

@@ -381,7 +381,7 @@ def upsert_messages(spark, sf_dir):
     base = demo.cached_messages(spark, sf_dir)
     later = (demo.raw_messages(spark, sf_dir).filter(F.col("position") >= 2)
              .withColumn("body", F.concat(F.lit("(edited) "), "body"))
-             .withColumn("cached_at", F.timestamp_seconds(F.unix_seconds("cached_at") + 60)))
+             .withColumn("cached_at", F.col("cached_at") + F.expr("interval 60 seconds")))
     return upsert_latest(base, source.normalise_messages(later), ["message_id"], ["cached_at"])
 
 
@@ -641,14 +641,13 @@ def stream_tickets(spark, sf_dir):
 
 @query
 def stream_counts_day(spark, sf_dir):
-    path = _finished(jobs.stream_counts, spark, _stream(spark, sf_dir, "events", "ts"), delay=BACKFILL)
+    path = _finished(jobs.stream_counts, spark, _stream(spark, sf_dir, "events", "ts"))
     return read_latest(spark, path, ["period"])
 
 
 @query
 def stream_counts_week(spark, sf_dir):
-    path = _finished(jobs.stream_counts, spark, _stream(spark, sf_dir, "orders", "o_orderdate"), at="o_orderdate", grain="week",
-                     delay=BACKFILL)
+    path = _finished(jobs.stream_counts, spark, _stream(spark, sf_dir, "orders", "o_orderdate"), at="o_orderdate", grain="week")
     return read_latest(spark, path, ["period"])
 
 

@@ -234,7 +234,7 @@ def demo_erp(spark: SparkSession, directory: str, customers: bool = True) -> dic
 PROMPT_VERSION = "v2"
 TRANSLATION_SETTINGS = {"instructions": "Translate to French.", "model": "local", "think": False,
                         "options": {"temperature": 0}}
-_START = 1704067200  # 2024-01-01
+_AT = "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(conv_id AS int), cast(turn AS int))"
 
 
 def _message_id(conv: Column, turn: Column) -> Column:
@@ -263,7 +263,7 @@ def raw_message_columns() -> list[Column]:
         F.when(role == "user", "Incoming").when(role == "assistant", "Outgoing").otherwise("Internal")
         .alias("direction"),
         F.col("text").alias("body"), turn.cast("int").alias("position"),
-        F.timestamp_seconds(F.lit(_START) + conv * 3600 + turn * 60).alias("cached_at")]
+        F.expr(_AT).alias("cached_at")]
 
 
 def message_positions(spark: SparkSession, directory: str) -> DataFrame:
@@ -304,7 +304,7 @@ def generation_logs(spark: SparkSession, directory: str) -> DataFrame:
                     .otherwise(F.array().cast("array<string>")).alias("sources"),
                     F.when(first, "").otherwise(_text("Revise ", _message_id(conv, turn))).alias("instructions"),
                     (turn + 1).cast("int").alias("message_count"),
-                    F.timestamp_seconds(F.lit(_START) + conv * 3600 + turn * 60).alias("created_at"),
+                    F.expr(_AT).alias("created_at"),
                     F.lit(None).cast("string").alias("messages_json"),
                     F.when(~first, _text("Draft: ", F.col("text"))).alias("input_response_text"),
                     F.lit(None).cast("bigint").alias("first_draft_id"),
@@ -323,7 +323,7 @@ def stored_drafts(spark: SparkSession, directory: str) -> DataFrame:
             .select(_text("T", conv).alias("ticket_id"),
                     _message_id(conv, F.floor(turn / 4) * 4).alias("based_on_message_id"),
                     body.alias("response_json"),
-                    F.timestamp_seconds(F.lit(_START) + conv * 3600 + turn * 60).alias("created_at"),
+                    F.expr(_AT).alias("created_at"),
                     F.when(conv % 6 == 5, "v1").otherwise(PROMPT_VERSION).alias("prompt_version")))
 
 

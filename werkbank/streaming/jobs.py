@@ -7,14 +7,13 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from werkbank.functions.dates import bucket
 from werkbank.plans.inventory import forecast_components, save_forecast
 from werkbank.plans.monitoring import incident_snapshot, incident_states
 from werkbank.plans.traffic import half_hours, join_half_hours
 from werkbank.sources.support import normalise_messages, parse_ticket_pages
 from werkbank.streaming.sinks import read_latest, write_updates
 
-_WINDOWS = {"day": ("1 day", None), "week": ("7 days", "4 days")}  # the epoch was a Thursday
-
 
 def stream_messages(raw: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Upsert raw messages by id. Repeated deliveries are reduced to one row per batch, and
@@ -23,14 +22,12 @@ def stream_messages(raw: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     return write_updates(normalise_messages(raw), path, checkpoint, keys=["message_id"], order=["cached_at"])
 
 
-def stream_counts(source: DataFrame, path: str, checkpoint: str, at: str = "ts", grain: str = "day",
-                  delay: str = "1 day") -> StreamingQuery:
-    """Rows per day or Monday week, late rows accepted up to ``delay``. Counts are partial per
-    task before they meet their window."""
-    length, start = _WINDOWS[grain]
-    window = F.window(at, length, startTime=start) if start else F.window(at, length)
-    counted = (source.withWatermark(at, delay).groupBy(window.alias("w")).agg(F.count("*").alias("n"))
-               .select(F.to_date("w.start").alias("period"), "n"))
+def stream_counts(source: DataFrame, path: str, checkpoint: str, at: str = "ts",
+                  grain: str = "day") -> StreamingQuery:
+    """Rows per calendar day, Monday week or month of the session time zone. Counts are
+    partial per task before they meet their period. A period is one small row of state, so
+    none is ever closed and no row counts as late."""
+    counted = source.groupBy(bucket(F.col(at), grain).alias("period")).agg(F.count("*").alias("n"))
     return write_updates(counted, path, checkpoint, "update")
 
 

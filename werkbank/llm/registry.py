@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from werkbank.llm.licenses import op9_licenses
+from werkbank.llm.mixing import op4_mixing
+from werkbank.llm.neighbours import op3_embeddings
+from werkbank.llm.quality import op10_quality
+from werkbank.llm.repeats import op1_suffix_array
+from werkbank.llm.sentencepieces import op7_sentencepiece
 from werkbank.llm.simhash import op6_simhash
+from werkbank.llm.tokens import op2_tokens
 
-QUERIES = {"op6_simhash": op6_simhash}
+QUERIES = {"op1_suffix_array": op1_suffix_array, "op2_tokens": op2_tokens, "op3_embeddings": op3_embeddings,
+           "op4_mixing": op4_mixing, "op6_simhash": op6_simhash, "op7_sentencepiece": op7_sentencepiece,
+           "op9_licenses": op9_licenses, "op10_quality": op10_quality}
 
 ORACLE: dict[str, str] = {}

@@ -10,9 +10,11 @@ from werkbank.llm.repeats import op1_suffix_array
 from werkbank.llm.sentencepieces import op7_sentencepiece
 from werkbank.llm.simhash import op6_simhash
 from werkbank.llm.tokens import op2_tokens
+from werkbank.llm.urls import op5_urls
+from werkbank.llm.winnowing import op8_fingerprints
 
 QUERIES = {"op1_suffix_array": op1_suffix_array, "op2_tokens": op2_tokens, "op3_embeddings": op3_embeddings,
-           "op4_mixing": op4_mixing, "op6_simhash": op6_simhash, "op7_sentencepiece": op7_sentencepiece,
+           "op4_mixing": op4_mixing, "op5_urls": op5_urls, "op6_simhash": op6_simhash, "op7_sentencepiece": op7_sentencepiece, "op8_fingerprints": op8_fingerprints,
            "op9_licenses": op9_licenses, "op10_quality": op10_quality}
 
 ORACLE: dict[str, str] = {}

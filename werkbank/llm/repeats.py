@@ -274,6 +274,16 @@ def _keep(text: bytes, runs: np.ndarray | None, length: int) -> tuple[bytes, lis
     return b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2])), spans
 
 
+def as_text(kept: Column) -> Column:
+    """Kept bytes as text; what a cut has left of a character goes."""
+
+    @F.pandas_udf("string")
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([r.decode("utf-8", "ignore") for r in rows], dtype=object)
+
+    return run(kept)
+
+
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     spans = F.col("_kept.spans")

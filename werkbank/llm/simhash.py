@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from werkbank.llm.common import connected_components, stored, table
 
@@ -54,15 +54,17 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """``doc_id`` and ``fingerprint`` (the 64 bits as a signed long) of every document."""
+    """``doc_id``, ``mark`` (a hash of the text) and ``fingerprint`` (64 bits as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([majority(shingle_hashes(x.as_py(), shingle, seed)) for x in batch.column(1)], np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fingerprint"])
+            found = np.array([majority(shingle_hashes(x.as_py(), shingle, seed)) for x in batch.column(2)], np.uint64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found.view(np.int64))],
+                                  ["doc_id", "mark", "fingerprint"])
 
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return thin.mapInArrow(run, "doc_id long, fingerprint long")
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"),
+                       F.col("text").cast("binary").alias("text"))
+    return thin.mapInArrow(run, "doc_id long, mark long, fingerprint long")
 
 
 def trie_pairs(groups: np.ndarray, values: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -164,8 +166,8 @@ def near_links(values: DataFrame, distance: int = 3) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
-    """``doc_id``, ``fingerprint`` (16 lowercase hex digits) and ``component_id``: the smallest doc_id
-    reachable over fingerprints that differ in at most ``distance`` bits, itself included.
+    """``doc_id``, ``mark`` (a hash of the text), ``fingerprint`` (16 lowercase hex digits) and ``component_id``:
+    the smallest doc_id reachable over fingerprints that differ in at most ``distance`` bits, itself included.
 
     Null text counts as empty; documents without words have fingerprint 0 and link like any other.
     Repeated rows stay, one result row each. A row without a doc_id is linked like any other, but
@@ -180,24 +182,20 @@ def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 3, see
     smallest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     named = labelled.join(smallest, "label").select("fingerprint", "component_id")
     return prints.join(named, "fingerprint").select(
-        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+        "doc_id", "mark", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
-    """The documents whose doc_id names their component, columns unchanged; a repeated row once.
-    Rows without a doc_id cannot be named and stay."""
+    """One document of each component, columns unchanged: the one whose doc_id names it. Of rows of one id in a
+    component the text of smallest hash stays, of equal rows one. Rows without a doc_id cannot be named and stay."""
     kept = (simhash_components(docs, shingle, distance, seed).where("doc_id = component_id")
-            .select(F.col("doc_id").alias("_kept")).distinct())
-    found = docs.join(kept, docs["doc_id"] == kept["_kept"], "left")
-    first = F.row_number().over(_per_id())
-    return (found.where("doc_id is null or _kept is not null").withColumn("_row", first)
-            .where("doc_id is null or _row = 1").drop("_kept", "_row"))
-
-
-def _per_id() -> WindowSpec:
-    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    return Window.partitionBy("doc_id", spread).orderBy(F.xxhash64("text"))
+            .groupBy(F.col("doc_id").alias("_id")).agg(F.min("mark").alias("_least")))
+    rows = docs.withColumn("_mark", F.xxhash64("text"))
+    found = rows.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_mark") == F.col("_least")), "left")
+    copy = F.row_number().over(Window.partitionBy("doc_id", "_mark").orderBy("_mark"))
+    return (found.where("doc_id is null or _id is not null").withColumn("_copy", copy)
+            .where("doc_id is null or _copy = 1").drop("_mark", "_id", "_least", "_copy"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_components(table(spark, sf_dir, "documents"))
+    return simhash_components(table(spark, sf_dir, "documents")).drop("mark")

@@ -22,13 +22,37 @@ def rows(spark):
 
 
 def test_only_hot_keys_are_cut(rows):
-    cut = with_pieces(rows, ["k"], "at", hot_rows=500, pieces=16).groupBy("k").agg(
+    cut = with_pieces(rows, ["k"], ["at"], hot_rows=500, pieces=16).groupBy("k").agg(
         F.countDistinct("_piece").alias("n"), F.max(F.col("_hot").cast("int")).alias("h")).collect()
     assert {r.k for r in cut if r.h} == {"hot"}
     assert all(r.n == 1 for r in cut if r.k != "hot")
     assert next(r.n for r in cut if r.k == "hot") == 16
 
 
+def pieces_of(frame, sequence, pieces):
+    sizes = with_pieces(frame, ["k"], sequence, hot_rows=500, pieces=pieces).groupBy("_piece").count().collect()
+    return [r["count"] for r in sizes]
+
+
+@pytest.mark.parametrize("key", ["hot", None])
+def test_pieces_stay_even(spark, key):
+    """One outlying value, equal leading columns, a missing key: no piece much above the mean."""
+    outlier = spark.createDataFrame([(key, i if i else 10 ** 15, i) for i in range(4000)], "k string, at long, i long")
+    ties = spark.createDataFrame([(key, 7, i) for i in range(4000)], "k string, at long, i long")
+    for frame, sequence in ((outlier, ["at"]), (ties, ["at", "i"])):
+        sizes = pieces_of(frame, sequence, 8)
+        assert len(sizes) == 8 and max(sizes) < 2 * 4000 / 8
+
+
+def test_missing_keys_run_like_others(spark, rows):
+    frame = rows.withColumn("k", F.when(F.col("k") != "hot", F.col("k")))
+    w = Window.partitionBy("k").orderBy("at")
+    want = frame.select("k", "at", F.row_number().over(w).alias("p"), F.last("m", ignorenulls=True).over(
+        w.rowsBetween(Window.unboundedPreceding, 0)).alias("l"))
+    got = running_last(frame, ["k"], "at", F.col("m"), hot_rows=500, pieces=9).select("k", "at", "position", "last_mark")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
 @pytest.mark.parametrize("before", [False, True])
 @pytest.mark.parametrize("hot_rows,pieces", [(1, 7), (500, 16), (10 ** 6, 4)])
 def test_running_last_equals_one_window(rows, before, hot_rows, pieces):

@@ -1,25 +1,34 @@
 """Running values and look-ups that stay parallel when one key holds much of the data.
 
 A plain window or join puts all rows of a key into one task. Here the keys that hold many
-rows are found first (a partial aggregate over the key column), and only those are cut into
-pieces. Ordinary keys take the ordinary path.
+rows are found first (a partial aggregate over the key columns), and only those are cut into
+pieces. Ordinary keys take the ordinary path. A missing key is a key like any other.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HOT_ROWS = 1_000_000
 PIECES = 1024
-HOT_KEYS = 1000
+#: Sampled rows per piece from which the borders are taken.
+SAMPLED = 16
+
+
+def _join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on ``keys`` where NULL equals NULL; the columns of ``right`` that are not keys are added."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[f"_right_{k}"]) for k in keys])
+    return left.join(other, on, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def _hot_keys(rows: DataFrame, keys: list[str], hot_rows: int, *extra: Column) -> DataFrame:
-    """The largest keys of at least ``hot_rows`` rows, at most a thousand of them, so this
-    table is safe to broadcast whatever the size of ``rows``. Any key that is left whole has
-    fewer than ``hot_rows`` rows or less than a thousandth of all."""
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *extra).filter(F.col("_n") >= hot_rows)
-    return sizes.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS).drop("_n")
+def _hot_keys(rows: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
+    """The keys of at least ``hot_rows`` rows with their size ``_n``. There are at most as many as
+    the table has times ``hot_rows`` rows; how they are joined is left to the planner."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= hot_rows)
 
 
 def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], within: str, how: str = "inner",
@@ -29,31 +38,47 @@ def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], within: str,
 
     Rows of a hot key are dealt over ``pieces`` by a hash of ``within`` (a column that
     identifies a row in its key), and the ``keyed`` row of a hot key is repeated once per
-    piece. ``how`` is inner, left, left_semi or left_anti. ``sizes_from`` names a cheaper
-    table that has at least as many rows of each key.
+    piece. ``how`` is inner, left, left_semi or left_anti; as in any join by equality, a missing
+    key finds nothing. ``sizes_from`` names a cheaper table that has at least as many rows of
+    each key.
     """
     counted = rows if sizes_from is None else sizes_from
-    hot = F.broadcast(_hot_keys(counted, keys, hot_rows).withColumn("_hot", F.lit(True)))
+    hot = _hot_keys(counted, keys, hot_rows).drop("_n").withColumn("_hot", F.lit(True))
     deal = F.pmod(F.xxhash64(within), F.lit(pieces)).cast("int")
-    dealt = rows.join(hot, keys, "left").withColumn(
+    dealt = _join_keys(rows, hot, keys, "left").withColumn(
         "_piece", F.when(F.col("_hot"), deal).otherwise(0)).drop("_hot")
     each = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))
-    repeated = keyed.join(hot, keys, "left").withColumn("_piece", F.explode(each)).drop("_hot")
+    repeated = _join_keys(keyed, hot, keys, "left").withColumn("_piece", F.explode(each)).drop("_hot")
     return dealt.join(repeated, [*keys, "_piece"], how).drop("_piece")
 
 
-def with_pieces(rows: DataFrame, keys: list[str], cut: str, hot_rows: int = HOT_ROWS,
+def with_pieces(rows: DataFrame, keys: list[str], sequence: list[str], hot_rows: int = HOT_ROWS,
                 pieces: int = PIECES, sizes_from: DataFrame | None = None) -> DataFrame:
-    """Add ``_hot`` and ``_piece``: 0 for ordinary keys, the slice of the range of the integer
-    column ``cut`` for hot ones. The cut depends on the data alone, so that a recomputed task
-    gives the same pieces."""
-    step = F.expr(f"(_hi div {pieces}) - (_lo div {pieces}) + 1")
+    """Add ``_hot`` and ``_piece``: 0 for ordinary keys, for hot ones the place of the row's
+    ``sequence`` columns between borders that split the key's rows evenly.
+
+    Borders are every so many rows of a sample of the key, about ``SAMPLED`` rows per piece, picked by a hash
+    of the sequence: they hang on the data alone, so a recomputed task gives the same pieces.
+    Outlying values and equal leading columns move the borders with them. The place is
+    looked up in two steps, among every so many borders first."""
+    at = F.struct(*sequence)
     counted = rows if sizes_from is None else sizes_from
-    hot = _hot_keys(counted, keys, hot_rows, F.min(cut).alias("_lo"), F.max(cut).alias("_hi"))
-    hot = F.broadcast(hot.select(*keys, "_lo", step.alias("_step")))
-    piece = F.expr(f"coalesce((`{cut}` - _lo) div _step, 0)")
-    return (rows.join(hot, keys, "left").withColumn("_piece", piece)
-            .withColumn("_hot", F.col("_lo").isNotNull()).drop("_lo", "_step"))
+    hot = _hot_keys(counted, keys, hot_rows)
+    sample = _join_keys(rows.select(*keys, at.alias("_sequence")), hot, keys, "inner")
+    sample = sample.filter(F.pmod(F.xxhash64("_sequence"), F.greatest(
+        F.lit(1), F.floor(F.col("_n") / (pieces * SAMPLED)))) == 0)
+    wide = isqrt(pieces - 1) + 1
+    drawn = sample.groupBy(*keys).agg(F.sort_array(F.collect_list("_sequence")).alias("_drawn"))
+    size = F.size("_drawn")
+    border = lambda i: F.get("_drawn", F.floor(i * size / pieces).cast("int"))
+    borders = drawn.select(*keys, F.transform(F.sequence(F.lit(1), F.lit(max(1, pieces - 1))), border).alias("_fine"))
+    borders = borders.withColumn("_coarse", F.filter("_fine", lambda x, i: i % wide == wide - 1))
+    cut = _join_keys(rows, borders, keys, "left").withColumn("_sequence", at)
+    below = lambda c: F.size(F.filter(c, lambda x: x <= F.col("_sequence")))
+    block = cut.withColumn("_block", F.when(F.col("_fine").isNotNull(), below("_coarse")))
+    place = F.col("_block") * wide + below(F.slice("_fine", F.col("_block") * wide + 1, F.lit(wide)))
+    return (block.withColumn("_piece", F.coalesce(place, F.lit(0)) if pieces > 1 else F.lit(0))
+            .withColumn("_hot", F.col("_fine").isNotNull()).drop("_fine", "_coarse", "_block", "_sequence"))
 
 
 def running_last(rows: DataFrame, keys: list[str], cut: str, mark: Column, order: list[str] | None = None,
@@ -62,13 +87,12 @@ def running_last(rows: DataFrame, keys: list[str], cut: str, mark: Column, order
     """Add ``position`` (1-based within the key) and ``last_mark``, the latest non-NULL
     ``mark`` at the row or earlier (``before``: strictly earlier).
 
-    Rows run in the order of the integer column ``cut``, then ``order``. The window runs per
+    Rows run in the order of the column ``cut``, then ``order``. The window runs per
     piece; what crosses a piece border comes from a table with one row per piece of the hot
-    keys. ``sizes_from`` names a cheaper table with the same range of ``cut`` and at least as
-    many rows of each key.
+    keys. ``sizes_from`` names a cheaper table with at least as many rows of each key.
     """
-    cut_rows = with_pieces(rows.withColumn("_mark", mark), keys, cut, hot_rows, pieces, sizes_from)
     sequence = [cut, *(order or [])]
+    cut_rows = with_pieces(rows.withColumn("_mark", mark), keys, sequence, hot_rows, pieces, sizes_from)
     within = Window.partitionBy(*keys, "_piece").orderBy(*sequence)
     end = -1 if before else Window.currentRow
     local = (cut_rows.withColumn("position", F.row_number().over(within))
@@ -80,7 +104,7 @@ def running_last(rows: DataFrame, keys: list[str], cut: str, mark: Column, order
     earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     carried = carried.select(*keys, "_piece", F.sum("_size").over(earlier).alias("_offset"),
                              F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
-    return (local.join(carried, [*keys, "_piece"], "left")
+    return (_join_keys(local, carried, [*keys, "_piece"], "left")
             .withColumn("position", F.col("position") + F.coalesce("_offset", F.lit(0)))
             .withColumn("last_mark", F.coalesce("last_mark", "_carry"))
             .drop("_offset", "_carry", "_mark", "_piece", "_hot"))

@@ -1,9 +1,11 @@
+import random
 from datetime import datetime, timedelta
 
 from helpers import values
 from pyspark.sql import functions as F
 from test_traffic import expected_alerts
 
+from werkbank.plans import traffic
 from werkbank.streaming import jobs
 from werkbank.streaming.sinks import compact, read_latest
 
@@ -56,12 +58,33 @@ def test_sessions_with_late_events(spark, tmp_path):
         (1, 1), (1, 1), (1, 4), (2, 1), (2, 1), (3, 1)]
 
 
-def test_incidents_keep_state_between_triggers(spark, tmp_path):
+def test_sessions_in_any_order_of_arrival(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, START + timedelta(seconds=rng.randrange(3 * 86_400)), rng.randrange(4), rng.choice(["view", "purchase", "click"]), 1.0)
+            for i in range(400)]
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
+    want = sorted(map(tuple, traffic.sessions(spark.createDataFrame(rows, schema)).collect()))
+    rng.shuffle(rows)
+    path = run(jobs.stream_sessions, str(tmp_path), feed(spark, str(tmp_path), rows, schema, 67))
+    assert sorted(map(tuple, jobs.read_sessions(spark, path).collect())) == want
+
+
+def test_incidents_in_any_order_of_arrival(spark, tmp_path):
+    """Runs come late and out of order, and the checks of a run in several batches."""
     runs = [(True, False), (True, True), (False, False), (False, True), (False, True), (True, True), (False, True)]
     schema = "service long, run_id long, healthy boolean, mail_accepted boolean"
-    rows = [(7, i, not f, a) for i, (f, a) in enumerate(runs)]
-    rows[2], rows[3] = rows[3], rows[2]  # out of order within a trigger
-    source = feed(spark, str(tmp_path), rows + [(8, 0, True, True)], schema, 2)
-    got = spark.read.parquet(run(jobs.stream_incidents, str(tmp_path), source) + "/alerts").orderBy("run_id")
+    rows = [(7, i, part or not f, a) for i, (f, a) in enumerate(runs) for part in (False, True)] + [(8, 0, True, True)]
+    random.Random(1).shuffle(rows)
+    source = feed(spark, str(tmp_path), rows, schema, 2)
+    path = run(jobs.stream_incidents, str(tmp_path), source)
+    got = jobs.read_incidents(spark, path).orderBy("run_id")
     assert values(got.filter("service = 7"), "alert") == expected_alerts(runs)
     assert values(got.filter("service = 8"), "alert") == [None]
+
+
+def test_a_late_run_counts(spark, tmp_path):
+    schema = "service long, run_id long, healthy boolean, mail_accepted boolean"
+    rows = [(1, 1, False, True), (1, 5, True, True), (1, 3, True, True)]
+    path = run(jobs.stream_incidents, str(tmp_path), feed(spark, str(tmp_path), rows, schema, 2))
+    got = jobs.read_incidents(spark, path).orderBy("run_id")
+    assert values(got, "run_id", "alert", "notified_before") == [(1, "problem", False), (3, "recovered", True), (5, None, False)]

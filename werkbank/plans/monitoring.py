@@ -4,37 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from werkbank.operators.keyed import latest_by
 from werkbank.operators.ordered import HOT_ROWS, PIECES, running_last
 
 
-def incident_states(checks: DataFrame, prior: DataFrame | None = None, hot_rows: int = HOT_ROWS,
-                    pieces: int = PIECES) -> DataFrame:
+def reduced_runs(checks: DataFrame) -> DataFrame:
+    """One row per run of a service: healthy, or its mail accepted, only if all its checks say so. Rows of
+    parts of the checks, reduced again, give the same, in whatever order they came."""
+    return checks.groupBy("service", "run_id").agg(
+        F.bool_and("healthy").alias("healthy"), F.bool_and("mail_accepted").alias("mail_accepted"))
+
+
+def incident_states(checks: DataFrame, hot_rows: int = HOT_ROWS, pieces: int = PIECES) -> DataFrame:
     """Alert of each run of a service: ``problem`` whenever a check fails, ``recovered`` once
     after a problem whose mail was accepted.
 
     Checks ``(service, run_id, healthy, mail_accepted)`` are reduced to one row per run. What
     is known of an incident changes only when a mail is accepted, so the state before a run is
-    the outcome of the latest earlier run with an accepted mail, or that of ``prior``
-    (``service, run_id, notified``) when all runs are later.
+    the outcome of the latest earlier run with an accepted mail.
     """
-    runs = checks.groupBy("service", "run_id").agg(
-        (~F.bool_and("healthy")).alias("failing"), F.bool_and("mail_accepted").alias("_accepted"))
-    runs = runs.withColumn("_told", F.when(F.col("_accepted"), F.col("failing")))
-    sizes = checks.select("service", "run_id")
-    if prior is not None:
-        runs = runs.unionByName(prior.select("service", "run_id", F.col("notified").alias("_told")),
-                                allowMissingColumns=True)
-        sizes = sizes.unionByName(prior.select("service", "run_id"))
+    runs = reduced_runs(checks).select("service", "run_id", (~F.col("healthy")).alias("failing"), "mail_accepted")
+    runs = runs.withColumn("_told", F.when(F.col("mail_accepted"), F.col("failing"))).drop("mail_accepted")
     told = running_last(runs, ["service"], "run_id", F.col("_told"), before=True, hot_rows=hot_rows,
-                        pieces=pieces, sizes_from=sizes).filter("failing IS NOT NULL")
+                        pieces=pieces, sizes_from=checks.select("service", "run_id"))
     notified = F.coalesce("last_mark", F.lit(False))
     return told.select("service", "run_id", "failing", notified.alias("notified_before"),
                        F.when(F.col("failing"), "problem").when(notified, "recovered").alias("alert"),
                        F.coalesce("_told", notified).alias("notified"))
-
-
-def incident_snapshot(states: DataFrame, prior: DataFrame) -> DataFrame:
-    """What each service knows after its latest run."""
-    columns = ["service", "run_id", "notified"]
-    return latest_by(prior.select(*columns).unionByName(states.select(*columns)), ["service"], ["run_id"])

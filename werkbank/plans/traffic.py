@@ -15,19 +15,25 @@ GAP_SECONDS = 30 * 60
 ENGAGED_SECONDS = 10
 
 
-def _slot_aggregates() -> list:
-    once = lambda kind: F.sum((F.col("event_type") == kind).cast("bigint"))
-    return [F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.count("*").alias("events"),
-            once("view").alias("views"), once("purchase").alias("purchases"),
-            F.min_by("event_type", F.struct("ts", "event_id")).alias("event_type")]
-
-
 def half_hours(events: DataFrame) -> DataFrame:
-    """Events of each user per aligned half hour, batch or stream. A user has at most 48 such
-    rows per day however many events there are, and they are summed on the map side."""
+    """Events of each user per aligned half hour. A user has at most 48 such rows per day however
+    many events there are, and they are summed on the map side."""
+    once = lambda kind: F.sum((F.col("event_type") == kind).cast("bigint"))
+    first = F.struct("ts", "event_id")
     slot = F.window("ts", f"{GAP_SECONDS} seconds")
-    return events.groupBy("user_id", slot.alias("_w")).agg(*_slot_aggregates()).withColumn(
-        "slot", F.unix_seconds("_w.start")).drop("_w")
+    return events.groupBy("user_id", slot.alias("_w")).agg(
+        F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.count("*").alias("events"),
+        once("view").alias("views"), once("purchase").alias("purchases"), F.min_by("event_id", first).alias("first_id"),
+        F.min_by("event_type", first).alias("event_type")).withColumn("slot", F.unix_seconds("_w.start")).drop("_w")
+
+
+def merge_half_hours(slots: DataFrame) -> DataFrame:
+    """One row per user and half hour from rows of parts of the events, in whatever order they came."""
+    first = F.struct("first_at", "first_id")
+    return slots.groupBy("user_id", "slot").agg(
+        F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.sum("events").alias("events"),
+        F.sum("views").alias("views"), F.sum("purchases").alias("purchases"), F.min_by("first_id", first).alias("first_id"),
+        F.min_by("event_type", first).alias("event_type"))
 
 
 def join_half_hours(slots: DataFrame) -> DataFrame:
@@ -61,11 +67,11 @@ def traffic_report(events: DataFrame, metrics: list[str], breakdown: str = "over
     Users are counted in the period or group itself; daily users are never added up. A
     session counts on the day, and under the column value, of its first event.
     """
-    if not metrics or len(metrics) > 10 or len(set(metrics)) != len(metrics) or set(metrics) - set(METRICS):
-        raise ValueError("metrics must be distinct known names")
+    if not metrics or len(set(metrics)) != len(metrics) or set(metrics) - set(METRICS):
+        raise ValueError(f"ask each of {METRICS} at most once, and one at least")
     lo, hi = as_date(start_date, as_of=as_of), as_date(end_date, as_of=as_of)
     if lo > hi:
-        raise ValueError("start_date must not be after end_date")
+        raise ValueError(f"the period ends ({hi}) before it begins ({lo})")
     chosen = events.filter(date_range(F.col("ts"), lo, hi))
     by = [] if breakdown == "overview" else [breakdown]
     day = lambda c: F.to_date(c).alias("date")

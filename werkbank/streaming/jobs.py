@@ -9,10 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from werkbank.functions.dates import bucket
 from werkbank.plans.inventory import forecast_components, save_forecast
-from werkbank.plans.monitoring import incident_snapshot, incident_states
-from werkbank.plans.traffic import half_hours, join_half_hours
+from werkbank.plans.monitoring import incident_states, reduced_runs
+from werkbank.plans.traffic import half_hours, join_half_hours, merge_half_hours
 from werkbank.sources.support import normalise_messages, parse_ticket_pages
-from werkbank.streaming.sinks import read_latest, write_updates
+from werkbank.streaming.sinks import write_updates
 
 
 def stream_messages(raw: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -31,15 +31,15 @@ def stream_counts(source: DataFrame, path: str, checkpoint: str, at: str = "ts",
     return write_updates(counted, path, checkpoint, "update")
 
 
-def stream_sessions(source: DataFrame, path: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
-    """Half hours of activity per user, from which ``read_sessions`` joins the sessions. The
-    state is one row per user and half hour, summed per task before the shuffle, so a very
-    active user is as small as any; rows are accepted up to ``delay`` late."""
-    return write_updates(half_hours(source.withWatermark("ts", delay)), path, checkpoint, "update")
+def stream_sessions(source: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Half hours of activity per user, from which ``read_sessions`` joins the sessions. Each batch
+    writes its own half hours, summed per task before the shuffle, and they merge when they are read:
+    no state is kept, and no row comes too late."""
+    return write_updates(source, path, checkpoint, reduced=half_hours)
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    return join_half_hours(read_latest(spark, path, ["user_id", "slot"]))
+    return join_half_hours(merge_half_hours(spark.read.parquet(path)))
 
 
 def stream_tickets(pages: DataFrame, path: str, checkpoint: str, revision: str) -> StreamingQuery:
@@ -48,27 +48,15 @@ def stream_tickets(pages: DataFrame, path: str, checkpoint: str, revision: str)
     return write_updates(parse_ticket_pages(pages), path, checkpoint, keys=["ticket_id"], order=[revision])
 
 
-_KNOWN = "service bigint, run_id bigint, notified boolean"
-
-
 def stream_incidents(checks: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Alerts of a stream of checks ``(service, run_id, healthy, mail_accepted)`` under
-    ``path/alerts``.
+    """Runs of a stream of checks ``(service, run_id, healthy, mail_accepted)``, from which
+    ``read_incidents`` derives the alerts. Each batch writes one row per run of its own checks, and
+    the rows of a run merge when they are read: runs may arrive late, in parts and in any order."""
+    return write_updates(checks, path, checkpoint, reduced=reduced_runs)
 
-    Each batch continues from the snapshot that the batch before it left under
-    ``path/state``. Both are written per batch, so a repeated batch gives the same rows. Runs
-    are ordered by Spark, not by their arrival.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        prior = (spark.read.schema(_KNOWN).parquet(f"{path}/state/batch_id={batch_id - 1}") if batch_id
-                 else spark.createDataFrame([], _KNOWN))
-        incident_states(batch, prior).write.mode("overwrite").parquet(f"{path}/alerts/batch_id={batch_id}")
-        written = spark.read.parquet(f"{path}/alerts/batch_id={batch_id}")
-        incident_snapshot(written, prior).write.mode("overwrite").parquet(f"{path}/state/batch_id={batch_id}")
 
-    return (checks.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-            .foreachBatch(write).start())
+def read_incidents(spark: SparkSession, path: str) -> DataFrame:
+    return incident_states(spark.read.parquet(path))
 
 
 def daily_forecast(spark: SparkSession, erp: dict[str, DataFrame], path: str, as_of: datetime,
@@ -79,13 +67,5 @@ def daily_forecast(spark: SparkSession, erp: dict[str, DataFrame], path: str, as
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; a folder of our own only
-    in local mode, where nothing is named."""
-    import tempfile
-
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="werkbank-")
-    raise ValueError("set spark.checkpoint.dir to a shared folder")
+    """The folder that all executors share, as the cluster names it, else the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")

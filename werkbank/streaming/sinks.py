@@ -7,6 +7,8 @@ an update never rewrites rows that are already stored, and no late row is lost.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,10 +17,12 @@ from werkbank.operators.keyed import latest_by
 
 def write_updates(stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
                   trigger: dict | None = None, keys: list[str] | None = None,
-                  order: list[str] | None = None) -> StreamingQuery:
-    """Start writing a stream; with ``keys`` each batch is reduced to its newest row per key."""
+                  order: list[str] | None = None,
+                  reduced: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Start writing a stream; with ``keys`` each batch is reduced to its newest row per key, with
+    ``reduced`` to what that function makes of it."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = latest_by(batch, keys, order) if keys else batch
+        rows = latest_by(batch, keys, order) if keys else reduced(batch) if reduced else batch
         rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)

@@ -1,11 +1,13 @@
+import html
 import json
 from datetime import date
 from hashlib import sha256
+from html import entities
 
 from helpers import table, values
 from pyspark.sql import functions as F
 
-from werkbank.functions.text import draft_text, html_text
+from werkbank.functions.text import draft_text, html_text, unescape
 from werkbank.operators.keyed import dedupe_keep_first, missing_ids, upsert_latest
 from werkbank.plans import support as S
 from werkbank.sources.schemas import GENERATION_LOGS, MESSAGES
@@ -152,9 +154,18 @@ def test_translations(spark):
     assert (done["3"], done["4"], done["5"], done["0"]) == ("", " \n\t", "deux", None)
 
 
+def test_every_reference(spark):
+    """All names, with text around them, and numbers, as Python's library reads them."""
+    texts = [f"a&{n}b &{n}; x&{n}" for n in entities.html5]
+    texts += [f"&#{i}; &#{i} x &#x{i:x};" for i in (*range(0, 200), 228, 8364, 0xD800, 0xDFFF, 0xFFFE, 0xFDD0, 0x10FFFF, 0x110000, 0x1F600)]
+    texts += ["&amp;lt; &amp;amp;", "&& &x &#; &#x; &;", "&notit; &notin; &ampfoo", "", "no", "&#0000065;", "&#99999999999999999999;"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", unescape(F.col("t")).alias("u")).collect()
+    assert {r["i"]: r["u"] for r in rows} == {i: html.unescape(t) for i, t in enumerate(texts)}
+
+
 def test_html(spark):
     page = ("<!DOCTYPE html><html><style>a>b{}</style><SCRIPT type='x'>if (a<b) '</p>'</SCRIPT ><p> One <b>two</b><br/>"
             "<!-- no <i>text</i> -->three &amp;lt; &lt;4&gt;&nbsp;</p><i title=\"a > b\" x='>'>&#39;&#x20AC;&#128512;&#0;&#xD800;&#9999999;&amp;#39; &amp, &ampx &am; &AMP</i>\n  \n<p>last\nline</p>")
     row = spark.createDataFrame([(page, "a&amp;amp;b<br />&quot;c&quot;")], "h string, d string")
-    assert values(row.select(html_text(F.col("h")).alias("t")), "t") == ["One\ntwo\nthree &lt; <4>\n'€\U0001F600\ufffd\ufffd\ufffd&#39; &, &ampx &am; &AMP\nlast\nline"]
+    assert values(row.select(html_text(F.col("h")).alias("t")), "t") == ["One\ntwo\nthree &lt; <4>\n'€\U0001F600\ufffd\ufffd\ufffd&#39; &, &x &am; &\nlast\nline"]
     assert values(row.select(draft_text(F.col("d")).alias("t")), "t") == ['a&amp;b\n"c"']

@@ -1,6 +1,9 @@
 """Text columns: collation-like matching, SKU groups and HTML to text."""
 
+import html
+import json
 import re
+from html import entities
 
 from pyspark.sql import Column, functions as F
 
@@ -46,38 +49,62 @@ def sku_group(column: Column) -> Column:
     return F.when(prefix == "", column).otherwise(prefix)
 
 
-# HTML entity name -> character; ``amp`` comes last so that nothing is decoded twice.
-ENTITIES = (
-    ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", "\u00a0"), ("copy", "©"),
-    ("reg", "®"), ("middot", "·"), ("ndash", "–"), ("mdash", "—"), ("hellip", "…"), ("euro", "€"),
-    ("laquo", "«"), ("raquo", "»"), ("amp", "&"),
-)
 _BREAK = "\u0001"
 # Quoted attribute values may hold ">"; the last alternative takes tags with an open quote.
 _NOT_TEXT = (r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<!doctype[^>]*>"
              r"""|</?[a-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|</?[a-z][^>]*>""")
 
 
-def _numeric(column: Column, pattern: str, base: int) -> Column:
-    """Replace numeric references; each distinct one is decoded once per text."""
-    def decoded(text: Column, reference: Column) -> Column:
-        digits = F.regexp_extract(reference, pattern, 1)
-        code = F.conv(digits, base, 10).cast("int")
-        character = F.decode(F.unhex(F.lpad(F.conv(digits, base, 16), 8, "0")), "UTF-32")
-        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        return F.replace(text, reference, F.when(valid, character).otherwise("\ufffd"))
+# A reference as HTML reads it: a number, or up to 32 characters that may be or begin with a name.
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
-    found = F.array_distinct(F.regexp_extract_all(column, F.lit(pattern), F.lit(0)))
-    return F.aggregate(found, column, decoded)
+
+def _literal_map(values: dict, kind: str) -> Column:
+    """A literal map; written as JSON, it is one constant of the plan instead of thousands."""
+    return F.from_json(F.lit(json.dumps(values)), f"map<string,{kind}>")
+
+
+def _numbers() -> dict[str, str]:
+    """What the numbers below 160 stand for: controls and the Windows characters among them."""
+    return {str(code): html.unescape(f"&#{code};") for code in range(160)}
+
+
+def _number(reference: Column) -> Column:
+    """The character of a numeric reference."""
+    sixteen = reference.rlike("^&#[xX]")
+    digits = F.ltrim(F.regexp_extract(reference, "([0-9a-fA-F]+);?$", 1), F.lit("0"))
+    # Seven digits hold every code point; whatever is longer is none.
+    code = F.when(F.length(digits) > 7, F.lit(0x110000)).otherwise(F.coalesce(F.when(
+        sixteen, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("int"), F.lit(0)))
+    character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    nothing = code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
+    return (F.when(code < 160, F.element_at(_literal_map(_numbers(), "string"), code.cast("string")))
+            .when(code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd").when(nothing, "").otherwise(character))
+
+
+def _named(reference: Column) -> Column:
+    """The characters of a named reference. Old names need no semicolon, so the longest one that the
+    text begins with counts; a text without any stays."""
+    old = {n: c for n, c in entities.html5.items() if not n.endswith(";")}
+    longest = max(map(len, old))
+    name = F.substring(reference, 2, 64)
+    size = F.least(F.length(name), F.lit(longest))
+    known = _literal_map(old, "string")
+    begins = F.filter(F.transform(F.sequence(size, F.lit(1), F.lit(-1)), lambda n: F.substring(name, F.lit(1), n)),
+                      lambda p: F.map_contains_key(known, p))
+    start = F.get(begins, F.lit(0))
+    return F.coalesce(F.try_element_at(_literal_map(entities.html5, "string"), name), F.concat(
+        F.element_at(known, start), F.substring(name, F.length(start) + 1, F.lit(64))), reference)
 
 
 def unescape(column: Column) -> Column:
-    """Decode HTML entities; the semicolon may be missing before anything but a letter or
-    digit, unknown names stay as they are."""
-    text = _numeric(_numeric(column, "&#([0-9]{1,7});", 10), "&#[xX]([0-9a-fA-F]{1,6});", 16)
-    for name, character in ENTITIES:
-        text = F.regexp_replace(text, f"&{name}(?:;|(?![A-Za-z0-9]))", character)
-    return F.when(column.contains("&"), text).otherwise(column)
+    """Decode HTML references as HTML does: every name, with or without semicolon where it may be
+    missing, and numbers. One pass over the text: its references are decoded and put between the
+    parts around them, so nothing is decoded twice."""
+    found = F.regexp_extract_all(column, F.lit(_REFERENCE), F.lit(0))
+    decoded = F.transform(found, lambda r: F.when(r.startswith("&#"), _number(r)).otherwise(_named(r)))
+    parts = F.zip_with(F.split(column, _REFERENCE), decoded, lambda part, d: F.concat(part, F.coalesce(d, F.lit(""))))
+    return F.when(column.contains("&"), F.array_join(parts, "")).otherwise(column)
 
 
 def html_text(column: Column) -> Column:

@@ -70,7 +70,7 @@ def test_incidents(spark, hot_rows):
     runs = [(rng.random() < 0.4, rng.random() < 0.7) for _ in range(300)]
     checks = [("s", i, not failing if j == 0 else True, accepted) for i, (failing, accepted) in enumerate(runs) for j in (0, 1)]
     frame = spark.createDataFrame(checks, "service string, run_id long, healthy boolean, mail_accepted boolean")
-    got = monitoring.incident_states(frame, None, hot_rows, 16).orderBy("run_id")
+    got = monitoring.incident_states(frame, hot_rows, 16).orderBy("run_id")
     assert values(got, "alert") == expected_alerts(runs)
 
 
@@ -84,7 +84,7 @@ def nearest(queries, chunks, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("limits", [dict(), dict(broadcast_queries=3, chunks_per_cell=40, queries_per_block=4)])
+@pytest.mark.parametrize("limits", [dict(), dict(cells=5, blocks=4), dict(cells=1)])
 def test_precedents_equal_brute_force(spark, limits):
     rng = random.Random(11)
     vector = lambda: [rng.uniform(-1, 1) for _ in range(6)]

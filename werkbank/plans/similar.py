@@ -13,9 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TOP_K = 5
-BROADCAST_QUERIES = 1024
-CHUNKS_PER_CELL = 20_000
-QUERIES_PER_BLOCK = 1024
+CELLS, BLOCKS = 8, 1
 
 _HITS = T.StructType([T.StructField("query_id", T.StringType()), T.StructField("chunk_id", T.LongType()),
                       T.StructField("ticket_id", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -28,20 +26,16 @@ def _unit(vectors) -> np.ndarray:
 
 
 def _top(queries: pd.DataFrame, unit: np.ndarray, chunks: pd.DataFrame, k: int) -> pd.DataFrame:
-    """At most ``k`` chunks per query among the chunks whose payload fits, by score and id."""
+    """At most ``k`` chunks per query, by score and id."""
     if not len(queries) or not len(chunks):
         return pd.DataFrame(columns=_HITS.names)
     scores = unit @ _unit(chunks["vector"]).T
-    for column in ("product_sku", "status"):
-        codes, _ = pd.factorize(pd.concat([queries[column], chunks[column]], ignore_index=True))
-        asked, have = codes[:len(queries), None], codes[None, len(queries):]
-        scores[(asked != have) & (asked != -1)] = -np.inf
     ids = chunks["chunk_id"].to_numpy()
     if len(ids) > k:
         border = np.partition(scores, -k, axis=1)[:, -k:].min(axis=1, keepdims=True)
     else:
         border = np.full((len(queries), 1), -np.inf)
-    row, column = np.nonzero((scores >= border) & np.isfinite(scores))
+    row, column = np.nonzero(scores >= border)
     order = np.lexsort((ids[column], -scores[row, column], row))
     row, column = row[order], column[order]
     within = np.arange(len(row)) - np.searchsorted(row, row)
@@ -50,59 +44,56 @@ def _top(queries: pd.DataFrame, unit: np.ndarray, chunks: pd.DataFrame, k: int)
                          "ticket_id": chunks["ticket_id"].to_numpy()[column], "score": scores[row, column]})
 
 
-def precedents(queries: DataFrame, chunks: DataFrame, k: int = TOP_K,
-               broadcast_queries: int = BROADCAST_QUERIES, chunks_per_cell: int = CHUNKS_PER_CELL,
-               queries_per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
+def precedents(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, cells: int = CELLS,
+               blocks: int = BLOCKS) -> DataFrame:
     """The ``k`` nearest precedents by cosine of each query, the asking ticket itself removed
     afterwards, so that fewer than ``k`` may remain.
 
     ``queries`` has ``query_id, ticket_id, product_sku, status, vector``; a NULL sku or status
-    does not filter. ``chunks`` has a unique ``chunk_id``. A checked small batch of queries is
-    sent to every task, which keeps at most ``k`` candidates per query and Arrow batch; no
-    vector of the collection is moved. A larger batch is laid out as a grid: chunks in cells
-    and queries in blocks of bounded size, each pair of a cell and a block scored by one
-    group, so that no task holds more than one of each. Both are exact.
+    does not filter. ``chunks`` has a unique ``chunk_id``. The search is exact. Queries that ask for
+    the same sku and status form a group and meet only chunks that have them. The chunks of a group
+    are dealt to ``cells`` and its queries to ``blocks``, and each cell meets each block in one task's
+    group: choose them so that a cell and a block fit in memory. Every chunk is copied once per
+    block, every query once per cell.
     """
-    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "product_sku", "status", "vector").filter("vector IS NOT NULL")
-    stored = chunks.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "ticket_id", "product_sku",
-                           "status", "vector").filter("vector IS NOT NULL")
-    head = asked.limit(broadcast_queries + 1).toPandas()
-    if len(head) <= broadcast_queries:
-        found = _scan(head, stored, k)
-    else:
-        found = _grid(asked, stored, k, chunks_per_cell, queries_per_block)
+    payload = ["product_sku", "status"]
+    # New columns, as queries may come from the chunks themselves.
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), *[F.col(c).alias(c) for c in (
+        *payload, "vector")]).filter("vector IS NOT NULL")
+    stored = chunks.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "ticket_id", *payload,
+                           "vector").filter("vector IS NOT NULL")
+    found = _grid(asked, stored, payload, k, cells, blocks)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     top = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     own = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("ticket_id").alias("_own"))
     return (top.join(own, "query_id").filter(~F.col("ticket_id").eqNullSafe(F.col("_own"))).drop("_own"))
 
 
-def _scan(head: pd.DataFrame, stored: DataFrame, k: int) -> DataFrame:
-    unit = _unit(head["vector"]) if len(head) else np.zeros((0, 0))
-    small = head.drop(columns="vector")
-
-    def score(batches):
-        for batch in batches:
-            yield _top(small, unit, batch, k)
-
-    return stored.mapInPandas(score, _HITS)
-
-
-def _grid(asked: DataFrame, stored: DataFrame, k: int, per_cell: int, per_block: int) -> DataFrame:
-    cells = max(1, -(-stored.count() // per_cell))
-    blocks = max(1, -(-asked.count() // per_block))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn(
+def _grid(asked: DataFrame, stored: DataFrame, payload: list[str], k: int, cells: int, blocks: int) -> DataFrame:
+    kind = F.struct(*[F.col(c).isNotNull().alias(c) for c in payload])
+    # What is asked for, as text: the columns that filter, and their values.
+    names = [F.when(F.col(f"_kind.{c}"), F.col(c)) for c in payload]
+    group = F.to_json(F.struct("_kind", *[n.alias(f"_{c}") for n, c in zip(names, payload)]))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("_kind", kind).withColumn("group", group)
+    groups = left.select("group").distinct()
+    # A chunk is offered to each of the four ways to filter; those that nobody uses go at once.
+    ways = F.array(*[F.struct(F.lit(a).alias(payload[0]), F.lit(b).alias(payload[1])) for a in (True, False) for b in (True, False)])
+    right = stored.withColumn("_kind", F.explode(ways)).filter(
+        " and ".join(f"(not _kind.{c} or {c} is not null)" for c in payload)).withColumn("group", group)
+    right = right.join(groups, "group", "left_semi")
+    left = left.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn(
         "cell", every(cells))
-    right = stored.withColumn("cell", F.pmod(F.xxhash64("chunk_id"), F.lit(cells)).cast("int")).withColumn(
+    right = right.withColumn("cell", F.pmod(F.xxhash64("chunk_id"), F.lit(cells)).cast("int")).withColumn(
         "block", every(blocks))
 
     def score(queries: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
         unit = _unit(queries["vector"]) if len(queries) else np.zeros((0, 0))
         return _top(queries, unit, chunk, k)
 
-    key = ["cell", "block"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(score, _HITS)
+    key = ["group", "cell", "block"]
+    return left.drop("_kind", *payload).groupBy(*key).cogroup(right.drop("_kind", *payload).groupBy(*key)).applyInPandas(
+        score, _HITS)
 
 
 def precedent_payload(found: DataFrame, chunks: DataFrame) -> DataFrame:

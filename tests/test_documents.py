@@ -1,7 +1,8 @@
+import pytest
 from helpers import erp, table, values
 
 from werkbank.plans import documents as D
-from werkbank.sources.schemas import BELEGP
+from werkbank.sources.schemas import BELEG, BELEGP, MITARBW
 
 
 def line(i, number, kind, sku, line_type, quantity=1, price=0, name=None):
@@ -27,18 +28,19 @@ def test_items_and_rejects(spark):
         assert values(D.order_item_rejects(lines, hot_rows, 3), "sku", sort=True) == ["CP003", "CP009"]
 
 
-def nested(rows):
-    return [(r["part"], [(i["sku"], [c["sku"] for c in i["components"]]) for i in r["items"]]) for r in rows]
-
-
-def test_nested_items_in_parts(spark, monkeypatch):
-    items = D.order_items(table(spark, BELEGP, LINES))
-    assert nested(D.nest_items(items).collect()) == [
-        (0, [("PC001", ["CP001", "ME001"]), ("AR001", []), ("PC002", ["CP002"])])]
-    monkeypatch.setattr(D, "LINES_PER_PART", 2)
-    assert nested(D.nest_items(items).orderBy("part").collect()) == [
-        (0, [("PC001", ["CP001"])]), (1, [(None, ["ME001"]), ("AR001", [])]), (2, [("PC002", [])]),
-        (3, [(None, ["CP002"])])]
+def test_one_grain_for_any_length(spark):
+    """A PC of 1500 components and one of two: the same columns, every component with its PC."""
+    long = [line(1, "RA1", "R", "PC1", "H")] + [line(i, "RA1", "R", f"CP{i}", "K") for i in range(2, 1502)]
+    short = [line(2001, "RA2", "R", "PC2", "H"), line(2002, "RA2", "R", "CP1", "K"), line(2003, "RA2", "R", "CP2", "K")]
+    head = lambda number: dict(Belegnummer=number, Belegtyp="R", Status=0, EuroBrutto="100", AngelegtAm="2026-01-01 00:00:00")
+    rows = D.order_360(erp(spark, beleg=[head("RA1"), head("RA2")], belegp=long + short)).collect()
+    of = lambda number: sorted((r for r in rows if r["document_number"] == number), key=lambda r: r["position"])
+    assert [len(of("RA1")), len(of("RA2"))] == [1501, 3]
+    for number, pc in (("RA1", 1), ("RA2", 2001)):
+        first, *parts = of(number)
+        assert first["line_type"] == "H" and first["parent_line_id"] is None
+        assert {p["parent_line_id"] for p in parts} == {pc}
+        assert {r["selling_price"] for r in of(number)} == {100}
 
 
 def test_order_360(spark):
@@ -48,16 +50,39 @@ def test_order_360(spark):
         {**base, "AngelegtAm": "2025-01-01 10:00:00", "Name": "Old"}, base,
         dict(Belegnummer="BX", Belegtyp="B", Status=0, AngelegtAm="2026-01-01 00:00:00", Vertreter=77)],
         belegp=LINES, mitarbw=[dict(Nr=8, Name="Shop")])
-    rows = {r["document_number"]: r for r in D.order_360(tables).collect()}
+    found = D.order_360(tables).collect()
+    rows = {r["document_number"]: r for r in found}
     order = rows["RA1"]
     assert (order["customer_name"], order["platform"], order["order_number"], order["lifecycle_state"]) == (
         "Ann Doe", "Shop", "0012", "ready_or_sent")
     assert order["tracking_number"] is None and order["production_cost"] is None
-    assert [i["sku"] for i in order["items"]] == ["PC001", "AR001", "PC002"]
+    items = sorted((r["position"], r["sku"], r["parent_line_id"]) for r in found if r["document_number"] == "RA1")
+    assert [i[1:] for i in items] == [("PC001", None), ("CP001", 1), ("ME001", 1), ("AR001", None), ("PC002", None), ("CP002", 6)]
     supplier = rows["BX"]
-    assert supplier["platform"] is None and supplier["items"] is None and supplier["part"] == 0
+    assert supplier["platform"] is None and supplier["sku"] is None and supplier["position"] is None
     assert supplier["lifecycle_label"] == "Unknown combination: B/0" and supplier["customer_name"] is None
-    assert [r["document_number"] for r in D.order_360(tables, [" ra1 "]).collect()] == ["RA1"]
+    assert {r["document_number"] for r in D.order_360(tables, [" ra1 "]).collect()} == {"RA1"}
+
+
+def test_channel_names_by_map_and_by_join(spark, monkeypatch):
+    from werkbank.plans import sales
+
+    beleg = table(spark, BELEG, [dict(Belegnummer=str(i), Belegtyp="R", Status=0, Vertreter=v, AngelegtAm="2026-01-01 00:00:00")
+                                 for i, v in enumerate([8, 8, 9, None])])
+    names = table(spark, MITARBW, [dict(Nr=8, Name="Shop"), dict(Nr=1, Name="Other")])
+    for many in (False, True):
+        got = sales.order_header(beleg, names, many)
+        assert values(got, "document_number", "platform", sort=True) == [("0", "Shop"), ("1", "Shop"), ("2", None), ("3", None)]
+    monkeypatch.setattr(sales, "CHANNELS", 1)
+    with pytest.raises(Exception, match="many_channels"):
+        sales.order_header(beleg, names).collect()
+
+
+def test_only_lines_on_a_chain_are_summed(spark):
+    """The lines meet the wanted numbers before any sum."""
+    plan = D.missing_components(chain(spark))._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan[plan.index("Aggregate [Belegnummer"):]
+    assert "LeftSemi" in lines
 
 
 def shortages(spark, now, was):

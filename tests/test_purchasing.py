@@ -75,7 +75,7 @@ def test_co_purchase_summary(baskets):
         with pytest.raises(ValueError):
             P.co_purchase(baskets, bad)
     with pytest.raises(ValueError):
-        P.co_purchase_summary(baskets, ["A"], 101)
+        P.co_purchase_summary(baskets, ["A"], -1)
 
 
 def test_co_purchase_pairs(spark, baskets):

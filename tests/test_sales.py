@@ -68,7 +68,11 @@ def test_order_list(spark):
     t = tables(spark, [*SPAN, order("6", "2026-05-01 00:00:00", 1, Name="Smith", Vorname=None),
                        order("7", "2026-05-01 00:00:00", 1, Adressnummer="K000000")])
     assert values(S.filter_orders(t, limit=2), "document_number") == ["5", "6"]
-    assert values(S.filter_orders(t, sort="oldest", limit=0), "document_number") == ["1"]
+    assert values(S.filter_orders(t, sort="oldest", limit=1), "document_number") == ["1"]
+    with pytest.raises(ValueError):
+        S.filter_orders(t, limit=0)
+    many = tables(spark, [order(str(i), "2026-05-01 00:00:00", 1) for i in range(150)])
+    assert S.filter_orders(many, limit=140).count() == 140
     assert values(S.filter_orders(t, customer_name="ann doe", date_to="2025-12-31"), "document_number", sort=True) == ["1", "2"]
     assert values(S.filter_orders(t, customer_name="smi%"), "customer_name") == ["Smith"]
     assert values(S.count_orders(t, lifecycle_state="ready_or_sent"), "order_count") == [6]
@@ -110,6 +114,11 @@ def test_chart_pages_records(spark):
     assert values(to_chart(df, ["year", "month"], ["revenue", "order_count"]), "x", "y", "series") == [
         ("Jan 2026", 2.0, "order_count"), ("Feb 2026", 5.0, "revenue"), ("Feb 2026", 1.0, "order_count")]
     assert values(to_chart(df.limit(1).select("revenue"), [], ["revenue"]), "x", "y", "series") == [("Total", 5.0, None)]
+    days = spark.range(300).selectExpr("date_add(date'2024-01-01', cast(id AS int)) AS day", "id AS a")
+    days = days.withColumn("day", days["day"].cast("string"))
+    assert to_chart(days, ["day"], ["a"]).count() == 300
+    assert {r["truncated"] for r in to_chart(days, ["day"], ["a"], 299).collect()} == {True}
+    assert {r["truncated"] for r in to_chart(days, ["day"], ["a"], 300).collect()} == {False}
     many = spark.range(30)
     assert values(page(many, ["id"], 10, 5), "id", "row_count", "next_offset")[0] == (10, 30, 15)
     assert values(page(many, ["id"], 25, 5), "next_offset")[0] is None

@@ -29,10 +29,10 @@ def article_arguments(**given) -> dict:
     for name in ("ean", "producer_ean"):
         if given.get(name) is not None and (
                 not isinstance(given[name], str) or not given[name].strip()):
-            raise ValueError("EAN and ProducerEAN must be non-empty strings")
+            raise ValueError(f"{name} is blank")
     args = {k: v for k, v in given.items() if v is not None and v != ""}
     if not args:
-        raise ValueError("At least one item filter must be provided.")
+        raise ValueError("an article search without any attribute would match every article")
     if "category" in args:
         args["category"] = args["category"].strip().upper()
     for prefix, category in _IMPLIED.items():
@@ -43,29 +43,29 @@ def article_arguments(**given) -> dict:
                          ("cpu_generation", "cpu_manufacturer"),
                          ("case_model", "case_manufacturer")):
         if needs in args and maker not in args:
-            raise ValueError(f"{maker} is required when {needs} is provided")
+            raise ValueError(f"{needs} is only known together with {maker}")
     if "gpu_series" in args:
         maker = "AMD" if args["gpu_series"] == "Radeon" else "NVIDIA"
         if args.setdefault("gpu_manufacturer", maker) != maker:
-            raise ValueError("gpu_series does not match gpu_manufacturer")
+            raise ValueError(f"{args['gpu_series']} cards are not made by {args['gpu_manufacturer']}")
     if "cpu_model" in args:
         model = str(args["cpu_model"]).strip().upper()
         if not re.fullmatch(r"\d+([A-Z][A-Z0-9]*)?", model) or int(re.match(r"\d+", model)[0]) == 0:
-            raise ValueError("cpu_model must be an exact model such as 14900KF or 7800X3D")
+            raise ValueError(f"{args['cpu_model']!r} is no model number (digits, then perhaps letters)")
         args["cpu_model"] = model
     if args.get("cpu_generation", 1) <= 0:
-        raise ValueError("cpu_generation must be greater than zero")
+        raise ValueError("CPU tiers count from 1")
     if "case_manufacturer" in args:
         makers = {maker.casefold(): maker for maker in K.CASE_MODELS}
         maker = makers.get(args["case_manufacturer"].strip().casefold())
         if maker is None:
-            raise ValueError("case_manufacturer is not in the case list")
+            raise ValueError(f"the case list has no maker {args['case_manufacturer']!r}")
         args["case_manufacturer"] = maker
         if "case_model" in args:
             models = {model.casefold(): model for model in K.CASE_MODELS[maker]}
             model = models.get(args["case_model"].strip().casefold())
             if model is None:
-                raise ValueError("case_model is not available for case_manufacturer")
+                raise ValueError(f"{maker} has no case {args['case_model']!r} in the list")
             args["case_model"] = model
     return args
 
@@ -191,7 +191,7 @@ def delivery_status(status: str | None = None) -> Column:
     if status is None:
         return sign.isNotNull()
     if status not in ("waiting", "received"):
-        raise ValueError("status must be received or waiting")
+        raise ValueError(f"a delivery is waiting or received, not {status!r}")
     return sign < 0 if status == "waiting" else sign >= 0
 
 

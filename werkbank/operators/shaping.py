@@ -21,10 +21,10 @@ def sort_head(df: DataFrame, sort_by: str | None, ties: list[str], descending: b
 
 def page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     """One page of a totally ordered result with ``row_count`` and ``next_offset``."""
-    if type(limit) is not int or not 1 <= limit <= 250_000:
-        raise ValueError("limit must be an integer between 1 and 250000")
+    if type(limit) is not int or limit < 1:
+        raise ValueError("a page needs a whole number of rows, at least one")
     if type(offset) is not int or offset < 0:
-        raise ValueError("offset must be a nonnegative integer")
+        raise ValueError("a page starts at row 0 or later")
     total = df.agg(F.count("*")).scalar()
     end = offset + limit
     return (df.orderBy(*order).offset(offset).limit(limit).withColumn("row_count", total)
@@ -51,9 +51,10 @@ def limit_flag(df: DataFrame, order: list, limit: int) -> DataFrame:
             .filter(F.col("_place") <= limit).drop("_one", "_place"))
 
 
-def to_chart(df: DataFrame, groups: list[str], metrics: list[str], limit: int | None = 100) -> DataFrame:
+def to_chart(df: DataFrame, groups: list[str], metrics: list[str], limit: int | None = None) -> DataFrame:
     """Long ``(x, y, series)`` points of a grouped result, in chart order, NULL values
-    dropped. Day and week come first in the label; year and month are one 'Mon yyyy' label."""
+    dropped. Day and week come first in the label; year and month are one 'Mon yyyy' label.
+    All points; only with a ``limit`` the first ones, and ``truncated`` tells whether more exist."""
     lead = next((g for g in ("day", "week") if g in groups), None)
     if lead:
         names = [lead] + [g for g in groups if g != lead]
@@ -71,11 +72,10 @@ def to_chart(df: DataFrame, groups: list[str], metrics: list[str], limit: int |
     shaped = df.select(label.alias("x"), *groups, *[F.col(m).cast("double").alias(m) for m in metrics])
     points = (shaped.unpivot(["x", *groups], metrics, "metric", "y").filter("y IS NOT NULL")
               .withColumn("_rank", F.array_position(F.array(*map(F.lit, metrics)), F.col("metric"))))
-    points = points.orderBy(*order, "_rank")
-    if limit is not None:
-        points = points.limit(limit)
     series = F.col("metric") if len(metrics) > 1 else F.lit(None).cast("string")
-    return points.select("x", "y", series.alias("series"))
+    if limit is None:
+        return points.orderBy(*order, "_rank").select("x", "y", series.alias("series"))
+    return limit_flag(points, [*order, "_rank"], limit).select("x", "y", series.alias("series"), "truncated")
 
 
 def to_records(df: DataFrame) -> DataFrame:

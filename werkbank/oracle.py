@@ -49,7 +49,7 @@ SELECT strftime(make_date(year, month, 1), '%b %Y') AS x, y, series FROM (
   UNION ALL
   SELECT year, month, CAST(order_count AS DOUBLE), 'order_count', 2
   FROM ({_analysis(["order_count"], ["year", "month"])}))
-WHERE y IS NOT NULL ORDER BY year, month, r LIMIT 100"""
+WHERE y IS NOT NULL ORDER BY year, month, r"""
 
 _LIST = f"{V.SALES} AND Adressnummer <> 'K000000'"
 _LIST_COLUMNS = """SELECT Belegnummer AS document_number, IhrAuftrag AS order_number, Belegtyp AS document_type,
@@ -59,7 +59,7 @@ _LIST_COLUMNS = """SELECT Belegnummer AS document_number, IhrAuftrag AS order_nu
   CAST(UebernahmeOffen AS DOUBLE) AS production_cost, CAST(ErloesEuro AS DOUBLE) AS gross_profit FROM beleg"""
 _beleg = V.with_views(V.BELEG)
 ORACLE["filter_orders_newest"] = (f"{_beleg}{_LIST_COLUMNS} WHERE {_LIST} AND Belegtyp = 'R' AND Status = 0 "
-                                  "ORDER BY AngelegtAm DESC, Belegnummer LIMIT 100")
+                                  "ORDER BY AngelegtAm DESC, Belegnummer LIMIT 250")
 ORACLE["filter_orders_customer"] = f"""{_beleg}{_LIST_COLUMNS} WHERE {_LIST} AND Belegtyp = 'L'
   AND Belegnummer ILIKE '%la0%' AND AngelegtAm >= TIMESTAMP '1996-01-01' AND AngelegtAm < TIMESTAMP '2001-01-01'
   AND (trim(coalesce(Name, '') || ' ' || coalesce(Vorname, '')) ILIKE '%ben customer#%'
@@ -74,13 +74,13 @@ ORACLE["count_orders_period"] = (
 ORACLE["lifecycle_breakdown"] = f"""{_beleg}
 SELECT t AS document_type, Status AS order_status, n AS order_count, {V.STATE_COLUMNS}
 FROM (SELECT Belegtyp AS t, Status, CAST(Status AS VARCHAR) AS s, count(*) AS n FROM beleg
-      WHERE {_LIST} AND AngelegtAm >= TIMESTAMP '1996-01-01' AND AngelegtAm < TIMESTAMP '2001-02-01'
+      WHERE {_LIST} AND Belegtyp IN ('D', 'L', 'R')
+        AND AngelegtAm >= TIMESTAMP '1996-01-01' AND AngelegtAm < TIMESTAMP '2001-02-01'
       GROUP BY Belegtyp, Status)"""
 for _grain in ("day", "week", "month"):
     ORACLE[f"orders_over_time_{_grain}"] = (
         f"{_beleg}SELECT strftime(date_trunc('{_grain}', AngelegtAm), '%Y-%m-%d') AS period, count(*) AS orders "
-        f"FROM beleg WHERE {V.SALES} AND Netto <> 0 AND Belegtyp = 'R' GROUP BY 1 ORDER BY 1"
-        + (" LIMIT 100" if _grain == "month" else ""))
+        f"FROM beleg WHERE {V.SALES} AND Netto <> 0 AND Belegtyp = 'R' GROUP BY 1 ORDER BY 1")
 _HEADER = f"""SELECT Belegnummer AS document_number, IhrAuftrag AS order_number, t AS document_type,
   Status AS order_status, strftime(AngelegtAm, '%Y-%m-%d %H:%M:%S') AS date_created,
   CASE WHEN trim(coalesce(Vorname, '')) = '' THEN nullif(trim(Name), '') ELSE trim(Vorname) || ' ' || trim(Name) END
@@ -88,9 +88,15 @@ _HEADER = f"""SELECT Belegnummer AS document_number, IhrAuftrag AS order_number,
   Land AS country, CAST(EuroBrutto AS DOUBLE) AS selling_price, CAST(UebernahmeOffen AS DOUBLE) AS production_cost,
   CAST(ErloesEuro AS DOUBLE) AS gross_profit, tracking AS tracking_number, FreierText1 AS tax_number,
   firma AS company_name, email, phone AS phone_number, Sprache AS language, platform, {V.STATE_COLUMNS}
-FROM (SELECT beleg.*, m.Name AS platform, Belegtyp AS t, CAST(Status AS VARCHAR) AS s
-      FROM beleg LEFT JOIN mitarbw m ON Vertreter = m.Nr)"""
-ORACLE["order_headers"] = _sales_views + _HEADER
+FROM (SELECT newest.*, m.Name AS platform, Belegtyp AS t, CAST(Status AS VARCHAR) AS s
+      FROM newest LEFT JOIN mitarbw m ON Vertreter = m.Nr)"""
+ORACLE["stored_headers"] = V.with_views(V.BELEG, V.PURCHASE, V.HEADERS, V.SALES_LINES, V.ORIGINAL_LINES, V.PURCHASE_LINES) + """
+SELECT Belegtyp AS document_type, headers, value, lines, units
+FROM (SELECT Belegtyp, count(*) AS headers, CAST(sum(EuroBrutto) AS DOUBLE) AS value FROM heads GROUP BY 1)
+LEFT JOIN (SELECT Belegtyp, count(*) AS lines, CAST(sum(Menge) AS DOUBLE) AS units FROM (
+  SELECT Belegtyp, Menge FROM sales_lines UNION ALL SELECT Belegtyp, Menge FROM original_lines
+  UNION ALL SELECT 'B', Menge FROM purchase_lines) GROUP BY 1) USING (Belegtyp)"""
+ORACLE["order_headers"] = V.with_views(V.MITARBW, V.BELEG, V.PURCHASE, V.HEADERS) + _HEADER
 
 # ---- inventory -----------------------------------------------------------------------------
 
@@ -105,7 +111,7 @@ FROM (SELECT Bezeichnung, a.Artikelnummer, EANNummer, HstArtikelnummer,
         CAST(sum(Bestand) AS DOUBLE) AS item_count, CAST(min(Wert) AS DOUBLE) AS minimum_price,
         CAST(max(Wert) AS DOUBLE) AS maximum_price, CAST(sum(Wert) AS DOUBLE) / count(Wert) AS average_price
       FROM lagerp JOIN serie ON Id = IdSerie JOIN art a ON a.Artikelnummer = serie.Artikelnummer
-      WHERE SCTyp <> 'O' AND Bestand > 0 AND AngelegtAm >= TIMESTAMP '2001-08-02' - INTERVAL 1500 DAY AND {where}
+      WHERE SCTyp <> 'O' AND Bestand > 0 AND AngelegtAm >= TIMESTAMP '2001-08-02' - INTERVAL 5000 DAY AND {where}
       GROUP BY ALL) s
 LEFT JOIN (SELECT p.Artikelnummer, CAST(coalesce(sum(Menge), 0) AS DOUBLE) AS ordered_amount
       FROM purchase JOIN purchase_lines p ON p.Belegnummer = purchase.Belegnummer
@@ -131,6 +137,17 @@ ORACLE["search_inventory_case"] = _search(
     "OR Bezeichnung ILIKE 'CoolerMaster Elite 302 %')")
 ORACLE["search_inventory_name"] = _search("ArtikelGruppe = 'MB' AND Bezeichnung ILIKE '%widget%'")
 
+ORACLE["search_inventory_ean"] = _search("EANNummer = '0000000000007'")
+ORACLE["search_inventory_producer_ean"] = _search("HstArtikelnummer = 'Brand#16-31'")
+ORACLE["search_inventory_amd_model"] = _search(
+    "ArtikelGruppe = 'CP' AND regexp_matches(Bezeichnung, '^AMD Ryzen .* 7700X( .*)?$')")
+ORACLE["search_inventory_maker"] = _search("ArtikelGruppe = 'CP' AND Bezeichnung ILIKE 'AMD Ryzen %'")
+ORACLE["search_inventory_ram_speed"] = _search("ArtikelGruppe = 'ME' AND Bezeichnung ILIKE '%5600%'")
+ORACLE["search_inventory_gpu_model"] = _search(
+    "ArtikelGruppe = 'GC' AND regexp_matches(Bezeichnung, '^(Geforce|Quadro|Nvidia) ') AND Bezeichnung ILIKE '%4060%'")
+ORACLE["search_inventory_radeon"] = _search("ArtikelGruppe = 'GC' AND Bezeichnung ILIKE 'Radeon %'")
+ORACLE["search_inventory_gpu_least"] = _search("ArtikelGruppe = 'GC' AND Bezeichnung ILIKE '%1024MB%'")
+
 _line_views = V.with_views(V.ART, V.SALES_LINES)
 
 
@@ -297,20 +314,20 @@ ORACLE["order_items"] = f"""{_item_views}SELECT {_ITEM}, CAST(parent_id AS VARCH
 FROM items WHERE Zeilentyp <> 'K' OR parent_id IS NOT NULL"""
 ORACLE["order_item_rejects"] = f"""{_item_views}SELECT {_ITEM} FROM items
 WHERE Zeilentyp = 'K' AND parent_id IS NULL"""
-_TEXT = ("Artikelnummer || '|' || coalesce(Bezeichnung, '') || '|' || CAST(Menge AS VARCHAR) || '|' "
-         "|| CAST(KalkpreisEuro AS VARCHAR)")
-ORACLE["order_360"] = f"""{V.with_views(V.MITARBW, V.BELEG, V.SALES_LINES, _PLACED)},
-parts AS (SELECT parent_id, Belegnummer, string_agg({_TEXT}, ',' ORDER BY BELEGP_ID) AS txt
-  FROM items WHERE parent_id IS NOT NULL GROUP BY ALL),
-docs AS (SELECT i.Belegnummer, string_agg({_TEXT} || '[' || coalesce(txt, '') || ']', ';' ORDER BY BELEGP_ID) AS items
-  FROM items i LEFT JOIN parts p ON p.parent_id = i.BELEGP_ID AND p.Belegnummer = i.Belegnummer
-  WHERE Zeilentyp <> 'K' GROUP BY 1)
-SELECT h.*, CAST(0 AS BIGINT) AS part, items FROM ({_HEADER}) h LEFT JOIN docs ON docs.Belegnummer = h.document_number"""
+ORACLE["order_360"] = f"""{V.with_views(V.MITARBW, V.BELEG, V.PURCHASE, V.HEADERS, V.SALES_LINES, _PLACED)}
+SELECT h.*, line_id, line_type, sku, name, quantity, price, position, parent_line_id FROM ({_HEADER}) h LEFT JOIN (
+  SELECT Belegnummer, Belegtyp, CAST(BELEGP_ID AS VARCHAR) AS line_id, Zeilentyp AS line_type, Artikelnummer AS sku,
+    coalesce(Bezeichnung, '') AS name, CAST(Menge AS DOUBLE) AS quantity, CAST(KalkpreisEuro AS DOUBLE) AS price,
+    CAST(position AS VARCHAR) AS position, CAST(parent_id AS VARCHAR) AS parent_line_id
+  FROM items WHERE Zeilentyp <> 'K' OR parent_id IS NOT NULL) i
+ON i.Belegnummer = h.document_number AND i.Belegtyp = h.document_type"""
 
 _MISSING = f"""{V.with_views(V.BELEG, V.CHAIN, V.SALES_LINES, V.ORIGINAL_LINES)},
 links AS (
   SELECT b.Belegnummer AS order_number, c.LieferBelegNr AS original FROM beleg b
-  JOIN chain c ON c.Belegnummer = b.LieferBelegNr
+  JOIN (SELECT Belegnummer, LieferBelegNr FROM beleg QUALIFY row_number() OVER (
+    PARTITION BY Belegnummer ORDER BY AngelegtAm DESC, Belegtyp DESC) = 1) n ON n.Belegnummer = b.Belegnummer
+  JOIN chain c ON c.Belegnummer = n.LieferBelegNr
   WHERE Adressnummer NOT IN ('K10000', 'DE00000', 'K000000') AND Vorlage = '' AND b.Belegtyp = 'L' AND Status = 0
     AND c.LieferBelegNr IS NOT NULL AND EXISTS (SELECT 1 FROM orders
       WHERE 'UA' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') = c.LieferBelegNr)),
@@ -469,7 +486,7 @@ FROM linked WHERE event_type = 'reprompt' ORDER BY linked.created_at DESC, id DE
 ORACLE["reprompt_totals"] = _log + """SELECT count(*) AS reprompts, count(DISTINCT ticket_id) AS tickets
 FROM logs WHERE event_type = 'reprompt'"""
 ORACLE["recent_logs"] = f"""{_log}SELECT id, ticket_id, event_type, {_created} FROM logs
-ORDER BY logs.created_at DESC, id DESC LIMIT 100"""
+ORDER BY logs.created_at DESC, id DESC"""
 ORACLE["first_draft"] = _log + """SELECT ticket_id, id, based_on_message_id, response_text,
   array_to_string(sources, ',') AS sources FROM (SELECT *, row_number() OVER (PARTITION BY ticket_id
   ORDER BY created_at, id) AS r FROM logs WHERE event_type = 'first_draft') WHERE r = 1"""
@@ -504,6 +521,13 @@ SELECT message_id, CASE WHEN trim(body) = '' THEN body
 
 ORACLE["precedents_topk"] = """
 WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+r AS (SELECT a.vec_id AS query_id, c.vec_id, list_cosine_similarity(a.e, c.e) AS score,
+    row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.e, c.e) DESC, c.vec_id) AS rank
+  FROM v a, v c WHERE a.label = 3)
+SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(rank AS INTEGER) AS rank, 'T' || CAST(vec_id AS VARCHAR) AS ticket_id,
+  round(score, 6) AS score FROM r WHERE rank <= 5 AND vec_id <> query_id"""
+ORACLE["precedents_by_status"] = """
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 q AS (SELECT label, max(vec_id) AS query_id FROM embeddings GROUP BY label),
 s AS (SELECT query_id, c.vec_id, list_cosine_similarity(a.e, c.e) AS score
   FROM q JOIN v a ON a.vec_id = query_id JOIN v c ON c.label = q.label),
@@ -512,6 +536,12 @@ SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(rank AS INTEGER) AS rank, 'T'
   round(score, 6) AS score, text AS problem_text, lang AS linked_resolution
 FROM r LEFT JOIN documents ON doc_id = vec_id WHERE rank <= 5 AND vec_id <> query_id"""
 
+ORACLE["stored_precedents"] = """
+SELECT vec_id AS chunk_id, 'T' || CAST(vec_id AS VARCHAR) AS ticket_id, source AS product_sku, CAST(label AS VARCHAR) AS status,
+  lang AS linked_resolution, CAST(length(text) AS VARCHAR) AS characters, CAST(len(embedding) AS INTEGER) AS dimensions
+FROM embeddings LEFT JOIN documents ON vec_id = doc_id"""
+
+# The pages' own letters: the engine reads them back from references.
 _TEXT_OF = r"""array_to_string(list_filter(list_transform(string_split(regexp_replace(html,
   '<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<!doctype[^>]*>|</?[a-z][^>]*>', chr(1), 'gis'), chr(1)),
   lambda r: regexp_replace(regexp_replace(replace(replace(replace(r, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'),
@@ -553,6 +583,14 @@ ORACLE["website_traffic_page"] = f"""WITH {_CHOSEN}, d AS (SELECT strftime(ts, '
   FROM chosen GROUP BY 1)
 SELECT *, (SELECT count(*) FROM d) AS row_count, CASE WHEN (SELECT count(*) FROM d) > 15 THEN 15 END AS next_offset
 FROM d ORDER BY date LIMIT 10 OFFSET 5"""
+_points = """SELECT strftime(ts, '%Y-%m-%d') AS x, CAST(count(DISTINCT user_id) AS DOUBLE) AS y, 'activeUsers' AS series, 1 AS r
+  FROM chosen GROUP BY 1 UNION ALL
+  SELECT strftime(ts, '%Y-%m-%d'), CAST(count(*) FILTER (event_type = 'view') AS DOUBLE), 'screenPageViews', 2 FROM chosen GROUP BY 1"""
+ORACLE["website_traffic_chart"] = f"""WITH {_CHOSEN}, points AS ({_points})
+SELECT x, y, series, (SELECT count(*) > 20 FROM points) AS truncated FROM points ORDER BY x, r LIMIT 20"""
+ORACLE["website_traffic_props"] = f"""WITH {_CHOSEN}
+SELECT json_extract_string(props, '$.k') AS k, count(DISTINCT user_id) AS activeUsers,
+  count(*) FILTER (event_type = 'view') AS screenPageViews FROM chosen GROUP BY 1"""
 ORACLE["website_sessions"] = f"""WITH {_sessions('events')}
 SELECT user_id, CAST(session AS BIGINT) AS session, {_stamp('started')} AS started, {_stamp('ended')} AS ended,
   events, views, purchases, event_type FROM sess"""

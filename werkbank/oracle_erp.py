@@ -40,9 +40,10 @@ MITARBW = """mitarbw AS (
   FROM customer)"""
 
 BELEG = """beleg AS (
-  SELECT kind || 'A' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS Belegnummer, kind AS Belegtyp,
-    CASE WHEN kind <> 'R' AND o_orderpriority = '5-LOW' THEN 2 ELSE 0 END AS Status,
-    o_orderdate AS AngelegtAm, o_orderdate AS Datum,
+  SELECT kind || 'A' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS Belegnummer,
+    CASE WHEN shift = 0 THEN kind ELSE 'S' END AS Belegtyp,
+    CASE WHEN shift <> 0 THEN 1 WHEN kind <> 'R' AND o_orderpriority = '5-LOW' THEN 2 ELSE 0 END AS Status,
+    o_orderdate + to_days(shift) AS AngelegtAm, o_orderdate + to_days(shift) AS Datum,
     CASE WHEN o_orderkey % 11 <> 0 THEN 'EXT-' || CAST(o_orderkey AS VARCHAR) END AS IhrAuftrag,
     c_name AS Name, ([NULL, '  ', 'Ada', 'Ben'])[c_custkey % 4 + 1] AS Vorname,
     CASE WHEN c_custkey % 10 = 0 THEN 'Company ' || CAST(c_custkey AS VARCHAR) END AS firma,
@@ -63,12 +64,14 @@ BELEG = """beleg AS (
     CASE WHEN o_custkey % 41 = 0 THEN -1 ELSE 0 END AS Vertrag,
     CASE WHEN o_custkey % 7 = 3 THEN 200 ELSE 100 END AS Lager,
     CASE WHEN o_custkey = 0 THEN 'K000000' ELSE 'K' || CAST(o_custkey AS VARCHAR) END AS Adressnummer,
-    CASE WHEN kind = 'L' AND o_orderkey % 9 <> 0 THEN 'ZA' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0')
+    CASE WHEN shift <> 0 THEN NULL WHEN kind = 'L' AND o_orderkey % 9 <> 0 THEN 'ZA' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0')
       WHEN kind = 'L' THEN '' END AS LieferBelegNr,
     CASE WHEN o_orderkey % 43 = 0 THEN 'T' ELSE '' END AS Vorlage
   FROM (SELECT *, CASE o_orderstatus WHEN 'F' THEN 'R' WHEN 'O' THEN 'L' ELSE 'D' END AS kind,
-          CAST(o_totalprice AS DECIMAL(18,2)) AS gross,
-          CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 0.8 AS DECIMAL(18,2)) AS cost FROM orders) o
+          CAST(o_totalprice + abs(shift) AS DECIMAL(18,2)) AS gross,
+          CAST(CAST(o_totalprice + abs(shift) AS DECIMAL(18,2)) * 0.8 AS DECIMAL(18,2)) AS cost
+        FROM (SELECT *, CAST(unnest(CASE o_orderkey % 17 WHEN 0 THEN [0, 1] WHEN 1 THEN [0, -1] ELSE [0] END) AS INTEGER)
+            AS shift FROM orders)) o
   LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey)"""
 
 CHAIN = """chain AS (
@@ -107,6 +110,17 @@ ORIGINAL_LINES = f"""original_lines AS (
   SELECT 'UA' || lpad(CAST(l_orderkey AS VARCHAR), 12, '0') AS Belegnummer, 'U' AS Belegtyp, {_LINE}
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O')"""
 
+# All headers with the columns of the header view, and the newest of each number.
+HEADERS = """heads AS (
+  SELECT Belegnummer, Belegtyp, Status, AngelegtAm, IhrAuftrag, Name, Vorname, Land, EuroBrutto, UebernahmeOffen,
+    ErloesEuro, tracking, FreierText1, firma, email, phone, Sprache, Vertreter FROM beleg
+  UNION ALL SELECT kind || 'A' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0'), kind, 2, o_orderdate, NULL, NULL, NULL, NULL,
+    NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+  FROM orders, (VALUES ('Z'), ('U')) AS k(kind) WHERE o_orderstatus = 'O'
+  UNION ALL SELECT p.Belegnummer, 'B', 0, strptime(right(p.Belegnummer, 6) || '01', '%Y%m%d'), NULL, p.Name, NULL, NULL, NULL,
+    p.UebernahmeOffen, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM purchase p),
+newest AS (SELECT * FROM heads QUALIFY row_number() OVER (PARTITION BY Belegnummer ORDER BY AngelegtAm DESC, Belegtyp DESC) = 1)"""
+
 PURCHASE_LINES = f"""purchase_lines AS (
   SELECT 'B' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') || '-' || strftime(l_shipdate, '%Y%m') AS Belegnummer,
     {_LINE}, CASE WHEN l_linenumber = 7 THEN 'T' ELSE 'A' END AS Zeilentyp
@@ -116,14 +130,14 @@ SERIE = """serie AS (
   SELECT DISTINCT l_partkey * 4 + l_suppkey % 4 AS Id,
     (['CP','GC','ME','HD','MB','TW'])[l_partkey % 6 + 1] || lpad(CAST(l_partkey AS VARCHAR), 12, '0') AS Artikelnummer,
     CASE WHEN (l_partkey * 4 + l_suppkey % 4) % 9 = 0 THEN 'O' ELSE 'S' END AS SCTyp
-  FROM lineitem WHERE l_returnflag = 'R')"""
+  FROM lineitem)"""
 
 LAGERP = """lagerp AS (
   SELECT l_partkey * 4 + l_suppkey % 4 AS IdSerie,
-    CAST(CASE WHEN l_linenumber = 2 THEN l_quantity ELSE 0 END AS DECIMAL(18,4)) AS Bestand,
+    CAST(CASE WHEN l_linenumber = 2 AND l_returnflag = 'R' THEN l_quantity ELSE 0 END AS DECIMAL(18,4)) AS Bestand,
     CAST(CASE WHEN l_linenumber = 5 THEN 0 ELSE l_extendedprice END AS DECIMAL(18,2)) AS Wert,
     l_shipdate AS AngelegtAm
-  FROM lineitem WHERE l_returnflag = 'R')"""
+  FROM lineitem)"""
 
 # Header tests of the reports; NULL in a tested column drops the row.
 SALES = "Vertreter NOT IN (23, 0, 28) AND PLZ <> '10997' AND Vertrag <> -1 AND Lager = 100"

@@ -11,7 +11,6 @@ from werkbank.operators.ordered import HOT_ROWS, PIECES, running_last
 from werkbank.plans.sales import order_header
 
 ITEM_TYPES = ("D", "L", "R")
-LINES_PER_PART = 1000
 
 
 def _line_type():
@@ -48,33 +47,11 @@ def order_item_rejects(belegp: DataFrame, hot_rows: int = HOT_ROWS, pieces: int
     return placed.filter((F.col("line_type") == "K") & F.col("pc_line_id").isNull()).drop("pc_line_id")
 
 
-def nest_items(items: DataFrame) -> DataFrame:
-    """Items with their components nested, as arrays in line order.
-
-    A document becomes one row per ``LINES_PER_PART`` lines (``part`` 0 for all ordinary
-    ones), so that no row or task ever holds more lines than that; a PC that goes on in the
-    next part appears there again with its remaining components.
-    """
-    doc = ["document_number", "document_type", "part"]
-    placed = items.withColumn("part", F.floor((F.col("position") - 1) / LINES_PER_PART))
-    component = F.when(F.col("line_type") == "K", F.struct("position", "sku", "name", "quantity", "price"))
-    own = F.when(F.col("line_type") != "K", F.struct("sku", "name", "quantity", "price"))
-    # One shuffle by part serves both groupings.
-    blocks = (placed.withColumn("_block", F.coalesce("parent_line_id", "line_id")).repartition(*doc)
-              .groupBy(*doc, "_block").agg(
-                  F.min("position").alias("_at"), F.max(own).alias("_own"),
-                  F.sort_array(F.collect_list(component)).alias("_parts")))
-    item = F.struct(
-        F.col("_at").alias("position"), F.col("_block").alias("line_id"),
-        F.col("_own.sku").alias("sku"), F.col("_own.name").alias("name"),
-        F.col("_own.quantity").alias("quantity"), F.col("_own.price").alias("price"),
-        F.col("_parts").alias("components"))
-    return blocks.groupBy(*doc).agg(F.sort_array(F.collect_list(item)).alias("items"))
-
-
 def order_360(erp: dict[str, DataFrame], numbers: list[str] | None = None) -> DataFrame:
-    """Newest header per document with platform, state labels and nested items (workshop,
-    delivery and invoice documents only)."""
+    """Newest header per document with platform and state labels, and its items (of workshop,
+    delivery and invoice documents): one row per line, the header's columns beside it, components
+    with the line of their PC in ``parent_line_id``. A document without items is one row without
+    line columns. The grain is the same however many lines a document has."""
     beleg, belegp = erp["beleg"], erp["belegp"]
     if numbers is not None:
         wanted = [n.strip().upper() for n in numbers]
@@ -82,14 +59,12 @@ def order_360(erp: dict[str, DataFrame], numbers: list[str] | None = None) -> Da
         belegp = belegp.filter(F.upper(F.trim("Belegnummer")).isin(*wanted))
     key = ["document_number", "document_type"]
     header = order_header(beleg, erp["mitarbw"])
-    nested = nest_items(order_items(belegp))
+    items = order_items(belegp)
     # A document has items when some line is not a component; an inner join and an anti join
-    # in place of one outer join let the adaptive planner split a document of many parts.
+    # in place of one outer join let the adaptive planner split a document of many lines.
     with_items = (belegp.filter(F.col("Belegtyp").isin(*ITEM_TYPES) & (_line_type() != "K"))
                   .select(F.trim("Belegnummer").alias(key[0]), F.col("Belegtyp").alias(key[1])).distinct())
-    return header.join(nested, key).unionByName(
-        header.join(with_items, key, "left_anti").withColumn("part", F.lit(0).cast("bigint")),
-        allowMissingColumns=True)
+    return header.join(items, key).unionByName(header.join(with_items, key, "left_anti"), allowMissingColumns=True)
 
 
 def open_orders(beleg: DataFrame) -> DataFrame:
@@ -117,12 +92,14 @@ def _compare(lines: DataFrame) -> DataFrame:
         "order_number", F.col("_item.id").alias("id"), F.col("_item.name").alias("name"), "count")
 
 
-def _document_groups(belegp: DataFrame, heads: DataFrame) -> DataFrame:
+def _document_groups(belegp: DataFrame, heads: DataFrame, wanted: DataFrame) -> DataFrame:
     """Units and first article per document and SKU group, of lines of the newest header's
-    type. However many lines a document has, it is a few rows from here on."""
+    type, for the documents that ``wanted`` (column ``_number``) names; lines of all others go
+    first. However many lines a document has, it is a few rows from here on."""
     item = F.struct(F.col("Artikelnummer").alias("id"), F.col("Bezeichnung").alias("name"),
                     F.col("BELEGP_ID").alias("line_id"))
-    groups = (belegp.filter("Artikelnummer IS NOT NULL")
+    groups = (belegp.filter("Artikelnummer IS NOT NULL").withColumn("_number", F.rtrim("Belegnummer"))
+              .join(wanted, "_number", "left_semi")
               .groupBy("Belegnummer", "Belegtyp", sku_group(F.col("Artikelnummer")).alias("_group"))
               .agg(F.sum("Menge").alias("quantity"), F.min_by(item, "BELEGP_ID").alias("_first")))
     return groups.join(heads.select("Belegnummer", "Belegtyp"), ["Belegnummer", "Belegtyp"]).select(
@@ -133,8 +110,9 @@ def missing_components(erp: dict[str, DataFrame], numbers: DataFrame | None = No
     """What each open order (or each of ``numbers``, column ``Belegnummer``) lacks against the
     original document two predecessors back.
 
-    Lines are summed per document and SKU group before the chain is followed, so neither a
-    very long document nor one that very many orders come from multiplies lines. The joins
+    The chain is followed on headers first. Only lines of documents on it are summed, per document
+    and SKU group, before they meet the orders, so neither a very long document nor one that very
+    many orders come from multiplies lines. The joins
     along the chain compare numbers without trailing blanks; as these keys are new columns,
     both sides are plain shuffles and the adaptive planner can split a common predecessor.
     """
@@ -151,7 +129,8 @@ def missing_components(erp: dict[str, DataFrame], numbers: DataFrame | None = No
         F.struct(F.lit("now").alias("side"), F.rtrim("order_number").alias("_number")),
         F.struct(F.lit("was").alias("side"), F.col("_before").alias("_number")))).alias("_s")).select(
         "order_number", "_s.*")
-    return _compare(sides.join(_document_groups(erp["belegp"].filter(customer), heads), "_number"))
+    groups = _document_groups(erp["belegp"].filter(customer), heads, sides.select("_number").distinct())
+    return _compare(sides.join(groups, "_number"))
 
 
 def shortage_totals(missing: DataFrame) -> DataFrame:

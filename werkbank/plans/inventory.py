@@ -16,23 +16,18 @@ from werkbank.functions.predicates import article_predicate
 from werkbank.operators.keyed import missing_ids
 
 
-def open_purchases(erp: dict[str, DataFrame]) -> DataFrame:
-    """Units on purchase documents that are still open, per article; number and type together
-    identify a document. Both join sides are plain shuffles, so the adaptive planner can split
-    a document of very many lines."""
+def open_purchases(erp: dict[str, DataFrame], articles: DataFrame | None = None) -> DataFrame:
+    """Units on purchase documents that are still open, per article (of ``articles``); number and
+    type together identify a document. Both join sides are plain shuffles, so the adaptive
+    planner can split a document of very many lines."""
     documents = erp["beleg"].filter((F.col("Belegtyp") == "B") & (F.col("UebernahmeOffen") < 0))
     lines = erp["belegp"].filter(F.col("Belegtyp") == "B").select("Belegnummer", "Artikelnummer", "Menge")
+    if articles is not None:
+        lines = lines.join(articles, "Artikelnummer", "left_semi")
     return (lines.join(documents.select("Belegnummer"), "Belegnummer", "left_semi").groupBy("Artikelnummer")
             .agg(F.coalesce(F.sum("Menge"), F.lit(0)).alias("ordered_amount")))
 
 
-def _lots(lagerp: DataFrame) -> DataFrame:
-    return lagerp.groupBy("IdSerie").agg(
-        F.sum("Bestand").alias("_units"), F.min("Wert").alias("_min"), F.max("Wert").alias("_max"),
-        F.sum("Wert").alias("_value"), F.count("Wert").alias("_priced"),
-        F.count("*").alias("_lines"))
-
-
 def search_inventory(erp: dict[str, DataFrame], as_of: datetime, max_age_days: int = 5000,
                      **attributes) -> DataFrame:
     """Stock and open purchases of the articles that match the attributes.
@@ -40,26 +35,34 @@ def search_inventory(erp: dict[str, DataFrame], as_of: datetime, max_age_days: i
     Stock counts lines with units left, entered in the last ``max_age_days`` days, of serials
     that are not of type ``O``; the average price is over stock lines, not units. Open
     purchases are shown for articles with some stock line of non-zero value.
+
+    The few wanted articles come first: serials, stock lines and purchase lines of all others go
+    before anything is summed, and stock is read once for both of its uses.
     """
     wanted = erp["art"].filter(article_predicate(**attributes)).select(
         "Artikelnummer", "Bezeichnung", "EANNummer", "HstArtikelnummer")
     serial = erp["serie"].join(wanted.select("Artikelnummer"), "Artikelnummer", "left_semi")
-    recent = erp["lagerp"].filter((F.col("Bestand") > 0)
-                                  & (F.col("AngelegtAm") >= at(as_of - timedelta(days=max_age_days))))
-    stock = (_lots(recent)
-             .join(serial.filter(F.col("SCTyp") != "O"), F.col("IdSerie") == F.col("Id"))
-             .groupBy("Artikelnummer").agg(
-                 F.sum("_units").alias("item_count"), F.min("_min").alias("minimum_price"),
-                 F.max("_max").alias("maximum_price"),
-                 (F.sum("_value").cast("double") / F.sum("_priced")).alias("average_price")))
-    valued = (erp["lagerp"].filter(F.col("Wert") != 0).select("IdSerie").distinct()
-              .join(serial, F.col("IdSerie") == F.col("Id")).select("Artikelnummer").distinct())
-    ordered = open_purchases(erp).join(valued, "Artikelnummer", "left_semi")
-    return (wanted.join(stock, "Artikelnummer").join(ordered, "Artikelnummer", "left")
+    lines = erp["lagerp"].join(serial.select(F.col("Id").alias("IdSerie")), "IdSerie", "left_semi")
+    counts = (F.col("Bestand") > 0) & (F.col("AngelegtAm") >= at(as_of - timedelta(days=max_age_days)))
+    of = lambda c: F.when(counts, F.col(c))
+    lots = lines.groupBy("IdSerie").agg(
+        F.sum(of("Bestand")).alias("_units"), F.min(of("Wert")).alias("_min"), F.max(of("Wert")).alias("_max"),
+        F.sum(of("Wert")).alias("_value"), F.count(of("Wert")).alias("_priced"),
+        F.count_if(counts).alias("_lines"), F.bool_or(F.col("Wert") != 0).alias("_valued"))
+    here = (F.col("SCTyp") != "O") & (F.col("_lines") > 0)
+    own = lambda c: F.when(here, F.col(c))
+    stock = lots.join(serial, F.col("IdSerie") == F.col("Id")).groupBy("Artikelnummer").agg(
+        F.sum(own("_units")).alias("item_count"), F.min(own("_min")).alias("minimum_price"),
+        F.max(own("_max")).alias("maximum_price"),
+        (F.sum(own("_value")).cast("double") / F.nullif(F.sum(own("_priced")), F.lit(0))).alias("average_price"),
+        F.count_if(here).alias("_here"), F.bool_or("_valued").alias("_valued"))
+    ordered = open_purchases(erp, wanted.select("Artikelnummer"))
+    return (wanted.join(stock.filter("_here > 0"), "Artikelnummer").join(ordered, "Artikelnummer", "left")
             .select(F.col("Artikelnummer").alias("sku"), F.col("Bezeichnung").alias("name"),
                     F.col("EANNummer").alias("ean"), F.col("HstArtikelnummer").alias("producer_ean"),
                     "item_count", "minimum_price", "maximum_price", "average_price",
-                    F.when(F.col("Bezeichnung").isNotNull(), F.col("ordered_amount")).alias("ordered_amount")))
+                    F.when(F.col("Bezeichnung").isNotNull() & F.col("_valued"), F.col("ordered_amount"))
+                    .alias("ordered_amount")))
 
 
 def component_sales(erp: dict[str, DataFrame], date_from, date_to, group_by: str = "month",
@@ -67,7 +70,7 @@ def component_sales(erp: dict[str, DataFrame], date_from, date_to, group_by: str
     """Units sold on invoices per article and period. Periods without sales do not appear."""
     lo, hi = date_bounds(date_from, date_to)
     if lo is None or hi is None:
-        raise ValueError("date_from and date_to are required")
+        raise ValueError("component sales need both ends of the period")
     articles = erp["art"].filter(F.col("ArtikelGruppe").isin(*K.COMPONENT_GROUPS)
                                  & article_predicate(**attributes))
     sold = (erp["belegp"].filter((F.col("Belegtyp") == "R") & date_range(F.col("Datum"), lo, hi))
@@ -89,7 +92,7 @@ def forecast_demand(usage: DataFrame, weeks: int) -> DataFrame:
     """Forecast and quantity to buy from three 28-day bands ``u1, u2, u3`` (newest first),
     ``stock`` and ``incoming``. Articles that need nothing are dropped."""
     if not 1 <= weeks <= 52:
-        raise ValueError("weeks must be between 1 and 52")
+        raise ValueError("a forecast covers one to 52 weeks")
     weekly = lambda band, weight: F.col(band).cast("double") / 4 * weight
     # Weights of the bands.
     forecast = (weekly("u1", 0.50) + weekly("u2", 0.30) + weekly("u3", 0.20)) * weeks

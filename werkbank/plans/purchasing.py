@@ -33,8 +33,8 @@ def delivery_lines(erp: dict[str, DataFrame], components=(), date_from=None, dat
 
 def incoming_deliveries(erp: dict[str, DataFrame], limit: int = 10_000, **filters) -> DataFrame:
     """The newest delivery lines with a flag whether more exist."""
-    if not 1 <= limit <= 10_000:
-        raise ValueError("limit must be between 1 and 10000")
+    if limit < 1:
+        raise ValueError("a delivery list has at least one row")
     order = [F.desc("delivery_date"), "delivery_number", "component_sku", "quantity", "price_overall"]
     return limit_flag(delivery_lines(erp, **filters), order, limit)
 
@@ -49,7 +49,7 @@ def co_purchase(erp: dict[str, DataFrame], skus: list[str]) -> DataFrame:
     number of distinct wanted SKUs before it meets the headers."""
     if not isinstance(skus, list) or not skus or any(
             not isinstance(s, str) or not s.strip() for s in skus):
-        raise ValueError("skus must be a non-empty list of non-empty strings")
+        raise ValueError("give at least one article number, none of them blank")
     wanted = {s.strip().lower() for s in skus}
     full = (erp["belegp"].filter(F.col("Belegtyp") == "R")
             .filter(F.lower("Artikelnummer").isin(*sorted(wanted)))
@@ -62,8 +62,8 @@ def co_purchase(erp: dict[str, DataFrame], skus: list[str]) -> DataFrame:
 def co_purchase_summary(erp: dict[str, DataFrame], skus: list[str], sample_limit: int = 20) -> DataFrame:
     """One row: number of matching invoices, a bounded sample of them, and whether the sample
     leaves some out."""
-    if isinstance(sample_limit, bool) or not isinstance(sample_limit, int) or not 0 <= sample_limit <= 100:
-        raise ValueError("sample_limit must be an integer from 0 to 100")
+    if type(sample_limit) is not int or sample_limit < 0:
+        raise ValueError("the sample is a whole number of invoices")
     found = co_purchase(erp, skus)
     total = found.agg(F.count("*")).scalar()
     sample = found.orderBy("order_number").limit(sample_limit)
@@ -76,16 +76,18 @@ def co_purchase_summary(erp: dict[str, DataFrame], skus: list[str], sample_limit
 def co_purchase_pairs(erp: dict[str, DataFrame], pairs: DataFrame, min_orders: int = 1) -> DataFrame:
     """For each asked pair (``sku_a``, ``sku_b``), how many invoices contain both.
 
-    Only asked pairs are counted: pairs are never generated from a basket. A pair first meets
-    the invoices of its rarer SKU and is then checked against the other one, so a very common
-    SKU is expanded only for a partner that is just as common.
+    Only asked pairs are counted: pairs are never generated from a basket. Lines of articles that
+    nobody asks for go before anything is summed or dealt. A pair first meets the invoices of its
+    rarer SKU and is then checked against the other one, so a very common SKU is expanded only
+    for a partner that is just as common.
     """
+    asked = (pairs.select(F.least("sku_a", "sku_b").alias("sku_a"), F.greatest("sku_a", "sku_b").alias("sku_b"))
+             .filter("sku_a <> sku_b").distinct())
+    named = asked.select(F.explode(F.array("sku_a", "sku_b")).alias("sku")).distinct()
     baskets = (erp["belegp"].filter(F.col("Belegtyp") == "R")
                .select(F.trim("Belegnummer").alias("order_number"), F.col("Artikelnummer").alias("sku"))
-               .distinct().join(_invoice_numbers(erp), "order_number", "left_semi"))
+               .join(named, "sku", "left_semi").distinct().join(_invoice_numbers(erp), "order_number", "left_semi"))
     support = baskets.groupBy("sku").agg(F.count("*").alias("_support"))
-    asked = (pairs.select(F.least("sku_a", "sku_b").alias("sku_a"), F.greatest("sku_a", "sku_b").alias("sku_b"))
-             .filter("sku_a <> sku_b").distinct())
     of = lambda side: support.select(F.col("sku").alias(f"sku_{side}"), F.col("_support").alias(f"_{side}"))
     rated = asked.join(of("a"), "sku_a").join(of("b"), "sku_b")
     swap = F.col("_a") > F.col("_b")

@@ -9,6 +9,7 @@ from werkbank.functions.dates import bucket, date_bounds, date_range
 from werkbank.functions.predicates import genuine_orders, lifecycle, name_matches
 from werkbank.functions.text import full_name, listed_name, matches
 from werkbank.operators.keyed import latest_by
+from werkbank.operators.ordered import spread_join
 from werkbank.operators.shaping import sort_head
 
 METRICS = {"revenue": "EuroBrutto", "selling_price": "EuroBrutto",
@@ -18,6 +19,10 @@ FILTERS = {"country": "Land", "city": "Ort", "postcode": "PLZ", "customer_number
            "document_type": "Belegtyp", "status": "Status", "platform": "platform"}
 
 
+#: Channels that travel as one map.
+CHANNELS = 10_000
+
+
 def _group_column(name: str) -> Column:
     created = F.col("AngelegtAm")
     return {
@@ -32,7 +37,7 @@ def apply_filters(df: DataFrame, filters: dict, columns: dict[str, str] = FILTER
     """Exact-match filters by public name; a name outside the list raises."""
     for name, value in filters.items():
         if name not in columns:
-            raise ValueError(f"Unsupported filter: {name}")
+            raise ValueError(f"no such filter: {name}")
         df = df.filter(F.col(columns[name]) == value)
     return df
 
@@ -56,8 +61,8 @@ def analyze_sales(erp: dict[str, DataFrame], metrics=("revenue", "order_count"),
         raise ValueError("unknown group")
     if "month" in groups and "year" not in groups:
         groups.insert(groups.index("month"), "year")
-    if limit is not None and not 1 <= limit <= 10_000:
-        raise ValueError("limit must be between 1 and 10000")
+    if limit is not None and limit < 1:
+        raise ValueError("a limited analysis keeps at least one row")
     filters = dict(filters or {})
     by_platform = {k: filters.pop(k) for k in list(filters) if k == "platform"}
 
@@ -104,12 +109,14 @@ def order_list_filter(erp: dict[str, DataFrame], number=None, document_type=None
 def filter_orders(erp: dict[str, DataFrame], lifecycle_state=None, number=None, document_type=None,
                   status=None, customer_name=None, date_from=None, date_to=None,
                   sort: str = "newest", limit: int = 20) -> DataFrame:
-    """The newest or oldest orders that match, at most 100; equal times by document number."""
+    """The ``limit`` newest or oldest orders that match; equal times by document number."""
+    if limit < 1:
+        raise ValueError("an order list has at least one row")
     kind, state = lifecycle(lifecycle_state, document_type, status)
     found = order_list_filter(erp, number, kind, state, customer_name, date_from, date_to)
     created = F.col("AngelegtAm")
     order = {"newest": created.desc(), "oldest": created.asc()}[sort]
-    top = found.orderBy(order, "Belegnummer").limit(max(1, min(limit, 100)))
+    top = found.orderBy(order, "Belegnummer").limit(limit)
     return top.select(
         F.col("Belegnummer").alias("document_number"), F.col("IhrAuftrag").alias("order_number"),
         F.col("Belegtyp").alias("document_type"), F.col("Status").alias("order_status"),
@@ -147,13 +154,26 @@ def interpret_state(df: DataFrame, document_type: str = "document_type",
     return df
 
 
-def order_header(beleg: DataFrame, mitarbw: DataFrame) -> DataFrame:
+def with_platform(headers: DataFrame, mitarbw: DataFrame, many_channels: bool = False) -> DataFrame:
+    """Headers with the name of their channel, NULL for an unknown one. Five channels hold most
+    headers, so the headers are not dealt by channel: one row with the channel table as a map
+    goes to them. A channel table of more than ``CHANNELS`` rows raises; with ``many_channels`` it
+    is joined, the rows of crowded channels dealt over pieces."""
+    channels = mitarbw.filter("Nr IS NOT NULL").select(F.col("Nr").alias("Vertreter"), F.col("Name").alias("platform"))
+    if many_channels:
+        return spread_join(headers, channels, ["Vertreter"], "Belegnummer", "left")
+    names = channels.limit(CHANNELS + 1).agg(F.collect_list(F.struct("Vertreter", "platform")).alias("_all")).select(
+        F.when(F.size("_all") <= CHANNELS, F.map_from_entries("_all")).otherwise(
+            F.raise_error(F.lit("use many_channels")))).scalar()
+    return headers.withColumn("platform", F.try_element_at(names, F.col("Vertreter")))
+
+
+def order_header(beleg: DataFrame, mitarbw: DataFrame, many_channels: bool = False) -> DataFrame:
     """The newest header per document number with platform, customer and state labels. An
     unknown channel keeps the order."""
     newest = latest_by(beleg, ["Belegnummer"], ["AngelegtAm", "Belegtyp"])
-    channels = mitarbw.select(F.col("Nr").alias("Vertreter"), F.col("Name").alias("platform"))
     trimmed = lambda column, name: F.trim(F.col(column)).alias(name)
-    header = newest.join(channels, "Vertreter", "left").select(
+    header = with_platform(newest, mitarbw, many_channels).select(
         trimmed("Belegnummer", "document_number"), trimmed("IhrAuftrag", "order_number"),
         F.upper(F.trim("Belegtyp")).alias("document_type"), F.col("Status").alias("order_status"),
         F.col("AngelegtAm").alias("date_created"),

@@ -200,11 +200,13 @@ def reprompt_totals(logs: DataFrame) -> DataFrame:
         F.count("*").alias("reprompts"), F.countDistinct("ticket_id").alias("tickets"))
 
 
-def recent_logs(logs: DataFrame, ticket_id: str | None = None) -> DataFrame:
-    """One ticket oldest first, or the newest 100 of all."""
+def recent_logs(logs: DataFrame, ticket_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """One ticket oldest first, or all newest first; with ``limit`` the first ones."""
     if ticket_id is not None:
-        return logs.filter(F.col("ticket_id") == ticket_id).orderBy("created_at", "id")
-    return logs.orderBy(F.desc("created_at"), F.desc("id")).limit(100)
+        found = logs.filter(F.col("ticket_id") == ticket_id).orderBy("created_at", "id")
+    else:
+        found = logs.orderBy(F.desc("created_at"), F.desc("id"))
+    return found if limit is None else found.limit(limit)
 
 
 def first_draft(logs: DataFrame) -> DataFrame:

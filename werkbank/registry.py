@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from werkbank.functions.dates import at
 from werkbank.functions.text import draft_text as draft_as_text
 from werkbank.operators.keyed import dedupe_keep_first, latest_by, missing_ids, upsert_latest
 from werkbank.operators.shaping import to_chart, to_records
 from werkbank.plans import (documents, inventory, monitoring, purchasing, sales, similar, support, text,
                             traffic)
 from werkbank.sources import demo, schemas, support as source
+from werkbank.sources.erp import load_erp
 from werkbank.streaming import jobs
 from werkbank.streaming.sinks import read_latest
 
@@ -111,7 +111,7 @@ def sales_chart_month(spark, sf_dir):
 
 @query
 def filter_orders_newest(spark, sf_dir):
-    return sales.filter_orders(_erp(spark, sf_dir), lifecycle_state="ready_or_sent", limit=100)
+    return sales.filter_orders(_erp(spark, sf_dir), lifecycle_state="ready_or_sent", limit=250)
 
 
 @query
@@ -148,13 +148,25 @@ def orders_over_time_week(spark, sf_dir):
 
 @query
 def orders_over_time_month(spark, sf_dir):
-    return sales.orders_over_time(_erp(spark, sf_dir), "month", limit=100)
+    return sales.orders_over_time(_erp(spark, sf_dir), "month")
 
 
 @query
 def order_headers(spark, sf_dir):
     erp = _erp(spark, sf_dir)
-    return sales.order_header(erp["beleg"].filter(F.col("Belegtyp").isin("D", "L", "R")), erp["mitarbw"])
+    return sales.order_header(erp["beleg"], erp["mitarbw"])
+
+
+@query
+def stored_headers(spark, sf_dir):
+    """The ERP relations written as files and read by their contract."""
+    folder = _scratch(spark)
+    for name, rows in ((n, _erp(spark, sf_dir)[n]) for n in schemas.ERP):
+        rows.write.parquet(f"{folder}/{name}.parquet")
+    erp = load_erp(spark, folder)
+    lines = erp["belegp"].groupBy("Belegtyp").agg(F.count("*").alias("lines"), F.sum("Menge").alias("units"))
+    heads = erp["beleg"].groupBy("Belegtyp").agg(F.count("*").alias("headers"), F.sum("EuroBrutto").alias("value"))
+    return heads.join(lines, "Belegtyp", "left").withColumnRenamed("Belegtyp", "document_type")
 
 
 # ---- stock, sales of components, forecast ------------------------------------------------
@@ -169,12 +181,20 @@ SEARCHES = {
     "search_inventory_gpu_small": dict(gpu_manufacturer="NVIDIA", gpu_vram=2),
     "search_inventory_case": dict(case_manufacturer="coolermaster", case_model="elite 302"),
     "search_inventory_name": dict(item_name="widget", category="MB"),
+    "search_inventory_ean": dict(ean=" 0000000000007 "),
+    "search_inventory_producer_ean": dict(producer_ean="brand#16-31"),
+    "search_inventory_amd_model": dict(cpu_manufacturer="AMD", cpu_model="7700x"),
+    "search_inventory_maker": dict(cpu_manufacturer="AMD"),
+    "search_inventory_ram_speed": dict(ram_speed=5600),
+    "search_inventory_gpu_model": dict(gpu_manufacturer="NVIDIA", gpu_model="4060"),
+    "search_inventory_radeon": dict(gpu_series="Radeon"),
+    "search_inventory_gpu_least": dict(gpu_vram=1),
 }
 
 
 def _search(attributes):
     return lambda spark, sf_dir: plain(inventory.search_inventory(
-        _erp(spark, sf_dir, False), AS_OF, 1500, **attributes))
+        _erp(spark, sf_dir, False), AS_OF, **attributes))
 
 
 for _name, _attributes in SEARCHES.items():
@@ -296,14 +316,7 @@ def order_item_rejects(spark, sf_dir):
 
 @query
 def order_360(spark, sf_dir):
-    erp = _erp(spark, sf_dir)
-    erp["beleg"] = erp["beleg"].filter(F.col("Belegtyp").isin("D", "L", "R"))
-    view = documents.order_360(erp)
-    amount = lambda c: c.cast("string")
-    part = lambda p: F.concat_ws("|", p["sku"], p["name"], amount(p["quantity"]), amount(p["price"]))
-    items = F.array_join(F.transform("items", lambda i: F.concat(
-        part(i), F.lit("["), F.array_join(F.transform(i["components"], part), ","), F.lit("]"))), ";")
-    return view.withColumn("items", items)
+    return as_text(documents.order_360(_erp(spark, sf_dir)), "position", "line_id", "parent_line_id")
 
 
 @query
@@ -323,18 +336,14 @@ def affected_orders(spark, sf_dir):
 
 # ---- forecast snapshots -------------------------------------------------------------------------
 
-def _run(spark, sf_dir, as_of, weeks):
-    return (inventory.forecast_components(_erp(spark, sf_dir, False), as_of, weeks)
-            .withColumn("run_id", F.lit(f"{as_of.isoformat()}/{weeks}")).withColumn("run_date", F.lit(as_of.date()))
-            .withColumn("created_at", at(as_of)).withColumn("weeks", F.lit(weeks)))
-
-
 @query
 def latest_forecast(spark, sf_dir):
-    morning, noon = AS_OF.replace(hour=8), AS_OF.replace(hour=12)
-    runs = (_run(spark, sf_dir, morning, 4).unionByName(_run(spark, sf_dir, noon, 4))
-            .unionByName(_run(spark, sf_dir, noon, 1)))
-    return inventory.latest_forecast(runs, AS_OF.date(), 4)
+    """From stored runs of two days, two times of day and two horizons."""
+    path, erp = f"{_scratch(spark)}/forecast", _erp(spark, sf_dir, False)
+    noon = AS_OF.replace(hour=12)
+    for as_of, weeks in ((noon - timedelta(days=1), 4), (AS_OF.replace(hour=8), 4), (noon, 4), (noon, 1)):
+        inventory.save_forecast(inventory.forecast_components(erp, as_of, weeks), path, as_of, weeks)
+    return inventory.latest_forecast(spark.read.parquet(path), AS_OF.date(), 4)
 
 
 @query
@@ -555,20 +564,41 @@ def _newest_per_status(chunks):
 
 @query
 def precedents_topk(spark, sf_dir):
+    """A batch: every ticket of one status asks the whole collection, in blocks that meet cells."""
+    chunks = demo.precedents(spark, sf_dir).drop("problem_text", "linked_resolution")
+    asking = chunks.filter("status = '3'").select(
+        F.col("chunk_id").alias("query_id"), "ticket_id", F.lit(None).cast("string").alias("product_sku"),
+        F.lit(None).cast("string").alias("status"), "vector")
+    return similar.precedents(asking, chunks, cells=4, blocks=3).select(
+        "query_id", "rank", "ticket_id", F.round("score", 6).alias("score"))
+
+
+@query
+def precedents_by_status(spark, sf_dir):
     chunks = demo.precedents(spark, sf_dir)
-    found = similar.precedents(_newest_per_status(chunks), chunks.drop("problem_text", "linked_resolution"))
+    found = similar.precedents(_newest_per_status(chunks), chunks.drop("problem_text", "linked_resolution"), cells=2)
     return similar.precedent_payload(found, chunks).select(
         "query_id", "rank", "ticket_id", F.round("score", 6).alias("score"), "problem_text", "linked_resolution")
 
 
+@query
+def stored_precedents(spark, sf_dir):
+    """Precedents written as a file and read by their contract."""
+    folder = _scratch(spark)
+    demo.precedents(spark, sf_dir).write.parquet(f"{folder}/precedents.parquet")
+    return as_text(source.load_precedents(spark, folder).select(
+        "chunk_id", "ticket_id", "product_sku", "status", "linked_resolution", F.length("problem_text").alias("characters"),
+        F.size("vector").alias("dimensions")), "characters")
+
+
 @query
 def html_to_text(spark, sf_dir):
-    return text.html_to_text(demo.table(spark, sf_dir, "pages")).select("page_id", "text")
+    return text.html_to_text(demo.pages(spark, sf_dir)).select("page_id", "text")
 
 
 @query
 def text_by_host(spark, sf_dir):
-    return text.text_by_host(demo.table(spark, sf_dir, "pages"))
+    return text.text_by_host(demo.pages(spark, sf_dir))
 
 
 TRAFFIC_DAY = date(2024, 1, 31)
@@ -591,6 +621,21 @@ def website_traffic_page(spark, sf_dir):
                                    as_of=TRAFFIC_DAY, limit=10, offset=5)
 
 
+@query
+def website_traffic_chart(spark, sf_dir):
+    """The first points of a web chart, and whether there are more."""
+    report = traffic.traffic_report(demo.events(spark, sf_dir), ["activeUsers", "screenPageViews"], "date", "28daysAgo",
+                                    "yesterday", TRAFFIC_DAY)
+    return to_chart(report, ["date"], ["activeUsers", "screenPageViews"], limit=20)
+
+
+@query
+def website_traffic_props(spark, sf_dir):
+    """Broken down by a value inside the event's properties."""
+    events = demo.events(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k"))
+    return traffic.traffic_report(events, ["activeUsers", "screenPageViews"], "k", "28daysAgo", "yesterday", TRAFFIC_DAY)
+
+
 @query
 def website_sessions(spark, sf_dir):
     return traffic.sessions(demo.events(spark, sf_dir))
@@ -610,15 +655,20 @@ def incident_states(spark, sf_dir):
 
 # ---- streams ---------------------------------------------------------------------------------------------------
 
-# A backfill reads files in any order, so no row may count as late.
-BACKFILL = "36500 days"
-
-
 def _stream(spark, sf_dir, name, event_time=None):
     rows = spark.readStream.schema(demo.PROVIDED[name]).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     return rows if event_time is None else rows.withColumn(event_time, F.col(event_time).cast("timestamp"))
 
 
+def _in_batches(spark, sf_dir, name, files=6):
+    """The whole table as a stream of several batches, its rows dealt to files at random, so that
+    rows of one key come apart, late and out of order."""
+    path = f"{_scratch(spark)}/landed"
+    rows = demo.table(spark, sf_dir, name)
+    rows.repartition(files, F.xxhash64(*rows.columns)).write.parquet(path)
+    return spark.readStream.schema(demo.PROVIDED[name]).option("maxFilesPerTrigger", 2).parquet(path)
+
+
 def _finished(stream_job, spark, *args, **kwargs):
     folder = _scratch(spark)
     stream_job(*args, f"{folder}/table", f"{folder}/checkpoint", **kwargs).awaitTermination()
@@ -653,11 +703,12 @@ def stream_counts_week(spark, sf_dir):
 
 @query
 def stream_sessions(spark, sf_dir):
-    path = _finished(jobs.stream_sessions, spark, _stream(spark, sf_dir, "events", "ts"), delay=BACKFILL)
+    events = _in_batches(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = _finished(jobs.stream_sessions, spark, events)
     return jobs.read_sessions(spark, path)
 
 
 @query
 def stream_incidents(spark, sf_dir):
-    checks = demo.health_checks(_stream(spark, sf_dir, "events"))
-    return spark.read.parquet(_finished(jobs.stream_incidents, spark, checks) + "/alerts").drop("batch_id")
+    checks = demo.health_checks(_in_batches(spark, sf_dir, "events"))
+    return jobs.read_incidents(spark, _finished(jobs.stream_incidents, spark, checks))

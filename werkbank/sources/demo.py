@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from werkbank.sources.schemas import ERP, conform
 
+# Letters and the references that stand for them in the pages.
+SPELLED = {"ä": "&auml;", "ö": "&ouml", "ü": "&uuml;", "ß": "&szlig;", "é": "&#233;", "è": "&#xE8;", "ê": "&ecirc;",
+           "ç": "&ccedil", "ñ": "&ntilde;", "ó": "&#xf3;", "í": "&iacute;"}
 GROUPS = ("CP", "GC", "ME", "HD", "MB", "TW")
 CHANNELS = {"AUTOMOBILE": 1, "BUILDING": 8, "FURNITURE": 2, "HOUSEHOLD": 3, "MACHINERY": 23}
 
@@ -84,22 +87,27 @@ _CHANNEL = "CASE c_mktsegment " + " ".join(f"WHEN '{s}' THEN {n}" for s, n in CH
 
 
 def _sales_headers(spark: SparkSession, directory: str, customers: bool) -> DataFrame:
+    # Some numbers have a second header of another type, a day later or a day earlier.
     orders = table(spark, directory, "orders").selectExpr(
         "*", "CASE o_orderstatus WHEN 'F' THEN 'R' WHEN 'O' THEN 'L' ELSE 'D' END AS kind",
-        "cast(o_totalprice AS decimal(18,2)) AS gross", "lpad(o_orderkey, 12, '0') AS padded")
+        "explode(CASE o_orderkey % 17 WHEN 0 THEN array(0, 1) WHEN 1 THEN array(0, -1) ELSE array(0) END) AS shift",
+        "lpad(o_orderkey, 12, '0') AS padded").selectExpr(
+        "*", "cast(o_totalprice + abs(shift) AS decimal(18,2)) AS gross",
+        "o_orderdate + make_dt_interval(shift) AS made")
     cost = "if(o_orderkey % 19 <> 0, cast(gross * 0.8BD AS decimal(18,2)), NULL)"
     tax = "cast(gross * 0.19BD AS decimal(18,2))"
     core = orders.selectExpr(
-        "concat(kind, 'A', padded) AS Belegnummer", "kind AS Belegtyp",
-        "if(kind <> 'R' AND o_orderpriority = '5-LOW', 2, 0) AS Status",
-        "o_orderdate AS AngelegtAm", "o_orderdate AS Datum",
+        "concat(kind, 'A', padded) AS Belegnummer", "if(shift = 0, kind, 'S') AS Belegtyp",
+        "CASE WHEN shift <> 0 THEN 1 WHEN kind <> 'R' AND o_orderpriority = '5-LOW' THEN 2 ELSE 0 END AS Status",
+        "made AS AngelegtAm", "made AS Datum",
         "if(o_orderkey % 11 <> 0, concat('EXT-', o_orderkey), NULL) AS IhrAuftrag",
         "if(kind = 'R', concat('TR', o_orderkey), NULL) AS _TRACKING",
         "gross AS EuroBrutto", f"{cost} AS UebernahmeOffen", f"gross - {cost} AS ErloesEuro", f"{tax} AS Steuer",
         f"if(o_orderkey % 23 = 0, 0, gross - {tax}) AS Netto",
         "if(o_custkey % 41 = 0, -1, 0) AS Vertrag", "if(o_custkey % 7 = 3, 200, 100) AS Lager",
         "if(o_custkey = 0, 'K000000', concat('K', o_custkey)) AS Adressnummer",
-        "CASE WHEN kind = 'L' AND o_orderkey % 9 <> 0 THEN concat('ZA', padded) WHEN kind = 'L' THEN '' END "
+        "CASE WHEN shift <> 0 THEN NULL WHEN kind = 'L' AND o_orderkey % 9 <> 0 THEN concat('ZA', padded) "
+        "WHEN kind = 'L' THEN '' END "
         "AS LieferBelegNr",
         "if(o_orderkey % 43 = 0, 'T', '') AS Vorlage", "o_custkey AS _custkey")
     if not customers:
@@ -197,15 +205,15 @@ class _Tables(dict):
 
 
 def _serials(spark: SparkSession, directory: str) -> DataFrame:
-    returned = table(spark, directory, "lineitem").filter("l_returnflag = 'R'")
-    return returned.select(_lot().alias("Id"), "l_partkey").distinct().select(
+    return table(spark, directory, "lineitem").select(_lot().alias("Id"), "l_partkey").distinct().select(
         "Id", sku_of(F.col("l_partkey")).alias("Artikelnummer"),
         F.expr("if(Id % 9 = 0, 'O', 'S')").alias("SCTyp"))
 
 
 def _stock(spark: SparkSession, directory: str) -> DataFrame:
-    return table(spark, directory, "lineitem").filter("l_returnflag = 'R'").select(
-        _lot().alias("IdSerie"), F.expr("if(l_linenumber = 2, l_quantity, 0)").alias("Bestand"),
+    """Stock lines of all lots; only what was returned has units."""
+    return table(spark, directory, "lineitem").select(
+        _lot().alias("IdSerie"), F.expr("if(l_linenumber = 2 AND l_returnflag = 'R', l_quantity, 0)").alias("Bestand"),
         F.expr("if(l_linenumber = 5, 0, l_extendedprice)").alias("Wert"), F.col("l_shipdate").alias("AngelegtAm"))
 
 
@@ -373,5 +381,14 @@ def health_checks(events: DataFrame) -> DataFrame:
         (F.col("event_type") != "error").alias("healthy"), (F.col("event_type") != "signup").alias("mail_accepted"))
 
 
+def pages(spark: SparkSession, directory: str) -> DataFrame:
+    """Web pages whose accented letters are written as references: named, old names without a
+    semicolon, decimal and hexadecimal numbers."""
+    html = F.col("html")
+    for letter, reference in SPELLED.items():
+        html = F.replace(html, F.lit(letter), F.lit(reference))
+    return table(spark, directory, "pages").withColumn("html", html)
+
+
 def events(spark: SparkSession, directory: str) -> DataFrame:
     return table(spark, directory, "events").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -73,3 +73,19 @@ def test_channels_do_not_deal_the_headers(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "hashpartitioning(Vertreter" not in plan
+
+
+def test_entry_without_the_llm_folders(tmp_path):
+    """The driver may delete them."""
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(entry.__file__).parent
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    shutil.copytree(root / "werkbank", tmp_path / "werkbank", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and set(q) == set(e.oracle_sql()); print(len(q))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
+    assert not any(n.startswith(("op1_", "pipeline")) for n in QUERIES)

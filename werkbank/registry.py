@@ -684,7 +684,9 @@ def stream_messages(spark, sf_dir):
 
 @query
 def stream_tickets(spark, sf_dir):
-    pages = demo.ticket_pages(_stream(spark, sf_dir, "conversations"))
+    landed = f"{_scratch(spark)}/landed"
+    demo.ticket_pages(demo.table(spark, sf_dir, "conversations")).repartition(4, F.xxhash64("value")).write.parquet(landed)
+    pages = spark.readStream.schema("revision bigint, value string").option("maxFilesPerTrigger", 1).parquet(landed)
     path = _finished(jobs.stream_tickets, spark, pages, revision="revision")
     return support.explode_positions(read_latest(spark, path, ["ticket_id"], ["revision"]))
 

@@ -250,14 +250,18 @@ def _message_id(conv: Column, turn: Column) -> Column:
 
 
 def ticket_pages(conversations: DataFrame) -> DataFrame:
-    """One response page per turn: the ticket with its messages so far, in both page shapes."""
+    """Two response pages per ticket, in the three page shapes: one half-way through the conversation and one at
+    its end, each with the ids of the messages so far."""
+    last = conversations.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    asked = last.select("conv_id", F.explode(F.array_distinct(F.array(F.floor(F.col("last") / 2), "last"))).alias("turn"))
     turn, conv = F.col("turn"), F.col("conv_id")
     ids = F.transform(F.sequence(F.lit(0), turn.cast("int")), lambda i: _message_id(conv, i))
     ticket = F.to_json(F.struct(_text("T", conv).alias("id"), ids.alias("messages_ids")))
-    body = (F.when(turn % 3 == 0, F.concat(F.lit('{"data":['), ticket, F.lit(', 7, "x"]}')))
-            .when(turn % 3 == 1, F.concat(F.lit('{"data":{"data":['), ticket, F.lit("]}}")))
+    shape = (conv + turn) % 3
+    body = (F.when(shape == 0, F.concat(F.lit('{"data":['), ticket, F.lit(', 7, "x"]}')))
+            .when(shape == 1, F.concat(F.lit('{"data":{"data":['), ticket, F.lit("]}}")))
             .otherwise(F.concat(F.lit('{"data":'), ticket, F.lit("}"))))
-    return conversations.select(turn.alias("revision"), body.alias("value"))
+    return asked.select(turn.alias("revision"), body.alias("value"))
 
 
 def raw_messages(spark: SparkSession, directory: str) -> DataFrame:

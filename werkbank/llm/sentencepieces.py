@@ -10,18 +10,19 @@ from __future__ import annotations
 import heapq
 import sys
 import types
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from werkbank.llm.common import table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Characters encoded at once, and the longest unit that goes through the common rounds.
-CHARS, LONG = 1 << 18, 48
+CHARS, LONG = 1 << 17, 48
 NONE = np.iinfo(np.int64).max
 SLOTS = 20
 
@@ -224,35 +225,39 @@ def encode_texts(model: Pieces, texts: list[str], keys: list[int], dropout: floa
     return out
 
 
-def encode(path: str, text: str = "text", dropout: float = 0.1, seed: int = 0, key: str = "doc_id") -> Column:
-    """A column of ids (little-endian 32-bit numbers) of a text column; null is the empty text, without ids.
-    The same seed, key and text give the same ids; without dropout they are the library's own."""
-
-    @F.pandas_udf("binary")
-    def run(texts: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series(encode_texts(pieces(path), [t or "" for t in texts], keys.tolist(), dropout), dtype=object)
-
-    return run(F.col(text), F.xxhash64(F.lit(seed), F.col(key)))
-
-
-def decode(path: str, ids: Column) -> Column:
+def decoded(model: Pieces, ids: bytes) -> bytes:
     """The text of ids: the bytes of all pieces without the space before the first."""
-
-    @F.pandas_udf("string")
-    def run(rows: pd.Series) -> pd.Series:
-        raw = pieces(path).raw
-        return pd.Series([b"".join(map(raw.__getitem__, np.frombuffer(r, "<u4").tolist()))[1:].decode("utf-8", "replace")
-                          for r in rows], dtype=object)
-
-    return run(ids)
+    return b"".join(map(model.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))[1:]
 
 
 def encoded(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0) -> DataFrame:
-    """All rows of ``docs`` with ``_ids`` and ``_lossless`` (whether decoding gives the text back). Repeated rows get
-    equal ids, rows without an id share one key, an empty table stays empty; columns ``_ids`` and
-    ``_lossless`` of the input are replaced."""
-    rows = docs.withColumn("_ids", encode(path, dropout=dropout, seed=seed))
-    return rows.withColumn("_lossless", decode(path, F.col("_ids")) == F.coalesce("text", F.lit("")))
+    """All rows of ``docs`` with ``_ids`` (little-endian 32-bit numbers) and ``_lossless`` (whether decoding gives the
+    text back). Null is the empty text, without ids. The same seed, doc_id and text give the same ids, so repeated
+    rows have equal ones; rows without an id share one key. Without dropout the ids are the library's own. An
+    empty table stays empty; columns ``_ids`` and ``_lossless`` of the input are replaced.
+
+    Rows go through in parts of about ``CHARS`` characters, so that a worker holds little at a time."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.fromiter((x.as_buffer().size if x.is_valid else 0 for x in batch.column(0)), np.int64, batch.num_rows)
+            ends = np.flatnonzero(np.diff(np.cumsum(sizes) // CHARS)) + 1
+            for a, b in zip([0, *ends.tolist()], [*ends.tolist(), batch.num_rows]):
+                yield batch.slice(a, b - a)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pieces(path)
+        for part in parts(batches):
+            raw = [t or b"" for t in part.column(0).to_pylist()]
+            ids = encode_texts(model, [t.decode("utf-8", "replace") for t in raw], part.column(1).to_pylist(), dropout)
+            same = [decoded(model, i) == t for i, t in zip(ids, raw)]
+            yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(ids, pa.binary()), pa.array(same)], names=names)
+
+    docs = docs.drop("_ids", "_lossless")
+    names = [*docs.columns, "_ids", "_lossless"]
+    schema = T.StructType([*docs.schema.fields, T.StructField("_ids", T.BinaryType()), T.StructField("_lossless", T.BooleanType())])
+    rows = docs.select(F.col("text").cast("binary").alias("_text"), F.xxhash64(F.lit(seed), "doc_id").alias("_key"), "*")
+    return rows.mapInArrow(run, schema)
 
 
 def model_path() -> str:

@@ -27,8 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 100 bytes that an earlier place has; what a cut leaves of a character goes
     too, and ``n_chars`` counts again. Documents stay, even with an empty text."""
-    text = F.when(F.col("text").isNotNull(), repeats.as_text(F.col("_kept.bytes")))
-    kept = repeats.without_repeats(docs).withColumn("text", text)
+    kept = repeats.without_repeats(docs, as_text=True)
+    kept = kept.withColumn("text", F.when(F.col("text").isNotNull(), F.col("_kept.text")))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

@@ -15,11 +15,10 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from werkbank.llm import suffixes
 from werkbank.llm.common import id_or_last, stored, table
@@ -28,11 +27,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PIECE = 32
 #: Bytes of text that are hashed at once, and anchors gathered before copies among them are merged.
-BYTES, ANCHORS = 1 << 20, 400_000
+BYTES, ANCHORS = 1 << 19, 300_000
 #: Contexts of one anchor that are sorted in one bucket; the strings of others get buckets of their own.
 BUCKET = 4096
 #: Bytes of contexts that are sorted at once.
-SORTED = 2 << 20
+SORTED = 1 << 20
 #: A place is one number: hash of the text (tells rows of one id apart), first start, number of starts.
 TIE, START, COUNT = 25, 31, 7
 
@@ -95,6 +94,15 @@ def _merged(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.repeat(sizes > 1, sizes)
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``BYTES`` bytes of text each, so that a worker holds little at a time."""
+    for batch in batches:
+        sizes = np.fromiter((len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)), np.int64, batch.num_rows)
+        ends = np.flatnonzero(np.diff(np.cumsum(sizes) // BYTES)) + 1
+        for a, b in zip([0, *ends.tolist()], [*ends.tolist(), batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
 def find_anchors(docs: DataFrame, length: int) -> DataFrame:
     """``key``, ``salt``, ``context``, ``doc``, ``code``, ``at`` of all anchors, merged in each part of a task.
     Where an anchor shows several contexts in a part, its rows are spread by context (``salt``), and a
@@ -149,7 +157,7 @@ def cut_contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bucket", "doc", "code", "at", "bytes"]
-        for batch in batches:
+        for batch in parts(batches, 2):
             out, single = ([], [], [], [], []), {}
             for doc, mark, text, places in zip(*(c.to_pylist() for c in batch.columns)):
                 for p in places:
@@ -223,8 +231,9 @@ def sort_contexts(contexts: DataFrame, length: int) -> DataFrame:
             .mapInArrow(run, "doc long, code long"))
 
 
-def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """All rows of ``docs`` with a struct ``_kept``: ``bytes`` (what is left) and ``spans`` (first and last + 1
+def without_repeats(docs: DataFrame, length: int = 100, as_text: bool = False) -> DataFrame:
+    """All rows of ``docs`` with a struct ``_kept``: ``bytes`` (what is left; or ``text``, without what a cut leaves
+    of a character) and ``spans`` (first and last + 1
     byte of each maximal removed run, one after the other).
 
     A byte goes if a string of ``length`` bytes over it also starts earlier: in a smaller doc_id, or earlier in
@@ -245,13 +254,22 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     runs = (firsts.where("key is null").select("doc", "code").unionByName(sorted_)
             .groupBy(F.col("doc").alias("_doc"), mark.alias("_tie")).agg(F.collect_list("code").alias("_runs")))
 
-    @F.pandas_udf("bytes binary, spans array<long>")
-    def keep(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_keep(t or b"", r, length) for t, r in zip(texts, runs)], columns=["bytes", "spans"])
-
     rows = docs.withColumns({"_doc": id_or_last(), "_tie": F.coalesce(tie(), F.lit(0))}).join(runs, ["_doc", "_tie"], "left")
-    return rows.withColumn("_kept", keep(F.col("text").cast("binary"), "_runs")).select(
-        *docs.drop("_kept").columns, "_kept")
+    docs = docs.drop("_kept")
+    rows = rows.select(F.col("text").cast("binary").alias("_text"), "_runs", *docs.columns)
+    names, kind = [*docs.columns, "_kept"], pa.struct([
+        ("text", pa.string()) if as_text else ("bytes", pa.binary()), ("spans", pa.list_(pa.int64()))])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, 0):
+            found = [_keep(t or b"", r, length) for t, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            kept = pa.array([x.decode("utf-8", "ignore") for x, _ in found] if as_text else [x for x, _ in found], kind[0].type)
+            kept = pa.StructArray.from_arrays([kept, pa.array([x for _, x in found], kind[1].type)], fields=list(kind))
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], kept], names=names)
+
+    held = T.StructType([T.StructField("text", T.StringType()) if as_text else T.StructField("bytes", T.BinaryType()),
+                         T.StructField("spans", T.ArrayType(T.LongType()))])
+    return rows.mapInArrow(keep, T.StructType([*docs.schema.fields, T.StructField("_kept", held)]))
 
 
 def _keep(text: bytes, runs: np.ndarray | None, length: int) -> tuple[bytes, list[int]]:
@@ -274,16 +292,6 @@ def _keep(text: bytes, runs: np.ndarray | None, length: int) -> tuple[bytes, lis
     return b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2])), spans
 
 
-def as_text(kept: Column) -> Column:
-    """Kept bytes as text; what a cut has left of a character goes."""
-
-    @F.pandas_udf("string")
-    def run(rows: pd.Series) -> pd.Series:
-        return pd.Series([r.decode("utf-8", "ignore") for r in rows], dtype=object)
-
-    return run(kept)
-
-
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     spans = F.col("_kept.spans")

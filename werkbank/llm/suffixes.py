@@ -57,11 +57,11 @@ def deep_shallow(data: np.ndarray, starts: np.ndarray, buckets: np.ndarray, leng
         sizes = np.diff(np.r_[begin, len(active)])
         at = starts[order[active]]
         split = np.full(len(active), len(span))
-        for i in range(0, len(active), 200_000):
-            own = data[at[i:i + 200_000, None] + span]
-            heads = data[np.repeat(at[begin], sizes)[i:i + 200_000, None] + span]
+        for i in range(0, len(active), 65_536):
+            own = data[at[i:i + 65_536, None] + span]
+            heads = data[np.repeat(at[begin], sizes)[i:i + 65_536, None] + span]
             unlike = own != heads
-            split[i:i + 200_000] = np.where(unlike.any(axis=1), unlike.argmax(axis=1), len(span))
+            split[i:i + 65_536] = np.where(unlike.any(axis=1), unlike.argmax(axis=1), len(span))
         branch = np.repeat(np.minimum.reduceat(split, begin), sizes)
         open_ = branch < len(span)  # the others are equal to the end
         active, labels, at, branch = active[open_], labels[open_], at[open_], branch[open_]

@@ -18,7 +18,6 @@ BLOCK = 1024
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 FULL = np.uint64((1 << 60) - 1)
-POWERS = np.uint64(1) << np.arange(60, dtype=np.uint64)
 PAD = int(COUNTS.max())
 
 
@@ -38,7 +37,9 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat = grid.ravel()
     escapes = values[values >= FULL]
     flat[flat >= FULL] = FULL
-    width = np.searchsorted(POWERS, flat, side="right").astype(np.uint8)
+    # The exponent of a floating-point number is its width; where rounding carries, it is one too wide at most.
+    exponent = (flat.astype(np.float64).view(np.int64) >> 52) - 1022
+    width = np.clip(exponent, 0, 60).astype(np.uint8)
     widest, best, span = {1: width}, np.full(len(flat), len(COUNTS) - 1, np.uint8), 1
     for selector in range(len(COUNTS) - 2, -1, -1):
         count = int(COUNTS[selector])

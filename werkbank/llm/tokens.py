@@ -10,9 +10,12 @@ import os
 import re
 import sys
 import types
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -24,14 +27,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Ids that a chunk gathers before it is closed; a longer document makes a longer chunk.
 CHUNK = 1 << 18
-#: Pieces of text whose ids a Python worker remembers.
-REMEMBERED = 500_000
+#: Characters of text encoded at once, and pieces whose ids a Python worker remembers.
+CHARS, REMEMBERED = 1 << 21, 900_000
 FORMAT = ("shard int, first bigint, doc_ids array<bigint>, n_tokens array<bigint>, words binary, starts binary, "
           "escapes binary")
 #: A word with the white space that the tokenizer's own splitting leaves with it, or other white space.
 PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: White space for Python only, and the strings of special tokens: such texts are encoded whole.
-ODD = re.compile("[\x1c-\x1f]|<\\|")
+#: White space for Python only, the zero that the dictionary of pieces would end at, and what special tokens begin
+#: with: such texts are encoded whole.
+ODD = ("\0", "\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
 
 def remembered(kind: str) -> dict:
@@ -51,26 +55,62 @@ def tokenizer(path: str):
     return loaded[path]
 
 
-def encoded(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each whole text as little-endian 32-bit numbers.
+def _keys(text: str) -> list[str]:
+    """The pieces of a text. A word stands for itself with a space before it; after a line end, at the start
+    of the text, and for pieces cut by ``PIECES``, a sign tells so that no word begins with."""
+    words = text.split()
+    if " ".join(words) != text.replace("\n", " "):
+        return ["\v" + p for p in PIECES.findall(text)]
+    if words:
+        for k in accumulate(line.count(" ") + 1 for line in text.split("\n")[:-1]):
+            words[k] = "\n" + words[k]
+        words[0] = "\t" + words[0]
+    return words
 
-    The tokenizer cuts at white space before it merges, so the ids of a text are those of its pieces
-    in order; each piece is encoded by the library once as long as it is remembered."""
+
+def _spelled(key: str) -> str:
+    return key[1:] if key[0] in "\t\v" else key if key[0] == "\n" else " " + key
+
+
+def encoded(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the texts, one after the other, and how many each text has.
+
+    The tokenizer cuts at white space before it merges, so the ids of a text are those of its pieces in order.
+    The different pieces of all texts are looked up, or encoded by the library, once, and put in place together."""
     model, known = tokenizer(path), remembered(f"ids of {path}")
-    pack = lambda codes: [np.array(x.ids, "<u4").tobytes() for x in codes]
-    out = []
-    for text in texts:
-        if ODD.search(text):
-            out += pack([model.encode(text, add_special_tokens=False)])
-            continue
-        pieces = PIECES.findall(text)
-        new = list({p for p in pieces if p not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(set(pieces))
-        known.update(zip(new, pack(model.encode_batch_fast(new, add_special_tokens=False))))
-        out.append(b"".join(map(known.__getitem__, pieces)))
-    return out
+    whole = {i for i, t in enumerate(texts) if any(odd in t for odd in ODD)}
+    pieces = [[f"\r{i}"] if i in whole else _keys(t) for i, t in enumerate(texts)]
+    place, names = pd.factorize(np.fromiter(chain.from_iterable(pieces), object))
+    ids = list(map(known.get, names))
+    new = [k for k, x in enumerate(ids) if x is None]
+    for k, code in zip(new, model.encode_batch_fast(
+            [texts[int(names[k][1:])] if names[k][0] == "\r" else _spelled(names[k]) for k in new], add_special_tokens=False)):
+        ids[k] = array("I", code.ids).tobytes()
+    if len(known) + len(new) > REMEMBERED:
+        known.clear()
+    known.update((names[k], ids[k]) for k in new if names[k][0] != "\r")
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    starts = np.cumsum(sizes) - sizes
+    counts = sizes[place]
+    ends = np.cumsum(counts)
+    source = np.arange(int(counts.sum())) + np.repeat(starts[place] - (ends - counts), counts)
+    per_text = np.r_[0, ends][np.cumsum([0, *map(len, pieces)])]
+    return np.frombuffer(b"".join(ids), "<u4")[source], np.diff(per_text)
+
+
+def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts, about ``CHARS`` characters at a time."""
+    names, texts, size = [], [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0), batch.column(1)):
+            names.append(doc_id.as_py())
+            texts.append((text.as_py() or b"").decode("utf-8", "replace"))
+            size += len(texts[-1])
+            if size >= CHARS:
+                yield names, texts
+                names, texts, size = [], [], 0
+    if names:
+        yield names, texts
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0) -> None:
@@ -79,32 +119,31 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     Null text is empty. Rows without a doc_id come last; rows of one id (or none) are ordered by the
     hash of their text, and each row is written. An empty table gives an empty file. Documents are
     dealt to shards by ranges of (doc_id, hash), so neither one id nor missing ids fill a shard."""
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, first, ids, parts, size = TaskContext.get().partitionId(), 0, [], [], 0
+        shard, first, ids, counts, parts, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            words, starts, escapes = simple8b.encode(np.frombuffer(b"".join(parts), "<u4"))
-            row = {"shard": shard, "first": first, "doc_ids": ids, "n_tokens": [len(p) // 4 for p in parts],
+            words, starts, escapes = simple8b.encode(np.concatenate(parts))
+            row = {"shard": shard, "first": first, "doc_ids": ids, "n_tokens": counts,
                    "words": words.astype("<u8").tobytes(), "starts": starts.astype("<u4").tobytes(),
                    "escapes": escapes.astype("<u8").tobytes()}
             return pa.RecordBatch.from_pylist([row], schema)
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
-                texts = [(t or b"").decode("utf-8", "replace") for t in some.column(1).to_pylist()]
-                for doc_id, codes in zip(some.column(0).to_pylist(), encoded(texts, tokenizer_path)):
-                    ids.append(doc_id)
-                    parts.append(codes + end)
-                    size += len(codes) // 4 + 1
-                    if size >= CHUNK:
-                        yield close()
-                        first, ids, parts, size = first + size, [], [], 0
+        for names, texts in _some(batches):
+            codes, lengths = encoded(texts, tokenizer_path)
+            ends = np.cumsum(lengths)
+            for doc_id, n, at in zip(names, lengths.tolist(), ends.tolist()):
+                ids.append(doc_id)
+                counts.append(n + 1)
+                parts += [codes[at - n:at], end]
+                size += n + 1
+                if size >= CHUNK:
+                    yield close()
+                    first, ids, counts, parts, size = first + size, [], [], [], 0
         if ids:
             yield close()
 
+    end = np.array([end_id], "<u4")
     longs = pa.list_(pa.int64())
     schema = pa.schema([("shard", pa.int32()), ("first", pa.int64()), ("doc_ids", longs), ("n_tokens", longs),
                         ("words", pa.binary()), ("starts", pa.binary()), ("escapes", pa.binary())])

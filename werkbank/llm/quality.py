@@ -122,10 +122,10 @@ def trained(docs: DataFrame, labels: DataFrame, seed: int = 0) -> Model | None:
         .withColumn("positive", F.lit(False))))
     wanted = sampled.groupBy("doc_id").agg(F.max("positive").alias("positive"), F.min("positive").alias("only"))
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(wanted), "doc_id")
-    table_ = rows.select("doc_id", "positive", "only", _features("text").alias("x")).toPandas()
-    table_ = table_.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    x = np.array(table_["x"].tolist(), float).reshape(-1, WIDTH)
-    positive, unlabelled = x[table_["positive"].to_numpy(bool)], x[~table_["only"].to_numpy(bool)]
+    drawn = rows.select("doc_id", "positive", "only", _features("text").alias("x")).toPandas()
+    drawn = drawn.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    x = np.array(drawn["x"].tolist(), float).reshape(-1, WIDTH)
+    positive, unlabelled = x[drawn["positive"].to_numpy(bool)], x[~drawn["only"].to_numpy(bool)]
     if not len(positive) or not len(unlabelled):
         return None
     return fit(positive, unlabelled, shares, seed)

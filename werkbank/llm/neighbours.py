@@ -19,7 +19,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Vectors that the cells are fitted on, cells at most, rounds of k-means, rows of a block.
 SAMPLE, CELLS, ROUNDS, BLOCK = 16_384, 1024, 10, 1024
 #: How far, as a share of the distance between two linked vectors, a vector looks beyond its cell's border.
-REACH = 0.6
+REACH = 0.4
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -61,8 +61,9 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.95, reach: float = REA
     told by ``copies``), and edges that connect what is linked.
 
     Cells are fitted on at most ``SAMPLE`` vectors, those of smallest hash, and every vector is dealt to cells.
-    A cell of more than ``BLOCK`` vectors is cut into pieces, and each pair of pieces is a task's group:
-    nothing grows with the size of a cell but the number of groups."""
+    The vectors at home in a cell are compared with each other and with its visitors. Both are cut into
+    pieces of about ``BLOCK``, and two pieces are one group: nothing grows with the size of a cell but the
+    number of groups."""
     sample = vectors.orderBy(F.xxhash64("vector", F.lit(seed)), "node").limit(SAMPLE).select("vector").toPandas()
     if not len(sample):
         empty = vectors.select("node", F.lit(0).cast("long").alias("links")).limit(0)
@@ -72,7 +73,7 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.95, reach: float = REA
         raise ValueError("the vectors differ in length")
     n = vectors.count()
     centres = spherical_kmeans(unit(np.stack(sample["vector"].to_numpy()).astype(np.float64)),
-                               max(1, min(CELLS, math.isqrt(n) // 2)), seed=seed)
+                               max(1, min(CELLS, math.isqrt(n))), seed=seed)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,34 +88,39 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.95, reach: float = REA
     kind = dict(vectors.dtypes)["vector"]
     visits = vectors.select("node", "copies", "vector").mapInArrow(
         deal, f"cell int, home int, node long, copies long, vector {kind}")
-    pieces = visits.groupBy("cell").count().select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("pieces"))
-    own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
-    groups = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda x: F.struct(
-        F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
-    dealt = visits.join(pieces, "cell").select("cell", "home", "node", "copies", "vector", own.alias("piece"),
+    visits = visits.withColumn("here", F.col("home") == F.col("cell"))
+    cut = lambda c: F.ceil(F.count_if(c) / BLOCK).cast("int")
+    pieces = visits.groupBy("cell").agg(cut(F.col("here")).alias("homes"), cut(~F.col("here")).alias("others"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("here"), F.col("homes")).otherwise(F.col("others"))).cast("int")
+    numbers = lambda n: F.filter(F.sequence(F.lit(0), F.col(n)), lambda x: x < F.col(n))
+    group = lambda visit, i, j: F.struct(F.lit(visit).alias("visit"), i.alias("i"), j.alias("j"))
+    groups = F.when(F.col("here"), F.concat(
+        F.transform(numbers("homes"), lambda x: group(False, F.least(x, own), F.greatest(x, own))),
+        F.transform(numbers("others"), lambda x: group(True, own, x)))).otherwise(
+        F.transform(numbers("homes"), lambda x: group(True, x, own)))
+    dealt = visits.join(pieces, "cell").select("cell", "here", "node", "copies", "vector", own.alias("piece"),
                                                F.explode(groups).alias("pair"))
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        cell, i, j = key
+        _, visit, i, j = key
         rows = rows.sort_values("node", kind="stable")
         node, copies = rows["node"].to_numpy(), rows["copies"].to_numpy()
         x = unit(np.stack(rows["vector"].to_numpy()).astype(np.float64))
-        side = rows["piece"].to_numpy()
-        # A pair counts in the lower of its homes: at least one of the two is at home here.
-        at_home = rows["home"].to_numpy() == cell
-        a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        linked = (x[a] @ x[b].T >= cosine) & (at_home[a][:, None] | at_home[b][None])
-        if i == j:
+        piece, here = rows["piece"].to_numpy(), rows["here"].to_numpy(bool)
+        a, b = np.flatnonzero(here & (piece == i)), np.flatnonzero((here != visit) & (piece == j))
+        linked = x[a] @ x[b].T >= cosine
+        same = not visit and i == j
+        if same:
             np.fill_diagonal(linked, False)
         count = np.zeros(len(node), np.int64)
         count[a] += linked @ copies[b]
-        if i != j:
+        if not same:
             count[b] += copies[a] @ linked
         root = np.arange(len(node))
         while True:  # the smallest place that each place is connected with
             low = root.copy()
-            np.minimum.at(low, a, np.where(linked, root[b][None], len(node)).min(axis=1, initial=len(node)))
-            np.minimum.at(low, b, np.where(linked, root[a][:, None], len(node)).min(axis=0, initial=len(node)))
+            low[a] = np.minimum(low[a], np.where(linked, root[b][None], len(node)).min(axis=1, initial=len(node)))
+            low[b] = np.minimum(low[b], np.where(linked, root[a][:, None], len(node)).min(axis=0, initial=len(node)))
             low = low[low]
             if np.array_equal(low, root):
                 break
@@ -122,7 +128,7 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.95, reach: float = REA
         some = np.flatnonzero(count)
         return pd.DataFrame({"node": node[some], "links": count[some], "root": node[root[some]]})
 
-    found = stored(dealt.groupBy("cell", "pair.i", "pair.j").applyInPandas(compare, "node long, links long, root long"), "links")
+    found = stored(dealt.groupBy("cell", "pair.visit", "pair.i", "pair.j").applyInPandas(compare, "node long, links long, root long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     return links, found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
 

@@ -68,6 +68,26 @@ def test_recall_of_planted_neighbours(spark):
     assert sum(r["n_links"] for r in got) >= 0.98 * 3000
 
 
+@pytest.mark.parametrize("pairs, dims, narrow", [(500, 8, False), (1000, 64, True), (3000, 8, False), (3000, 64, True)])
+def test_all_planted_links_are_found(spark, monkeypatch, pairs, dims, narrow):
+    """Pairs at cosines just above the limit, in few dimensions or with a spectrum that falls as 1/k: no link is lost."""
+    monkeypatch.setattr(neighbours, "BLOCK", 128)
+    rng = np.random.default_rng(pairs + dims)
+    scale = 1 / np.arange(1, dims + 1) if narrow else np.ones(dims)
+    x = neighbours.unit(rng.normal(size=(pairs, dims)) * scale)
+    y = rng.normal(size=x.shape) * scale
+    y = neighbours.unit(y - (x * y).sum(axis=1, keepdims=True) * x)
+    cosine = rng.uniform(0.951, 0.96, (pairs, 1))
+    vectors = np.concatenate([x, cosine * x + np.sqrt(1 - cosine ** 2) * y]).astype(np.float32)
+    got = neighbours.embedding_components(spark.createDataFrame(rows_of(list(enumerate(vectors.tolist()))), KIND)).collect()
+    x = neighbours.unit(vectors.astype(float))
+    want = (x @ x.T >= 0.95).sum(axis=1) - 1
+    assert want.min() > 0
+    assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(want.tolist()))
+    if pairs <= 500:
+        assert {r["vec_id"]: r["component_id"] for r in got} == dict(enumerate(brute(list(enumerate(vectors.tolist())))[1]))
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     vectors = [(5, [1.0, 0.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.0, 0.0]), (3, [2.0, 0.0, 0.0, 0.0]), (None, [1.0, 0.0, 0.0, 0.0]),

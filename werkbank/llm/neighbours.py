@@ -18,8 +18,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Vectors that the cells are fitted on, cells at most, rounds of k-means, rows of a block.
 SAMPLE, CELLS, ROUNDS, BLOCK = 16_384, 1024, 10, 1024
-#: How far, as a share of the distance between two linked vectors, a vector looks beyond its cell's border.
-REACH = 0.4
+#: How far, as a share of the distance between two linked vectors, a vector looks beyond its cell's border: less than 1
+#: loses links.
+REACH = 1.0
+#: What rounding may take from a likeness or an angle.
+SLACK, TURN = 1e-9, 1e-6
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -41,16 +44,29 @@ def spherical_kmeans(sample: np.ndarray, cells: int, rounds: int = ROUNDS, seed:
     return centres
 
 
-def visited(vectors: np.ndarray, centres: np.ndarray, cosine: float, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def radii(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The largest angle between each centre and the vectors at home with it (-1 where there is none). Where
+    rounding may decide about the home, each of the cells counts the vector."""
+    likeness = vectors @ centres.T
+    row, cell = np.nonzero(likeness >= likeness.max(axis=1, keepdims=True) - SLACK)
+    out = np.full(len(centres), -1.0)
+    np.maximum.at(out, cell, np.arccos(np.clip(likeness[row, cell], -1, 1)))
+    return out
+
+
+def visited(vectors: np.ndarray, centres: np.ndarray, cosine: float, reach: float,
+            wide: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, cell and home cell of every visit. A vector visits its home and each cell of lower number whose
-    border is nearer than ``reach`` times the greatest distance of linked vectors; with ``reach`` 1 each pair
+    border is nearer than ``reach`` times the greatest distance of linked vectors and whose centre is no farther
+    than its radius (``wide``) and the greatest angle of linked vectors; with ``reach`` 1 each linked pair
     meets for certain in the lower of its two homes."""
     likeness = vectors @ centres.T
     home = likeness.argmax(axis=1)
     apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
     gap = likeness[np.arange(len(vectors)), home][:, None] - likeness
-    near = gap <= reach * math.sqrt(2 - 2 * cosine) * apart[home]
+    near = gap <= reach * math.sqrt(2 - 2 * cosine) * apart[home] + SLACK
     near &= np.arange(len(centres)) < home[:, None]
+    near &= (wide >= 0) & (likeness >= np.cos(np.minimum(wide + math.acos(cosine) + TURN, math.pi)) - SLACK)
     near[np.arange(len(vectors)), home] = True
     row, cell = np.nonzero(near)
     return row, cell, home[row]
@@ -60,7 +76,8 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.95, reach: float = REA
     """From ``node`` and ``vector`` (distinct, valid): links counted per node and cell (``node``, ``other`` copies
     told by ``copies``), and edges that connect what is linked.
 
-    Cells are fitted on at most ``SAMPLE`` vectors, those of smallest hash, and every vector is dealt to cells.
+    Cells of about ``BLOCK`` vectors are fitted on at most ``SAMPLE`` vectors, those of smallest hash, and every
+    vector is dealt to cells.
     The vectors at home in a cell are compared with each other and with its visitors. Both are cut into
     pieces of about ``BLOCK``, and two pieces are one group: nothing grows with the size of a cell but the
     number of groups."""
@@ -73,14 +90,27 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.95, reach: float = REA
         raise ValueError("the vectors differ in length")
     n = vectors.count()
     centres = spherical_kmeans(unit(np.stack(sample["vector"].to_numpy()).astype(np.float64)),
-                               max(1, min(CELLS, math.isqrt(n))), seed=seed)
+                               max(1, min(CELLS, math.ceil(n / BLOCK))), seed=seed)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = np.full(len(centres), -1.0)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                x = np.stack(batch.slice(at, 1024).column(0).to_numpy(zero_copy_only=False)).astype(np.float64)
+                wide = np.maximum(wide, radii(unit(x), centres))
+        yield pa.record_batch([pa.array(np.arange(len(centres), dtype=np.int32)), pa.array(wide)], ["cell", "wide"])
+
+    widest = vectors.select("vector").mapInArrow(spread, "cell int, wide double").groupBy("cell").agg(F.max("wide"))
+    wide = np.full(len(centres), -1.0)
+    for cell, angle in widest.collect():
+        wide[cell] = angle
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 x = unit(np.stack(part.column(2).to_numpy(zero_copy_only=False)).astype(np.float64))
-                row, cell, home = visited(x, centres, cosine, reach)
+                row, cell, home = visited(x, centres, cosine, reach, wide)
                 yield pa.record_batch([pa.array(cell.astype(np.int32)), pa.array(home.astype(np.int32)),
                                        part.column(0).take(row), part.column(1).take(row), part.column(2).take(row)],
                                       ["cell", "home", "node", "copies", "vector"])

@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings, strategies as st
 
 from werkbank.llm import repeats, suffixes
@@ -101,6 +102,23 @@ def test_one_id_and_no_id(make):
     assert all(s == () for i, _, s in spans if i == 9)
 
 
+@pytest.mark.parametrize("size", [300, 400])
+def test_texts_of_one_id_with_like_hashes(make, size):
+    """Two texts of one id, or of none, whose hashes agree in the upper 25 bits; one repeats itself, one does not."""
+    rng = np.random.default_rng(6)
+    seen, pair = {}, None
+    for i in range(40_000):
+        text = rng.integers(97, 123, 150 if i % 2 else size).astype(np.uint8).tobytes() * (1 + i % 2)
+        other = seen.setdefault(xxhash.xxh64_intdigest(text, 42) >> 39, (i, text))
+        if (other[0] - i) % 2:
+            pair = other[1].decode(), text.decode()
+            break
+    assert pair
+    rows = [(i, t) for i in (5, None) for t in pair]
+    for part in (rows[:2], rows[2:]):
+        assert results(repeats.without_repeats(make(part))) == {(i, t): brute([t.encode()])[0] for i, t in part}
+
+
 def test_empty_table(make):
     assert repeats.without_repeats(make([(1, "x")]).where("false")).count() == 0
 

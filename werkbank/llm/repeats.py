@@ -32,16 +32,13 @@ BYTES, ANCHORS = 1 << 19, 300_000
 BUCKET = 4096
 #: Bytes of contexts that are sorted at once.
 SORTED = 1 << 20
-#: A place is one number: hash of the text (tells rows of one id apart), first start, number of starts.
-TIE, START, COUNT = 25, 31, 7
-
-
-def pack(tie: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return (tie << (START + COUNT)) | (start << COUNT) | count
+#: A place in a text is one number: first start and, in the lowest bits, number of starts.
+COUNT = 7
 
 
 def tie() -> Column:
-    return F.shiftrightunsigned(F.xxhash64("text"), 64 - TIE)
+    """Tells the texts of one id apart."""
+    return F.xxhash64("text")
 
 
 def mixed(words: np.ndarray) -> np.ndarray:
@@ -84,9 +81,9 @@ def text_anchors(text: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
 
 
 def _merged(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One row per anchor and context (the earliest) of rows (key, context, doc, code, at), and whether
+    """One row per anchor and context (the earliest) of rows (key, context, doc, tie, code, at), and whether
     its anchor has several contexts here."""
-    rows = rows[:, np.lexsort((rows[3], rows[2], rows[1], rows[0]))]
+    rows = rows[:, np.lexsort((rows[4], rows[3], rows[2], rows[1], rows[0]))]
     new_key = np.r_[True, rows[0, 1:] != rows[0, :-1]]
     new = new_key | np.r_[True, rows[1, 1:] != rows[1, :-1]]
     rows, begin = rows[:, new], np.flatnonzero(new_key[new])
@@ -104,7 +101,7 @@ def parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordB
 
 
 def find_anchors(docs: DataFrame, length: int) -> DataFrame:
-    """``key``, ``salt``, ``context``, ``doc``, ``code``, ``at`` of all anchors, merged in each part of a task.
+    """``key``, ``salt``, ``context``, ``doc``, ``tie``, ``code``, ``at`` of all anchors, merged in each part of a task.
     Where an anchor shows several contexts in a part, its rows are spread by context (``salt``), and a
     row without a context tells the anchor's own group of it: no anchor's rows must meet in a task."""
 
@@ -116,8 +113,8 @@ def find_anchors(docs: DataFrame, length: int) -> DataFrame:
         empty = np.r_[np.zeros(rows.shape[1], bool), np.ones(len(told), bool)]
         return pa.record_batch([
             put(0, told), pa.array(np.r_[np.where(several, rows[1] | 1, 0), gap]),
-            pa.array(np.r_[rows[1], gap], mask=empty), put(2, gap), put(3, gap),
-            pa.array(np.r_[rows[4], gap].astype(np.int8))], ["key", "salt", "context", "doc", "code", "at"])
+            pa.array(np.r_[rows[1], gap], mask=empty), put(2, gap), put(3, gap), put(4, gap),
+            pa.array(np.r_[rows[5], gap].astype(np.int8))], ["key", "salt", "context", "doc", "tie", "code", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -125,8 +122,8 @@ def find_anchors(docs: DataFrame, length: int) -> DataFrame:
             for doc, mark, text in zip(*(batch.column(i) for i in range(3))):
                 doc, mark, text = doc.as_py(), mark.as_py(), text.as_py() or b""
                 for first, count, at, key, context in text_anchors(text, length):
-                    codes = pack(np.int64(mark), first, count)
-                    parts.append(np.stack([key.view(np.int64), context.view(np.int64), np.full(len(first), doc), codes, at]))
+                    parts.append(np.stack([key.view(np.int64), context.view(np.int64), np.full(len(first), doc),
+                                           np.full(len(first), mark), first << COUNT | count, at]))
                     size += len(first)
                     if size >= ANCHORS:
                         yield emit(parts)
@@ -134,59 +131,59 @@ def find_anchors(docs: DataFrame, length: int) -> DataFrame:
         if parts:
             yield emit(parts)
 
-    texts = docs.select(id_or_last().alias("doc"), F.coalesce(tie(), F.lit(0)).alias("tie"),
+    texts = docs.select(id_or_last().alias("doc"), tie().alias("tie"),
                         F.col("text").cast("binary").alias("text")).where(F.octet_length("text") >= length)
-    return texts.mapInArrow(run, "key long, salt long, context long, doc long, code long, at byte")
+    return texts.mapInArrow(run, "key long, salt long, context long, doc long, tie long, code long, at byte")
 
 
 def first_contexts(found: DataFrame) -> DataFrame:
     """The first place of each anchor and context; ``key`` is null where the anchor has no other context."""
     group = Window.partitionBy("key", "salt")
     rows = (found.repartition("key", "salt")
-            .withColumn("last", F.lag("context").over(group.orderBy("context", "doc", "code")))
+            .withColumn("last", F.lag("context").over(group.orderBy("context", "doc", "tie", "code")))
             .withColumn("several", (F.min("context").over(group) < F.max("context").over(group))
                         | (F.count("context").over(group) < F.count("*").over(group)) | (F.col("salt") != 0)))
     return rows.where("context is not null and (last is null or last <> context)").select(
-        "doc", "code", "at", F.when(F.col("several"), F.col("key")).alias("key"))
+        "doc", "tie", "code", "at", F.when(F.col("several"), F.col("key")).alias("key"))
 
 
 def cut_contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``bucket``, ``doc``, ``code``, ``at``, ``bytes`` of the contexts to be sorted. The strings of an anchor with
+    """``bucket``, ``doc``, ``tie``, ``code``, ``at``, ``bytes`` of the contexts to be sorted. The strings of an anchor with
     very many contexts are cut one by one, with their own hash as bucket, and merged in each batch."""
     per_doc = wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("code", "key", "at", "crowded")).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "doc", "code", "at", "bytes"]
+        names = ["bucket", "doc", "tie", "code", "at", "bytes"]
         for batch in parts(batches, 2):
-            out, single = ([], [], [], [], []), {}
+            out, single = ([], [], [], [], [], []), {}
             for doc, mark, text, places in zip(*(c.to_pylist() for c in batch.columns)):
                 for p in places:
-                    start, count = p["code"] >> COUNT & (1 << START) - 1, p["code"] & (1 << COUNT) - 1
+                    start, count = p["code"] >> COUNT, p["code"] & (1 << COUNT) - 1
                     if not p["crowded"]:
-                        for column, value in zip(out, (p["key"], doc, p["code"], p["at"], text[start:start + count + length - 1])):
+                        for column, value in zip(out, (p["key"], doc, mark, p["code"], p["at"], text[start:start + count + length - 1])):
                             column.append(value)
                         continue
                     for s in range(start, start + count):
-                        place = (doc, mark << (START + COUNT) | s << COUNT | 1)
+                        place = (doc, mark, s << COUNT | 1)
                         string = text[s:s + length]
                         single[string] = min(place, single.get(string, place))
-            for string, (doc, code) in single.items():
-                for column, value in zip(out, (xxhash.xxh3_64_intdigest(string) - (1 << 63), doc, code, 0, string)):
+            for string, (doc, mark, code) in single.items():
+                for column, value in zip(out, (xxhash.xxh3_64_intdigest(string) - (1 << 63), doc, mark, code, 0, string)):
                     column.append(value)
-            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(
-                out[2], pa.int64()), pa.array(out[3], pa.int8()), pa.array(out[4], pa.binary())], names)
+            yield pa.record_batch([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.int8()),
+                                   pa.array(out[5], pa.binary())], names)
 
     joined = texts.join(per_doc, ["doc", "tie"]).select("doc", "tie", "text", "places")
-    return joined.mapInArrow(run, "bucket long, doc long, code long, at byte, bytes binary")
+    return joined.mapInArrow(run, "bucket long, doc long, tie long, code long, at byte, bytes binary")
 
 
 def sort_contexts(contexts: DataFrame, length: int) -> DataFrame:
-    """``doc`` and ``code`` of the runs of strings in the contexts that no earlier place has."""
+    """``doc``, ``tie`` and ``code`` of the runs of strings in the contexts that no earlier place has."""
 
     def settle(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(rows).combine_chunks()
-        bucket, doc, code, at = (rows.column(i).to_numpy().astype(np.int64) for i in range(4))
-        raw = rows.column(4).to_pylist()
+        bucket, doc, mark, code, at = (rows.column(i).to_numpy().astype(np.int64) for i in range(5))
+        raw = rows.column(5).to_pylist()
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         data = np.frombuffer(b"".join(raw) + bytes(8), np.uint8)
         counts = sizes - length + 1
@@ -199,7 +196,7 @@ def sort_contexts(contexts: DataFrame, length: int) -> DataFrame:
             data, (np.cumsum(sizes) - sizes)[row] + step, dense[row] * 256 + at[row] - step + 128, length)
         row, step = row[order], step[order]
         place = (code[row] >> COUNT) + step
-        earliest = np.lexsort((place, doc[row], group))
+        earliest = np.lexsort((place, mark[row], doc[row], group))
         keep = earliest[np.r_[True, group[earliest][1:] != group[earliest][:-1]]]
         row, step = row[keep], step[keep]
         turn = np.lexsort((step, row))
@@ -207,7 +204,7 @@ def sort_contexts(contexts: DataFrame, length: int) -> DataFrame:
         first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (step[1:] != step[:-1] + 1)])
         runs = np.diff(np.r_[first, len(row)])
         codes = (((code[row[first]] >> COUNT) + step[first]) << COUNT) | runs
-        return pa.record_batch([pa.array(doc[row[first]]), pa.array(codes)], ["doc", "code"])
+        return pa.record_batch([pa.array(doc[row[first]]), pa.array(mark[row[first]]), pa.array(codes)], ["doc", "tie", "code"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -228,7 +225,7 @@ def sort_contexts(contexts: DataFrame, length: int) -> DataFrame:
             yield settle(held)
 
     return (contexts.repartition("bucket").sortWithinPartitions("bucket")
-            .mapInArrow(run, "doc long, code long"))
+            .mapInArrow(run, "doc long, tie long, code long"))
 
 
 def without_repeats(docs: DataFrame, length: int = 100, as_text: bool = False) -> DataFrame:
@@ -243,18 +240,17 @@ def without_repeats(docs: DataFrame, length: int = 100, as_text: bool = False) -
     if not PIECE + 8 <= length <= PIECE + (1 << COUNT) - 2:
         raise ValueError("the strings must have 40 to 158 bytes")
     firsts = stored(first_contexts(find_anchors(docs, length)), "repeats")
-    mark = F.shiftrightunsigned("code", START + COUNT)
     open_ = firsts.where("key is not null")
     crowded = open_.groupBy("key").count().where(F.col("count") > BUCKET).select("key", F.lit(True).alias("crowded"))
     wanted = open_.join(crowded, "key", "left").select(
-        "doc", mark.alias("tie"), "code", "key", "at", F.coalesce("crowded", F.lit(False)).alias("crowded"))
-    texts = docs.select(id_or_last().alias("doc"), F.coalesce(tie(), F.lit(0)).alias("tie"),
+        "doc", "tie", "code", "key", "at", F.coalesce("crowded", F.lit(False)).alias("crowded"))
+    texts = docs.select(id_or_last().alias("doc"), tie().alias("tie"),
                         F.col("text").cast("binary").alias("text")).where(F.octet_length("text") >= length)
     sorted_ = sort_contexts(cut_contexts(texts, wanted, length), length)
-    runs = (firsts.where("key is null").select("doc", "code").unionByName(sorted_)
-            .groupBy(F.col("doc").alias("_doc"), mark.alias("_tie")).agg(F.collect_list("code").alias("_runs")))
+    runs = (firsts.where("key is null").select("doc", "tie", "code").unionByName(sorted_)
+            .groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_list("code").alias("_runs")))
 
-    rows = docs.withColumns({"_doc": id_or_last(), "_tie": F.coalesce(tie(), F.lit(0))}).join(runs, ["_doc", "_tie"], "left")
+    rows = docs.withColumns({"_doc": id_or_last(), "_tie": tie()}).join(runs, ["_doc", "_tie"], "left")
     docs = docs.drop("_kept")
     rows = rows.select(F.col("text").cast("binary").alias("_text"), "_runs", *docs.columns)
     names, kind = [*docs.columns, "_kept"], pa.struct([
@@ -276,7 +272,7 @@ def _keep(text: bytes, runs: np.ndarray | None, length: int) -> tuple[bytes, lis
     if len(text) < length:
         return text, []
     runs = np.asarray([] if runs is None else runs, np.int64)
-    start, count = runs >> COUNT & (1 << START) - 1, runs & (1 << COUNT) - 1
+    start, count = runs >> COUNT, runs & (1 << COUNT) - 1
     kept = np.zeros(len(text) - length + 2, np.int64)
     np.add.at(kept, start, 1)
     np.add.at(kept, start + count, -1)

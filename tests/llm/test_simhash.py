@@ -96,6 +96,16 @@ def test_odd_rows(odd):
     assert sum(r["doc_id"] is None for r in rows) == 2
 
 
+def test_dedup_keeps_one_row_of_each_component(make):
+    """One id in several components names them all, and rows without an id are copies like others."""
+    a, b, c, d = "a b c d", "other words here", "only without an id", "one text of two"
+    rows = [(1, a), (1, b), (1, d), (1, d), (5, b), (6, b), (8, a), (None, a), (None, a), (None, c), (None, c), (None, c), (9, d)]
+    assert len({brute_print(t) for t in (a, b, c, d)}) == 4
+    kept = simhash.simhash_dedup(make(rows))
+    assert kept.columns == make(rows).columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(1, a), (1, b), (0, c), (1, d)])
+
+
 def test_empty_table(make):
     empty = make([(1, "x")]).where("false")
     assert simhash.simhash_components(empty).count() == 0 == simhash.simhash_dedup(empty).count()

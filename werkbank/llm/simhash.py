@@ -165,6 +165,13 @@ def near_links(values: DataFrame, distance: int = 3) -> DataFrame:
     return (rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct())
 
 
+def labelled(prints: DataFrame, distance: int) -> DataFrame:
+    """``prints`` (distinct values of ``fingerprint``) with ``label``, the smallest fingerprint of the component."""
+    groups = connected_components(near_links(prints.select("fingerprint"), distance))
+    found = prints.join(groups, prints["fingerprint"] == groups["node"], "left")
+    return found.withColumn("label", F.coalesce("component", "fingerprint")).drop("node", "component")
+
+
 def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
     """``doc_id``, ``mark`` (a hash of the text), ``fingerprint`` (16 lowercase hex digits) and ``component_id``:
     the smallest doc_id reachable over fingerprints that differ in at most ``distance`` bits, itself included.
@@ -174,27 +181,26 @@ def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 3, see
     names a component (as null) only where none of its rows has an id. Other columns are ignored;
     an empty table gives an empty result."""
     prints = stored(fingerprints(docs, shingle, seed), "simhash")
-    distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    groups = connected_components(near_links(distinct.select("fingerprint"), distance))
-    label = F.coalesce("component", "fingerprint")
-    labelled = distinct.join(groups, distinct["fingerprint"] == groups["node"], "left").select(
-        "fingerprint", label.alias("label"), "first")
-    smallest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = labelled.join(smallest, "label").select("fingerprint", "component_id")
+    values = labelled(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), distance)
+    smallest = values.groupBy("label").agg(F.min("first").alias("component_id"))
+    named = values.join(smallest, "label").select("fingerprint", "component_id")
     return prints.join(named, "fingerprint").select(
         "doc_id", "mark", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
-    """One document of each component, columns unchanged: the one whose doc_id names it. Of rows of one id in a
-    component the text of smallest hash stays, of equal rows one. Rows without a doc_id cannot be named and stay."""
-    kept = (simhash_components(docs, shingle, distance, seed).where("doc_id = component_id")
-            .groupBy(F.col("doc_id").alias("_id")).agg(F.min("mark").alias("_least")))
-    rows = docs.withColumn("_mark", F.xxhash64("text"))
-    found = rows.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_mark") == F.col("_least")), "left")
-    copy = F.row_number().over(Window.partitionBy("doc_id", "_mark").orderBy("_mark"))
-    return (found.where("doc_id is null or _id is not null").withColumn("_copy", copy)
-            .where("doc_id is null or _copy = 1").drop("_mark", "_id", "_least", "_copy"))
+    """One row of each component, columns unchanged: that of smallest doc_id (rows without one come last), among
+    rows of one id that whose text has the smallest hash, of equal rows any one."""
+    prints = stored(fingerprints(docs, shingle, seed), "simhash")
+    row = lambda mark: [F.col("doc_id").isNull().alias("_none"), F.coalesce(
+        F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), mark.alias("_mark")]
+    firsts = prints.groupBy("fingerprint").agg(F.min(F.struct(*row(F.col("mark")))).alias("row"))
+    kept = labelled(firsts, distance).groupBy("label").agg(F.min("row").alias("row")).select("row.*")
+    key = ["_none", "_id", "_mark"]
+    # Copies go in each task before rows are dealt, so that those of one row need not meet.
+    copy = F.row_number().over(Window.partitionBy(*key).orderBy("_mark"))
+    rows = docs.select("*", *row(F.xxhash64("text"))).withColumn("_copy", copy).where("_copy = 1")
+    return rows.join(kept, key, "left_semi").drop(*key, "_copy")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

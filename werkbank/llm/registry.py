@@ -6,6 +6,7 @@ from werkbank.llm.licenses import op9_licenses
 from werkbank.llm.mixing import op4_mixing
 from werkbank.llm.neighbours import op3_embeddings
 from werkbank.llm.quality import op10_quality
+from werkbank.llm.ranked import OP11_SQL, op11_ranked_search
 from werkbank.llm.repeats import op1_suffix_array
 from werkbank.llm.sentencepieces import op7_sentencepiece
 from werkbank.llm.simhash import op6_simhash
@@ -15,6 +16,7 @@ from werkbank.llm.winnowing import op8_fingerprints
 
 QUERIES = {"op1_suffix_array": op1_suffix_array, "op2_tokens": op2_tokens, "op3_embeddings": op3_embeddings,
            "op4_mixing": op4_mixing, "op5_urls": op5_urls, "op6_simhash": op6_simhash, "op7_sentencepiece": op7_sentencepiece, "op8_fingerprints": op8_fingerprints,
-           "op9_licenses": op9_licenses, "op10_quality": op10_quality}
+           "op9_licenses": op9_licenses, "op10_quality": op10_quality,
+           "op11_ranked_search": op11_ranked_search}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_ranked_search": OP11_SQL}

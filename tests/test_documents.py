@@ -19,13 +19,13 @@ LINES = [
 
 
 def test_items_and_rejects(spark):
-    for hot_rows in (1, 10 ** 6):
+    for pieces in (1, 3):
         lines = table(spark, BELEGP, LINES)
-        items = D.order_items(lines, hot_rows, 3)
+        items = D.order_items(lines, pieces)
         assert values(items, "document_number", "position", "sku", "parent_line_id", sort=True) == [
             ("RA1", 1, "PC001", None), ("RA1", 2, "CP001", 1), ("RA1", 3, "ME001", 1), ("RA1", 4, "AR001", None),
             ("RA1", 6, "PC002", None), ("RA1", 7, "CP002", 6)]
-        assert values(D.order_item_rejects(lines, hot_rows, 3), "sku", sort=True) == ["CP003", "CP009"]
+        assert values(D.order_item_rejects(lines, pieces), "sku", sort=True) == ["CP003", "CP009"]
 
 
 def test_one_grain_for_any_length(spark):
@@ -65,21 +65,23 @@ def test_order_360(spark):
 
 
 def test_channel_names_by_map_and_by_join(spark, monkeypatch):
+    """As many channels as go into a map or more: the same names."""
     from werkbank.plans import sales
 
     beleg = table(spark, BELEG, [dict(Belegnummer=str(i), Belegtyp="R", Status=0, Vertreter=v, AngelegtAm="2026-01-01 00:00:00")
                                  for i, v in enumerate([8, 8, 9, None])])
     names = table(spark, MITARBW, [dict(Nr=8, Name="Shop"), dict(Nr=1, Name="Other")])
-    for many in (False, True):
-        got = sales.order_header(beleg, names, many)
+    for most in (10_000, 2, 1):
+        monkeypatch.setattr(sales, "CHANNELS", most)
+        got = sales.order_header(beleg, names)
         assert values(got, "document_number", "platform", sort=True) == [("0", "Shop"), ("1", "Shop"), ("2", None), ("3", None)]
-    monkeypatch.setattr(sales, "CHANNELS", 1)
-    with pytest.raises(Exception, match="many_channels"):
-        sales.order_header(beleg, names).collect()
+    many = spark.range(10_001).selectExpr("cast(id AS int) AS Nr", "concat('Channel ', id) AS Name")
+    assert values(sales.with_platform(beleg, many), "platform", sort=True) == sorted(
+        ["Channel 8", "Channel 8", "Channel 9", None], key=repr)
 
 
 def test_only_lines_on_a_chain_are_summed(spark):
-    """The lines meet the wanted numbers before any sum."""
+    """The lines meet the wanted numbers before any sum, and all chains read the stored headers."""
     plan = D.missing_components(chain(spark))._jdf.queryExecution().optimizedPlan().toString()
     lines = plan[plan.index("Aggregate [Belegnummer"):]
     assert "LeftSemi" in lines

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
-from werkbank.operators.ordered import global_rank, running_last, spread_join, with_pieces
+from werkbank.operators.ordered import global_rank, in_ranges, running_last, spread_join
 
 
 @pytest.fixture(scope="module")
@@ -21,27 +21,25 @@ def rows(spark):
     return spark.createDataFrame(data, "k string, at long, m int").cache()
 
 
-def test_only_hot_keys_are_cut(rows):
-    cut = with_pieces(rows, ["k"], ["at"], hot_rows=500, pieces=16).groupBy("k").agg(
-        F.countDistinct("_piece").alias("n"), F.max(F.col("_hot").cast("int")).alias("h")).collect()
-    assert {r.k for r in cut if r.h} == {"hot"}
-    assert all(r.n == 1 for r in cut if r.k != "hot")
-    assert next(r.n for r in cut if r.k == "hot") == 16
-
-
-def pieces_of(frame, sequence, pieces):
-    sizes = with_pieces(frame, ["k"], sequence, hot_rows=500, pieces=pieces).groupBy("_piece").count().collect()
-    return [r["count"] for r in sizes]
+def sizes(frame, columns, pieces):
+    return [r["count"] for r in in_ranges(frame, columns, pieces).groupBy("_part").count().collect()]
 
 
 @pytest.mark.parametrize("key", ["hot", None])
-def test_pieces_stay_even(spark, key):
-    """One outlying value, equal leading columns, a missing key: no piece much above the mean."""
+def test_ranges_stay_even(spark, key):
+    """One outlying value, equal leading columns, all order columns equal, a missing key: no range much above the mean."""
     outlier = spark.createDataFrame([(key, i if i else 10 ** 15, i) for i in range(4000)], "k string, at long, i long")
     ties = spark.createDataFrame([(key, 7, i) for i in range(4000)], "k string, at long, i long")
-    for frame, sequence in ((outlier, ["at"]), (ties, ["at", "i"])):
-        sizes = pieces_of(frame, sequence, 8)
-        assert len(sizes) == 8 and max(sizes) < 2 * 4000 / 8
+    for frame, columns in ((outlier, ["k", "at"]), (ties, ["k", "at", "i"]), (ties, ["k", "at"])):
+        found = sizes(frame, columns, 8)
+        assert len(found) == 8 and sum(found) == 4000 and max(found) < 2 * 4000 / 8
+
+
+def test_a_range_is_whole(rows):
+    """Ranges follow each other in the order of key and cut."""
+    found = sorted((r["p"], r["a"], r["b"]) for r in in_ranges(rows, ["k", "at"], 7).groupBy(F.col("_part").alias("p")).agg(
+        F.min(F.struct("k", "at")).alias("a"), F.max(F.struct("k", "at")).alias("b")).collect())
+    assert len(found) == 7 and all(x[2] < y[1] for x, y in zip(found, found[1:]))
 
 
 def test_missing_keys_run_like_others(spark, rows):
@@ -49,18 +47,18 @@ def test_missing_keys_run_like_others(spark, rows):
     w = Window.partitionBy("k").orderBy("at")
     want = frame.select("k", "at", F.row_number().over(w).alias("p"), F.last("m", ignorenulls=True).over(
         w.rowsBetween(Window.unboundedPreceding, 0)).alias("l"))
-    got = running_last(frame, ["k"], "at", F.col("m"), hot_rows=500, pieces=9).select("k", "at", "position", "last_mark")
+    got = running_last(frame, ["k"], "at", F.col("m"), pieces=9).select("k", "at", "position", "last_mark")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
 @pytest.mark.parametrize("before", [False, True])
-@pytest.mark.parametrize("hot_rows,pieces", [(1, 7), (500, 16), (10 ** 6, 4)])
-def test_running_last_equals_one_window(rows, before, hot_rows, pieces):
+@pytest.mark.parametrize("pieces", [1, 7, 16, 200, None])
+def test_running_last_equals_one_window(rows, before, pieces):
     w = Window.partitionBy("k").orderBy("at")
     span = w.rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     want = rows.select("k", "at", F.row_number().over(w).alias("position"),
                        F.last("m", ignorenulls=True).over(span).alias("last_mark"))
-    got = running_last(rows, ["k"], "at", F.col("m"), before=before, hot_rows=hot_rows, pieces=pieces).select(
+    got = running_last(rows, ["k"], "at", F.col("m"), before=before, pieces=pieces).select(
         "k", "at", "position", "last_mark")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
@@ -76,7 +74,34 @@ def test_spread_join_equals_join(spark, rows, how, hot_rows):
 
 def test_global_rank(spark, rows):
     timed = rows.withColumn("ts", F.timestamp_seconds(F.col("at") / 1000)).drop("m")
-    got = global_rank(timed, "ts", ["k", "at"], hot_rows=50, pieces=8).orderBy("rank").collect()
+    got = global_rank(timed, "ts", ["k", "at"], pieces=8).orderBy("rank").collect()
     want = timed.orderBy("ts", "k", "at").collect()
     assert [(r.k, r.at) for r in got] == [(r.k, r.at) for r in want]
     assert [r["rank"] for r in got] == list(range(1, len(want) + 1))
+
+
+def test_equal_rows_each_get_a_position(spark):
+    """One key, one moment, many rows, some equal in all columns: positions from 1 without gaps."""
+    frame = spark.createDataFrame([("a", 1, i % 700) for i in range(2000)] + [("b", 1, 0)] * 3, "k string, at long, i long")
+    got = running_last(frame, ["k"], "at", F.lit(None).cast("int"), pieces=9).collect()
+    for key, n in (("a", 2000), ("b", 3)):
+        assert sorted(r["position"] for r in got if r["k"] == key) == list(range(1, n + 1))
+
+
+def test_two_keys_of_one_name_part(spark):
+    """Keys of several columns, with nulls in one of them, cross borders like others."""
+    frame = spark.createDataFrame([(a, b, i, i if i % 40 == 0 else None) for a in ("x", None) for b in (1, None) for i in range(200)],
+                                  "a string, b int, at long, m long")
+    got = running_last(frame, ["a", "b"], "at", F.col("m"), pieces=11).collect()
+    assert len(got) == 800 and all(r["position"] == r["at"] + 1 and r["last_mark"] == r["at"] // 40 * 40 for r in got)
+
+
+def test_empty_rows(spark, rows):
+    got = running_last(rows.where("false"), ["k"], "at", F.col("m"))
+    assert got.count() == 0 and {"position", "last_mark"} <= set(got.columns)
+
+
+def test_scans_and_shuffles_of_a_scan(spark, rows):
+    """After the one cut nothing but a row per range is shuffled; no join with borders, no look for hot keys."""
+    plan = running_last(rows, ["k"], "at", F.col("m"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and "rangepartitioning" not in plan

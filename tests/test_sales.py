@@ -3,10 +3,11 @@ from decimal import Decimal
 
 import pytest
 from helpers import erp, values
+from pyspark.sql import functions as F
 
 from werkbank.functions.dates import as_date
 from werkbank.functions.predicates import lifecycle
-from werkbank.operators.shaping import limit_flag, numbered_page, page, to_chart, to_records
+from werkbank.operators.shaping import first_rows, limit_flag, numbered_page, page, to_chart, to_records
 from werkbank.plans import sales as S
 
 
@@ -132,3 +133,14 @@ def test_chart_pages_records(spark):
     for bad in ((0, 0), (-1, 5)):
         with pytest.raises(ValueError):
             page(many, ["id"], *bad)
+
+
+@pytest.mark.parametrize("rows, n", [(0, 3), (2, 3), (500, 7), (500, 600)])
+def test_first_rows_and_count_in_one_run(spark, rows, n):
+    frame = spark.range(rows).selectExpr("id", "cast(id * 7919 % 1009 AS int) AS v", "if(id % 3 = 0, NULL, 'x') AS t")
+    found = first_rows(frame, [F.desc("v"), "id"], n)
+    want = sorted(((i * 7919 % 1009, i) for i in range(rows)), key=lambda r: (-r[0], r[1]))[:n]
+    assert [(r["v"], r["id"], r["_place"], r["_total"]) for r in found.orderBy("_place").collect()] == [
+        (*w, i + 1, rows) for i, w in enumerate(want)]
+    plan = page(frame, [F.desc("v"), "id"], 0, 5)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Range (") == 1

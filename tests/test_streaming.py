@@ -88,3 +88,102 @@ def test_a_late_run_counts(spark, tmp_path):
     path = run(jobs.stream_incidents, str(tmp_path), feed(spark, str(tmp_path), rows, schema, 2))
     got = jobs.read_incidents(spark, path).orderBy("run_id")
     assert values(got, "run_id", "alert", "notified_before") == [(1, "problem", False), (3, "recovered", True), (5, None, False)]
+
+
+def checks_of(rng, services, runs):
+    """Checks (service, run_id, healthy, mail_accepted), several per run, with missing values."""
+    return [(s, r, rng.random() < 0.8, rng.choice([True, True, False, None])) for s in services for r in range(runs) for _ in range(rng.randrange(1, 3))]
+
+
+CHECKS = "service string, run_id long, healthy boolean, mail_accepted boolean"
+
+
+def batch_alerts(spark, rows):
+    from werkbank.plans.monitoring import incident_states
+
+    found = incident_states(spark.createDataFrame(rows, CHECKS)).filter("alert IS NOT NULL")
+    return sorted(map(tuple, found.select("service", "run_id", "alert").collect()), key=repr)
+
+
+def standing(spark, path):
+    return sorted(map(tuple, jobs.read_alerts(spark, path).select("service", "run_id", "alert").collect()), key=repr)
+
+
+def test_alerts_net_to_the_batch(spark, tmp_path):
+    """Shuffled, split and late: what stands after all changes is the batch's result, and nothing is late."""
+    rng = random.Random(9)
+    rows = checks_of(rng, ["a", "b", None], 40)
+    rng.shuffle(rows)
+    path = run(jobs.stream_alerts, str(tmp_path), feed(spark, str(tmp_path), rows, CHECKS, 30))
+    changes = spark.read.parquet(path)
+    assert standing(spark, path) == batch_alerts(spark, rows)
+    assert changes.filter("kind = 'late'").count() == 0 and changes.filter("change = -1").count() > 0
+
+
+def test_alerts_come_in_their_batch_and_are_corrected(spark, tmp_path):
+    rows = [("s", 1, False, True), ("s", 3, True, True), ("s", 2, True, True)]
+    path = run(jobs.stream_alerts, str(tmp_path), feed(spark, str(tmp_path), rows, CHECKS, 1))
+    got = [sorted(map(tuple, spark.read.parquet(f"{path}/batch_id={b}").select("run_id", "alert", "change").collect())) for b in range(3)]
+    # The late run 2 recovers the service, so that the alert of run 3 is taken back.
+    assert got == [[(1, "problem", 1)], [(3, "recovered", 1)], [(2, "recovered", 1), (3, "recovered", -1)]]
+
+
+def test_alert_state_is_bounded_and_late_checks_are_kept(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [("s", r, rng.random() < 0.5, True) for r in range(60)] + [("s", 3, False, True), ("s", None, True, True)]
+    query_rows = feed(spark, str(tmp_path), rows, CHECKS, 10)
+    path = run(jobs.stream_alerts, str(tmp_path), query_rows, open_runs=15)
+    late = spark.read.parquet(path).filter("kind = 'late'")
+    assert values(late, "run_id", "healthy", sort=True) == sorted([(3, False), (None, True)], key=repr)
+    assert standing(spark, path) == batch_alerts(spark, [r for r in rows[:60]])
+
+
+def test_settled_runs_keep_their_outcome():
+    from werkbank.plans.monitoring import OpenRuns
+
+    known = OpenRuns.loaded(None)
+    for run_ in range(100):
+        assert known.add(run_, run_ % 10 != 7, True)
+    first = list(known.changes())
+    known.settle(5)
+    again = OpenRuns.loaded(known.state())
+    assert len(again.runs) == 5 and again.closed == 94 and again.notified is False
+    assert list(again.changes()) == [] and not again.add(94, True, True) and first[0] == (7, "problem", 1)
+
+
+def bounded(spark, folder, rows, step, delay):
+    path = run(jobs.stream_bounded_counts, folder, feed(spark, folder, rows, "ts timestamp", step), delay=delay)
+    frame = jobs.read_bounded_counts(spark, path).withColumn("period", F.col("period").cast("string"))
+    return path, {r["period"]: (r["n"], r["rejected"], r["closed"]) for r in frame.collect()}
+
+
+def test_counts_and_rejects_make_all_rows(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(START + timedelta(hours=rng.randrange(24 * 12)),) for _ in range(120)] + [(None,)] * 3
+    rng.shuffle(rows)
+    want = {}
+    for (at,) in rows:
+        day = at and at.strftime("%Y-%m-%d")
+        want[day] = want.get(day, 0) + 1
+    for i, delay in enumerate(("1 hour", "3 days", "30 days")):
+        _, got = bounded(spark, str(tmp_path / str(i)), rows, 20, delay)
+        assert {d: n + late for d, (n, late, _) in got.items()} == want
+        assert (sum(late for _, late, _ in got.values()) == 0) == (delay == "30 days")
+
+
+def test_a_period_closes_and_its_late_rows_are_rejected(spark, tmp_path):
+    day = lambda d, h=1: (START + timedelta(days=d, hours=h),)
+    rows = [day(0), day(0), day(1), day(5), day(5, 2), day(0, 3), day(5, 4), day(1, 9)]
+    path, got = bounded(spark, str(tmp_path), rows, 2, "1 day")
+    assert got["2024-01-01"] == (2, 1, True) and got["2024-01-02"] == (1, 1, True) and got["2024-01-06"] == (3, 0, False)
+    states = [r["kind"] for r in spark.read.parquet(path).filter("period = '2024-01-01'").orderBy("batch_id").collect()]
+    assert states == ["open", "closed", "late"]
+
+
+def test_state_of_closed_periods_goes(spark, tmp_path):
+    rows = [(START + timedelta(days=d),) for d in range(40) for _ in range(2)]
+    source = feed(spark, str(tmp_path), rows, "ts timestamp", 8)
+    query = jobs.stream_bounded_counts(source, f"{tmp_path}/out", f"{tmp_path}/checkpoint", delay="2 days")
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert len(held) >= 10 and max(held) <= 12

@@ -68,7 +68,7 @@ def date_range(column: Column, lo: date | None, hi: date | None) -> Column:
 def bucket(column: Column, grain: str) -> Column:
     """First day of the period (Monday for weeks); NULL for ``total``."""
     if grain not in GRAINS:
-        raise ValueError("grain must be day, week, month, year, or total")
+        raise ValueError(f"no such period: {grain!r}; there are {', '.join(GRAINS)}")
     if grain == "total":
         return F.lit(None).cast("date")
     return F.to_date(column) if grain == "day" else F.date_trunc(grain, column).cast("date")

@@ -3,6 +3,7 @@
 import html
 import json
 import re
+import zlib
 from html import entities
 
 from pyspark.sql import Column, functions as F
@@ -59,14 +60,27 @@ _NOT_TEXT = (r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<
 _REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
-def _literal_map(values: dict, kind: str) -> Column:
-    """A literal map; written as JSON, it is one constant of the plan instead of thousands."""
-    return F.from_json(F.lit(json.dumps(values)), f"map<string,{kind}>")
+#: Slots of the index of names.
+SLOTS = 4096
 
 
-def _numbers() -> dict[str, str]:
+def _index(values: dict[str, str]) -> Column:
+    """A literal index: by the checksum of a name, a slot with the few names that have it. Written as JSON,
+    it is one constant of the plan; a look-up reads one slot instead of all names."""
+    slots: list[dict] = [{} for _ in range(SLOTS)]
+    for name, characters in values.items():
+        slots[zlib.crc32(name.encode()) % SLOTS][name] = characters
+    return F.from_json(F.lit(json.dumps([s or None for s in slots])), "array<map<string,string>>")
+
+
+def _look_up(index: Column, name: Column) -> Column:
+    """What the index has for the name, else NULL."""
+    return F.try_element_at(F.get(index, (F.crc32(name.cast("binary")) % SLOTS).cast("int")), name)
+
+
+def _numbers() -> list[str]:
     """What the numbers below 160 stand for: controls and the Windows characters among them."""
-    return {str(code): html.unescape(f"&#{code};") for code in range(160)}
+    return [html.unescape(f"&#{code};") for code in range(160)]
 
 
 def _number(reference: Column) -> Column:
@@ -78,7 +92,7 @@ def _number(reference: Column) -> Column:
         sixteen, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("int"), F.lit(0)))
     character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
     nothing = code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
-    return (F.when(code < 160, F.element_at(_literal_map(_numbers(), "string"), code.cast("string")))
+    return (F.when(code < 160, F.get(F.array(*map(F.lit, _numbers())), code))
             .when(code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd").when(nothing, "").otherwise(character))
 
 
@@ -86,15 +100,15 @@ def _named(reference: Column) -> Column:
     """The characters of a named reference. Old names need no semicolon, so the longest one that the
     text begins with counts; a text without any stays."""
     old = {n: c for n, c in entities.html5.items() if not n.endswith(";")}
-    longest = max(map(len, old))
-    name = F.substring(reference, 2, 64)
-    size = F.least(F.length(name), F.lit(longest))
-    known = _literal_map(old, "string")
-    begins = F.filter(F.transform(F.sequence(size, F.lit(1), F.lit(-1)), lambda n: F.substring(name, F.lit(1), n)),
-                      lambda p: F.map_contains_key(known, p))
-    start = F.get(begins, F.lit(0))
-    return F.coalesce(F.try_element_at(_literal_map(entities.html5, "string"), name), F.concat(
-        F.element_at(known, start), F.substring(name, F.length(start) + 1, F.lit(64))), reference)
+    name, known = F.substring(reference, 2, 64), _index(old)
+
+    def begins(n: int) -> Column:
+        found = _look_up(known, F.substring(name, 1, n))
+        return F.when(F.length(name) >= n, F.concat(found, F.substring(name, n + 1, 64)))
+
+    sizes = sorted({len(n) for n in old}, reverse=True)
+    whole = F.when(name.endswith(";"), _look_up(_index(entities.html5), name))
+    return F.coalesce(whole, *map(begins, sizes), reference)
 
 
 def unescape(column: Column) -> Column:

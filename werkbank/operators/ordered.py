@@ -1,21 +1,22 @@
 """Running values and look-ups that stay parallel when one key holds much of the data.
 
-A plain window or join puts all rows of a key into one task. Here the keys that hold many
-rows are found first (a partial aggregate over the key columns), and only those are cut into
-pieces. Ordinary keys take the ordinary path. A missing key is a key like any other.
+A plain window puts all rows of a key into one task. Here rows are cut once at the borders of ranges of (key, order),
+so that a key of any size lies in as many ranges as it fills; each range runs its own window, and what crosses
+the borders comes from a table with one row per range. A missing key is a key like any other.
+
+Joins deal the rows of hot keys, found by a partial aggregate, over pieces.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from werkbank.operators.stored import stored
+
 HOT_ROWS = 1_000_000
 PIECES = 1024
-#: Sampled rows per piece from which the borders are taken.
-SAMPLED = 16
 
 
 def _join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -52,77 +53,52 @@ def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], within: str,
     return dealt.join(repeated, [*keys, "_piece"], how).drop("_piece")
 
 
-def with_pieces(rows: DataFrame, keys: list[str], sequence: list[str], hot_rows: int = HOT_ROWS,
-                pieces: int = PIECES, sizes_from: DataFrame | None = None) -> DataFrame:
-    """Add ``_hot`` and ``_piece``: 0 for ordinary keys, for hot ones the place of the row's
-    ``sequence`` columns between borders that split the key's rows evenly.
-
-    Borders are every so many rows of a sample of the key, about ``SAMPLED`` rows per piece, picked by a hash
-    of the sequence: they hang on the data alone, so a recomputed task gives the same pieces.
-    Outlying values and equal leading columns move the borders with them. The place is
-    looked up in two steps, among every so many borders first."""
-    at = F.struct(*sequence)
-    counted = rows if sizes_from is None else sizes_from
-    hot = _hot_keys(counted, keys, hot_rows)
-    sample = _join_keys(rows.select(*keys, at.alias("_sequence")), hot, keys, "inner")
-    sample = sample.filter(F.pmod(F.xxhash64("_sequence"), F.greatest(
-        F.lit(1), F.floor(F.col("_n") / (pieces * SAMPLED)))) == 0)
-    wide = isqrt(pieces - 1) + 1
-    drawn = sample.groupBy(*keys).agg(F.sort_array(F.collect_list("_sequence")).alias("_drawn"))
-    size = F.size("_drawn")
-    border = lambda i: F.get("_drawn", F.floor(i * size / pieces).cast("int"))
-    borders = drawn.select(*keys, F.transform(F.sequence(F.lit(1), F.lit(max(1, pieces - 1))), border).alias("_fine"))
-    borders = borders.withColumn("_coarse", F.filter("_fine", lambda x, i: i % wide == wide - 1))
-    cut = _join_keys(rows, borders, keys, "left").withColumn("_sequence", at)
-    below = lambda c: F.size(F.filter(c, lambda x: x <= F.col("_sequence")))
-    block = cut.withColumn("_block", F.when(F.col("_fine").isNotNull(), below("_coarse")))
-    place = F.col("_block") * wide + below(F.slice("_fine", F.col("_block") * wide + 1, F.lit(wide)))
-    return (block.withColumn("_piece", F.coalesce(place, F.lit(0)) if pieces > 1 else F.lit(0))
-            .withColumn("_hot", F.col("_fine").isNotNull()).drop("_fine", "_coarse", "_block", "_sequence"))
+def in_ranges(rows: DataFrame, columns: list[str], pieces: int | None = None) -> DataFrame:
+    """``rows`` cut into ``pieces`` ranges of ``columns`` (by default as many as the session has shuffle partitions), with
+    ``_part``, the number of the range, and ``_tie``, a hash of the whole row: rows equal in ``columns`` are cut
+    by it, so that one value may fill many ranges. Spark takes the borders from a sample of the rows; what
+    hangs on them must be stored before it is read twice."""
+    pieces = pieces or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = rows.withColumn("_tie", F.xxhash64(*rows.columns))
+    return marked.repartitionByRange(pieces, *columns, "_tie").withColumn("_part", F.spark_partition_id())
 
 
 def running_last(rows: DataFrame, keys: list[str], cut: str, mark: Column, order: list[str] | None = None,
-                 before: bool = False, hot_rows: int = HOT_ROWS, pieces: int = PIECES,
-                 sizes_from: DataFrame | None = None) -> DataFrame:
+                 before: bool = False, pieces: int | None = None) -> DataFrame:
     """Add ``position`` (1-based within the key) and ``last_mark``, the latest non-NULL
     ``mark`` at the row or earlier (``before``: strictly earlier).
 
-    Rows run in the order of the column ``cut``, then ``order``. The window runs per
-    piece; what crosses a piece border comes from a table with one row per piece of the hot
-    keys. ``sizes_from`` names a cheaper table with at least as many rows of each key.
-    """
+    Rows run in the order of the column ``cut``, then ``order``; equal rows follow each other in any order.
+    A prefix scan: each range runs a window of its own and is stored with its values. The last key of
+    a range hands on how many rows it has had and its latest mark, summed over the ranges that it ends, and the
+    first key of the next range adds them where it is the same key. So a key is never in one
+    task, and the only ordered table there has one row per range."""
     sequence = [cut, *(order or [])]
-    cut_rows = with_pieces(rows.withColumn("_mark", mark), keys, sequence, hot_rows, pieces, sizes_from)
-    within = Window.partitionBy(*keys, "_piece").orderBy(*sequence)
-    end = -1 if before else Window.currentRow
-    local = (cut_rows.withColumn("position", F.row_number().over(within))
-             .withColumn("last_mark", F.last("_mark", ignorenulls=True).over(
-                 within.rowsBetween(Window.unboundedPreceding, end))))
-    marked_at = F.when(F.col("_mark").isNotNull(), F.struct(*sequence))
-    carried = (cut_rows.filter("_hot").groupBy(*keys, "_piece")
-               .agg(F.count("*").alias("_size"), F.max_by("_mark", marked_at).alias("_end")))
-    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    carried = carried.select(*keys, "_piece", F.sum("_size").over(earlier).alias("_offset"),
-                             F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
-    return (_join_keys(local, carried, [*keys, "_piece"], "left")
-            .withColumn("position", F.col("position") + F.coalesce("_offset", F.lit(0)))
-            .withColumn("last_mark", F.coalesce("last_mark", "_carry"))
-            .drop("_offset", "_carry", "_mark", "_piece", "_hot"))
-
-
-def global_rank(rows: DataFrame, at: str, order: list[str], hot_rows: int = HOT_ROWS,
-                pieces: int = PIECES) -> DataFrame:
-    """Add ``rank``, the 1-based position in the order of timestamp ``at`` then ``order``.
-
-    Ranks are taken within each hour (hot hours in pieces) and shifted by the rows of the
-    hours before, so the only ordered table in one task has one row per hour.
-    """
-    moment = F.col(at).cast("timestamp")
-    staged = rows.withColumn("_hour", F.date_trunc("hour", moment)).withColumn("_at", F.unix_micros(moment))
-    ranked = running_last(staged, ["_hour"], "_at", F.lit(None).cast("int"), order, False, hot_rows, pieces)
-    hours = staged.groupBy("_hour").agg(F.count("*").alias("_size"))
-    earlier = Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = hours.select("_hour", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
-    return (spread_join(ranked, offsets, ["_hour"], "position", "inner", hot_rows, pieces)
-            .withColumn("rank", F.col("_offset") + F.col("position"))
-            .drop("_hour", "_at", "_offset", "position", "last_mark"))
+    ranges = in_ranges(rows.withColumn("_mark", mark), [*keys, *sequence], pieces)
+    within = Window.partitionBy("_part", *keys).orderBy(*sequence, "_tie")
+    upto = lambda end: F.last("_mark", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, end))
+    values = {"_place": F.row_number().over(within), "_upto": upto(Window.currentRow)}
+    local = stored(ranges.withColumns(values | ({"_own": upto(-1)} if before else {})).drop("_mark", "_tie"), "ranges")
+
+    key = F.struct(*keys)
+    ends = local.groupBy("_part").agg(F.min(key).alias("_first"), F.max(key).alias("_last"), F.max_by(
+        F.struct(F.col("_place").cast("long").alias("n"), "_upto"), F.struct(key, "_place")).alias("_end"))
+    so_far = Window.partitionBy("_last").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    handed = ends.select("_part", "_first", "_last", F.sum("_end.n").over(so_far).alias("_n"),
+                         F.last("_end._upto", ignorenulls=True).over(so_far).alias("_carry"))
+    next_range = Window.orderBy("_part")
+    handed = handed.select("_part", "_first", *[F.lag(c).over(next_range).alias(c) for c in ("_last", "_n", "_carry")])
+    handed = handed.filter(F.col("_last").eqNullSafe(F.col("_first")) & F.col("_last").isNotNull()).drop("_last")
+    follows = key.eqNullSafe(F.col("_first"))
+    own = "_own" if before else "_upto"
+    return (local.join(handed, "_part", "left")
+            .withColumn("position", F.col("_place") + F.when(follows, F.col("_n")).otherwise(0))
+            .withColumn("last_mark", F.coalesce(own, F.when(follows, F.col("_carry"))))
+            .drop("_part", "_first", "_n", "_carry", "_place", "_upto", "_own"))
+
+
+def global_rank(rows: DataFrame, at: str, order: list[str], pieces: int | None = None) -> DataFrame:
+    """Add ``rank``, the 1-based position in the order of timestamp ``at`` then ``order``: a prefix scan over all rows."""
+    staged = rows.withColumn("_all", F.lit(True)).withColumn("_at", F.unix_micros(F.col(at).cast("timestamp")))
+    ranked = running_last(staged, ["_all"], "_at", F.lit(None).cast("int"), order, pieces=pieces)
+    return ranked.withColumnRenamed("position", "rank").drop("_all", "_at", "last_mark")

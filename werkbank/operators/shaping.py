@@ -19,26 +19,46 @@ def sort_head(df: DataFrame, sort_by: str | None, ties: list[str], descending: b
     return out if limit is None else out.limit(limit)
 
 
+#: Parts of a result that are ordered and counted on their own.
+SLOTS = 64
+
+
+def first_rows(df: DataFrame, order: list, n: int) -> DataFrame:
+    """The first ``n`` rows of a totally ordered result with ``_place`` (from 1) and ``_total``, the number of all rows,
+    from one run of ``df``.
+
+    Rows are dealt over slots by a hash; each slot counts its rows and keeps its first ``n``, so what meets at the end
+    is at most ``SLOTS * n`` rows, whose first ones per slot bring the counts."""
+    slot = Window.partitionBy("_slot").orderBy(*order)
+    kept = (df.withColumn("_slot", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SLOTS)))
+            .withColumn("_place", F.row_number().over(slot))
+            .withColumn("_rows", F.count("*").over(Window.partitionBy("_slot")))
+            .filter(F.col("_place") <= n).withColumn("_one", F.lit(1)))
+    few = Window.partitionBy("_one")
+    return (kept.withColumn("_total", F.sum(F.when(F.col("_place") == 1, F.col("_rows"))).over(few))
+            .withColumn("_place", F.row_number().over(few.orderBy(*order)))
+            .filter(F.col("_place") <= n).drop("_one", "_slot", "_rows"))
+
+
 def page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
-    """One page of a totally ordered result with ``row_count`` and ``next_offset``."""
+    """One page of a totally ordered result with ``row_count`` and ``next_offset``, in one run of the result."""
     if type(limit) is not int or limit < 1:
         raise ValueError("a page needs a whole number of rows, at least one")
     if type(offset) is not int or offset < 0:
         raise ValueError("a page starts at row 0 or later")
-    total = df.agg(F.count("*")).scalar()
     end = offset + limit
-    return (df.orderBy(*order).offset(offset).limit(limit).withColumn("row_count", total)
-            .withColumn("next_offset", F.when(F.col("row_count") > end, F.lit(end))))
+    rows = first_rows(df, order, end).filter(F.col("_place") > offset).orderBy("_place")
+    return rows.withColumn("row_count", F.col("_total")).withColumn(
+        "next_offset", F.when(F.col("_total") > end, F.lit(end))).drop("_place", "_total")
 
 
 def numbered_page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
-    """Page ``number`` (from 1) with ``row_count`` and the number of pages."""
+    """Page ``number`` (from 1) with ``row_count`` and the number of pages, in one run of the result."""
     if number < 1 or size < 1:
         raise ValueError("page and page size must be positive")
-    total = df.agg(F.count("*")).scalar()
-    return (df.orderBy(*order).offset((number - 1) * size).limit(size)
-            .withColumn("row_count", total)
-            .withColumn("page_count", F.greatest(F.lit(1), F.ceil(F.col("row_count") / size))))
+    rows = first_rows(df, order, number * size).filter(F.col("_place") > (number - 1) * size).orderBy("_place")
+    return rows.withColumn("row_count", F.col("_total")).withColumn("page_count", F.greatest(
+        F.lit(1), F.ceil(F.col("_total") / size))).drop("_place", "_total")
 
 
 def limit_flag(df: DataFrame, order: list, limit: int) -> DataFrame:

@@ -96,6 +96,16 @@ FROM (SELECT Belegtyp, count(*) AS headers, CAST(sum(EuroBrutto) AS DOUBLE) AS v
 LEFT JOIN (SELECT Belegtyp, count(*) AS lines, CAST(sum(Menge) AS DOUBLE) AS units FROM (
   SELECT Belegtyp, Menge FROM sales_lines UNION ALL SELECT Belegtyp, Menge FROM original_lines
   UNION ALL SELECT 'B', Menge FROM purchase_lines) GROUP BY 1) USING (Belegtyp)"""
+ORACLE["stored_relations"] = V.with_views(V.ART, V.BELEG, V.PURCHASE, V.HEADERS, V.SALES_LINES, V.ORIGINAL_LINES, V.PURCHASE_LINES, V.SERIE,
+                                          V.LAGERP, V.MITARBW) + """
+SELECT 'art' AS relation, count(*) AS row_count, CAST(NULL AS DOUBLE) AS total, count(DISTINCT HstArtikelnummer) AS distinct_values FROM art
+UNION ALL SELECT 'beleg', count(*), CAST(sum(EuroBrutto) AS DOUBLE), count(DISTINCT Belegnummer) FROM heads
+UNION ALL SELECT 'belegp', count(*), CAST(sum(CAST(Menge AS DECIMAL(18,2))) AS DOUBLE), count(DISTINCT Artikelnummer) FROM (
+  SELECT Menge, Artikelnummer FROM sales_lines UNION ALL SELECT Menge, Artikelnummer FROM original_lines
+  UNION ALL SELECT Menge, Artikelnummer FROM purchase_lines)
+UNION ALL SELECT 'serie', count(*), CAST(sum(Id) AS DOUBLE), count(DISTINCT Artikelnummer) FROM serie
+UNION ALL SELECT 'lagerp', count(*), CAST(sum(Wert) AS DOUBLE), count(DISTINCT IdSerie) FROM lagerp
+UNION ALL SELECT 'mitarbw', count(*), CAST(sum(Nr) AS DOUBLE), count(DISTINCT Name) FROM mitarbw"""
 ORACLE["order_headers"] = V.with_views(V.MITARBW, V.BELEG, V.PURCHASE, V.HEADERS) + _HEADER
 
 # ---- inventory -----------------------------------------------------------------------------
@@ -304,6 +314,12 @@ basket AS (SELECT DISTINCT l.Belegnummer, Artikelnummer FROM sales_lines l JOIN
 SELECT sku_a, sku_b, count(*) AS order_count FROM pairs JOIN basket a ON a.Artikelnummer = sku_a
 JOIN basket b ON b.Artikelnummer = sku_b AND b.Belegnummer = a.Belegnummer GROUP BY 1, 2"""
 
+ORACLE["co_purchase_frequent"] = f"""{_basket_views},
+basket AS (SELECT DISTINCT l.Belegnummer, Artikelnummer FROM sales_lines l JOIN beleg b
+  ON b.Belegnummer = l.Belegnummer WHERE {V.SALES} AND b.Belegtyp = 'R')
+SELECT a.Artikelnummer AS sku_a, b.Artikelnummer AS sku_b, count(*) AS order_count FROM basket a JOIN basket b
+  ON a.Belegnummer = b.Belegnummer AND a.Artikelnummer < b.Artikelnummer GROUP BY 1, 2 HAVING count(*) >= 2"""
+
 # ---- documents --------------------------------------------------------------------------------
 
 _item_views = V.with_views(V.SALES_LINES, _PLACED)
@@ -617,3 +633,7 @@ ORACLE["stream_counts_week"] = """SELECT strftime(date_trunc('week', o_orderdate
 FROM orders GROUP BY 1"""
 ORACLE["stream_sessions"] = ORACLE["website_sessions"]
 ORACLE["stream_incidents"] = ORACLE["incident_states"]
+ORACLE["stream_messages_compacted"] = ORACLE["normalise_messages"]
+ORACLE["stream_counts_bounded"] = ORACLE["stream_counts_day"]
+ORACLE["stream_alerts"] = f"""SELECT CAST(service AS VARCHAR) AS service, run_id, alert FROM ({ORACLE["incident_states"]})
+WHERE alert IS NOT NULL"""

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from werkbank.functions.predicates import genuine_orders
 from werkbank.functions.text import sku_group
 from werkbank.operators.keyed import latest_by
-from werkbank.operators.ordered import HOT_ROWS, PIECES, running_last
+from werkbank.operators.ordered import running_last
+from werkbank.operators.stored import stored
 from werkbank.plans.sales import order_header
 
 ITEM_TYPES = ("D", "L", "R")
@@ -17,7 +18,7 @@ def _line_type():
     return F.upper(F.trim(F.coalesce("Zeilentyp", F.lit(""))))
 
 
-def _placed_lines(belegp: DataFrame, hot_rows: int, pieces: int) -> DataFrame:
+def _placed_lines(belegp: DataFrame, pieces: int | None) -> DataFrame:
     """Lines with their position and the id of the PC that is open at the line. Any line that
     is not a component closes the PC before it; a PC line opens its own."""
     text = lambda c: F.coalesce(F.trim(F.col(c)), F.lit(""))
@@ -28,22 +29,21 @@ def _placed_lines(belegp: DataFrame, hot_rows: int, pieces: int) -> DataFrame:
         F.coalesce("Menge", F.lit(0)).alias("quantity"), F.coalesce("KalkpreisEuro", F.lit(0)).alias("price"))
     opener = F.when(F.col("line_type") != "K", F.struct(
         F.when(F.col("line_type") == "H", F.col("line_id")).alias("pc"), F.col("line_id").alias("at")))
-    placed = running_last(lines, ["document_number", "document_type"], "line_id", opener,
-                          hot_rows=hot_rows, pieces=pieces)
+    placed = running_last(lines, ["document_number", "document_type"], "line_id", opener, pieces=pieces)
     return placed.withColumn("pc_line_id", F.col("last_mark.pc")).drop("last_mark")
 
 
-def order_items(belegp: DataFrame, hot_rows: int = HOT_ROWS, pieces: int = PIECES) -> DataFrame:
+def order_items(belegp: DataFrame, pieces: int | None = None) -> DataFrame:
     """One row per document line; components carry the line id of their PC."""
-    placed = _placed_lines(belegp, hot_rows, pieces)
+    placed = _placed_lines(belegp, pieces)
     parent = F.when(F.col("line_type") == "K", F.col("pc_line_id"))
     return (placed.filter((F.col("line_type") != "K") | F.col("pc_line_id").isNotNull())
             .withColumn("parent_line_id", parent).drop("pc_line_id"))
 
 
-def order_item_rejects(belegp: DataFrame, hot_rows: int = HOT_ROWS, pieces: int = PIECES) -> DataFrame:
+def order_item_rejects(belegp: DataFrame, pieces: int | None = None) -> DataFrame:
     """Components that stand before any PC of their document."""
-    placed = _placed_lines(belegp, hot_rows, pieces)
+    placed = _placed_lines(belegp, pieces)
     return placed.filter((F.col("line_type") == "K") & F.col("pc_line_id").isNull()).drop("pc_line_id")
 
 
@@ -58,13 +58,13 @@ def order_360(erp: dict[str, DataFrame], numbers: list[str] | None = None) -> Da
         beleg = beleg.filter(F.upper(F.trim("Belegnummer")).isin(*wanted))
         belegp = belegp.filter(F.upper(F.trim("Belegnummer")).isin(*wanted))
     key = ["document_number", "document_type"]
-    header = order_header(beleg, erp["mitarbw"])
     items = order_items(belegp)
-    # A document has items when some line is not a component; an inner join and an anti join
-    # in place of one outer join let the adaptive planner split a document of many lines.
-    with_items = (belegp.filter(F.col("Belegtyp").isin(*ITEM_TYPES) & (_line_type() != "K"))
-                  .select(F.trim("Belegnummer").alias(key[0]), F.col("Belegtyp").alias(key[1])).distinct())
-    return header.join(items, key).unionByName(header.join(with_items, key, "left_anti"), allowMissingColumns=True)
+    # An inner join and the headers without items in place of one outer join let the adaptive planner split a
+    # document of many lines. The headers are stored, as both parts read them.
+    with_items = items.select(*key).distinct().withColumn("_items", F.lit(True))
+    header = stored(order_header(beleg, erp["mitarbw"]).join(with_items, key, "left"), "headers")
+    return header.filter("_items").drop("_items").join(items, key).unionByName(
+        header.filter("_items IS NULL").drop("_items"), allowMissingColumns=True)
 
 
 def open_orders(beleg: DataFrame) -> DataFrame:
@@ -92,7 +92,18 @@ def _compare(lines: DataFrame) -> DataFrame:
         "order_number", F.col("_item.id").alias("id"), F.col("_item.name").alias("name"), "count")
 
 
-def _document_groups(belegp: DataFrame, heads: DataFrame, wanted: DataFrame) -> DataFrame:
+def header_index(beleg: DataFrame) -> DataFrame:
+    """One stored row per document number: the type and predecessor of its newest customer header, and whether it is an
+    open order. Supplier purchases may re-use the number of a customer document but belong to no chain. Orders,
+    middles and originals of all chains are read from here, so the headers are read once."""
+    newest = beleg.filter(F.col("Belegtyp") != "B").groupBy("Belegnummer").agg(
+        F.max_by(F.struct("Belegtyp", "LieferBelegNr"), F.struct("AngelegtAm", "Belegtyp")).alias("_head"),
+        F.max(F.coalesce(genuine_orders("open"), F.lit(False))).alias("open"))
+    return stored(newest.select("Belegnummer", F.rtrim("Belegnummer").alias("_number"), "_head.Belegtyp", F.when(
+        F.col("_head.LieferBelegNr") != "", F.rtrim("_head.LieferBelegNr")).alias("_before"), "open"), "header_index")
+
+
+def _document_groups(belegp: DataFrame, index: DataFrame, wanted: DataFrame) -> DataFrame:
     """Units and first article per document and SKU group, of lines of the newest header's
     type, for the documents that ``wanted`` (column ``_number``) names; lines of all others go
     first. However many lines a document has, it is a few rows from here on."""
@@ -102,7 +113,7 @@ def _document_groups(belegp: DataFrame, heads: DataFrame, wanted: DataFrame) ->
               .join(wanted, "_number", "left_semi")
               .groupBy("Belegnummer", "Belegtyp", sku_group(F.col("Artikelnummer")).alias("_group"))
               .agg(F.sum("Menge").alias("quantity"), F.min_by(item, "BELEGP_ID").alias("_first")))
-    return groups.join(heads.select("Belegnummer", "Belegtyp"), ["Belegnummer", "Belegtyp"]).select(
+    return groups.join(index.select("Belegnummer", "Belegtyp"), ["Belegnummer", "Belegtyp"]).select(
         F.rtrim("Belegnummer").alias("_number"), "_group", "quantity", "_first.*")
 
 
@@ -110,26 +121,22 @@ def missing_components(erp: dict[str, DataFrame], numbers: DataFrame | None = No
     """What each open order (or each of ``numbers``, column ``Belegnummer``) lacks against the
     original document two predecessors back.
 
-    The chain is followed on headers first. Only lines of documents on it are summed, per document
-    and SKU group, before they meet the orders, so neither a very long document nor one that very
-    many orders come from multiplies lines. The joins
-    along the chain compare numbers without trailing blanks; as these keys are new columns,
-    both sides are plain shuffles and the adaptive planner can split a common predecessor.
+    The chain is followed on an index of the headers first, and its ends are stored. Only lines of documents on it are
+    summed, per document and SKU group, before they meet the orders, so neither a very long document nor one that very
+    many orders come from multiplies lines. The joins along the chain compare numbers without trailing blanks;
+    as these keys are new columns, both sides are plain shuffles and the adaptive planner can split a
+    common predecessor.
     """
-    # Supplier purchases may re-use the number of a customer document but belong to no chain.
-    customer = F.col("Belegtyp") != "B"
-    heads = latest_by(erp["beleg"].filter(customer).select("Belegnummer", "Belegtyp", "LieferBelegNr", "AngelegtAm"),
-                      ["Belegnummer"], ["AngelegtAm", "Belegtyp"])
-    wanted = open_orders(erp["beleg"]) if numbers is None else numbers.select("Belegnummer").distinct()
-    linked = heads.filter("LieferBelegNr <> ''").select("Belegnummer", F.rtrim("LieferBelegNr").alias("_before"))
-    start = linked.join(wanted, "Belegnummer", "left_semi").select(
-        F.col("Belegnummer").alias("order_number"), F.col("_before").alias("_middle"))
-    middle = linked.select(F.rtrim("Belegnummer").alias("_middle"), "_before")
-    sides = start.join(middle, "_middle").select("order_number", F.explode(F.array(
+    index = header_index(erp["beleg"])
+    start = index.filter("open") if numbers is None else index.join(numbers.select("Belegnummer"), "Belegnummer", "left_semi")
+    start = start.filter("_before IS NOT NULL").select(F.col("Belegnummer").alias("order_number"), F.col("_before").alias("_middle"))
+    middle = index.filter("_before IS NOT NULL").select(F.col("_number").alias("_middle"), "_before")
+    sides = stored(start.join(middle, "_middle").select("order_number", F.explode(F.array(
         F.struct(F.lit("now").alias("side"), F.rtrim("order_number").alias("_number")),
         F.struct(F.lit("was").alias("side"), F.col("_before").alias("_number")))).alias("_s")).select(
-        "order_number", "_s.*")
-    groups = _document_groups(erp["belegp"].filter(customer), heads, sides.select("_number").distinct())
+        "order_number", "_s.*"), "chain_ends")
+    lines = erp["belegp"].filter(F.col("Belegtyp") != "B")
+    groups = _document_groups(lines, index, sides.select("_number").distinct())
     return _compare(sides.join(groups, "_number"))
 
 

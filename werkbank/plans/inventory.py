@@ -42,16 +42,16 @@ def search_inventory(erp: dict[str, DataFrame], as_of: datetime, max_age_days: i
     wanted = erp["art"].filter(article_predicate(**attributes)).select(
         "Artikelnummer", "Bezeichnung", "EANNummer", "HstArtikelnummer")
     serial = erp["serie"].join(wanted.select("Artikelnummer"), "Artikelnummer", "left_semi")
-    lines = erp["lagerp"].join(serial.select(F.col("Id").alias("IdSerie")), "IdSerie", "left_semi")
+    lines = erp["lagerp"].join(serial.withColumnRenamed("Id", "IdSerie"), "IdSerie")
     counts = (F.col("Bestand") > 0) & (F.col("AngelegtAm") >= at(as_of - timedelta(days=max_age_days)))
     of = lambda c: F.when(counts, F.col(c))
-    lots = lines.groupBy("IdSerie").agg(
+    lots = lines.groupBy("IdSerie", "Artikelnummer", "SCTyp").agg(
         F.sum(of("Bestand")).alias("_units"), F.min(of("Wert")).alias("_min"), F.max(of("Wert")).alias("_max"),
         F.sum(of("Wert")).alias("_value"), F.count(of("Wert")).alias("_priced"),
         F.count_if(counts).alias("_lines"), F.bool_or(F.col("Wert") != 0).alias("_valued"))
     here = (F.col("SCTyp") != "O") & (F.col("_lines") > 0)
     own = lambda c: F.when(here, F.col(c))
-    stock = lots.join(serial, F.col("IdSerie") == F.col("Id")).groupBy("Artikelnummer").agg(
+    stock = lots.groupBy("Artikelnummer").agg(
         F.sum(own("_units")).alias("item_count"), F.min(own("_min")).alias("minimum_price"),
         F.max(own("_max")).alias("maximum_price"),
         (F.sum(own("_value")).cast("double") / F.nullif(F.sum(own("_priced")), F.lit(0))).alias("average_price"),

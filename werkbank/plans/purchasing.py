@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from werkbank.functions.dates import date_bounds, date_range
 from werkbank.functions.predicates import component_alternatives, delivery_status, genuine_orders
-from werkbank.operators.shaping import limit_flag
+from werkbank.operators.shaping import first_rows, limit_flag
+from werkbank.operators.stored import stored
+
 
 def delivery_lines(erp: dict[str, DataFrame], components=(), date_from=None, date_to=None,
                    provider: str | None = None, status: str | None = None) -> DataFrame:
@@ -64,29 +66,34 @@ def co_purchase_summary(erp: dict[str, DataFrame], skus: list[str], sample_limit
     leaves some out."""
     if type(sample_limit) is not int or sample_limit < 0:
         raise ValueError("the sample is a whole number of invoices")
-    found = co_purchase(erp, skus)
-    total = found.agg(F.count("*")).scalar()
-    sample = found.orderBy("order_number").limit(sample_limit)
-    return (sample.agg(F.sort_array(F.collect_list("order_number")).alias("sample_order_numbers"))
-            .withColumn("matching_order_count", total)
-            .withColumn("order_numbers_truncated",
-                        F.col("matching_order_count") > F.size("sample_order_numbers")))
+    sample = first_rows(co_purchase(erp, skus), ["order_number"], max(1, sample_limit))
+    return (sample.agg(F.sort_array(F.collect_list(F.when(F.col("_place") <= sample_limit, F.col("order_number")))).alias(
+        "sample_order_numbers"), F.coalesce(F.max("_total"), F.lit(0)).alias("matching_order_count"))
+            .withColumn("order_numbers_truncated", F.col("matching_order_count") > F.size("sample_order_numbers")))
+
+
+def baskets_of(erp: dict[str, DataFrame], articles: DataFrame | None = None) -> DataFrame:
+    """Distinct ``order_number`` and ``sku`` of genuine invoices (of ``articles``, a column ``sku``)."""
+    lines = erp["belegp"].filter(F.col("Belegtyp") == "R").select(
+        F.trim("Belegnummer").alias("order_number"), F.col("Artikelnummer").alias("sku"))
+    if articles is not None:
+        lines = lines.join(articles, "sku", "left_semi")
+    return lines.filter("sku IS NOT NULL").distinct().join(_invoice_numbers(erp), "order_number", "left_semi")
 
 
 def co_purchase_pairs(erp: dict[str, DataFrame], pairs: DataFrame, min_orders: int = 1) -> DataFrame:
     """For each asked pair (``sku_a``, ``sku_b``), how many invoices contain both.
 
     Only asked pairs are counted: pairs are never generated from a basket. Lines of articles that
-    nobody asks for go before anything is summed or dealt. A pair first meets the invoices of its
+    nobody asks for go before anything is summed or dealt; the asked pairs and what is left of the baskets are
+    stored, as each is read several times. A pair first meets the invoices of its
     rarer SKU and is then checked against the other one, so a very common SKU is expanded only
     for a partner that is just as common.
     """
-    asked = (pairs.select(F.least("sku_a", "sku_b").alias("sku_a"), F.greatest("sku_a", "sku_b").alias("sku_b"))
-             .filter("sku_a <> sku_b").distinct())
+    asked = stored(pairs.select(F.least("sku_a", "sku_b").alias("sku_a"), F.greatest("sku_a", "sku_b").alias("sku_b"))
+                   .filter("sku_a <> sku_b").distinct(), "asked_pairs")
     named = asked.select(F.explode(F.array("sku_a", "sku_b")).alias("sku")).distinct()
-    baskets = (erp["belegp"].filter(F.col("Belegtyp") == "R")
-               .select(F.trim("Belegnummer").alias("order_number"), F.col("Artikelnummer").alias("sku"))
-               .join(named, "sku", "left_semi").distinct().join(_invoice_numbers(erp), "order_number", "left_semi"))
+    baskets = stored(baskets_of(erp, named), "baskets")
     support = baskets.groupBy("sku").agg(F.count("*").alias("_support"))
     of = lambda side: support.select(F.col("sku").alias(f"sku_{side}"), F.col("_support").alias(f"_{side}"))
     rated = asked.join(of("a"), "sku_a").join(of("b"), "sku_b")

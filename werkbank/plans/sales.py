@@ -154,26 +154,25 @@ def interpret_state(df: DataFrame, document_type: str = "document_type",
     return df
 
 
-def with_platform(headers: DataFrame, mitarbw: DataFrame, many_channels: bool = False) -> DataFrame:
-    """Headers with the name of their channel, NULL for an unknown one. Five channels hold most
-    headers, so the headers are not dealt by channel: one row with the channel table as a map
-    goes to them. A channel table of more than ``CHANNELS`` rows raises; with ``many_channels`` it
-    is joined, the rows of crowded channels dealt over pieces."""
+def with_platform(headers: DataFrame, mitarbw: DataFrame, most: int | None = None) -> DataFrame:
+    """Headers with the name of their channel, NULL for an unknown one. A few channels hold most
+    headers, so the headers are not dealt by channel: up to ``most`` channels (by default ``CHANNELS``) go to them as one
+    map. A larger channel table is joined, the rows of crowded channels dealt over pieces. Which of both
+    it is comes from a count of the channels up to that number; the result is the same."""
+    most = CHANNELS if most is None else most
     channels = mitarbw.filter("Nr IS NOT NULL").select(F.col("Nr").alias("Vertreter"), F.col("Name").alias("platform"))
-    if many_channels:
+    if channels.limit(most + 1).count() > most:
         return spread_join(headers, channels, ["Vertreter"], "Belegnummer", "left")
-    names = channels.limit(CHANNELS + 1).agg(F.collect_list(F.struct("Vertreter", "platform")).alias("_all")).select(
-        F.when(F.size("_all") <= CHANNELS, F.map_from_entries("_all")).otherwise(
-            F.raise_error(F.lit("use many_channels")))).scalar()
+    names = channels.agg(F.map_from_entries(F.collect_list(F.struct("Vertreter", "platform")))).scalar()
     return headers.withColumn("platform", F.try_element_at(names, F.col("Vertreter")))
 
 
-def order_header(beleg: DataFrame, mitarbw: DataFrame, many_channels: bool = False) -> DataFrame:
+def order_header(beleg: DataFrame, mitarbw: DataFrame) -> DataFrame:
     """The newest header per document number with platform, customer and state labels. An
     unknown channel keeps the order."""
     newest = latest_by(beleg, ["Belegnummer"], ["AngelegtAm", "Belegtyp"])
     trimmed = lambda column, name: F.trim(F.col(column)).alias(name)
-    header = with_platform(newest, mitarbw, many_channels).select(
+    header = with_platform(newest, mitarbw).select(
         trimmed("Belegnummer", "document_number"), trimmed("IhrAuftrag", "order_number"),
         F.upper(F.trim("Belegtyp")).alias("document_type"), F.col("Status").alias("order_status"),
         F.col("AngelegtAm").alias("date_created"),
@@ -202,7 +201,7 @@ def orders_over_time(erp: dict[str, DataFrame], grain: str, date_from=None, date
     """Orders per day, week (Monday) or month; orders without a date are left out. ``limit``
     keeps the first buckets, as a chart does."""
     if grain not in ("day", "week", "month"):
-        raise ValueError("grain must be day, week or month")
+        raise ValueError(f"orders are counted by day, week or month, not {grain!r}")
     lo, hi = date_bounds(date_from, date_to)
     counted = (erp["beleg"].filter(F.col("Belegtyp") == document_type)
                .filter(genuine_orders("analysis") & date_range(F.col("AngelegtAm"), lo, hi))

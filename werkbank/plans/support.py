@@ -155,13 +155,14 @@ def evolve(df: DataFrame, schema: T.StructType, defaults: dict | None = None) ->
 
 def rebuild_logs(legacy: DataFrame, schema: T.StructType) -> DataFrame:
     """Logs without ids in the current schema: ids by time, reprompts linked to the first
-    draft of their revision."""
+    draft of their revision. Both sides of that join are plain shuffles, so the adaptive planner can split a
+    revision of very many reprompts."""
     revision = ["ticket_id", "based_on_message_id"]
     numbered = global_rank(legacy, "created_at", revision + ["event_type", "response_text"])
     numbered = numbered.withColumnRenamed("rank", "id")
     first = latest_by(numbered.filter("event_type = 'first_draft'").select(*revision, "id"), revision, ["id"],
                       first=True).withColumnRenamed("id", "_first")
-    linked = spread_join(numbered, first, revision, "id", "left", sizes_from=legacy).withColumn(
+    linked = numbered.join(first, revision, "left").withColumn(
         "first_draft_id", F.when(F.col("event_type") == "reprompt", F.col("_first"))).drop("_first")
     return evolve(linked, schema, {"prompt_version": ""})
 

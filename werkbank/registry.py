@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import date, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from werkbank.functions.text import draft_text as draft_as_text
 from werkbank.operators.keyed import dedupe_keep_first, latest_by, missing_ids, upsert_latest
 from werkbank.operators.shaping import to_chart, to_records
-from werkbank.plans import (documents, inventory, monitoring, purchasing, sales, similar, support, text,
+from werkbank.operators.stored import scratch
+from werkbank.plans import (baskets, documents, inventory, monitoring, purchasing, sales, similar, support, text,
                             traffic)
 from werkbank.sources import demo, schemas, support as source
 from werkbank.sources.erp import load_erp
@@ -169,6 +170,21 @@ def stored_headers(spark, sf_dir):
     return heads.join(lines, "Belegtyp", "left").withColumnRenamed("Belegtyp", "document_type")
 
 
+@query
+def stored_relations(spark, sf_dir):
+    """All six ERP relations written as files, read by their contract and summed up."""
+    folder = _scratch(spark)
+    for name in schemas.ERP:
+        _erp(spark, sf_dir)[name].write.parquet(f"{folder}/{name}.parquet")
+    erp = load_erp(spark, folder)
+    # What is summed of each relation, and a text of which the distinct values are counted.
+    shown = {"art": (F.lit(None), "HstArtikelnummer"), "beleg": (F.col("EuroBrutto"), "Belegnummer"), "belegp": (F.col("Menge"), "Artikelnummer"),
+             "serie": (F.col("Id"), "Artikelnummer"), "lagerp": (F.col("Wert"), "IdSerie"), "mitarbw": (F.col("Nr"), "Name")}
+    parts = [erp[name].agg(F.lit(name).alias("relation"), F.count("*").alias("row_count"), F.sum(value.cast("decimal(18,2)")).alias("total"),
+                           F.countDistinct(text).alias("distinct_values")) for name, (value, text) in shown.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ---- stock, sales of components, forecast ------------------------------------------------
 
 SEARCHES = {
@@ -302,6 +318,12 @@ def co_purchase_pairs(spark, sf_dir):
     return purchasing.co_purchase_pairs(erp, _pc_pairs(erp))
 
 
+@query
+def co_purchase_frequent(spark, sf_dir):
+    """All pairs that two or more invoices share."""
+    return baskets.frequent_pairs(purchasing.baskets_of(_erp(spark, sf_dir)), 2)
+
+
 # ---- documents ------------------------------------------------------------------------------
 
 @query
@@ -356,7 +378,7 @@ def daily_forecast(spark, sf_dir):
 
 
 def _scratch(spark):
-    return f"{jobs.shared_folder(spark)}/werkbank/{uuid.uuid4().hex}"
+    return scratch(spark)
 
 
 # ---- customer e-mails -----------------------------------------------------------------------------
@@ -714,3 +736,29 @@ def stream_sessions(spark, sf_dir):
 def stream_incidents(spark, sf_dir):
     checks = demo.health_checks(_in_batches(spark, sf_dir, "events"))
     return jobs.read_incidents(spark, _finished(jobs.stream_incidents, spark, checks))
+
+
+@query
+def stream_messages_compacted(spark, sf_dir):
+    """The update table after its batches were written together, and later messages on top."""
+    raw = _stream(spark, sf_dir, "conversations").select(*demo.raw_message_columns())
+    path, target = _finished(jobs.stream_messages, spark, raw), f"{_scratch(spark)}/compact"
+    jobs.compact_messages(spark, path, target)
+    again = source.normalise_messages(demo.raw_messages(spark, sf_dir).filter("position % 3 = 0"))
+    again.write.parquet(f"{target}/batch_id=0")
+    return read_latest(spark, target, ["message_id"], ["cached_at"])
+
+
+@query
+def stream_counts_bounded(spark, sf_dir):
+    """Counts of a stream with a watermark, and its rejects: together all rows, whatever the order of the batches."""
+    events = _in_batches(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = jobs.read_bounded_counts(spark, _finished(jobs.stream_bounded_counts, spark, events, delay="1 hour"))
+    return counts.select("period", (F.col("n") + F.col("rejected")).alias("n"))
+
+
+@query
+def stream_alerts(spark, sf_dir):
+    """The alerts that stand after batches in any order."""
+    checks = demo.health_checks(_in_batches(spark, sf_dir, "events"))
+    return jobs.read_alerts(spark, _finished(jobs.stream_alerts, spark, checks))

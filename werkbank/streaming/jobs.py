@@ -9,10 +9,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from werkbank.functions.dates import bucket
 from werkbank.plans.inventory import forecast_components, save_forecast
-from werkbank.plans.monitoring import incident_states, reduced_runs
+from werkbank.plans.monitoring import OPEN_RUNS, alert_changes, incident_states, reduced_runs, standing_alerts
 from werkbank.plans.traffic import half_hours, join_half_hours, merge_half_hours
 from werkbank.sources.support import normalise_messages, parse_ticket_pages
-from werkbank.streaming.sinks import write_updates
+from werkbank.streaming.sinks import compact, write_updates
+from werkbank.streaming.windows import bounded_counts
 
 
 def stream_messages(raw: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -55,6 +56,39 @@ def stream_incidents(checks: DataFrame, path: str, checkpoint: str) -> Streaming
     return write_updates(checks, path, checkpoint, reduced=reduced_runs)
 
 
+def stream_alerts(checks: DataFrame, path: str, checkpoint: str, open_runs: int = OPEN_RUNS) -> StreamingQuery:
+    """Alerts of a stream of checks in the batch in which they happen, and corrections where a late run changes one.
+    Checks that come after ``open_runs`` later runs of their service are rows of kind ``late``."""
+    return write_updates(alert_changes(checks, open_runs), path, checkpoint)
+
+
+def read_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """The alerts that stand."""
+    return standing_alerts(spark.read.parquet(path))
+
+
+def stream_bounded_counts(source: DataFrame, path: str, checkpoint: str, at: str = "ts", grain: str = "day",
+                          delay: str = "1 day") -> StreamingQuery:
+    """Rows per period like ``stream_counts``, with state that ends: a period is closed once its end lies ``delay`` behind
+    the latest time seen, and rows that come later are counted as rejects of the period."""
+    return write_updates(bounded_counts(source, at, grain, delay), path, checkpoint)
+
+
+def read_bounded_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Per period the rows counted in time (``n``), those rejected as late, and whether the period is closed."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy("period").agg(
+        F.coalesce(F.max(F.when(F.col("kind") != "late", F.col("n"))), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.when(F.col("kind") == "late", F.col("n"))), F.lit(0)).alias("rejected"),
+        F.bool_or(F.col("kind") == "closed").alias("closed"))
+
+
+def compact_messages(spark: SparkSession, path: str, target: str) -> None:
+    """Write the newest version of each message of an update table to a new table, from which reads and later
+    batches go on."""
+    compact(spark, path, target, ["message_id"], ["cached_at"])
+
+
 def read_incidents(spark: SparkSession, path: str) -> DataFrame:
     return incident_states(spark.read.parquet(path))
 
@@ -65,7 +99,3 @@ def daily_forecast(spark: SparkSession, erp: dict[str, DataFrame], path: str, as
     save_forecast(forecast_components(erp, as_of, weeks), path, as_of, weeks)
     return spark.read.parquet(path)
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it, else the warehouse."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")

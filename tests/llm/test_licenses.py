@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 
 from werkbank.llm import licenses
@@ -59,3 +60,52 @@ def test_odd_rows(make, odd):
     twice = licenses.license_scan(make([(1, "MIT License"), (1, "MIT License"), (None, "MIT license.")])).collect()
     assert [r["labels"] for r in twice] == [["mit"]] * 3
     assert licenses.license_scan(odd.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("times", [1, 4, 5, 6, 40])
+def test_a_notice_beside_its_own_repeated_phrase(make, times):
+    """The phrase makes a chain of neighbouring diagonals that fails as a whole; the notice holds on its own."""
+    text = "This is free and unencumbered software released into the public domain." + " the public domain" * times
+    (row,) = licenses.license_scan(make([(1, text)])).collect()
+    assert row["labels"] == ["unlicense"]
+    assert [(s["first"], s["agreed"]) for s in row["spans"] if s["label"] == "unlicense"][0] == (0, 1.0)
+
+
+def test_spans_of_a_notice_do_not_overlap(make):
+    notice = licenses.NOTICES[3][1]
+    text = notice.replace("free of charge", "free of any charge") + " x " + notice + " y " + notice[:200]
+    (row,) = licenses.license_scan(make([(1, text)]), notices=[("mit", notice)]).collect()
+    spans = sorted((s["first"], s["last"]) for s in row["spans"])
+    assert len(spans) == 2 and spans[0][1] < spans[1][0]
+
+
+def brute_agreed(text, notice):
+    """The best share that any diagonal reaches alone: words agreed in runs of three."""
+    words, own = plain(text)[0], [w.decode() for w in licenses.words(notice.encode())]
+    best = 0.0
+    for d in range(-len(own), len(words)):
+        hits = [p for p in range(len(own) - 2) if 0 <= d + p and words[d + p:d + p + 3] == own[p:p + 3]]
+        if hits:
+            agreed = {p + i for p in hits for i in range(3)}
+            best = max(best, len(agreed) / max(len(own), max(hits) + 3 - min(hits)))
+    return best
+
+
+def test_labels_of_documents_against_all_diagonals(spark, sf, documents):
+    """A notice that one diagonal bears out is always labelled, and no label comes without most of its words."""
+    rows = {r["doc_id"]: r["labels"].split(",") for r in licenses.op9_licenses(spark, sf).collect()}
+    some = [(i, t) for i, t, _ in documents if "icen" in (t or "") or "ermission" in (t or "") or i % 9 == 0]
+    for i, text in some:
+        base = {label for _, label in plain(text)[1]}
+        found = {label for label, notice in licenses.NOTICES if brute_agreed(text or "", notice) >= licenses.SHARE}
+        assert found | base <= set(rows[i]) | {""}
+
+
+def test_runs_are_words_and_no_mere_hashes():
+    number = licenses.numbering(licenses.PHRASES, licenses.NOTICES)
+    codes = np.array([[1, 2, 3, 1, 2, 4, 0, 1, 2, 3]], np.uint64)[0]
+    runs = licenses.run_hashes(codes, 3, len(number) + 1).tolist()
+    base = len(number) + 1
+    assert runs == [(a * base + b) * base + c for a, b, c in zip(codes.tolist(), codes.tolist()[1:], codes.tolist()[2:])]
+    with pytest.raises(ValueError):
+        licenses.run_hashes(codes, 3, 2 ** 21)

@@ -60,3 +60,39 @@ def test_nothing_to_learn(odd, labels):
     rows = quality.quality_scores(odd, labels.where("false")).collect()
     assert {(r["score"], r["predicted"]) for r in rows} == {(0.5, 1)}
     assert quality.quality_scores(odd.where("false"), labels).count() == 0
+
+
+def test_an_id_counts_once_and_order_does_not_matter(make, labels, monkeypatch):
+    """A hot id brings one row to the fit, and its text of smallest hash, whatever the order of rows."""
+    texts = [(1, "good text one. " * 9), (1, "other text of the id | | |"), (3, "good text three. " * 7), (5, "BAD!! " * 30), (6, "| | x " * 30)]
+    rows = texts + [(1, texts[0][1])] * 500 + [(i, f"free text number {i}. " * 5) for i in range(20, 60)]
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda *a, **k: seen.append((len(a[0]), len(a[1]))) or fit(*a, **k))
+    one = quality.quality_scores(make(rows), labels).orderBy("doc_id", "score").collect()
+    two = quality.quality_scores(make(rows[::-1]).repartition(5), labels).orderBy("doc_id", "score").collect()
+    assert one == two
+    trusted = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in (1, 3))
+    assert trusted > 0 and set(seen) == {(trusted, 44)}
+
+
+def test_samples_are_bounded(make, labels, monkeypatch):
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda *a, **k: seen.append((len(a[0]), len(a[1]))) or fit(*a, **k))
+    quality.trained(make([(i, f"text {i} " * 5) for i in range(50)] * 3), labels, positives=1, unlabelled=10)
+    assert seen == [(1, 10)]
+
+
+def test_fit_lowers_the_risk():
+    """The fitted net has a lower risk than a random one, with a small and with a large prior."""
+    rng = np.random.default_rng(8)
+    good, free = rng.normal(size=(12, 4)) + 1, rng.normal(size=(30, 4))
+    for prior in (0.3, 0.99):
+        centre, scale = free.mean(axis=0), free.std(axis=0) + 1e-6
+        z = [np.clip((x - centre) / scale, -6, 6) for x in (good, free)]
+
+        def risk(model):
+            bad = [1 / (1 + np.exp(-(np.tanh(x @ model.first + model.first_bias) @ model.second + model.second_bias))) for x in z]
+            return prior * (1 - bad[0]).mean() + max(0.0, bad[1].mean() - prior * bad[0].mean())
+
+        random = quality.Model(centre, scale, rng.normal(size=(4, quality.HIDDEN)), np.zeros(quality.HIDDEN), rng.normal(size=quality.HIDDEN), 0.0, prior)
+        assert risk(quality.fit(good, free, prior)) < risk(random)

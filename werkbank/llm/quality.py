@@ -105,30 +105,37 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def trained(docs: DataFrame, labels: DataFrame, seed: int = 0) -> Model | None:
+def trained(docs: DataFrame, labels: DataFrame, seed: int = 0, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
     """A model from trusted positives (``quality`` 1, never 0, not held out) and unlabelled texts.
 
     The prior is estimated as the share of good ones among the labelled documents that may be used. Both
-    samples are the rows of smallest seeded hash, bounded by ``POSITIVES`` and ``UNLABELLED``: only their
-    features reach the driver. None where there is nothing to learn from."""
+    samples are the ids of smallest seeded hash, at most ``positives`` and ``unlabelled`` of them. An id counts once, with
+    its text of smallest hash, and that is settled in Spark: what reaches the driver is at most ``positives + unlabelled``
+    rows of features, however often an id is repeated, and the result does not hang on the order of rows. None where
+    there is nothing to learn from."""
     known = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
              .groupBy("doc_id").agg(F.min("quality").alias("quality")))
-    good = docs.select("doc_id").join(known, "doc_id").distinct()
+    # A document without a text is known by no hash and counts as the empty text.
+    marked = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("mark")).groupBy("doc_id").agg(
+        F.min("mark").alias("mark"))
+    good = marked.join(known, "doc_id")
     order = F.xxhash64("doc_id", F.lit(seed))
     shares = good.agg(F.avg("quality")).first()[0]
-    sampled = (good.where("quality = 1").select("doc_id").orderBy(order, "doc_id").limit(POSITIVES)
+    sampled = (good.where("quality = 1").select("doc_id", "mark").orderBy(order, "doc_id").limit(positives)
                .withColumn("positive", F.lit(True)).unionByName(
-        docs.where("doc_id is not null").select("doc_id").distinct().orderBy(order, "doc_id").limit(UNLABELLED)
-        .withColumn("positive", F.lit(False))))
-    wanted = sampled.groupBy("doc_id").agg(F.max("positive").alias("positive"), F.min("positive").alias("only"))
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(wanted), "doc_id")
-    drawn = rows.select("doc_id", "positive", "only", _features("text").alias("x")).toPandas()
-    drawn = drawn.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+        marked.orderBy(order, "doc_id").limit(unlabelled).withColumn("positive", F.lit(False))))
+    # At most positives + unlabelled rows.
+    wanted = sampled.groupBy("doc_id", "mark").agg(F.max("positive").alias("positive"), F.min("positive").alias("only"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text")).join(
+        F.broadcast(wanted), ["doc_id", "mark"])
+    drawn = rows.select("doc_id", "positive", "only", _features("text").alias("x")).groupBy("doc_id").agg(
+        F.first("positive").alias("positive"), F.first("only").alias("only"), F.min("x").alias("x")).toPandas()
+    drawn = drawn.sort_values("doc_id", kind="stable")
     x = np.array(drawn["x"].tolist(), float).reshape(-1, WIDTH)
-    positive, unlabelled = x[drawn["positive"].to_numpy(bool)], x[~drawn["only"].to_numpy(bool)]
-    if not len(positive) or not len(unlabelled):
+    positive, free = x[drawn["positive"].to_numpy(bool)], x[~drawn["only"].to_numpy(bool)]
+    if not len(positive) or not len(free):
         return None
-    return fit(positive, unlabelled, shares, seed)
+    return fit(positive, free, shares, seed)
 
 
 def _features(name: str) -> Column:
@@ -157,13 +164,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, seed: int = 0) -> DataFra
 
     Null and empty texts get the score of a text with all features at zero. Repeated rows get equal scores;
     rows without an id are scored and not learned from; a document with conflicting labels is no
-    positive. Other columns are ignored. Without usable positives every score is 0.5."""
+    positive. Very long texts are read whole. Other columns are ignored; an empty table gives an empty result.
+    Without usable positives every score is 0.5."""
     found = docs.select("doc_id", held_out().alias("held_out"), score(trained(docs, labels, seed)).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, seed: int = 0) -> DataFrame:
-    """The documents predicted good, columns unchanged."""
+    """The documents predicted good, columns unchanged, whatever their names.
+
+    Null and empty texts stay or go as a text with all features at zero does, equal texts together, rows without an
+    id like others; very long texts are read whole; an empty table gives an empty result, and without usable
+    positives every document stays."""
     return docs.where(score(trained(docs, labels, seed)) >= 0.5)
 
 

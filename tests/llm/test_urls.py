@@ -81,3 +81,26 @@ def test_one_kind_of_label_and_no_rows(spark):
     rows = urls.url_verdicts(frame(spark, ["http://b.org/"])).collect()
     assert {r["_url"]["verdict"] for r in rows} == {"allow"}
     assert urls.url_verdicts(frame(spark, SPELLED).where("false")).count() == 0
+
+
+def test_a_hot_url_does_not_fill_the_sample(spark, monkeypatch):
+    """Thousands of one URL: both labels are still drawn, and the others are judged."""
+    monkeypatch.setattr(urls, "SAMPLE", 60)
+    bad = [f"http://{i}8{i}7.bad.test/{'9' * 12}?a={i}&b=2" for i in range(60)]
+    good = ["http://blog.good.test/post/a"] * 2000 + [f"http://blog{i % 7}.good.test/post/{'abcde'[i % 5]}" for i in range(60)]
+    other = [f"http://{i}6{i}5.free.example/{'7' * 12}?a={i}&b=1" for i in range(20)]
+    rows = urls.url_verdicts(frame(spark, [*bad, *good, *other]), [("block", "bad.test", "/"), ("allow", "good.test", "/")])
+    got = {r["page_id"]: r["_url"]["verdict"] for r in rows.collect()}
+    assert sum(got[2120 + i] == "block" for i in range(20)) >= 18
+
+
+def test_clashing_names_and_very_long_urls(spark):
+    found = ["http://a.net/es/" + "x" * 100_000, "http://b.com/", None, "", "http://" + "y" * 50_000 + ".org/", "http://c.com/p?" + "q=1&" * 5_000]
+    names = [*(f"_{n}" for n in urls.LEXICAL), *urls.LEXICAL, "_suffix", "_suffix_seen", "_features", "_verdict", "suffix", "lane", "row", "told",
+             "host", "path", "features", "verdict", "weight", "label", "suffix_seen", "a column.name"]
+    rows = frame(spark, found).withColumns({n: F.lit("own") for n in names})
+    out = urls.url_verdicts(rows)
+    assert out.columns == [*[c for c in rows.columns if c != "_url"], "_url"]
+    got = {r["page_id"]: r for r in out.collect()}
+    assert len(got) == len(found) and all(r[n] == "own" for r in got.values() for n in names)
+    assert got[0]["_url"]["verdict"] == "block" and got[1]["_url"]["verdict"] == "allow" and got[2]["_url"]["host"] == ""

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from werkbank.llm.common import stored, table
 
@@ -16,6 +16,8 @@ RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
          ("block", "net", "/es/"), ("block", "net", "/fr/")]
 #: Labelled URLs that the trees are fitted on, trees, their depth, and the weight of the overall share in a suffix's.
 SAMPLE, TREES, DEPTH, SMOOTHING = 10_000, 20, 3, 10.0
+#: Lanes that the URLs of one suffix are dealt over.
+LANES = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DIGITS = "0123456789"
 SIGNS = "-._~:/?#[]@!$&'()*+,;=%"
@@ -77,14 +79,14 @@ def suffix_of(host: Column) -> Column:
 def suffix_figures(labelled: DataFrame) -> tuple[DataFrame, float]:
     """Per suffix the logarithm of its labelled URLs and the share of blocked ones, drawn to the share of all; and
     that share. Counts are summed before they are shuffled."""
-    overall = labelled.agg(F.avg("label")).first()[0]
-    found = labelled.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
+    overall = labelled.agg(F.sum(F.col("label") * F.col("times")) / F.sum("times")).first()[0]
+    found = labelled.groupBy("suffix").agg(F.sum("times").alias("n"), F.sum(F.col("label") * F.col("times")).alias("blocked"))
     return found.select("suffix", F.log1p("n").alias("suffix_seen"), (
         (F.col("blocked") + SMOOTHING * overall) / (F.col("n") + SMOOTHING)).alias("suffix_blocked")), overall
 
 
 def fitted(rows: DataFrame, seed: int = 0) -> GBTClassificationModel:
-    return GBTClassifier(labelCol="label", featuresCol="_features", weightCol="weight", maxIter=TREES, maxDepth=DEPTH,
+    return GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=TREES, maxDepth=DEPTH,
                          seed=seed).fit(rows)
 
 
@@ -93,45 +95,47 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] | None = No
     rule's, else that of the trees).
 
     URLs that a rule decides are the labelled ones. Figures of suffixes come from all of them; the trees are
-    fitted on at most ``SAMPLE``, those of smallest hash; both kinds weigh the same, as how many URLs the rules block
-    says nothing about the others. Where labels are of one kind only, their verdict holds for
-    the rest, without any label it is allow. Null URLs have no host and no path and are judged like an empty text;
-    equal URLs get equal verdicts; other columns stay, and a column ``_url`` is replaced."""
+    fitted on at most ``SAMPLE`` different ones, of each label half as many, those of smallest hash, weighted by how often they occur;
+    both labels weigh the same, as how many URLs the rules block says nothing about the others. Where labels are of one
+    kind only, their verdict holds for the rest, without any label it is allow. Null URLs have no host and no path and
+    are judged like an empty text; very long URLs are read whole; equal URLs get equal verdicts; an empty table gives an
+    empty result; other columns stay, whatever their names, but ``_url`` is replaced."""
     rules = RULES if rules is None else rules
-    rows = pages.withColumn("_url", F.struct(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")))
-    rows = rows.withColumn("_url", F.struct("_url.*", decided(F.col("_url.host"), F.col("_url.path"), rules).alias("told"),
-                                            suffix_of(F.col("_url.host")).alias("suffix")))
-    labelled = rows.where("_url.told is not null").select(
-        "url", "_url.host", "_url.path", "_url.suffix", (F.col("_url.told.verdict") == "block").cast("double").alias("label"))
-    seen = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    # The row travels as one column, so that no name of it can clash.
+    pages = pages.drop("_url")
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), "url").select(
+        "row", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    rows = rows.withColumns({"told": decided(F.col("host"), F.col("path"), rules), "suffix": suffix_of(F.col("host"))})
+    # Equal URLs have equal labels, so they are one row with a count; a hot one is no more than a weight.
+    labelled = stored(rows.where("told is not null").groupBy("url", "host", "path", "suffix").agg(
+        F.first((F.col("told.verdict") == "block").cast("double")).alias("label"), F.count("*").alias("times")), "labelled_urls")
+    seen = {r["label"]: r["times"] for r in labelled.groupBy("label").agg(F.sum("times").alias("times")).collect()}
     if len(seen) < 2:
-        return _result(rows, pages, F.lit("block" if 1.0 in seen else "allow"))
+        return _result(rows, F.lit("block" if 1.0 in seen else "allow"))
     figures, overall = suffix_figures(labelled)
-    names = [*LEXICAL, "suffix_seen", "suffix_blocked"]
-    assembler = VectorAssembler(inputCols=[f"_{n}" for n in names], outputCol="_features")
-
-    def with_features(frame: DataFrame, url: str, host: str, path: str, suffix: str) -> DataFrame:
-        joined = frame.join(figures.select(F.col("suffix").alias("_suffix"), F.col("suffix_seen").alias("_suffix_seen"),
-                                           F.col("suffix_blocked").alias("_suffix_blocked")),
-                            F.col(suffix) == F.col("_suffix"), "left")
-        own = {f"_{n}": c for n, c in lexical(F.col(url), F.col(host), F.col(path)).items()}
-        return assembler.transform(joined.withColumns(own | {
-            "_suffix_seen": F.coalesce("_suffix_seen", F.lit(0.0)),
-            "_suffix_blocked": F.coalesce("_suffix_blocked", F.lit(overall))}))
-
-    sample = labelled.orderBy(F.xxhash64("url", F.lit(seed)), "url").limit(SAMPLE)
-    weight = F.when(F.col("label") == 1, seen[0.0] / seen[1.0]).otherwise(1.0).alias("weight")
-    rows_ = with_features(sample, "url", "host", "path", "suffix").select("_features", "label", weight)
-    model = fitted(stored(rows_, "urls"), seed)
-    model = model.setPredictionCol("_verdict").setProbabilityCol("").setRawPredictionCol("")
-    judged = model.transform(with_features(rows, "url", "_url.host", "_url.path", "_url.suffix"))
-    return _result(judged, pages, F.when(F.col("_verdict") == 1, "block").otherwise("allow"))
-
-
-def _result(rows: DataFrame, pages: DataFrame, verdict: Column) -> DataFrame:
-    return rows.withColumn("_url", F.struct(
-        "_url.host", "_url.path", "_url.told.rule", F.coalesce("_url.told.verdict", verdict).alias("verdict"))).select(
-        *pages.drop("_url").columns, "_url")
+    # A few suffixes hold most URLs: these are dealt over lanes by their hash, and each figure goes to all lanes.
+    figures = figures.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LANES - 1).cast("long"))))
+    assembler = VectorAssembler(inputCols=[*LEXICAL, "suffix_seen", "suffix_blocked"], outputCol="features")
+
+    def with_features(frame: DataFrame) -> DataFrame:
+        dealt = frame.withColumn("lane", F.pmod(F.xxhash64("url"), F.lit(LANES)))
+        joined = dealt.join(figures, ["suffix", "lane"], "left").withColumns({
+            "suffix_seen": F.coalesce("suffix_seen", F.lit(0.0)), "suffix_blocked": F.coalesce("suffix_blocked", F.lit(overall))})
+        return assembler.transform(joined.withColumns(lexical(F.col("url"), F.col("host"), F.col("path"))))
+
+    # Of each label the URLs of smallest hash, so that neither crowds the other out.
+    order = Window.partitionBy("label").orderBy(F.xxhash64("url", F.lit(seed)), "url")
+    sample = labelled.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE // 2)
+    sample = stored(with_features(sample).select("features", "label", F.col("times").cast("double").alias("weight")), "urls")
+    drawn = {r["label"]: r["weight"] for r in sample.groupBy("label").agg(F.sum("weight").alias("weight")).collect()}
+    balanced = sample.withColumn("weight", F.when(F.col("label") == 1, F.col("weight") * (drawn[0.0] / drawn[1.0])).otherwise(F.col("weight")))
+    model = fitted(balanced, seed).setPredictionCol("verdict").setProbabilityCol("").setRawPredictionCol("")
+    judged = model.transform(with_features(rows))
+    return _result(judged, F.when(F.col("verdict") == 1, "block").otherwise("allow"))
+
+
+def _result(rows: DataFrame, verdict: Column) -> DataFrame:
+    return rows.select("row.*", F.struct("host", "path", "told.rule", F.coalesce("told.verdict", verdict).alias("verdict")).alias("_url"))
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

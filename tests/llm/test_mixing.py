@@ -107,8 +107,22 @@ def test_repeated_documents(make):
     assert sorted(r["doc_id"] for r in rows) == [1, 1, 1, 2]
 
 
-def test_too_many_patterns_and_no_rows(make):
+def test_many_sources_as_a_table(make):
+    """Beyond the bound of the flow on the driver: targets and words of every source are the same."""
+    sizes = [0, 1, 2, 50, 7, 300, 4, 4, 90, 1]
+    docs = make([(100 * i + j, "w " * (n // 3 if j else n - 2 * (n // 3)), None if i == 9 else f"s{i}") for i, n in enumerate(sizes) for j in range(3)])
+    read = lambda **settings: {r["doc_id"]: r["_mix"] for r in mixing.mix_sources(docs, **settings).collect()}
+    few, many = read(), read(max_patterns=4)
+    for i in few:
+        assert (many[i]["size"], many[i]["source_sizes"]) == (few[i]["size"], few[i]["source_sizes"])
+        assert many[i]["targets"][0] == pytest.approx(few[i]["targets"][0])
+    for i in range(len(sizes)):
+        own = [sum(m[100 * i + j]["taken"] for j in range(3)) for m in (few, many)]
+        assert abs(own[0] - own[1]) <= 1 and all(m[100 * i + j]["taken"] <= 3 * m[100 * i + j]["size"] for m in (few, many) for j in range(3))
+
+
+def test_too_many_overlapping_patterns_and_no_rows(make):
     docs = make([(i, "w", f"s{i}") for i in range(5)])
     with pytest.raises(ValueError):
-        mixing.mix_sources(docs, max_patterns=4)
-    assert mixing.mix_sources(docs.where("false")).count() == 0
+        mixing.mix_sources(docs, F.array("source", F.lit("all")), max_patterns=4)
+    assert mixing.mix_sources(docs.where("false")).count() == 0 == mixing.mix_sources(docs.where("false"), max_patterns=-1).count()

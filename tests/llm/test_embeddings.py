@@ -104,5 +104,22 @@ def test_odd_vectors(spark):
 def test_empty_table_and_lengths(spark):
     frame = spark.createDataFrame(rows_of([(1, [1.0, 0.0]), (2, [1.0])]), KIND)
     assert neighbours.embedding_components(frame.where("false")).count() == 0
-    with pytest.raises(ValueError):
-        neighbours.embedding_components(frame)
+    assert all(r["n_links"] == 0 and r["kept"] for r in neighbours.embedding_components(frame).collect())
+
+
+def test_lengths_are_searched_apart(spark):
+    """Vectors that are equal up to zeros at the end do not link; those of their own length do."""
+    vectors = [(1, [1.0, 0.0]), (2, [1.0]), (3, [1.0, 0.01]), (4, [1.0, 0.0, 0.0]), (5, [2.0]), (6, [1.0, 0.0, 0.001]), (7, [-1.0])]
+    got = neighbours.embedding_components(spark.createDataFrame(rows_of(vectors), KIND)).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {
+        1: (1, 1), 3: (1, 1), 2: (1, 2), 5: (1, 2), 4: (1, 4), 6: (1, 4), 7: (0, 7)}
+
+
+def test_query_equals_sql(spark, sf):
+    import duckdb
+
+    with duckdb.connect() as con:
+        con.sql(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
+        want = sorted(con.sql(neighbours.OP3_SQL).fetchall())
+    rows = neighbours.op3_embeddings(spark, sf).select("vec_id", "n_links", "component_id", "kept")
+    assert sorted(map(tuple, rows.collect())) == want

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -73,7 +74,7 @@ def visited(vectors: np.ndarray, centres: np.ndarray, cosine: float, reach: floa
 
 
 def embedding_links(vectors: DataFrame, cosine: float = 0.95, reach: float = REACH, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """From ``node`` and ``vector`` (distinct, valid): links counted per node and cell (``node``, ``other`` copies
+    """From ``node`` and ``vector`` (distinct, valid, of one length): links counted per node and cell (``node``, ``other`` copies
     told by ``copies``), and edges that connect what is linked.
 
     Cells of about ``BLOCK`` vectors are fitted on at most ``SAMPLE`` vectors, those of smallest hash, and every
@@ -85,9 +86,6 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.95, reach: float = REA
     if not len(sample):
         empty = vectors.select("node", F.lit(0).cast("long").alias("links")).limit(0)
         return empty, vectors.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    dims = sample["vector"].map(len)
-    if dims.nunique() > 1:
-        raise ValueError("the vectors differ in length")
     n = vectors.count()
     centres = spherical_kmeans(unit(np.stack(sample["vector"].to_numpy()).astype(np.float64)),
                                max(1, min(CELLS, math.ceil(n / BLOCK))), seed=seed)
@@ -170,18 +168,22 @@ def embedding_components(rows: DataFrame, cosine: float = 0.95, reach: float = R
     Equal vectors are compared once and counted with their copies. Vectors that are null, empty, zero or hold null
     or non-finite components link with nothing, not even with their copies. Rows without an id are linked like others
     and never name a component, unless none of its rows has an id (then it is null and none is kept). Vectors
-    of different lengths are an error. Other columns are ignored; an empty table gives an empty result."""
+    of different lengths never link; each length is a search of its own. Other columns are ignored; an empty table gives
+    an empty result."""
     rows = rows.select("vec_id", F.col("embedding").alias("vector"))
     valid = (F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
              & F.exists("vector", lambda x: x != 0))
     rows = rows.withColumn("valid", F.coalesce(valid, F.lit(False)))
-    # A hash of the vector names it: 64 bits twice, so that billions of vectors do not clash.
+    # Two hashes of a vector, 128 bits, tell it from others; a number of its own names it from then on.
     rows = rows.withColumn("hash", F.when(F.col("valid"), F.struct(F.xxhash64("vector").alias("x"), F.xxhash64(
         F.reverse("vector"), F.lit(1)).alias("y"))))
-    named = stored(rows.where("valid").groupBy("hash.x", "hash.y").agg(
-        F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("vector").alias("vector")), "vectors")
-    nodes = named.withColumn("node", F.xxhash64("x", "y"))
-    links, edges = embedding_links(nodes.select("node", "copies", "vector"), cosine, reach, seed)
+    nodes = stored(rows.where("valid").groupBy("hash.x", "hash.y").agg(
+        F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("vector").alias("vector")).withColumn(
+        "node", F.monotonically_increasing_id()), "vectors")
+    # Vectors of different lengths are never linked, so each length is a search of its own.
+    lengths = sorted(r[0] for r in nodes.select(F.size("vector")).distinct().collect()) or [0]
+    found = [embedding_links(nodes.where(F.size("vector") == n).select("node", "copies", "vector"), cosine, reach, seed) for n in lengths]
+    links, edges = (reduce(DataFrame.unionByName, parts) for parts in zip(*found))
     groups = connected_components(edges)
     told = (nodes.select("x", "y", "node", "first", "copies").join(links, "node", "left")
             .join(groups, "node", "left").withColumn("label", F.coalesce("component", "node")))
@@ -197,3 +199,18 @@ def embedding_components(rows: DataFrame, cosine: float = 0.95, reach: float = R
 
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL
+         AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+         AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+     l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+         WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+     r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+     n AS (SELECT a, count(*) AS links FROM l GROUP BY a),
+     s AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT vec_id, coalesce(links, 0)::BIGINT AS n_links, least(vec_id, coalesce(s.least, vec_id)) AS component_id,
+    vec_id = least(vec_id, coalesce(s.least, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN s ON s.a = vec_id
+"""

@@ -14,8 +14,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from werkbank.llm.common import table
 
@@ -230,34 +231,65 @@ def decoded(model: Pieces, ids: bytes) -> bytes:
     return b"".join(map(model.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))[1:]
 
 
-def encoded(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0) -> DataFrame:
+def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``CHARS`` bytes in a column, so that a worker holds little at a time."""
+    for batch in batches:
+        sizes = np.fromiter((x.as_buffer().size if x.is_valid else 0 for x in batch.column(column)), np.int64, batch.num_rows)
+        ends = np.flatnonzero(np.diff(np.cumsum(sizes) // CHARS)) + 1
+        for a, b in zip([0, *ends.tolist()], [*ends.tolist(), batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
+def _packed(docs: DataFrame) -> Column:
+    """The row as one column, so that no name of it can clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def encoded(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0, copies: bool = False) -> DataFrame:
     """All rows of ``docs`` with ``_ids`` (little-endian 32-bit numbers) and ``_lossless`` (whether decoding gives the
     text back). Null is the empty text, without ids. The same seed, doc_id and text give the same ids, so repeated
-    rows have equal ones; rows without an id share one key. Without dropout the ids are the library's own. An
-    empty table stays empty; columns ``_ids`` and ``_lossless`` of the input are replaced.
+    rows have equal ones; rows without an id share one key. With ``copies`` equal rows that stand one after the other,
+    as a mix makes them, are numbered, and the number is part of the key: each is segmented in its own way.
+    Without dropout the ids are the library's own. An empty table stays empty; other columns may have any name,
+    but ``_ids`` and ``_lossless`` of the input are replaced.
+
+    Rows go through in parts of about ``CHARS`` characters, so that a worker holds little at a time; a very long text is
+    a part of its own and encoded whole."""
+    docs = docs.drop("_ids", "_lossless")
 
-    Rows go through in parts of about ``CHARS`` characters, so that a worker holds little at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, last, number = pieces(path), None, 0
+        for part in _parts(batches, 0):
+            raw, keys = [t or b"" for t in part.column(0).to_pylist()], part.column(1).to_pylist()
+            if copies:
+                for i, (own, text) in enumerate(zip(keys, raw)):
+                    number = number + 1 if (own, text) == last else 0
+                    last = own, text
+                    keys[i] = xxhash.xxh3_64_intdigest(number.to_bytes(8), own & (1 << 64) - 1) - (1 << 63) if number else own
+            ids = encode_texts(model, [t.decode("utf-8", "replace") for t in raw], keys, dropout)
+            same = [decoded(model, i) == t for i, t in zip(ids, raw)]
+            yield pa.RecordBatch.from_arrays([part.column(2), pa.array(ids, pa.binary()), pa.array(same)], ["row", "_ids", "_lossless"])
+
+    rows = docs.select(F.col("text").cast("binary").alias("text"), F.xxhash64(F.lit(seed), "doc_id").alias("key"), _packed(docs))
+    schema = T.StructType([rows.schema["row"], T.StructField("_ids", T.BinaryType()), T.StructField("_lossless", T.BooleanType())])
+    return rows.mapInArrow(run, schema).select("row.*", "_ids", "_lossless")
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = np.fromiter((x.as_buffer().size if x.is_valid else 0 for x in batch.column(0)), np.int64, batch.num_rows)
-            ends = np.flatnonzero(np.diff(np.cumsum(sizes) // CHARS)) + 1
-            for a, b in zip([0, *ends.tolist()], [*ends.tolist(), batch.num_rows]):
-                yield batch.slice(a, b - a)
+
+def decoded_texts(rows: DataFrame, path: str, ids: str = "_ids") -> DataFrame:
+    """All rows with ``_text``, the text of the ids in column ``ids`` (little-endian 32-bit numbers of the model's pieces):
+    what ``encoded`` was given, whichever way it was segmented. No ids and null give the empty text. A number that is no
+    piece, or half a number, ends the job. Very long rows are decoded whole; other columns may have any name, but ``_text``
+    is replaced; an empty table stays empty."""
+    rows = rows.drop("_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
-        for part in parts(batches):
-            raw = [t or b"" for t in part.column(0).to_pylist()]
-            ids = encode_texts(model, [t.decode("utf-8", "replace") for t in raw], part.column(1).to_pylist(), dropout)
-            same = [decoded(model, i) == t for i, t in zip(ids, raw)]
-            yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(ids, pa.binary()), pa.array(same)], names=names)
+        for part in _parts(batches, 0):
+            texts = [decoded(model, i or b"").decode("utf-8", "replace") for i in part.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(texts, pa.string())], ["row", "_text"])
 
-    docs = docs.drop("_ids", "_lossless")
-    names = [*docs.columns, "_ids", "_lossless"]
-    schema = T.StructType([*docs.schema.fields, T.StructField("_ids", T.BinaryType()), T.StructField("_lossless", T.BooleanType())])
-    rows = docs.select(F.col("text").cast("binary").alias("_text"), F.xxhash64(F.lit(seed), "doc_id").alias("_key"), "*")
-    return rows.mapInArrow(run, schema)
+    given = rows.select(F.col(f"`{ids}`").alias("ids"), _packed(rows))
+    return given.mapInArrow(run, T.StructType([given.schema["row"], T.StructField("_text", T.StringType())])).select("row.*", "_text")
 
 
 def model_path() -> str:
@@ -268,6 +300,8 @@ def model_path() -> str:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encoded(docs, model_path()).select(
+    back = decoded_texts(encoded(docs, model_path()), model_path())
+    return back.select(
         "doc_id", (F.octet_length("_ids") / 4).cast("long").alias("n_ids"), F.crc32("_ids").alias("ids_crc32"),
-        F.col("_lossless").alias("lossless"))
+        (F.col("_text") == F.coalesce("text", F.lit(""))).alias("lossless"), F.col("_ids").alias("ids"),
+        F.sha2("_text", 256).alias("decoded_sha256"))

@@ -25,7 +25,9 @@ def make(spark):
         frame = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], DOCS)
         return frame.withColumns({n: F.lit("own") for n in (
             "doc", "tie", "key", "size", "fingerprint", "component_id", "label", "node", "bytes", "code", "score",
-            "host", "bucket", "value", "taken", "hash")})
+            "host", "bucket", "value", "taken", "hash", "row", "lane", "mark", "runs", "label_", "copies", "_taken", "_key", "_sizes", "_goals",
+            "_cut", "_copies", "_rest", "_prefix", "_doc", "_tie", "_runs", "_row", "_id", "_none", "_mark", "_copy", "_bytes",
+            "_parts", "a column.name")})
 
     return build
 

@@ -178,8 +178,8 @@ def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 3, see
 
     Null text counts as empty; documents without words have fingerprint 0 and link like any other.
     Repeated rows stay, one result row each. A row without a doc_id is linked like any other, but
-    names a component (as null) only where none of its rows has an id. Other columns are ignored;
-    an empty table gives an empty result."""
+    names a component (as null) only where none of its rows has an id. Very long texts are read whole. Other columns
+    are ignored; an empty table gives an empty result."""
     prints = stored(fingerprints(docs, shingle, seed), "simhash")
     values = labelled(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), distance)
     smallest = values.groupBy("label").agg(F.min("first").alias("component_id"))
@@ -190,7 +190,10 @@ def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 3, see
 
 def simhash_dedup(docs: DataFrame, shingle: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
     """One row of each component, columns unchanged: that of smallest doc_id (rows without one come last), among
-    rows of one id that whose text has the smallest hash, of equal rows any one."""
+    rows of one id that whose text has the smallest hash, of equal rows any one.
+
+    Null and empty texts are one component (fingerprint 0); very long texts are read whole, their shingles one after the
+    other; other columns may have any name; an empty table gives an empty result."""
     prints = stored(fingerprints(docs, shingle, seed), "simhash")
     row = lambda mark: [F.col("doc_id").isNull().alias("_none"), F.coalesce(
         F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), mark.alias("_mark")]
@@ -199,8 +202,9 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, distance: int = 3, seed: in
     key = ["_none", "_id", "_mark"]
     # Copies go in each task before rows are dealt, so that those of one row need not meet.
     copy = F.row_number().over(Window.partitionBy(*key).orderBy("_mark"))
-    rows = docs.select("*", *row(F.xxhash64("text"))).withColumn("_copy", copy).where("_copy = 1")
-    return rows.join(kept, key, "left_semi").drop(*key, "_copy")
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(packed, *row(F.xxhash64("text"))).withColumn("_copy", copy).where("_copy = 1")
+    return rows.join(kept, key, "left_semi").select("row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,3 +131,23 @@ def test_text_of_kept_bytes(make):
     want = brute([t.encode() for _, t in rows])
     assert got == {i: kept.decode("utf-8", "ignore") for (i, _), (kept, _) in zip(rows, want)}
     assert any(kept != kept.decode("utf-8", "ignore").encode() for kept, _ in want)
+
+
+def test_query_equals_sql(spark, sf):
+    import duckdb
+
+    with duckdb.connect() as con:
+        con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+        want = sorted(con.sql(repeats.OP1_SQL).fetchall())
+    rows = repeats.op1_suffix_array(spark, sf).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted(map(tuple, rows.collect())) == want
+
+
+def test_crowded_anchors_in_lanes(make, monkeypatch):
+    """Very many contexts of one anchor, dealt over lanes and cut one by one."""
+    monkeypatch.setattr(repeats, "BUCKET", 3)
+    core = "the same forty bytes stand in all of them"
+    texts = [f"{i:>60}{core}{i % 5:>70}" for i in range(40)]
+    rows = {r["doc_id"]: r for r in repeats.without_repeats(make(list(enumerate(texts)))).collect()}
+    for i, (kept, _) in enumerate(brute([t.encode() for t in texts])):
+        assert bytes(rows[i]["_kept"]["bytes"]) == kept

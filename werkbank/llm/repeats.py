@@ -30,6 +30,8 @@ PIECE = 32
 BYTES, ANCHORS = 1 << 19, 300_000
 #: Contexts of one anchor that are sorted in one bucket; the strings of others get buckets of their own.
 BUCKET = 4096
+#: Lanes that the contexts of one anchor are dealt over.
+LANES = 32
 #: Bytes of contexts that are sorted at once.
 SORTED = 1 << 20
 #: A place in a text is one number: first start and, in the lowest bits, number of starts.
@@ -236,36 +238,41 @@ def without_repeats(docs: DataFrame, length: int = 100, as_text: bool = False) -
     A byte goes if a string of ``length`` bytes over it also starts earlier: in a smaller doc_id, or earlier in
     the same text. Null text is empty, texts below ``length`` bytes stay whole. Rows without a doc_id come
     after all others; rows of one id (or none) are ordered by the hash of their text, and rows that repeat id
-    and text are one document, with one result for all. Other columns stay; a column ``_kept`` is replaced."""
+    and text are one document, with one result for all. Very long texts are hashed in parts that overlap, and are cut
+    whole. Other columns stay, whatever their names, but ``_kept`` is replaced; an empty table gives an empty result."""
     if not PIECE + 8 <= length <= PIECE + (1 << COUNT) - 2:
         raise ValueError("the strings must have 40 to 158 bytes")
     firsts = stored(first_contexts(find_anchors(docs, length)), "repeats")
     open_ = firsts.where("key is not null")
-    crowded = open_.groupBy("key").count().where(F.col("count") > BUCKET).select("key", F.lit(True).alias("crowded"))
-    wanted = open_.join(crowded, "key", "left").select(
+    # Contexts of an anchor are dealt over lanes, so that those of a common one do not meet to be told that it is crowded.
+    lanes = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LANES - 1).cast("long")))
+    crowded = open_.groupBy("key").count().where(F.col("count") > BUCKET).select("key", lanes.alias("lane"), F.lit(True).alias("crowded"))
+    lane = F.pmod(F.xxhash64("doc", "tie", "code"), F.lit(LANES))
+    wanted = open_.withColumn("lane", lane).join(crowded, ["key", "lane"], "left").select(
         "doc", "tie", "code", "key", "at", F.coalesce("crowded", F.lit(False)).alias("crowded"))
     texts = docs.select(id_or_last().alias("doc"), tie().alias("tie"),
                         F.col("text").cast("binary").alias("text")).where(F.octet_length("text") >= length)
     sorted_ = sort_contexts(cut_contexts(texts, wanted, length), length)
     runs = (firsts.where("key is null").select("doc", "tie", "code").unionByName(sorted_)
-            .groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_list("code").alias("_runs")))
+            .groupBy("doc", "tie").agg(F.collect_list("code").alias("runs")))
 
-    rows = docs.withColumns({"_doc": id_or_last(), "_tie": tie()}).join(runs, ["_doc", "_tie"], "left")
+    # The row travels as one column, so that no name of it can clash.
     docs = docs.drop("_kept")
-    rows = rows.select(F.col("text").cast("binary").alias("_text"), "_runs", *docs.columns)
-    names, kind = [*docs.columns, "_kept"], pa.struct([
-        ("text", pa.string()) if as_text else ("bytes", pa.binary()), ("spans", pa.list_(pa.int64()))])
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(packed, id_or_last().alias("doc"), tie().alias("tie")).join(runs, ["doc", "tie"], "left")
+    rows = rows.select(F.col("row.text").cast("binary").alias("text"), "runs", "row")
+    kind = pa.struct([("text", pa.string()) if as_text else ("bytes", pa.binary()), ("spans", pa.list_(pa.int64()))])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 0):
             found = [_keep(t or b"", r, length) for t, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             kept = pa.array([x.decode("utf-8", "ignore") for x, _ in found] if as_text else [x for x, _ in found], kind[0].type)
             kept = pa.StructArray.from_arrays([kept, pa.array([x for _, x in found], kind[1].type)], fields=list(kind))
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], kept], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(2), kept], names=["row", "_kept"])
 
     held = T.StructType([T.StructField("text", T.StringType()) if as_text else T.StructField("bytes", T.BinaryType()),
                          T.StructField("spans", T.ArrayType(T.LongType()))])
-    return rows.mapInArrow(keep, T.StructType([*docs.schema.fields, T.StructField("_kept", held)]))
+    return rows.mapInArrow(keep, T.StructType([rows.schema["row"], T.StructField("_kept", held)])).select("row.*", "_kept")
 
 
 def _keep(text: bytes, runs: np.ndarray | None, length: int) -> tuple[bytes, list[int]]:
@@ -296,3 +303,21 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(docs).select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"),
         (F.size(spans) / 2).cast("long").alias("n_spans"), F.sha2("_kept.bytes", 256).alias("kept_sha256"))
+
+
+#: Strings are compared by a 64-bit hash of their bytes here, and texts are cut as hexadecimal digits.
+OP1_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+     p AS (SELECT r, doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS pos FROM d WHERE len(h) >= 200),
+     s AS (SELECT r, doc_id, pos, hash(substr(h, 2 * pos + 1, 200)) AS s FROM p),
+     f AS (SELECT r, pos, row_number() OVER (PARTITION BY s ORDER BY doc_id, pos) AS n FROM s),
+     e AS (SELECT r, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY r ORDER BY pos) + 100 THEN 0 ELSE 1 END AS new FROM f WHERE n > 1),
+     g AS (SELECT r, pos, sum(new) OVER (PARTITION BY r ORDER BY pos) AS run FROM e),
+     x AS (SELECT r, run, min(pos) AS a, max(pos) + 100 AS b FROM g GROUP BY r, run),
+     c AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM x),
+     k AS (SELECT r, count(*) AS spans, sum(b - a)::BIGINT AS gone, max(b) AS tail,
+         string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM c JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+    sha256(unhex(CASE WHEN spans IS NULL THEN h ELSE kept || substr(h, 2 * tail + 1) END)) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""

@@ -24,7 +24,7 @@ LEAST, ADDED, TOP = 30, 5, 50
 #: A share of one is a billion, in two factors, so that products stay within 64 bits.
 FIRST, SECOND = 31_250, 32_000
 #: About how many counts a block has, and how many sources of a language meet in one group.
-COUNTS, TILE, LANES = 1 << 18, 64, 32
+COUNTS, TILE, LANES = 1 << 12, 64, 32
 #: Counts that a task holds before it hands them on.
 HELD = 1 << 19
 #: A-Z become small; what is no a-z or beyond ASCII becomes a space.

@@ -15,12 +15,14 @@ ORACLE_SQL = None
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for good ones."""
+    """Documents that the classifier takes for good ones; nulls, ties and repeats as in ``quality.good_documents``, an empty
+    table stays empty."""
     return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints (3-word shingles) lie within 3 bits."""
+    """One document of each group whose fingerprints (3-word shingles) lie within 3 bits; nulls, ties and repeats as in
+    ``simhash.simhash_dedup``, an empty table stays empty."""
     return simhash.simhash_dedup(docs, shingle=3, distance=3)
 
 
@@ -33,13 +35,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources at their target weights: documents as often as the mix takes them."""
+    """The sources at their target weights: documents as often as the mix takes them; nulls, ties and repeats as in
+    ``mixing.repeated``, an empty table stays empty."""
     return mixing.repeated(docs)
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text (little-endian 32-bit numbers), their number, and whether they decode to the text."""
-    ids = sentencepieces.encoded(docs, sentencepieces.model_path())
+    """Ids of each text (little-endian 32-bit numbers), their number, and whether they decode to the text. The copies of a
+    document that the mix has made are segmented each in its own way; nulls as in ``sentencepieces.encoded``, an empty
+    table stays empty."""
+    ids = sentencepieces.encoded(docs, sentencepieces.model_path(), copies=True)
     return ids.select("doc_id", "lang", "source", "n_chars", F.col("_ids").alias("ids"), (
         F.octet_length("_ids") / 4).cast("long").alias("n_ids"), F.col("_lossless").alias("lossless"))
 

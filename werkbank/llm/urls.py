@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from werkbank.llm.common import stored, table
 
@@ -123,9 +123,9 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] | None = No
             "suffix_seen": F.coalesce("suffix_seen", F.lit(0.0)), "suffix_blocked": F.coalesce("suffix_blocked", F.lit(overall))})
         return assembler.transform(joined.withColumns(lexical(F.col("url"), F.col("host"), F.col("path"))))
 
-    # Of each label the URLs of smallest hash, so that neither crowds the other out.
-    order = Window.partitionBy("label").orderBy(F.xxhash64("url", F.lit(seed)), "url")
-    sample = labelled.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE // 2)
+    # Of each label the URLs of smallest hash, so that neither crowds the other out; tasks hand on no more than is kept.
+    sample = reduce(DataFrame.unionByName, [labelled.where(F.col("label") == label).orderBy(
+        F.xxhash64("url", F.lit(seed)), "url").limit(SAMPLE // 2) for label in (0.0, 1.0)])
     sample = stored(with_features(sample).select("features", "label", F.col("times").cast("double").alias("weight")), "urls")
     drawn = {r["label"]: r["weight"] for r in sample.groupBy("label").agg(F.sum("weight").alias("weight")).collect()}
     balanced = sample.withColumn("weight", F.when(F.col("label") == 1, F.col("weight") * (drawn[0.0] / drawn[1.0])).otherwise(F.col("weight")))

@@ -90,3 +90,14 @@ def test_entry_without_the_llm_folders(tmp_path):
     said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
     assert said.returncode == 0, said.stderr
     assert not any(n.startswith(("op1_", "pipeline")) for n in QUERIES)
+
+
+@pytest.mark.parametrize("name, scans", [("order_items", 6), ("order_item_rejects", 6), ("rebuild_logs", 8), ("incident_states", 6),
+                                         ("missing_components", 8), ("open_order_shortages", 8), ("affected_orders", 8), ("co_purchase_pairs", 8),
+                                         ("reprompt_history", 3), ("co_purchase_summary", 6)])
+def test_plans_read_each_table_few_times(spark, name, scans):
+    """What several parts of a plan need is stored once or comes from one run (the logs of ``reprompt_history`` alone read
+    three tables)."""
+    plan = QUERIES[name](spark, DIRECTORY)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= scans
+    assert plan.count("hashpartitioning") <= 14

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from werkbank.operators.stored import stored
+from werkbank.operators.stored import scratch, stored  # noqa: F401
 
 LAST_ID = 2 ** 63 - 1
 

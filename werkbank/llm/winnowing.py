@@ -128,15 +128,14 @@ def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> Da
     rows = rows.withColumn("_copy", F.lit(False)).unionByName(
         copies.withColumnRenamed("_before", "_bucket").withColumn("_copy", F.lit(True)))
     rows = with_prints(rows, "text", "_prints", k, window)
-    rows = rows.withColumn("prints", hashes("_prints"))
     order = Window.partitionBy("_bucket").orderBy("_copy", "_order")
-    rows = rows.withColumns({"_next": F.lead("text").over(order), "next_prints": F.lead("prints").over(order)}).where("not _copy")
+    rows = rows.withColumns({"_next": F.lead("text").over(order), "_after": F.lead("_prints").over(order)}).where("not _copy")
     half = F.floor(F.length("text") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half),
                                               F.substring("_next", F.lit(1), half)))
     rows = with_prints(rows, "edited", "_edited", k, window)
-    return rows.select("doc_id", "text", "edited", "prints", hashes("_edited").alias("edited_prints"), "next_prints",
-                       positions("_prints").alias("positions"))
+    return rows.select("doc_id", "text", "edited", hashes("_prints").alias("prints"), hashes("_edited").alias("edited_prints"),
+                       hashes("_after").alias("next_prints"), positions("_prints").alias("positions"))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

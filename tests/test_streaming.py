@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from helpers import values
 from pyspark.sql import functions as F
 from test_traffic import expected_alerts
@@ -187,3 +188,17 @@ def test_state_of_closed_periods_goes(spark, tmp_path):
     query.awaitTermination()
     held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     assert len(held) >= 10 and max(held) <= 12
+
+
+@pytest.mark.parametrize("name", ["stream_messages"])
+def test_streams_read_a_table_of_one_file_or_of_many(spark, tmp_path, name):
+    from werkbank.registry import QUERIES
+
+    rows = spark.createDataFrame([(c, t, "user", f"text {c} {t}") for c in range(20) for t in range(3)] + [(None, None, None, None)],
+                                 "conv_id bigint, turn bigint, role string, text string").repartition(4)
+    rows.write.parquet(f"{tmp_path}/many/conversations.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/landed")
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "landed").glob("*.parquet")).rename(tmp_path / "one" / "conversations.parquet")
+    one, many = (sorted(map(tuple, QUERIES[name](spark, f"{tmp_path}/{folder}").collect()), key=repr) for folder in ("one", "many"))
+    assert len(one) == 61 and one == many

@@ -678,7 +678,8 @@ def incident_states(spark, sf_dir):
 # ---- streams ---------------------------------------------------------------------------------------------------
 
 def _stream(spark, sf_dir, name, event_time=None):
-    rows = spark.readStream.schema(demo.PROVIDED[name]).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # The pattern fits a table that is one file and one that is a folder of files; as a plain path, a stream takes folders alone.
+    rows = spark.readStream.schema(demo.PROVIDED[name]).parquet(f"{sf_dir}/{name}.parque[t]")
     return rows if event_time is None else rows.withColumn(event_time, F.col(event_time).cast("timestamp"))
 
 

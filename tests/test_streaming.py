@@ -190,7 +190,7 @@ def test_state_of_closed_periods_goes(spark, tmp_path):
     assert len(held) >= 10 and max(held) <= 12
 
 
-@pytest.mark.parametrize("name", ["stream_messages"])
+@pytest.mark.parametrize("name", ["stream_messages", "stream_messages_compacted"])
 def test_streams_read_a_table_of_one_file_or_of_many(spark, tmp_path, name):
     from werkbank.registry import QUERIES
 

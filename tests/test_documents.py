@@ -125,3 +125,38 @@ def test_missing_components_of_open_orders(spark):
         ("L4", "CP001", 1), ("L4", "ME001", 4)]
     assert values(D.shortage_totals(missing), "id", "count", "affected_orders") == [("ME009", 2.5, 1)]
     assert values(D.affected_orders(missing), "order_number", "missing_articles") == [("L1", 1)]
+
+
+def _layout(rows):
+    return sorted((tuple(r) for r in rows), key=repr)
+
+
+def test_order_360_with_and_without_long_documents(spark, monkeypatch):
+    """Documents count as long from 1, 3 or very many lines on; some have no header, no items, no number or blanks around it."""
+    from werkbank.operators import ordered
+
+    lines = LINES + [line(100 + i, "LA4 ", "L", f"CP{i}", "HKA"[i % 3]) for i in range(9)] + [
+        line(None, "DA5", "D", f"X{i}", "A" if i % 2 else "H") for i in range(4)] + [line(i // 2, None, "R", f"N{i}", "H") for i in (400, 401, 402)]
+    head = lambda number, kind: dict(Belegnummer=number, Belegtyp=kind, Status=0, EuroBrutto="1", AngelegtAm="2026-01-01 00:00:00")
+    tables = erp(spark, belegp=lines, beleg=[head("RA1", "R"), head("RA2", "R"), head("LA4", "L"), head(" LA4", "L"), head("DA5", "D"),
+                                             head(None, "R"), head("LA9", "L")])
+    got = []
+    for most in (1_000_000, 3, 1):
+        monkeypatch.setattr(ordered, "HOT_ROWS", most)
+        got.append((D.order_360(tables).columns, _layout(D.order_360(tables).collect()), _layout(D.order_items(tables["belegp"]).collect()),
+                    _layout(D.order_item_rejects(tables["belegp"]).collect())))
+    assert got[0] == got[1] == got[2]
+    assert [len(part) for part in got[0][1:]] == [6 + 1 + 9 + 9 + 4 + 1 + 1, 6 + 9 + 4 + 3, 2]
+
+
+def test_order_360_shuffles_its_lines_once(spark):
+    """The lines are dealt by document alone, and the headers carry only what is shown."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = D.order_360(erp(spark, belegp=LINES, beleg=[dict(Belegnummer="RA1", Belegtyp="R")]))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = [row for row in plan.splitlines() if "hashpartitioning(" in row]
+    assert len([row for row in dealt if "hashpartitioning(document_number" in row]) == 2 and len(dealt) == 3
+    assert "Window" in plan and "Steuer" not in plan and "FileScan" not in plan

@@ -97,6 +97,26 @@ def running_last(rows: DataFrame, keys: list[str], cut: str, mark: Column, order
             .drop("_part", "_first", "_n", "_carry", "_place", "_upto", "_own"))
 
 
+def hot_keys(rows: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame | None:
+    """The keys of at least ``hot_rows`` rows (by default ``HOT_ROWS``), stored; None if there are none."""
+    hot = stored(_hot_keys(rows, keys, HOT_ROWS if hot_rows is None else hot_rows).drop("_n"), "hot_keys")
+    return None if hot.isEmpty() else hot
+
+
+def running_last_by_key(rows: DataFrame, keys: list[str], cut: str, mark: Column, hot: DataFrame | None,
+                        pieces: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """``running_last`` for a table of very many keys, in two parts: the rows of all keys but the ``hot`` ones (``hot_keys``),
+    dealt by key once and not stored, and those of the hot keys, by ranges (None without hot keys). The first part
+    comes dealt by ``keys``, so that a join on them shuffles it no more."""
+    cold = rows if hot is None else _join_keys(rows, hot, keys, "left_anti")
+    # The mark and the tie are made behind the shuffle, which would carry them.
+    dealt = cold.repartition(*keys).withColumn("_mark", mark).withColumn("_tie", F.xxhash64(*rows.columns, "_mark"))
+    within = Window.partitionBy(*keys).orderBy(cut, "_tie")
+    last = F.last("_mark", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = dealt.withColumns({"position": F.row_number().over(within).cast("long"), "last_mark": last}).drop("_mark", "_tie")
+    return placed, None if hot is None else running_last(_join_keys(rows, hot, keys, "left_semi"), keys, cut, mark, pieces=pieces)
+
+
 def global_rank(rows: DataFrame, at: str, order: list[str], pieces: int | None = None) -> DataFrame:
     """Add ``rank``, the 1-based position in the order of timestamp ``at`` then ``order``: a prefix scan over all rows."""
     staged = rows.withColumn("_all", F.lit(True)).withColumn("_at", F.unix_micros(F.col(at).cast("timestamp")))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from werkbank.functions.predicates import genuine_orders
 from werkbank.functions.text import sku_group
 from werkbank.operators.keyed import latest_by
-from werkbank.operators.ordered import running_last
+from werkbank.operators.ordered import hot_keys, running_last_by_key
 from werkbank.operators.stored import stored
 from werkbank.plans.sales import order_header
 
@@ -18,9 +20,13 @@ def _line_type():
     return F.upper(F.trim(F.coalesce("Zeilentyp", F.lit(""))))
 
 
-def _placed_lines(belegp: DataFrame, pieces: int | None) -> DataFrame:
+KEY = ["document_number", "document_type"]
+
+
+def _placed_lines(belegp: DataFrame, pieces: int | None) -> list[DataFrame]:
     """Lines with their position and the id of the PC that is open at the line. Any line that
-    is not a component closes the PC before it; a PC line opens its own."""
+    is not a component closes the PC before it; a PC line opens its own. The lines of very long
+    documents are a table of their own, the second, if there are any."""
     text = lambda c: F.coalesce(F.trim(F.col(c)), F.lit(""))
     lines = belegp.filter(F.col("Belegtyp").isin(*ITEM_TYPES)).select(
         F.trim("Belegnummer").alias("document_number"), F.col("Belegtyp").alias("document_type"),
@@ -29,21 +35,24 @@ def _placed_lines(belegp: DataFrame, pieces: int | None) -> DataFrame:
         F.coalesce("Menge", F.lit(0)).alias("quantity"), F.coalesce("KalkpreisEuro", F.lit(0)).alias("price"))
     opener = F.when(F.col("line_type") != "K", F.struct(
         F.when(F.col("line_type") == "H", F.col("line_id")).alias("pc"), F.col("line_id").alias("at")))
-    placed = running_last(lines, ["document_number", "document_type"], "line_id", opener, pieces=pieces)
-    return placed.withColumn("pc_line_id", F.col("last_mark.pc")).drop("last_mark")
+    parts = running_last_by_key(lines, KEY, "line_id", opener, hot_keys(lines, KEY), pieces)
+    return [p.withColumn("pc_line_id", F.col("last_mark.pc")).drop("last_mark") for p in parts if p is not None]
 
 
-def order_items(belegp: DataFrame, pieces: int | None = None) -> DataFrame:
-    """One row per document line; components carry the line id of their PC."""
-    placed = _placed_lines(belegp, pieces)
+def _items(placed: DataFrame) -> DataFrame:
     parent = F.when(F.col("line_type") == "K", F.col("pc_line_id"))
     return (placed.filter((F.col("line_type") != "K") | F.col("pc_line_id").isNotNull())
             .withColumn("parent_line_id", parent).drop("pc_line_id"))
 
 
+def order_items(belegp: DataFrame, pieces: int | None = None) -> DataFrame:
+    """One row per document line; components carry the line id of their PC."""
+    return _items(reduce(DataFrame.unionByName, _placed_lines(belegp, pieces)))
+
+
 def order_item_rejects(belegp: DataFrame, pieces: int | None = None) -> DataFrame:
     """Components that stand before any PC of their document."""
-    placed = _placed_lines(belegp, pieces)
+    placed = reduce(DataFrame.unionByName, _placed_lines(belegp, pieces))
     return placed.filter((F.col("line_type") == "K") & F.col("pc_line_id").isNull()).drop("pc_line_id")
 
 
@@ -57,14 +66,16 @@ def order_360(erp: dict[str, DataFrame], numbers: list[str] | None = None) -> Da
         wanted = [n.strip().upper() for n in numbers]
         beleg = beleg.filter(F.upper(F.trim("Belegnummer")).isin(*wanted))
         belegp = belegp.filter(F.upper(F.trim("Belegnummer")).isin(*wanted))
-    key = ["document_number", "document_type"]
-    items = order_items(belegp)
-    # An inner join and the headers without items in place of one outer join let the adaptive planner split a
-    # document of many lines. The headers are stored, as both parts read them.
-    with_items = items.select(*key).distinct().withColumn("_items", F.lit(True))
-    header = stored(order_header(beleg, erp["mitarbw"]).join(with_items, key, "left"), "headers")
-    return header.filter("_items").drop("_items").join(items, key).unionByName(
-        header.filter("_items IS NULL").drop("_items"), allowMissingColumns=True)
+    # The lines come dealt by document, so the outer join shuffles the headers alone.
+    items, *long = [_items(p) for p in _placed_lines(belegp, None)]
+    header = order_header(beleg, erp["mitarbw"])
+    if not long:
+        return header.join(items, KEY, "left")
+    # Documents of very many lines meet their headers in an inner join, which the adaptive planner can split. The headers
+    # are stored, as both joins read them.
+    header, found = stored(header, "headers"), long[0].select(*KEY).distinct()
+    return header.join(found, KEY, "left_anti").join(items, KEY, "left").unionByName(
+        header.join(found, KEY, "left_semi").join(long[0], KEY))
 
 
 def open_orders(beleg: DataFrame) -> DataFrame:

@@ -170,7 +170,11 @@ def with_platform(headers: DataFrame, mitarbw: DataFrame, most: int | None = Non
 def order_header(beleg: DataFrame, mitarbw: DataFrame) -> DataFrame:
     """The newest header per document number with platform, customer and state labels. An
     unknown channel keeps the order."""
-    newest = latest_by(beleg, ["Belegnummer"], ["AngelegtAm", "Belegtyp"])
+    # Only what is shown, as the newest row is carried whole.
+    shown = beleg.select("Belegnummer", "IhrAuftrag", "Belegtyp", "Status", "AngelegtAm", "Vorname", "Name", "Land", "EuroBrutto",
+                         "UebernahmeOffen", "ErloesEuro", "_TRACKING", "FreierText1", "_FIRMENNAME", "_EMAIL1", "_MOBILNUMMER",
+                         "Sprache", "Vertreter")
+    newest = latest_by(shown, ["Belegnummer"], ["AngelegtAm", "Belegtyp"])
     trimmed = lambda column, name: F.trim(F.col(column)).alias(name)
     header = with_platform(newest, mitarbw).select(
         trimmed("Belegnummer", "document_number"), trimmed("IhrAuftrag", "order_number"),

@@ -202,3 +202,20 @@ def test_streams_read_a_table_of_one_file_or_of_many(spark, tmp_path, name):
     next((tmp_path / "landed").glob("*.parquet")).rename(tmp_path / "one" / "conversations.parquet")
     one, many = (sorted(map(tuple, QUERIES[name](spark, f"{tmp_path}/{folder}").collect()), key=repr) for folder in ("one", "many"))
     assert len(one) == 61 and one == many
+
+
+def test_alerts_of_services_that_share_a_group(spark, tmp_path, monkeypatch):
+    """Sixty services (and one without a name) in seven groups: few groups of state, and each service has its own alerts."""
+    from werkbank.plans import monitoring
+
+    monkeypatch.setattr(monitoring, "SERVICE_GROUPS", 7)
+    rng = random.Random(3)
+    rows = checks_of(rng, [f'"s{i}' for i in range(60)] + [None], 6)
+    rng.shuffle(rows)
+    feed(spark, str(tmp_path), rows, CHECKS, len(rows) // 3 + 1)
+    checks = spark.readStream.schema(CHECKS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = jobs.stream_alerts(checks, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    query.awaitTermination()
+    assert standing(spark, f"{tmp_path}/out") == batch_alerts(spark, rows)
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 7
+    assert spark.read.parquet(f"{tmp_path}/out").filter("kind = 'late'").count() == 0

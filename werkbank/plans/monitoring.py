@@ -19,7 +19,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Runs of a service that stay open, i.e. may still get checks or runs before them.
 OPEN_RUNS = 10_000
 ALERT_CHANGES = ("service string, run_id long, kind string, alert string, change int, healthy boolean, mail_accepted boolean")
-SERVICE_STATE = "runs string, notified boolean, closed long"
+#: Services are dealt over this many groups, as each group that a batch touches costs some milliseconds.
+SERVICE_GROUPS = 4_096
+GROUP_STATE = "services string"
 
 
 def reduced_runs(checks: DataFrame) -> DataFrame:
@@ -118,7 +120,8 @@ def alert_changes(checks: DataFrame, open_runs: int = OPEN_RUNS) -> DataFrame:
     The state of a service is the outcome of its settled runs and at most ``open_runs`` open ones; older runs are
     settled at the end of each batch. A check of a settled run changes nothing and goes out as a row of kind ``late`` with the
     check, so that none is lost. Checks are reduced to one row per run in their task before they meet the state;
-    those without a run are late at once."""
+    those without a run are late at once. Services share ``SERVICE_GROUPS`` groups of state, so that very many services are no
+    more groups; within a group each has a state of its own."""
     columns = [c.split()[0] for c in ALERT_CHANGES.split(", ")]
 
     def reduced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,23 +135,29 @@ def alert_changes(checks: DataFrame, open_runs: int = OPEN_RUNS) -> DataFrame:
                 {"run_id": "Int64", "healthy": "boolean", "mail_accepted": "boolean"})
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        service, out = key[0], []
-        known = OpenRuns.loaded(state.get if state.exists else None)
+        came: dict[str | None, list] = {}
         for frame in frames:
-            for run, healthy, accepted in zip(*(frame[c].tolist() for c in ("run_id", "healthy", "mail_accepted"))):
-                healthy, accepted = (None if pd.isna(x) else bool(x) for x in (healthy, accepted))
-                run = None if pd.isna(run) else int(run)
+            for service, *check in zip(*(frame[c].tolist() for c in ("service", "run_id", "healthy", "mail_accepted"))):
+                came.setdefault(None if pd.isna(service) else service, []).append([None if pd.isna(x) else x for x in check])
+        # One service after the other is opened; those without checks in this batch stay as they are.
+        kept = {service: rest for service, *rest in json.loads(state.get[0])} if state.exists else {}
+        out = []
+        for service, rows in came.items():
+            known = OpenRuns.loaded(kept.get(service))
+            for run, healthy, accepted in rows:
                 if run is None or not known.add(run, healthy, accepted):
                     out.append((service, run, "late", None, 0, healthy, accepted))
-        out += [(service, run, "alert", alert, change, None, None) for run, alert, change in known.changes()]
-        known.settle(open_runs)
-        state.update(known.state())
+            out += [(service, run, "alert", alert, change, None, None) for run, alert, change in known.changes()]
+            known.settle(open_runs)
+            kept[service] = known.state()
+        state.update((json.dumps([(service, *rest) for service, rest in kept.items()]),))
         if out:
             yield pd.DataFrame(out, columns=columns).astype({"run_id": "Int64", "healthy": "boolean", "mail_accepted": "boolean"})
 
     rows = checks.select(F.col("service").cast("string").alias("service"), F.col("run_id").cast("long").alias("run_id"), "healthy", "mail_accepted")
-    return rows.mapInPandas(reduced, rows.schema).groupBy("service").applyInPandasWithState(
-        run, ALERT_CHANGES, SERVICE_STATE, "append", "NoTimeout")
+    group = F.pmod(F.xxhash64("service"), F.lit(SERVICE_GROUPS)).cast("int")
+    return rows.mapInPandas(reduced, rows.schema).withColumn("_group", group).groupBy("_group").applyInPandasWithState(
+        run, ALERT_CHANGES, GROUP_STATE, "append", "NoTimeout")
 
 
 def standing_alerts(changes: DataFrame) -> DataFrame:

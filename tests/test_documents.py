@@ -160,3 +160,17 @@ def test_order_360_shuffles_its_lines_once(spark):
     dealt = [row for row in plan.splitlines() if "hashpartitioning(" in row]
     assert len([row for row in dealt if "hashpartitioning(document_number" in row]) == 2 and len(dealt) == 3
     assert "Window" in plan and "Steuer" not in plan and "FileScan" not in plan
+
+
+@pytest.mark.parametrize("rolled_up", [False])
+def test_chains_read_lines_of_their_types_alone(spark, rolled_up):
+    """Lines of types that no chain has go before any shuffle, and the lines that stay meet the documents, by number and type, in
+    one join; numbers with blanks behind them are found as before."""
+    tables = chain(spark)
+    extra = [line(20 + i, n, k, "GC001", "A", 7) for i, (n, k) in enumerate([("L1", "R"), ("O1", "S"), ("L1 ", "L"), ("M1", "D"), ("O1", "A")])]
+    tables["belegp"] = spark.createDataFrame(tables["belegp"].union(table(spark, BELEGP, extra)).collect(), BELEGP)
+    missing = D.missing_components(tables)
+    assert values(missing, "order_number", "id", "count", sort=True) == [("L1", "GC001", 7), ("L1", "ME009", 2.5)]
+    result = D.shortage_totals(missing) if rolled_up else missing
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    assert "IN (A,L)" in plan and plan.count("Join") == 2

@@ -28,7 +28,7 @@ def scratch(spark: SparkSession, name: str = "run") -> str:
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """``frame``, written and read again."""
     path = scratch(frame.sparkSession, name)
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

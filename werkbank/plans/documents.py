@@ -114,18 +114,20 @@ def header_index(beleg: DataFrame) -> DataFrame:
         F.col("_head.LieferBelegNr") != "", F.rtrim("_head.LieferBelegNr")).alias("_before"), "open"), "header_index")
 
 
-def _document_groups(belegp: DataFrame, index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Units and first article per document and SKU group, of lines of the newest header's
-    type, for the documents that ``wanted`` (column ``_number``) names; lines of all others go
-    first. However many lines a document has, it is a few rows from here on."""
+def _document_groups(belegp: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Units and first article per document and SKU group, of the documents and types in ``wanted``
+    (columns ``_number``, ``Belegnummer``, ``Belegtyp``); lines of all others go first, those of other types before
+    any shuffle. However many lines a document has, it is a few rows from here on."""
     item = F.struct(F.col("Artikelnummer").alias("id"), F.col("Bezeichnung").alias("name"),
                     F.col("BELEGP_ID").alias("line_id"))
-    groups = (belegp.filter("Artikelnummer IS NOT NULL").withColumn("_number", F.rtrim("Belegnummer"))
-              .join(wanted, "_number", "left_semi")
+    types = [r[0] for r in wanted.select("Belegtyp").distinct().collect()]
+    lines = belegp.filter(F.col("Belegtyp").isin(types) & F.col("Artikelnummer").isNotNull())
+    same = wanted.select("_number", F.col("Belegnummer").alias("_full"), F.col("Belegtyp").alias("_type"))
+    on = (F.rtrim("Belegnummer") == F.col("_number")) & (F.col("Belegnummer") == F.col("_full")) & (F.col("Belegtyp") == F.col("_type"))
+    groups = (lines.join(same, on, "left_semi")
               .groupBy("Belegnummer", "Belegtyp", sku_group(F.col("Artikelnummer")).alias("_group"))
               .agg(F.sum("Menge").alias("quantity"), F.min_by(item, "BELEGP_ID").alias("_first")))
-    return groups.join(index.select("Belegnummer", "Belegtyp"), ["Belegnummer", "Belegtyp"]).select(
-        F.rtrim("Belegnummer").alias("_number"), "_group", "quantity", "_first.*")
+    return groups.select(F.rtrim("Belegnummer").alias("_number"), "_group", "quantity", "_first.*")
 
 
 def missing_components(erp: dict[str, DataFrame], numbers: DataFrame | None = None) -> DataFrame:
@@ -146,8 +148,9 @@ def missing_components(erp: dict[str, DataFrame], numbers: DataFrame | None = No
         F.struct(F.lit("now").alias("side"), F.rtrim("order_number").alias("_number")),
         F.struct(F.lit("was").alias("side"), F.col("_before").alias("_number")))).alias("_s")).select(
         "order_number", "_s.*"), "chain_ends")
-    lines = erp["belegp"].filter(F.col("Belegtyp") != "B")
-    groups = _document_groups(lines, index, sides.select("_number").distinct())
+    wanted = stored(index.select("_number", "Belegnummer", "Belegtyp").join(sides.select("_number").distinct(), "_number", "left_semi"),
+                    "chain_documents")
+    groups = _document_groups(erp["belegp"].filter(F.col("Belegtyp") != "B"), wanted)
     return _compare(sides.join(groups, "_number"))
 
 

@@ -162,7 +162,7 @@ def test_order_360_shuffles_its_lines_once(spark):
     assert "Window" in plan and "Steuer" not in plan and "FileScan" not in plan
 
 
-@pytest.mark.parametrize("rolled_up", [False])
+@pytest.mark.parametrize("rolled_up", [False, True])
 def test_chains_read_lines_of_their_types_alone(spark, rolled_up):
     """Lines of types that no chain has go before any shuffle, and the lines that stay meet the documents, by number and type, in
     one join; numbers with blanks behind them are found as before."""

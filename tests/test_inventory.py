@@ -161,3 +161,34 @@ def test_forecast_and_snapshots(spark, tmp_path):
     assert values(I.latest_forecast(stored, AS_OF.date(), 1), "sku", "stock_coverage") == [("B", 10.0), ("A", 9.0)]
     assert I.latest_forecast(stored, date(2026, 1, 1), 1).count() == 0
     assert stored.select("run_date", "weeks").distinct().count() == 2
+
+
+def test_forecasts_share_their_facts(spark):
+    """Three days and two horizons from facts that are stored once: the rows of each forecast from the tables, whose lines no
+    forecast reads again."""
+    line = lambda sku, n, day, kind="R": dict(Belegtyp=kind, Belegnummer="1", Artikelnummer=sku, Menge=n, Datum=day)
+    days = ["2026-06-20 12:00:00", "2026-05-31 08:00:00", "2026-05-03 00:00:00", "2026-04-05 00:00:01", "2026-03-09 00:00:00", None]
+    t = erp(spark, art=[dict(Artikelnummer=s, Bezeichnung=f"name {s}", ArtikelGruppe="CP") for s in "ABC"],
+            belegp=[line(s, n, day) for s in "ABC" for day in days for n in (3, None, 4 if s == "A" else 1)] + [
+                line("A", 1, "2026-05-01 00:00:00", "B"), line("B", None, "2026-05-30 00:00:00")],
+            beleg=[dict(Belegnummer="1", Belegtyp="B", UebernahmeOffen=-1)],
+            serie=[dict(Id=1, Artikelnummer="A", SCTyp="O")], lagerp=[dict(IdSerie=1, Bestand="0.25"), dict(IdSerie=1, Bestand=None)])
+    from datetime import timedelta
+
+    facts = I.forecast_facts(t, AS_OF - timedelta(days=2))
+    for as_of in (AS_OF - timedelta(days=2), AS_OF, AS_OF.replace(hour=15)):
+        for weeks in (1, 4):
+            shared, alone = (I.forecast_components(x, as_of, weeks) for x in (facts, t))
+            assert sorted(map(tuple, shared.collect())) == sorted(map(tuple, alone.collect())) != []
+            assert "Belegtyp" not in shared._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_latest_forecast_reads_lines_for_all_its_runs_together(spark, monkeypatch):
+    from werkbank import registry
+
+    built, saved = [], []
+    real = registry.inventory.forecast_facts, registry.inventory.save_forecast
+    monkeypatch.setattr(registry.inventory, "forecast_facts", lambda *a: built.append(a) or real[0](*a))
+    monkeypatch.setattr(registry.inventory, "save_forecast", lambda *a: saved.append(a[2:]) or real[1](*a))
+    registry.QUERIES["latest_forecast"](spark, "/root/testdata/sf0.001")
+    assert len(built) == 1 and len(saved) == 4

@@ -14,6 +14,7 @@ from werkbank.functions import constants as K
 from werkbank.functions.dates import at, bucket, date_bounds, date_range
 from werkbank.functions.predicates import article_predicate
 from werkbank.operators.keyed import missing_ids
+from werkbank.operators.stored import stored
 
 
 def open_purchases(erp: dict[str, DataFrame], articles: DataFrame | None = None) -> DataFrame:
@@ -102,25 +103,43 @@ def forecast_demand(usage: DataFrame, weeks: int) -> DataFrame:
             .filter("stock_coverage > 0"))
 
 
+def _sold(erp: dict[str, DataFrame], since: datetime) -> DataFrame:
+    return erp["belegp"].filter((F.col("Belegtyp") == "R") & (F.col("Datum") >= at(since - timedelta(days=84)))).select(
+        "Artikelnummer", "Datum", "Menge")
+
+
+def _units_in_stock(erp: dict[str, DataFrame]) -> DataFrame:
+    return (erp["lagerp"].groupBy("IdSerie").agg(F.sum("Bestand").alias("_units"))
+            .join(erp["serie"], F.col("IdSerie") == F.col("Id"))
+            .groupBy("Artikelnummer").agg(F.sum("_units").alias("_stock")))
+
+
+def forecast_facts(erp: dict[str, DataFrame], since: datetime) -> dict[str, DataFrame]:
+    """What the forecasts of ``since`` and later read, stored once for all of them, in place of ``erp``: units sold per
+    article and time, units in stock and on open purchases per article, and the articles."""
+    sold = _sold(erp, since).groupBy("Artikelnummer", "Datum").agg(F.sum("Menge").alias("Menge"))
+    return {"art": erp["art"], "sold": stored(sold, "sold"), "in_stock": stored(_units_in_stock(erp), "in_stock"),
+            "ordered": stored(open_purchases(erp), "ordered")}
+
+
 def forecast_components(erp: dict[str, DataFrame], as_of: datetime, weeks: int = 1) -> DataFrame:
     """Components to buy for the next weeks: sold at least twice in 84 days, with a forecast
     above stock and open purchases. One pass over the lines gives the popularity and the
-    three bands; the newest band has no upper bound."""
+    three bands; the newest band has no upper bound. ``erp`` may be the ``forecast_facts`` of an earlier day."""
+    facts = erp if "sold" in erp else {"art": erp["art"], "sold": _sold(erp, as_of), "in_stock": _units_in_stock(erp),
+                                       "ordered": open_purchases(erp)}
     edge = [at(as_of - timedelta(days=d)) for d in (28, 56, 84)]
     date = F.col("Datum")
     band = lambda condition: F.sum(F.when(condition, F.col("Menge")).otherwise(0))
-    used = (erp["belegp"].filter((F.col("Belegtyp") == "R") & (date >= edge[2]))
+    used = (facts["sold"].filter(date >= edge[2])
             .groupBy("Artikelnummer").agg(
                 F.sum("Menge").alias("_sold"), band(date >= edge[0]).alias("u1"),
                 band((date >= edge[1]) & (date < edge[0])).alias("u2"), band(date < edge[1]).alias("u3"))
             .filter("_sold >= 2"))
-    components = erp["art"].filter(F.col("ArtikelGruppe").isin(*K.COMPONENT_GROUPS))
+    components = facts["art"].filter(F.col("ArtikelGruppe").isin(*K.COMPONENT_GROUPS))
     popular = used.join(components.select("Artikelnummer", "Bezeichnung"), "Artikelnummer")
-    stock = (erp["lagerp"].groupBy("IdSerie").agg(F.sum("Bestand").alias("_units"))
-             .join(erp["serie"], F.col("IdSerie") == F.col("Id"))
-             .groupBy("Artikelnummer").agg(F.sum("_units").alias("_stock")))
-    usage = (popular.join(stock, "Artikelnummer", "left")
-             .join(open_purchases(erp), "Artikelnummer", "left")
+    usage = (popular.join(facts["in_stock"], "Artikelnummer", "left")
+             .join(facts["ordered"], "Artikelnummer", "left")
              .select(F.col("Artikelnummer").alias("sku"), F.col("Bezeichnung").alias("name"),
                      "u1", "u2", "u3", F.coalesce("_stock", F.lit(0)).alias("stock"),
                      F.coalesce("ordered_amount", F.lit(0)).alias("incoming")))

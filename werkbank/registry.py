@@ -361,10 +361,11 @@ def affected_orders(spark, sf_dir):
 @query
 def latest_forecast(spark, sf_dir):
     """From stored runs of two days, two times of day and two horizons."""
-    path, erp = f"{_scratch(spark)}/forecast", _erp(spark, sf_dir, False)
-    noon = AS_OF.replace(hour=12)
-    for as_of, weeks in ((noon - timedelta(days=1), 4), (AS_OF.replace(hour=8), 4), (noon, 4), (noon, 1)):
-        inventory.save_forecast(inventory.forecast_components(erp, as_of, weeks), path, as_of, weeks)
+    path, noon = f"{_scratch(spark)}/forecast", AS_OF.replace(hour=12)
+    runs = (noon - timedelta(days=1), 4), (AS_OF.replace(hour=8), 4), (noon, 4), (noon, 1)
+    facts = inventory.forecast_facts(_erp(spark, sf_dir, False), min(as_of for as_of, _ in runs))
+    for as_of, weeks in runs:
+        inventory.save_forecast(inventory.forecast_components(facts, as_of, weeks), path, as_of, weeks)
     return inventory.latest_forecast(spark.read.parquet(path), AS_OF.date(), 4)
 
 

@@ -175,7 +175,7 @@ def stored_relations(spark, sf_dir):
     """All six ERP relations written as files, read by their contract and summed up."""
     folder = _scratch(spark)
     for name in schemas.ERP:
-        _erp(spark, sf_dir)[name].write.parquet(f"{folder}/{name}.parquet")
+        _erp(spark, sf_dir)[name].write.option("compression", "zstd").parquet(f"{folder}/{name}.parquet")
     erp = load_erp(spark, folder)
     # What is summed of each relation, and a text of which the distinct values are counted.
     shown = {"art": (F.lit(None), "HstArtikelnummer"), "beleg": (F.col("EuroBrutto"), "Belegnummer"), "belegp": (F.col("Menge"), "Artikelnummer"),

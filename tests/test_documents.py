@@ -174,3 +174,23 @@ def test_chains_read_lines_of_their_types_alone(spark, rolled_up):
     result = D.shortage_totals(missing) if rolled_up else missing
     plan = result._jdf.queryExecution().optimizedPlan().toString()
     assert "IN (A,L)" in plan and plan.count("Join") == 2
+
+
+def test_what_a_chain_stores_and_shuffles_is_narrow(spark):
+    """The index stores a number once, and sums carry each article with its line once. Equal lines and headers of one time
+    still give one answer: the least article, the greatest predecessor."""
+    tables = chain(spark)
+    again = [dict(Belegnummer="L1", Belegtyp="L", LieferBelegNr=before, Status=0, Vorlage="", Adressnummer="K1",
+                  AngelegtAm="2026-01-01 00:00:00") for before in (None, "", "M0")]
+    extra = [line(1, "O1", "A", "ME000", "A", 1), line(None, "O1", "A", "HD1", "A", 3)]
+    for order in (1, -1):
+        twins = {**tables, "beleg": tables["beleg"].union(table(spark, BELEG, again[::order])),
+                 "belegp": table(spark, BELEGP, extra[::order]).union(tables["belegp"])}
+        index = D.header_index(twins["beleg"])
+        assert values(index.filter("Belegnummer = 'L1'"), "_number", "Belegtyp", "_before", "open") == [("L1", "L", "M1", True)]
+        assert {f.split("#")[0] for f in index._jdf.queryExecution().optimizedPlan().toString().split("Relation [")[1].split("]")[0].split(",")} == {
+            "Belegnummer", "Belegtyp", "_before", "open"}
+        asked = spark.createDataFrame([("L4",)], "Belegnummer string")
+        assert values(D.missing_components(twins, asked), "id", "count", sort=True) == [("CP001", 1), ("ME000", 5), (None, 3)]
+    plan = D.missing_components(tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" not in plan[plan.index("Aggregate [Belegnummer"):] and "max_by" not in plan

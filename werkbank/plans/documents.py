@@ -108,26 +108,26 @@ def header_index(beleg: DataFrame) -> DataFrame:
     open order. Supplier purchases may re-use the number of a customer document but belong to no chain. Orders,
     middles and originals of all chains are read from here, so the headers are read once."""
     newest = beleg.filter(F.col("Belegtyp") != "B").groupBy("Belegnummer").agg(
-        F.max_by(F.struct("Belegtyp", "LieferBelegNr"), F.struct("AngelegtAm", "Belegtyp")).alias("_head"),
+        F.max(F.struct("AngelegtAm", "Belegtyp", "LieferBelegNr")).alias("_head"),
         F.max(F.coalesce(genuine_orders("open"), F.lit(False))).alias("open"))
-    return stored(newest.select("Belegnummer", F.rtrim("Belegnummer").alias("_number"), "_head.Belegtyp", F.when(
+    index = stored(newest.select("Belegnummer", "_head.Belegtyp", F.when(
         F.col("_head.LieferBelegNr") != "", F.rtrim("_head.LieferBelegNr")).alias("_before"), "open"), "header_index")
+    return index.withColumn("_number", F.rtrim("Belegnummer"))
 
 
 def _document_groups(belegp: DataFrame, wanted: DataFrame) -> DataFrame:
     """Units and first article per document and SKU group, of the documents and types in ``wanted``
     (columns ``_number``, ``Belegnummer``, ``Belegtyp``); lines of all others go first, those of other types before
     any shuffle. However many lines a document has, it is a few rows from here on."""
-    item = F.struct(F.col("Artikelnummer").alias("id"), F.col("Bezeichnung").alias("name"),
-                    F.col("BELEGP_ID").alias("line_id"))
+    item = F.struct(F.col("BELEGP_ID").alias("line_id"), F.col("Artikelnummer").alias("id"), F.col("Bezeichnung").alias("name"))
     types = [r[0] for r in wanted.select("Belegtyp").distinct().collect()]
     lines = belegp.filter(F.col("Belegtyp").isin(types) & F.col("Artikelnummer").isNotNull())
     same = wanted.select("_number", F.col("Belegnummer").alias("_full"), F.col("Belegtyp").alias("_type"))
     on = (F.rtrim("Belegnummer") == F.col("_number")) & (F.col("Belegnummer") == F.col("_full")) & (F.col("Belegtyp") == F.col("_type"))
     groups = (lines.join(same, on, "left_semi")
               .groupBy("Belegnummer", "Belegtyp", sku_group(F.col("Artikelnummer")).alias("_group"))
-              .agg(F.sum("Menge").alias("quantity"), F.min_by(item, "BELEGP_ID").alias("_first")))
-    return groups.select(F.rtrim("Belegnummer").alias("_number"), "_group", "quantity", "_first.*")
+              .agg(F.sum("Menge").alias("quantity"), F.min(F.when(F.col("BELEGP_ID").isNotNull(), item)).alias("_first")))
+    return groups.select(F.rtrim("Belegnummer").alias("_number"), "_group", "quantity", "_first.id", "_first.name", "_first.line_id")
 
 
 def missing_components(erp: dict[str, DataFrame], numbers: DataFrame | None = None) -> DataFrame:
